@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprint, language_id, mixing, rans
+from . import ann, bpe, chat, fingerprint, language_id, mixing, rans
 from .common import table
 
 
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search_every(table(spark, sf_dir, "embeddings"))
+
+
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digests(table(spark, sf_dir, "conversations"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
@@ -31,7 +39,7 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op3_rans, op4_mixing, op7_language_id, op10_fingerprint)}
+    return {f.__name__: f for f in (op1_bpe, op3_rans, op4_mixing, op5_ann, op7_language_id, op8_chat, op10_fingerprint)}
 
 
 def oracle_sql() -> dict[str, str]:
