@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, chat, fingerprint, language_id, mixing, rans
+from . import ann, bpe, chat, fingerprint, jaccard_join, language_id, mixing, rans
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.round_trip(table(spark, sf_dir, "documents"))
 
@@ -39,8 +43,8 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op3_rans, op4_mixing, op5_ann, op7_language_id, op8_chat, op10_fingerprint)}
+    return {f.__name__: f for f in (op1_bpe, op2_ngram_jaccard, op3_rans, op4_mixing, op5_ann, op7_language_id, op8_chat, op10_fingerprint)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_fingerprint": fingerprint.ORACLE}
+    return {"op2_ngram_jaccard": jaccard_join.ORACLE, "op10_fingerprint": fingerprint.ORACLE}
