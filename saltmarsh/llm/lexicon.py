@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import hashlib
 import mmap
-import os
 import tempfile
 
 import numpy as np
@@ -134,15 +133,11 @@ _MAPPED: dict[str, Transducer] = {}
 
 
 def mapped(packed: bytes) -> Transducer:
-    """The transducer, memory-mapped from a file that the workers of a machine share; the file's name is its hash."""
-    name = hashlib.sha256(packed).hexdigest()[:32]
+    """The transducer, memory-mapped from a file without a name: nothing is left behind when the worker ends."""
+    name = hashlib.sha256(packed).hexdigest()
     if name not in _MAPPED:
-        path = os.path.join(tempfile.gettempdir(), f"lexicon-{name}.smtx")
-        if not os.path.exists(path) or os.path.getsize(path) != len(packed):
-            fd, part = tempfile.mkstemp(prefix=".lexicon-")
-            with os.fdopen(fd, "wb") as f:
-                f.write(packed)
-            os.replace(part, path)
-        with open(path, "rb") as f:
+        with tempfile.TemporaryFile() as f:
+            f.write(packed)
+            f.flush()
             _MAPPED[name] = Transducer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
     return _MAPPED[name]
