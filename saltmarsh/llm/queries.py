@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, chat, fingerprint, jaccard_join, language_id, mixing, rans
+from . import ann, bpe, chat, fingerprint, jaccard_join, language_id, mixing, rans, suffix_dedup
 from .common import table
 
 
@@ -38,12 +38,16 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_by_source(table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_ngram_jaccard, op3_rans, op4_mixing, op5_ann, op7_language_id, op8_chat, op10_fingerprint)}
+    return {f.__name__: f for f in (op1_bpe, op2_ngram_jaccard, op3_rans, op4_mixing, op5_ann, op7_language_id, op8_chat, op9_suffix_dedup, op10_fingerprint)}
 
 
 def oracle_sql() -> dict[str, str]:
