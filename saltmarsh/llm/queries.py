@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, chat, fingerprint, jaccard_join, language_id, mixing, rans, suffix_dedup
+from . import ann, bpe, chat, fingerprint, jaccard_join, language_id, mixing, quality, rans, suffix_dedup
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(table(spark, sf_dir, "conversations"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_ngram_jaccard, op3_rans, op4_mixing, op5_ann, op7_language_id, op8_chat, op9_suffix_dedup, op10_fingerprint)}
+    return {f.__name__: f for f in (op1_bpe, op2_ngram_jaccard, op3_rans, op4_mixing, op5_ann, op6_quality, op7_language_id, op8_chat, op9_suffix_dedup, op10_fingerprint)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -442,10 +442,13 @@ def cut(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
     return b"".join(out), sum(b - a for a, b in runs), len(runs)
 
 
-def removed(docs: DataFrame, length: int = LENGTH, columns: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, *columns, kept binary, n_bytes, n_removed, n_spans) of every row of docs."""
+def removed(docs: DataFrame, length: int = LENGTH, columns: tuple[str, ...] = (), key: int = KEY, as_text: bool = False) -> DataFrame:
+    """(doc_id, *columns, kept binary, n_bytes, n_removed, n_spans) of every row of docs; as_text: kept is a string.
+
+    A cut may go through a character of several bytes; as_text leaves out what remains of it.
+    """
+    spans = repeated_spans(docs, length, key)
     small_batches(docs.sparkSession, 200)
-    spans = repeated_spans(docs, length)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[c for c in columns if c not in ("doc_id", "text")], "text").join(spans, "doc_id", "left")
     names = rows.columns[:-2]
 
@@ -455,12 +458,13 @@ def removed(docs: DataFrame, length: int = LENGTH, columns: tuple[str, ...] = ()
             for text, s in zip(b.column(len(names)).to_pylist(), b.column(len(names) + 1).to_pylist(), strict=True):
                 data = (text or "").encode("utf-8", "surrogatepass")
                 kept.append((*cut(data, [(x["a"], x["b"]) for x in s or ()]), len(data)))
-            cols = [pa.array([k[0] for k in kept], pa.binary()), *(pa.array([k[i] for k in kept], pa.int64()) for i in (3, 1, 2))]
+            left = pa.array([k[0].decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array([k[0] for k in kept], pa.binary())
+            cols = [left, *(pa.array([k[i] for k in kept], pa.int64()) for i in (3, 1, 2))]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], *cols], [*names, "kept", "n_bytes", "n_removed", "n_spans"])
 
-    from pyspark.sql.types import BinaryType, LongType, StructField, StructType
+    from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-    schema = StructType([*rows.schema.fields[:-2], StructField("kept", BinaryType()), *(StructField(n, LongType()) for n in ("n_bytes", "n_removed", "n_spans"))])
+    schema = StructType([*rows.schema.fields[:-2], StructField("kept", StringType() if as_text else BinaryType()), *(StructField(n, LongType()) for n in ("n_bytes", "n_removed", "n_spans"))])
     return rows.mapInArrow(run, schema)
 
 
