@@ -1,9 +1,9 @@
 """BPE encoding and decoding by a lexicon of frequent words and exact merges for the rest.
 
-The words of the corpus are counted over all documents (each task forgets the words that it saw once, so a count is
-short by at most the number of tasks), the LEXICON most frequent are merged once and compiled into the transducer of
+The words of the corpus are counted over all documents (each task forgets what stood only once between white space), the
+LEXICON most frequent are merged once and compiled into the transducer of
 ``lexicon``, which workers memory-map. A word that the transducer lacks is merged by the merge table, exactly. A worker
-remembers up to MEMO words, so that each is looked up once.
+remembers the words, and the chunks between white space, that it met last, 2 * MEMO chunks at most.
 
 The reading of the tokenizer file is that of word_bpe_49k.json: NFC, white space to blanks, lower case by code point;
 words are letters, single numbers, runs of other signs, and seven English endings; bytes are shown as letters; the last
@@ -19,6 +19,7 @@ import json
 import unicodedata
 from collections import Counter
 from functools import lru_cache
+from itertools import filterfalse
 from re import compile as compile_re
 from re import escape
 
@@ -83,12 +84,13 @@ class Words:
         self.odd = compile_re(f"[^{_safe_class()}]")
         self.bytes = {x: b for b, x in enumerate(_byte_letters())}
 
-    def plain(self, text: str) -> list[str]:
+    def chunks(self, text: str) -> list[str] | None:
+        """The text between white space, normalised; no word crosses it. None where only the library's tables can tell."""
         if self.odd.search(text):
-            return self.by_library(text)
+            return None
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
-        return self.fast.findall(text.replace("Σ", "σ").lower())
+        return text.replace("Σ", "σ").lower().split()
 
     def by_library(self, text: str) -> list[str]:
         """Texts with signs of which Unicode's versions speak differently: the library's own tables normalise and split."""
@@ -100,15 +102,14 @@ class Words:
         return [bytes(map(self.bytes.__getitem__, p)).decode() for p, _ in pieces]
 
     def parts(self, text: str):
-        """Lists of words, and ids of special tokens between them."""
-        if self.special and "<|" in text:
-            for k, part in enumerate(self.special.split(text)):
-                if k % 2:
-                    yield self.specials[part]
-                elif part:
-                    yield self.plain(part)
-        elif text:
-            yield self.plain(text)
+        """What a text is made of: ids of special tokens, and between them (chunks or words, whether these are words)."""
+        pieces = self.special.split(text) if self.special and "<|" in text else (text,)
+        for k, part in enumerate(pieces):
+            if k % 2:
+                yield self.specials[part]
+            elif part:
+                chunks = self.chunks(part)
+                yield (self.by_library(part), True) if chunks is None else (chunks, False)
 
 
 class Bpe:
@@ -126,9 +127,13 @@ class Bpe:
         self.tokens = [""] * (1 + max([*self.vocab.values(), *self.specials.values()]))
         for t, k in [*self.vocab.items(), *self.specials.items()]:
             self.tokens[k] = t
+        self.cells = {t: k.to_bytes(4, "little") for t, k in self.vocab.items()}
         self.words = Words(self.specials, path)
 
     def merge(self, word: str) -> list[int]:
+        return np.frombuffer(self.merge_bytes(word), "<u4").tolist()
+
+    def merge_bytes(self, word: str) -> bytes:
         """The lowest-ranked pair is merged, the leftmost first, until no pair has a rank."""
         s = [self.letters[b] for b in word.encode("utf-8", "surrogatepass")]
         s[-1] += self.end
@@ -146,57 +151,70 @@ class Bpe:
                 ranks[k - 1] = rank((s[k - 1], s[k]), never)
             if k < len(ranks):
                 ranks[k] = rank((s[k], s[k + 1]), never)
-        vocab = self.vocab
-        return [vocab[x] for x in s if x in vocab]
+        return b"".join([self.cells[x] for x in s if x in self.cells])
 
 
 class _Memo(dict):
-    """word -> its ids as little-endian 32-bit integers; asks the transducer first, then merges."""
+    """Remembers what make() gives for a word, in two generations of size entries: what is used stays, memory is bounded."""
 
-    def __init__(self, bpe: Bpe, lex: lexicon.Transducer | None):
+    def __init__(self, make, size: int = MEMO):
         super().__init__()
-        self.bpe, self.lex = bpe, lex
-
-    def learn(self, words: set[str]) -> None:
-        """All words of a batch that aren't known yet step through the transducer together."""
-        new = [w for w in words if w not in self]
-        if len(self) + len(new) > MEMO:
-            self.clear()
-            new = list(words)
-        if self.lex is None:
-            return
-        found = self.lex.find([w.encode("utf-8", "surrogatepass") for w in new])
-        starts, ids = self.lex.starts[:-1][found], self.lex.ids.tobytes() if not hasattr(self, "_ids") else self._ids
-        self._ids = ids
-        ends = self.lex.starts[1:][found]
-        for w, k, a, b in zip(new, found.tolist(), starts.tolist(), ends.tolist(), strict=True):
-            if k >= 0:
-                self[w] = ids[4 * a : 4 * b]
+        self.make, self.size, self.old = make, size, {}
 
     def __missing__(self, word: str) -> bytes:
-        out = np.array(self.bpe.merge(word), "<u4").tobytes()
-        if len(self) < 2 * MEMO:
-            self[word] = out
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        out = self.old.get(word)
+        if out is None:
+            out = self.make(word)
+        self[word] = out
         return out
 
 
+def library_merge(bpe: Bpe, path: str):
+    """word -> ids by the library's own merges, for writers that want its tokenizer and no lexicon."""
+    from tokenizers import Tokenizer
+
+    model, letters, cells = Tokenizer.from_file(path).model, bpe.letters, bpe.cells
+
+    def merge(word: str) -> bytes:
+        shown = word if word.isascii() and word.isalpha() else "".join([letters[b] for b in word.encode("utf-8", "surrogatepass")])
+        return b"".join([cells[t.value] for t in model.tokenize(shown)])
+
+    return merge
+
+
 class Codec:
-    """Encodes and decodes texts in one process."""
+    """Encodes and decodes texts in one process: ids are little-endian 32-bit integers."""
 
-    def __init__(self, path: str, packed: bytes | None = None):
+    def __init__(self, path: str, packed: bytes | None = None, library: bool = False):
         self.bpe = Bpe(path)
-        self.memo = _Memo(self.bpe, lexicon.mapped(packed) if packed else None)
+        self.lex = lexicon.mapped(packed) if packed else None
+        self.words = _Memo(library_merge(self.bpe, path) if library else self.bpe.merge_bytes, MEMO // 4)
+        find, words = self.bpe.words.fast.findall, self.words.__getitem__
+        self.chunks = _Memo(lambda c: b"".join(map(words, find(c))), MEMO)
+
+    def _look_up(self, new: set[str]) -> None:
+        """All words of a batch that aren't known yet step through the transducer together; those it lacks are merged when met."""
+        words = [w for w in new if w not in self.words and w not in self.words.old]
+        found = self.lex.find([w.encode("utf-8", "surrogatepass") for w in words])
+        for w, k in zip(words, found.tolist(), strict=True):
+            if k >= 0:
+                self.words[w] = self.lex.sequence(k).tobytes()
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         split = [list(self.bpe.words.parts(t)) if t else [] for t in texts]
-        seen: set[str] = set()
-        for parts in split:
-            for p in parts:
-                if not isinstance(p, int):
-                    seen.update(p)
-        self.memo.learn(seen)
-        get = self.memo.__getitem__
-        return [b"".join(p.to_bytes(4, "little") if isinstance(p, int) else b"".join(map(get, p)) for p in parts) for parts in split]
+        if self.lex is not None:
+            new: set[str] = set()
+            for parts in split:
+                for p in parts:
+                    if not isinstance(p, int):
+                        new.update(filterfalse((self.words if p[1] else self.chunks).__contains__, p[0]))
+            find = self.bpe.words.fast.findall
+            self._look_up({w for c in new if c not in self.chunks.old for w in find(c)})
+        words, chunks = self.words.__getitem__, self.chunks.__getitem__
+        return [b"".join(p.to_bytes(4, "little") if isinstance(p, int) else b"".join(map(words if p[1] else chunks, p[0])) for p in parts) for parts in split]
 
     def decode(self, ids: bytes) -> str:
         return " ".join(map(self.bpe.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -205,29 +223,38 @@ class Codec:
 _CODECS: dict[tuple, Codec] = {}
 
 
-def codec(path: str, packed: bytes | None = None) -> Codec:
+def codec(path: str, packed: bytes | None = None, library: bool = False) -> Codec:
     """One codec per worker process, tokenizer and lexicon."""
-    key = (path, hashlib.sha256(packed).digest() if packed else b"")
+    key = (path, hashlib.sha256(packed).digest() if packed else b"", library)
     if key not in _CODECS:
         _CODECS.clear()
-        _CODECS[key] = Codec(path, packed)
+        _CODECS[key] = Codec(path, packed, library)
     return _CODECS[key]
 
 
 def count_words(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
-    """(word, n) of all texts; a task leaves out the words that it saw once."""
+    """(word, n) of all texts; a task leaves out the chunks between white space that it saw once."""
     small_batches(docs.sparkSession)
 
     def run(batches):
-        words, seen = codec(path).bpe.words, Counter()
+        words, seen, total = codec(path).bpe.words, Counter(), Counter()
+
+        def spill():  # chunks seen once are forgotten, the others' words counted
+            for c, n in seen.items():
+                if n > 1:
+                    for w in words.fast.findall(c):
+                        total[w] += n
+            seen.clear()
+
         for b in batches:
             for t in b.column(0).to_pylist():
                 for p in words.parts(t) if t else ():
                     if not isinstance(p, int):
-                        seen.update(p)
-            if len(seen) > 3 * MEMO:  # forget the rarest, as at the end
-                seen = Counter({w: n for w, n in seen.items() if n > 1})
-        rows = [(w, n) for w, n in seen.items() if n > 1 and len(w) <= LONGEST]
+                        (total if p[1] else seen).update(p[0])
+            if len(seen) > 2 * MEMO:
+                spill()
+        spill()
+        rows = [(w, n) for w, n in total.items() if len(w) <= LONGEST]
         for k in range(0, len(rows), 20_000):
             yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows[k : k + 20_000]]), pa.array([n for _, n in rows[k : k + 20_000]], pa.int64())], ["word", "n"])
 
