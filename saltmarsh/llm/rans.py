@@ -152,7 +152,7 @@ def _chunks(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     end = end_id.to_bytes(4, "little")
 
     def run(batches):
-        c = bpe.codec(path)
+        c = bpe.codec(path, library=True)
         part, step, docs_, ids, size, counts = None, 0, [], [], 0, None
 
         def chunk(last: bool):
