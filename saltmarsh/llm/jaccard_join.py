@@ -4,7 +4,7 @@ A document's distinct shingles are hashed into groups. Where two sets link, they
 from sizes and threshold), so of D + 1 groups one at least is equal in both: documents meet by the hash of a whole
 group's content, and a passage or line that very many share brings nobody together alone. Size classes of ratio GROWTH
 fix the number of groups; SPARE groups more are made, and a document with no more empty groups than that leaves them
-out. Who meets is bounded before anything is read again: the counts of VECTOR groups are points in an R-tree, the sum of
+out. Who meets is bounded before anything is read again: counts of hash groups (as many as keep a few members each) are points in an R-tree, the sum of
 coordinate minima of two points (or of two boxes' upper corners) is at least their overlap, and pairs or subtrees whose
 bound is below what the threshold asks are left. What is left falls into clusters; in each, the sets themselves are
 compared, again by the tree, and each pair that passes is verified by its exact intersection unless a chain of verified
@@ -31,7 +31,9 @@ from .common import components, materialize, mix64, small_batches
 from .shingles import shingle_sets
 
 GROWTH = 1.4
+#: The fewest and the most groups that are counted.
 VECTOR = 32
+MOST_GROUPS = 1 << 16
 LEAF = 48
 CLUSTER = 2_000_000
 FLUSH = 1 << 20
@@ -75,14 +77,37 @@ def signatures(h: np.ndarray, num: int, den: int) -> np.ndarray:
     for c in range(first, last + 1):
         g = int(groups[c])
         cut = np.searchsorted(top * g >> 32, np.arange(g + 1))
-        s = mix64(total[cut[1:]] - total[cut[:-1]] + np.arange(g, dtype=np.uint64) * _C + np.uint64(c) * _A)
+        s = mix64(total[cut[1:]] - total[cut[:-1]] + np.arange(g, dtype=np.uint64) * _C + np.uint64(c * int(_A) % 2**64))
         empty = cut[1:] == cut[:-1]
         out.append(s if empty.sum() > spare[c] else s[~empty])
     return np.concatenate(out)
 
 
-def count_vector(h: np.ndarray) -> np.ndarray:
-    return np.bincount((mix64(h) >> np.uint64(59)).astype(np.int64), minlength=VECTOR).astype(np.int32)
+def groups_for(n: int) -> int:
+    """As many counts as keep two to four members in a group; a power of two, so that halves fold together."""
+    return min(MOST_GROUPS, max(VECTOR, 1 << max(0, (int(n) - 1) // 4).bit_length()))
+
+
+def count_vector(h: np.ndarray, groups: int) -> np.ndarray:
+    return np.bincount((mix64(h) >> np.uint64(65 - groups.bit_length())).astype(np.int64), minlength=groups)
+
+
+def packed_vector(h: np.ndarray) -> bytes:
+    """A byte for each count; where one has no room in a byte all are 255, and no bound will rule the set out."""
+    v = count_vector(h, groups_for(len(h)))
+    return (np.full(len(v), 255) if v.max() > 254 else v).astype(np.uint8).tobytes()
+
+
+def folded(vectors: list[bytes], groups: int) -> np.ndarray:
+    """The counts of groups groups of each; 255 stays 255."""
+    out = np.empty((len(vectors), groups), np.int32)
+    sizes = np.fromiter(map(len, vectors), np.int64, len(vectors))
+    for size in np.unique(sizes):
+        at = np.flatnonzero(sizes == size)
+        v = np.frombuffer(b"".join([vectors[k] for k in at]), np.uint8).reshape(len(at), size).astype(np.int32)
+        v[v == 255] = 1 << 24
+        out[at] = v.reshape(len(at), groups, -1).sum(2)
+    return out
 
 
 def sets_of(docs: DataFrame, k: int) -> DataFrame:
@@ -94,7 +119,7 @@ def sets_of(docs: DataFrame, k: int) -> DataFrame:
             sets = shingle_sets(b.column(1).to_pylist(), k)
             n = [len(x) for x in sets]
             h = [int(set_hash(x).astype(np.int64)) if len(x) else None for x in sets]
-            v = [count_vector(x).tobytes() if len(x) else None for x in sets]
+            v = [packed_vector(x) if len(x) else None for x in sets]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(h, pa.int64()), pa.array(v, pa.binary())], ["doc_id", "n", "h", "vector"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, h long, vector binary")
@@ -297,16 +322,20 @@ def bounded_edges(rows: DataFrame, num: int, den: int) -> DataFrame:
             if not held:
                 return
             s, h, n = (np.concatenate([x[k] for x in held]) for k in range(3))
-            v = np.concatenate([x[3] for x in held])
+            packed = [v for x in held for v in x[3]]
             starts = np.flatnonzero(np.diff(s, prepend=s[0] - 1))
             sizes = np.diff(np.append(starts, len(s)))
-            out = []
-            many = np.repeat(sizes > LEAF, sizes)
-            out.append(small(s[~many], h[~many], n[~many], v[~many]) if (~many).any() else (h[:0], h[:0]))
-            for a, m in zip(starts[sizes > LEAF], sizes[sizes > LEAF], strict=True):
-                label = link(v[a : a + m], n[a : a + m], num, den)
-                own = label != np.arange(m)
-                out.append((h[a : a + m][own], h[a : a + m][label[own]]))
+            least = np.minimum.reduceat(np.fromiter(map(len, packed), np.int64, len(packed)), starts)
+            out = [(h[:0], h[:0])]
+            for groups in np.unique(least):
+                few = np.flatnonzero(np.repeat((sizes <= LEAF) & (least == groups), sizes))
+                if len(few):
+                    out.append(small(s[few], h[few], n[few], folded([packed[k] for k in few], int(groups))))
+            for a, m, groups in zip(starts, sizes, least, strict=True):
+                if m > LEAF:
+                    label = link(folded(packed[a : a + m], int(groups)), n[a : a + m], num, den)
+                    own = label != np.arange(m)
+                    out.append((h[a : a + m][own], h[a : a + m][label[own]]))
             src, dst = np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
             both = np.unique(np.stack([np.minimum(src, dst), np.maximum(src, dst)], 1), axis=0)
             if len(both):
@@ -317,10 +346,9 @@ def bounded_edges(rows: DataFrame, num: int, den: int) -> DataFrame:
         for b in batches:
             if not len(b):
                 continue
-            v = np.frombuffer(b"".join(b.column(3).to_pylist()), np.int32).reshape(-1, VECTOR)
-            held.append([b.column(k).to_numpy(zero_copy_only=False) for k in range(3)] + [v])
+            held.append([b.column(k).to_numpy(zero_copy_only=False) for k in range(3)] + [b.column(3).to_pylist()])
             size += len(b)
-            if size >= 100_000:
+            if size >= 50_000:
                 s = held[-1][0]
                 cut = int(np.searchsorted(s, s[-1]))  # the last signature may go on in the next batch
                 if cut:
@@ -346,8 +374,9 @@ def _compare(rows: DataFrame, k: int, num: int, den: int) -> DataFrame:
             sets = shingle_sets(text, k)
             names = {x: i for i, x in reversed(list(enumerate(label)))}
             start = np.array([names[x] for x in label])
-            vectors = np.array([count_vector(x) for x in sets])
-            done = link(vectors, np.array([len(x) for x in sets]), num, den, sets, start)
+            sizes = np.array([len(x) for x in sets])
+            groups = min(512, groups_for(int(np.median(sizes))))
+            done = link(np.array([count_vector(x, groups) for x in sets]), sizes, num, den, sets, start)
             out += [(h[i], h[j]) for i, j in enumerate(done.tolist()) if i != j and start[i] != j]
             if len(out) > 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["src", "dst"])
