@@ -34,8 +34,10 @@ from .common import materialize, mix64, small_batches
 LENGTH = 400
 KEY = 200
 SHALLOW = 16
-GROUP = 20_000
+GROUP = 60_000
 PIECE = 1 << 20
+#: Contexts sorted together, at least; a batch ends where a key does.
+BATCH = 30_000
 _BYTE = np.random.default_rng(99).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _P = 0x9E3779B97F4A7C15
 _POW: list[np.ndarray] = []
@@ -220,35 +222,33 @@ def suffix_order(strings: list[bytes], shallow: int = SHALLOW) -> tuple[np.ndarr
     return order, lcp
 
 
-def group_spans(lefts: list[bytes], rights: list[bytes], r_order: np.ndarray, r_lcp: np.ndarray, l_order: np.ndarray, l_lcp: np.ndarray, length: int) -> list[list[tuple[int, int]]]:
-    """For each context of one key: the spans, relative to its anchor, of strings that another of the contexts has too.
+def group_spans(lefts: list[bytes], rights: list[bytes], r_order: np.ndarray, r_lcp: np.ndarray, l_order: np.ndarray, l_lcp: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(most, least): for each context of one key the most and least o at which its string is another context's too; most < 0: none.
 
-    lefts are reversed; orders and common prefixes are of these contexts only.
+    lefts are reversed; orders and common prefixes are of these contexts only. All strings of a context hold its anchor,
+    so what they cover is one span, from most before the anchor to length - least after it.
     """
     n = len(lefts)
-    spans: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+    most, least = np.full(n, -1), np.full(n, length)
     if n == 2:
         a, b = int(r_lcp[1]), int(l_lcp[1])
         if a + b >= length:
-            spans = [[(-b, a)], [(-b, a)]]
-        return spans
-    widest = max(map(len, lefts))
-    # runs change only where o passes a common prefix of the left, or length - o one of the right
-    steps = sorted({0, *(int(x) for x in l_lcp if x <= widest), *(int(x) + 1 for x in l_lcp if x < widest), *(int(length - x) for x in r_lcp if 0 <= length - x <= widest), *(int(length - x) - 1 for x in r_lcp if 0 < length - x <= widest + 1)})
+            most[:], least[:] = b, length - a
+        return most, least
     left_size, right_size = np.fromiter(map(len, lefts), np.int64, n), np.fromiter(map(len, rights), np.int64, n)
-    for k, o in enumerate(steps):
-        upto = (steps[k + 1] if k + 1 < len(steps) else widest + 1) - 1  # the same answer for o .. upto but for sizes
+    widest = int(left_size.max())
+    # runs change only where o passes a common prefix of the left, or length - o one of the right, or a text's end
+    at = np.unique(np.concatenate([l_lcp, l_lcp + 1, length - r_lcp, length - r_lcp - 1, left_size, left_size + 1, length - right_size, length - right_size - 1, [0, widest]]))
+    for o in at[(at >= 0) & (at <= widest)].tolist():
         run_r, run_l = np.empty(n, np.int64), np.empty(n, np.int64)
         run_r[r_order] = np.cumsum(r_lcp < length - o)
-        run_l[l_order] = np.cumsum(l_lcp < upto if upto > o else l_lcp < o)
-        fine = (left_size >= o) & (right_size >= length - o)
-        both = np.where(fine, run_r * (n + 1) + run_l, -1 - np.arange(n))
+        run_l[l_order] = np.cumsum(l_lcp < o)
+        both = np.where((left_size >= o) & (right_size >= length - o), run_r * (n + 1) + run_l, -1 - np.arange(n))
         _, inverse, count = np.unique(both, return_inverse=True, return_counts=True)
-        for i in np.flatnonzero(count[inverse] > 1):
-            spans[i].append((-o, length - o))
-            if upto > o:
-                spans[i].append((-upto, length - upto))
-    return [merge(sorted(s)) for s in spans]
+        hit = count[inverse] > 1
+        most[hit] = np.maximum(most[hit], o)
+        least[hit] = np.minimum(least[hit], o)
+    return most, least
 
 
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -344,10 +344,9 @@ def _sorted_spans(contexts: DataFrame, length: int) -> DataFrame:
             own = np.sort(ro)
             place = {m: k for k, m in enumerate(own.tolist())}
             local = lambda o: np.array([place[m] for m in o.tolist()])
-            spans = group_spans([pre[m] for m in own], [post[m] for m in own], local(ro), rl, local(lo), ll, length)
-            for k, m in enumerate(own.tolist()):
-                if spans[k]:
-                    yield keys[m], names[m], [{"a": a, "b": b} for a, b in spans[k]]
+            most, least = group_spans([pre[m] for m in own], [post[m] for m in own], local(ro), rl, local(lo), ll, length)
+            for k in np.flatnonzero(most >= 0).tolist():
+                yield keys[own[k]], names[own[k]], [{"a": -int(most[k]), "b": length - int(least[k])}]
 
     def batch(rows):
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))], ["key", "context", "spans"])
@@ -365,7 +364,7 @@ def _sorted_spans(contexts: DataFrame, length: int) -> DataFrame:
         for b in batches:
             for k in range(4):
                 held[k] += b.column(k).to_pylist()
-            if len(held[0]) >= 2 * GROUP:
+            if len(held[0]) >= BATCH:
                 last = held[0][-1]
                 cut = len(held[0])
                 while cut and held[0][cut - 1] == last:
