@@ -79,7 +79,7 @@ def enrichment(json: Column, summary_chars: int, most_tags: int) -> Column:
     got = F.from_json(json, "summary string, tags array<string>")
     text = F.trim(got["summary"])
     summary = F.nullif(F.when(F.octet_length(text) > summary_chars, F.substring(text, 1, summary_chars)).otherwise(text), F.lit(""))
-    tags = F.slice(F.filter(F.transform(got["tags"], F.trim), lambda t: t != ""), 1, most_tags)
+    tags = F.slice(F.filter(F.transform(got["tags"], lambda t: F.trim(t)), lambda t: t != ""), 1, most_tags)
     return F.struct(summary.alias("summary"), F.when(F.size(tags) > 0, tags).alias("tags"))
 
 

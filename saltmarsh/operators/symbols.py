@@ -44,8 +44,6 @@ def candidate_score(preferred: str | None):
     )
 
 
-CANDIDATE_ORDER = [F.desc, "score", "match_score", "line", "character", "path"]
-
 
 def candidates(symbols: DataFrame, query: str, preferred: str | None = None, alternates: int = 5) -> DataFrame:
     """The chosen candidate (place 1) and alternates. Exact matches if any, else fuzzy ones; of these exact names if any, of these the path asked for if any."""
