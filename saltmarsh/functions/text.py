@@ -98,10 +98,13 @@ def is_skippable_line(line: Column) -> Column:
 
 
 def truncate_signature(sig: Column, limit: int = SIGNATURE_LIMIT) -> Column:
-    """White space to single blanks; over the limit, cut before the first ``<`` or at a whole character, and ``...``."""
+    """White space to single blanks; over limit bytes, cut before the first ``<``, or after the characters that start within limit - 3 bytes, and ``...``."""
     s = trimmed(F.regexp_replace(sig, r"\s+", " "))
-    angle = F.instr(s, "<")
-    return F.when(F.octet_length(s) <= limit, s).when((angle > 1) & (angle <= limit), F.concat(F.substring(s, F.lit(1), angle - 1), F.lit("..."))).otherwise(F.concat(F.substring(s, 1, limit - 3), F.lit("...")))
+    before = F.substring_index(s, "<", 1)
+    generic = s.contains("<") & (before != "") & (F.octet_length(before) < limit)
+    digits = F.hex(F.substring(s.cast("binary"), 1, limit - 3))
+    starts = F.regexp_replace(digits, "([89AB].)|([0-7C-F].)", "$2")  # a byte 80 to BF goes on with a character
+    return F.when(F.octet_length(s) <= limit, s).when(generic, F.concat(before, F.lit("..."))).otherwise(F.concat(F.substring(s, F.lit(1), (F.length(starts) / 2).cast("int")), F.lit("...")))
 
 
 def is_builder_symbol(name: Column) -> Column:

@@ -164,7 +164,8 @@ def lexical_score(spark, d):
 
 
 @query(r"""
-SELECT doc_id, CASE WHEN strlen(s) <= 100 THEN s WHEN instr(s, '<') > 1 AND instr(s, '<') <= 100 THEN substring(s, 1, instr(s, '<') - 1) || '...' ELSE substring(s, 1, 97) || '...' END AS signature
+SELECT doc_id, CASE WHEN strlen(s) <= 100 THEN s WHEN instr(s, '<') > 1 AND strlen(split_part(s, '<', 1)) < 100 THEN split_part(s, '<', 1) || '...'
+    ELSE substring(s, 1, length(regexp_replace(hex(encode(s))[1:194], '([89AB].)|([0-7C-F].)', '\2', 'g')) // 2) || '...' END AS signature
 FROM (SELECT doc_id, regexp_replace(regexp_replace(content, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS s FROM files)
 """)
 def signature_truncate(spark, d):
