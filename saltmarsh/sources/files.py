@@ -12,7 +12,8 @@ def scan(spark: SparkSession, root: str, include: list[str] = (), exclude: list[
     """(path, content, language, content_hash, mtime, size_bytes, line_count) of the files under a folder of any store.
 
     Excluded folders cut what is below them; then excludes, then includes (none: all). ignore: the text of an ignore
-    file. Content is read as UTF-8, wrong bytes replaced.
+    file. Content is read as UTF-8, wrong bytes replaced. Spark's file source leaves out empty
+    files.
     """
     base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath().rstrip("/")
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
@@ -24,7 +25,7 @@ def scan(spark: SparkSession, root: str, include: list[str] = (), exclude: list[
     if not hidden:
         keep = keep & ~F.col("path").rlike(r"(^|/)\.")
     rows = rows.where(keep)
-    text = F.decode(F.col("content"), "UTF-8")
+    text = F.make_valid_utf8(F.col("content").cast("string"))
     return rows.select("path", text.alias("content"), paths.detect_language(F.col("path"), paths.SYNTAX_LANGUAGES).alias("language"), values.content_hash(text).alias("content_hash"), F.unix_timestamp("modificationTime").alias("mtime"), F.col("length").alias("size_bytes"), F.size(F.split(text, "\n")).alias("line_count"))
 
 
