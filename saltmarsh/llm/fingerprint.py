@@ -21,12 +21,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import range_of
+
 PIECE = 160
 LEAF = r"[^\n.!?]{0,%d}[.!?\n]+|[^\n.!?]{1,%d}" % (PIECE, PIECE)
 TOKEN = r"[0-9a-f]{12}-[0-9]+"
 SECTION_END = r"(0[0-9a-f]{11}-[0-9]+),"
-#: Bounds of the ranges that doc_id is dealt out by; each range is cut evenly into as many as the partitions need.
-QUANTILES = 128
 
 
 def fingerprint(text: Column) -> Column:
@@ -60,28 +60,14 @@ def likeness(bag_a: Column, bag_b: Column) -> Column:
     return F.when(both == 0, F.lit(1.0)).otherwise((weight(F.array_intersect(bag_a, bag_b)) * 2).cast("double") / both.cast("double"))
 
 
-def _tree(k: Column, bounds: list[int], sub: int, lo: int = 0) -> Column:
-    """The number of k's range: a decision tree over the bounds, then even cuts inside the range."""
-    if len(bounds) == 2:
-        a, b = bounds
-        within = F.floor((k.cast("double") - a) / max(1, b - a) * sub)
-        return F.lit(lo * sub).cast("long") + F.greatest(F.lit(0), F.least(F.lit(sub - 1), within))
-    mid = len(bounds) // 2
-    return F.when(k < bounds[mid], _tree(k, bounds[: mid + 1], sub, lo)).otherwise(_tree(k, bounds[mid:], sub, lo + mid))
-
-
 def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     """docs (doc_id, text, ..) and next_<column>: the value of the next row, by descending doc_id, then text; the first after the last.
 
     doc_id's ranges are dealt out by one exchange; the first row of a range is sent a second time, to the range that it
     follows, so no row needs a global order.
     """
-    spark = docs.sparkSession
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long"))
-    bounds = sorted({int(x) for x in docs.stat.approxQuantile("doc_id", [k / QUANTILES for k in range(QUANTILES + 1)], 0.5 / QUANTILES)})
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sub = max(1, -(-4 * parts // max(1, len(bounds) - 1)))
-    docs = docs.withColumn("_k", key).withColumn("_b", _tree(F.col("_k"), bounds, sub) if len(bounds) > 1 else F.lit(0).cast("long"))
+    docs = docs.withColumn("_b", F.when(F.col("doc_id").isNull(), F.lit(-1).cast("long")).otherwise(range_of(docs, "doc_id"))).withColumn("_k", key)
     # one row for each range
     tops = docs.groupBy("_b").agg(F.max("_k").alias("_k"))
     order = Window.orderBy("_b")

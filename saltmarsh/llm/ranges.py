@@ -18,7 +18,7 @@ def _tree(k: Column, bounds: list[int], sub: int, lo: int = 0) -> Column:
     return F.when(k < bounds[mid], _tree(k, bounds[: mid + 1], sub, lo)).otherwise(_tree(k, bounds[mid:], sub, lo + mid))
 
 
-def range_of(df: DataFrame, key: str, per_partition: int = 4) -> Column:
+def range_of(df: DataFrame, key: str, per_partition: int = 16) -> Column:
     """The number of the range that a row's key is in, ascending with the key; null keys are in a last range of their own."""
     bounds = sorted({int(x) for x in df.stat.approxQuantile(key, [k / QUANTILES for k in range(QUANTILES + 1)], 0.5 / QUANTILES)})
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
