@@ -3,7 +3,7 @@
 The words of the corpus are counted over all documents (each task forgets what stood only once between white space), the
 LEXICON most frequent are merged once and compiled into the transducer of
 ``lexicon``, which workers memory-map. A word that the transducer lacks is merged by the merge table, exactly. A worker
-remembers the words, and the chunks between white space, that it met last, 2 * MEMO chunks at most.
+remembers the words, and the chunks between white space, that it met, 2 * MEMO and KNOWN of them at most.
 
 The reading of the tokenizer file is that of word_bpe_49k.json: NFC, white space to blanks, lower case by code point;
 words are letters, single numbers, runs of other signs, and seven English endings; bytes are shown as letters; the last
@@ -19,22 +19,26 @@ import json
 import unicodedata
 from collections import Counter
 from functools import lru_cache
-from itertools import filterfalse
 from re import compile as compile_re
 from re import escape
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import lexicon
-from .common import small_batches
+from .common import kept, release, small_batches
 
 TOKENIZER = "word_bpe_49k.json"
 LEXICON = 131_072
-MEMO = 400_000
+MEMO = 150_000
+KNOWN = 500_000
+#: Bytes of texts that are encoded together.
+GROUP = 3_000_000
+_BLANKS = bytes(32 if 9 <= b <= 13 else b for b in range(256))
 #: Longer words aren't counted for the lexicon; they are merged like any other.
 LONGEST = 40
 
@@ -82,6 +86,7 @@ class Words:
         self.special = compile_re("(" + "|".join(map(escape, sorted(specials, key=len, reverse=True))) + ")") if specials else None
         self.fast = compile_re(r"[^\W\d_]+|'(?:s|t|re|ve|m|ll|d)|(?:[^\w\s]|_)+|\d")
         self.odd = compile_re(f"[^{_safe_class()}]")
+        self.wide = compile_re("[\x85\xa0\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
         self.bytes = {x: b for b, x in enumerate(_byte_letters())}
 
     def chunks(self, text: str) -> list[str] | None:
@@ -92,6 +97,14 @@ class Words:
             text = unicodedata.normalize("NFC", text)
         return text.replace("Σ", "σ").lower().split()
 
+    def normal(self, text: str) -> bytes | None:
+        """The normalised text in UTF-8, all white space blanks; None where only the library's tables can tell."""
+        if self.odd.search(text):
+            return None
+        if not text.isascii():
+            text = self.wide.sub(" ", unicodedata.normalize("NFC", text).replace("Σ", "σ"))
+        return text.lower().encode().translate(_BLANKS)
+
     def by_library(self, text: str) -> list[str]:
         """Texts with signs of which Unicode's versions speak differently: the library's own tables normalise and split."""
         if self.library is None:
@@ -172,6 +185,35 @@ class _Memo(dict):
         return out
 
 
+class _Known:
+    """Chunks whose ids are known, as arrays: a string takes a few tens of bytes here, in a dict some hundreds.
+
+    When there are over KNOWN, those of the group at hand stay.
+    """
+
+    def __init__(self):
+        self.chunks = pa.array([], pa.string())
+        self.size, self.flat = np.empty(0, np.int64), np.empty(0, np.uint32)
+
+    def look_up(self, chunks: pa.StringArray, make) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(size, start, ids) of each chunk; make gives what isn't known."""
+        at = pc.index_in(chunks, value_set=self.chunks)
+        new = chunks.filter(at.is_null())
+        at = at.fill_null(-1).to_numpy().astype(np.int64)
+        cells = make(new.to_pylist())
+        at[at < 0] = len(self.chunks) + np.arange(len(cells))
+        sizes = np.concatenate([self.size, np.fromiter(map(len, cells), np.int64, len(cells)) // 4])
+        flat = np.concatenate([self.flat, np.frombuffer(b"".join(cells), "<u4")])
+        starts = np.cumsum(sizes) - sizes
+        size, start = sizes[at], starts[at]
+        if len(sizes) <= KNOWN:
+            self.chunks, self.size, self.flat = pa.concat_arrays([self.chunks, new]), sizes, flat
+        else:
+            self.chunks, self.size = chunks, size
+            self.flat = flat[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+        return size, start, flat
+
+
 def library_merge(bpe: Bpe, path: str):
     """word -> ids by the library's own merges, for writers that want its tokenizer and no lexicon."""
     from tokenizers import Tokenizer
@@ -191,9 +233,11 @@ class Codec:
     def __init__(self, path: str, packed: bytes | None = None, library: bool = False):
         self.bpe = Bpe(path)
         self.lex = lexicon.mapped(packed) if packed else None
-        self.words = _Memo(library_merge(self.bpe, path) if library else self.bpe.merge_bytes, MEMO // 4)
-        find, words = self.bpe.words.fast.findall, self.words.__getitem__
-        self.chunks = _Memo(lambda c: b"".join(map(words, find(c))), MEMO)
+        self.words = _Memo(library_merge(self.bpe, path) if library else self.bpe.merge_bytes)
+        self.known = _Known()
+
+    def _chunk(self, chunk: str) -> bytes:
+        return b"".join(map(self.words.__getitem__, self.bpe.words.fast.findall(chunk)))
 
     def _look_up(self, new: set[str]) -> None:
         """All words of a batch that aren't known yet step through the transducer together; those it lacks are merged when met."""
@@ -203,28 +247,63 @@ class Codec:
             if k >= 0:
                 self.words[w] = self.lex.sequence(k).tobytes()
 
-    def encode_batch(self, texts: list[str | None]) -> list[bytes]:
-        split = [list(self.bpe.words.parts(t)) if t else [] for t in texts]
+    def _new_chunks(self, chunks: list[str]) -> list[bytes]:
         if self.lex is not None:
-            new: set[str] = set()
-            for parts in split:
-                for p in parts:
-                    if not isinstance(p, int):
-                        new.update(filterfalse((self.words if p[1] else self.chunks).__contains__, p[0]))
             find = self.bpe.words.fast.findall
-            self._look_up({w for c in new if c not in self.chunks.old for w in find(c)})
-        words, chunks = self.words.__getitem__, self.chunks.__getitem__
-        return [b"".join(p.to_bytes(4, "little") if isinstance(p, int) else b"".join(map(words if p[1] else chunks, p[0])) for p in parts) for parts in split]
+            self._look_up({w for c in chunks for w in find(c)})
+        return list(map(self._chunk, chunks))
+
+    def encode_batch(self, texts: list[str | None]) -> list[bytes]:
+        out, group, size = [b""] * len(texts), [], 0
+        for row, t in enumerate(texts):
+            if not t:
+                continue
+            data = None if "<|" in t else self.bpe.words.normal(t)
+            if data is None:
+                out[row] = self._by_parts(t)
+                continue
+            if size + len(data) > GROUP and group:
+                self._encode_group(group, out)
+                group, size = [], 0
+            group.append((row, data))
+            size += len(data)
+        if group:
+            self._encode_group(group, out)
+        return out
+
+    def _by_parts(self, text: str) -> bytes:
+        """A text with special tokens, or with signs that the library has to split."""
+        parts = list(self.bpe.words.parts(text))
+        words, chunks = self.words.__getitem__, self._chunk
+        return b"".join(p.to_bytes(4, "little") if isinstance(p, int) else b"".join(map(words if p[1] else chunks, p[0])) for p in parts)
+
+    def _encode_group(self, group: list[tuple[int, bytes]], out: list[bytes]) -> None:
+        """Chunks are numbered by Arrow's dictionary, so that each distinct one is looked up once; ids are then gathered."""
+        data = b" ".join(d for _, d in group) + b" "
+        ends = np.flatnonzero(np.frombuffer(data, np.uint8) == 32) + 1
+        offsets = np.concatenate([[0], ends]).astype(np.int32)
+        coded = pa.StringArray.from_buffers(len(ends), pa.py_buffer(offsets), pa.py_buffer(data)).dictionary_encode()
+        which = coded.indices.to_numpy()
+        size, start, flat = self.known.look_up(coded.dictionary, self._new_chunks)
+        n = size[which]
+        total = np.concatenate([[0], np.cumsum(n)])
+        ids = flat[np.repeat(start[which] - total[:-1], n) + np.arange(total[-1])]
+        cuts = total[np.searchsorted(ends, np.cumsum([len(d) + 1 for _, d in group]), "right")].tolist()
+        raw, at = ids.tobytes(), 0
+        for (row, _), cut in zip(group, cuts, strict=True):
+            out[row] = raw[4 * at : 4 * cut]
+            at = cut
 
     def decode(self, ids: bytes) -> str:
         return " ".join(map(self.bpe.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-_CODECS: dict[tuple, Codec] = {}
+_CODECS: dict[tuple, Codec] = kept({})
 
 
 def codec(path: str, packed: bytes | None = None, library: bool = False) -> Codec:
     """One codec per worker process, tokenizer and lexicon."""
+    release(but=_CODECS)
     key = (path, hashlib.sha256(packed).digest() if packed else b"", library)
     if key not in _CODECS:
         _CODECS.clear()
@@ -234,7 +313,7 @@ def codec(path: str, packed: bytes | None = None, library: bool = False) -> Code
 
 def count_words(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     """(word, n) of all texts; a task leaves out the chunks between white space that it saw once."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 1000)
 
     def run(batches):
         words, seen, total = codec(path).bpe.words, Counter(), Counter()
@@ -251,7 +330,7 @@ def count_words(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame
                 for p in words.parts(t) if t else ():
                     if not isinstance(p, int):
                         (total if p[1] else seen).update(p[0])
-            if len(seen) > 2 * MEMO:
+            if len(seen) > 4 * MEMO:
                 spill()
         spill()
         rows = [(w, n) for w, n in total.items() if len(w) <= LONGEST]
@@ -271,7 +350,7 @@ def train_lexicon(docs: DataFrame, path: str | None = None, size: int = LEXICON,
 
 def encode(docs: DataFrame, packed: bytes, path: str | None = None, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep's columns, and ids (little-endian 32-bit), n_tokens, decoded: the real outputs of the operator."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 1000)
     path, shared = path or default_tokenizer(), docs.sparkSession.sparkContext.broadcast(packed)
 
     def run(batches):
@@ -304,7 +383,7 @@ def decode(rows: DataFrame, path: str | None = None) -> DataFrame:
 def digests(docs: DataFrame) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every document: encoded, then decoded from the ids."""
     packed, path = train_lexicon(docs), default_tokenizer()
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 1000)
     shared = docs.sparkSession.sparkContext.broadcast(packed)
 
     def run(batches):

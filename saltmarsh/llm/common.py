@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +53,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: What workers keep between tasks; Spark hands a worker from one operator to the next.
+_KEPT: list[dict] = []
+
+
+def kept(cache: dict) -> dict:
+    """Registers a module's cache, so that other operators' tasks can let go of it."""
+    _KEPT.append(cache)
+    return cache
+
+
+def release(but: dict | None = None) -> None:
+    """Called where a task starts: empties what other operators have left in this worker's memory."""
+    held = [c for c in _KEPT if c and c is not but]
+    for cache in held:
+        cache.clear()
+    if held:  # and what allocators keep of it, back to the system
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser on uint64: every input bit reaches every output bit."""
     x = x ^ (x >> np.uint64(32))

@@ -27,13 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import scratch, small_batches
+from .common import release, scratch, small_batches
 from .ranges import range_of, running_totals
 
 MAGIC = b"SMRANS1\0"
 SCALE = 20
-BLOCK = 1 << 17
-LANES = 1024
+BLOCK = 1 << 18
+LANES = 2048
 SHARD = 1 << 19
 LOW = np.uint64(1 << 31)
 END_ID = 2
@@ -146,7 +146,7 @@ CHUNKS = "part long, step int, doc_ids array<long>, lengths binary, ids binary,
 
 def _chunks(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """Consecutive documents' ids in chunks of about SHARD ids; a task's last chunk of a range has the counts of the range's ids."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 1000)
     rows = docs.select(range_of(docs, "doc_id").alias("part"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = rows.repartition("part").sortWithinPartitions("part", "doc_id", "text")
     end = end_id.to_bytes(4, "little")
@@ -215,6 +215,7 @@ def write(docs: DataFrame, out: str, path: str | None = None, end_id: int = END_
     shared = spark.sparkContext.broadcast(table)
 
     def run(batches):
+        release()
         for b in batches:
             shards, sizes = [], []
             for lengths, ids in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
@@ -245,6 +246,7 @@ def _read(spark, out: str, keep_ids: bool) -> DataFrame:
     last = "ids" if keep_ids else "ids_crc32"
 
     def run(batches):
+        release()
         table = held.get(0) or held.setdefault(0, Table(shared.value))
         for b in batches:
             for part, step, docs, data in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
