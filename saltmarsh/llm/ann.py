@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches
+from .common import materialize, release, small_batches
 
 K = 10
 SAMPLE = 20_000
@@ -34,6 +34,8 @@ TARGET = 0.96
 TUNE = 256
 BLOCK = 4096
 STEP = 8
+#: Vectors whose distances to all centroids are held at once.
+CHUNK = 1024
 EPSILON = 2.1
 QUERY_EVERY = 100
 SEED = 11
@@ -53,28 +55,38 @@ def rotation(dim: int, seed: int = SEED) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
+def nearest_centroid(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, squared distance) of each vector's nearest centroid, CHUNK vectors at a time."""
+    place, far = np.empty(len(x), np.int64), np.empty(len(x))
+    for k in range(0, len(x), CHUNK):
+        part = x[k : k + CHUNK]
+        d = (part**2).sum(1)[:, None] - 2 * part @ c.T + (c**2).sum(1)
+        place[k : k + CHUNK] = d.argmin(1)
+        far[k : k + CHUNK] = d[np.arange(len(d)), place[k : k + CHUNK]]
+    return place, far
+
+
 def centroids(sample: np.ndarray, lists: int, seed: int = SEED, rounds: int = 8) -> np.ndarray:
     """k-means by Lloyd's rounds; a list that runs empty takes the vector farthest from its centroid."""
     sample = np.unique(sample, axis=0)
     rng = np.random.default_rng(seed)
     c = sample[rng.permutation(len(sample))[: min(lists, len(sample))]]
     for _ in range(rounds):
-        d = (sample**2).sum(1)[:, None] - 2 * sample @ c.T + (c**2).sum(1)
-        near = d.argmin(1)
+        near, far = nearest_centroid(sample, c)
         n = np.bincount(near, minlength=len(c))
         total = np.zeros_like(c)
         np.add.at(total, near, sample)
         c = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], c)
         empty = np.flatnonzero(n == 0)
         if len(empty):
-            c[empty] = sample[np.argsort(-d[np.arange(len(d)), near])[: len(empty)]]
+            c[empty] = sample[np.argsort(-far, kind="stable")[: len(empty)]]
     return c
 
 
 def tuned_probes(sample: np.ndarray, c: np.ndarray, k: int, target: float = TARGET) -> int:
     """The fewest lists that hold target of the k nearest of TUNE of the sample's vectors, within the sample."""
     q = sample[:: max(1, len(sample) // TUNE)][:TUNE]
-    near = ((c**2).sum(1) - 2 * sample @ c.T).argmin(1)
+    near = nearest_centroid(sample, c)[0]
     rank = np.empty((len(q), len(c)), np.int64)
     np.put_along_axis(rank, np.argsort((c**2).sum(1) - 2 * q @ c.T, axis=1, kind="stable"), np.arange(len(c))[None], 1)
     d = (sample**2).sum(1) - 2 * q @ sample.T
@@ -121,7 +133,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, probes: int | None = None, lists: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest of vectors (id, v) to each of queries (id, v), nearest first."""
     spark = vectors.sparkSession
-    small_batches(spark, 4096)
+    small_batches(spark, CHUNK)
     vectors = materialize(vectors, "vectors")
     total = vectors.count()
     # a sample of bounded size, by hash, so that reruns agree
@@ -141,9 +153,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, probes: int | No
         return (c**2).sum(1) - 2 * x @ c.T
 
     def assign(batches):
+        release()
         for b in batches:
             if len(b):
-                near = distances(_matrix(b.column(1))).argmin(1)
+                near = nearest_centroid(_matrix(b.column(1)), shared.value[0])[0]
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(near.astype(np.int32))], ["id", "v", "list"])
 
     placed = materialize(vectors.mapInArrow(assign, "id long, v array<double>, list int"), "lists")
@@ -153,6 +166,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, probes: int | No
     shape = spark.sparkContext.broadcast((filled, blocks))
 
     def probe(batches):
+        release()
         filled, blocks = shape.value
         for b in batches:
             if not len(b):

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches
+from .common import materialize, release, small_batches
 
 BUDGET = 256
 HISTORY = 2
@@ -135,6 +135,7 @@ def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTOR
     rows = rows.repartition("conv_id").sortWithinPartitions(F.col("conv_id"), F.col("turn").asc_nulls_last(), "role", "text")
 
     def run(batches):
+        release()
         now = None
         for b in batches:
             out = []
@@ -159,6 +160,7 @@ def read_back(windows: DataFrame) -> DataFrame:
     rows = windows.repartition("conv_id").sortWithinPartitions("conv_id", "window")
 
     def run(batches):
+        release()
         now, state = False, None
         names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import release, small_batches
 
 ORDERS = 3
 BITS = 14
@@ -78,6 +78,7 @@ def _grams(group) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]
 
 
 def _count(batches):
+    release()
     total: dict[str, np.ndarray] = {}
     size = (ORDERS << BITS) + 1
     for b in batches:
@@ -148,6 +149,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     at, shared = kept.index(text_col), docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        release()
         for b in batches:
             pred, score = shared.value.score(b.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*kept, "lang_pred", "score"])

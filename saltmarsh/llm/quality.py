@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import release, small_batches
 
 LABELLED = 4000
 POOL = 4000
@@ -164,6 +164,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality") -> Mod
     rows = docs.select("doc_id", "text", "source", "lang", "n_chars").join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text", "source", "lang", "n_chars")
 
     def run(batches):
+        release()
         for b in batches:
             c = [b.column(k).to_pylist() for k in range(2, 6)]
             x, m = text_features(c[0]), meta_features(*c[1:])
@@ -183,6 +184,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        release()
         for b in batches:
             c = [b.column(k).to_pylist() for k in range(1, 5)]
             t, m, s = shared.value.score(text_features(c[0]), meta_features(*c[1:]))

@@ -13,7 +13,7 @@ import numpy as np
 
 from .common import mix64
 
-PIECE = 1 << 20
+PIECE = 1 << 18
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _FIND = re.compile(rb"[\x20\x09-\x0D]")
