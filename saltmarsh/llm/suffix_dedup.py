@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, small_batches
+from .common import materialize, mix64, release, small_batches
 
 LENGTH = 400
 KEY = 200
@@ -268,6 +268,7 @@ def _anchor_rows(docs: DataFrame, length: int, key: int) -> DataFrame:
     small_batches(docs.sparkSession, 200)
 
     def run(batches):
+        release()
         for b in batches:
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 data = text.encode("utf-8", "surrogatepass")
@@ -276,6 +277,7 @@ def _anchor_rows(docs: DataFrame, length: int, key: int) -> DataFrame:
                     yield doc_id, len(data), at, k, c
 
     def packed(batches):
+        release()
         held, size = [], 0
         for row in run(batches):
             held.append(row)
@@ -305,6 +307,7 @@ def _read_contexts(docs: DataFrame, wanted: DataFrame, length: int, key: int) ->
     rows = rows.join(per_doc, "doc_id").select("text", "list")
 
     def run(batches):
+        release()
         for b in batches:
             out = []
             for text, places in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -352,6 +355,7 @@ def _sorted_spans(contexts: DataFrame, length: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))], ["key", "context", "spans"])
 
     def run(batches):
+        release()
         held: list[list] = [[], [], [], []]
 
         def flush(n):
@@ -393,6 +397,7 @@ def _counted_spans(contexts: DataFrame, length: int) -> DataFrame:
     """The same for keys with too many contexts to gather: each string's hash is counted, with partial sums in the tasks."""
 
     def strings(batches):
+        release()
         for b in batches:
             for key, context, pre, post in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 data = pre[::-1] + post
@@ -452,6 +457,7 @@ def removed(docs: DataFrame, length: int = LENGTH, columns: tuple[str, ...] = ()
     names = rows.columns[:-2]
 
     def run(batches):
+        release()
         for b in batches:
             kept = []
             for text, s in zip(b.column(len(names)).to_pylist(), b.column(len(names) + 1).to_pylist(), strict=True):
@@ -477,3 +483,17 @@ def brute_force(texts: dict[int, bytes], length: int) -> dict[int, tuple[bytes,
 
     n = Counter(t[k : k + length] for t in texts.values() for k in range(len(t) - length + 1))
     return {d: cut(t, [(k, k + length) for k in range(len(t) - length + 1) if n[t[k : k + length]] > 1]) for d, t in texts.items()}
+
+
+#: Every string's hash, counted.
+ORACLE = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n FROM documents),
+pieces AS (SELECT doc_id, n, q, x[2 * q + 1:2 * q + 1598] AS piece FROM (SELECT doc_id, n, x, unnest(range(0, n - 399, 400)) AS q FROM d WHERE n >= 400)),
+h AS (SELECT doc_id, q + i AS p, hash(piece[2 * i + 1:2 * i + 800]) AS h FROM (SELECT doc_id, q, piece, unnest(range(0, least(400, n - 399 - q))) AS i FROM pieces)),
+f AS (SELECT doc_id, p FROM h WHERE h IN (SELECT h FROM h GROUP BY h HAVING count(*) > 1)),
+g AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM (SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 400 THEN 0 ELSE 1 END AS new FROM f)),
+r AS (SELECT doc_id, min(p) AS a, max(p) + 400 AS b FROM g GROUP BY doc_id, k),
+s AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS e FROM r),
+t AS (SELECT s.doc_id, CAST(sum(b - a) AS BIGINT) AS removed, count(*) AS spans, string_agg(x[2 * e + 1:2 * a], '' ORDER BY a) AS kept, max(b) AS last FROM s JOIN d USING (doc_id) GROUP BY s.doc_id)
+SELECT d.doc_id, n AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(kept, '') || x[2 * coalesce(last, 0) + 1:])) AS kept_sha256 FROM d LEFT JOIN t USING (doc_id)
+"""
