@@ -27,16 +27,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, materialize, mix64, small_batches
+from .common import components, materialize, mix64, release, small_batches
 from .shingles import shingle_sets
 
 GROWTH = 1.4
 #: The fewest and the most groups that are counted.
 VECTOR = 32
-MOST_GROUPS = 1 << 16
+MOST_GROUPS = 2048
+#: Counts that are unpacked at once.
+CELLS = 4_000_000
 LEAF = 48
-CLUSTER = 2_000_000
-FLUSH = 1 << 20
+CLUSTER = 500_000
+FLUSH = 1 << 18
 #: Buckets of signatures for each shuffle partition.
 SPREAD = 8
 
@@ -84,8 +86,12 @@ def signatures(h: np.ndarray, num: int, den: int) -> np.ndarray:
 
 
 def groups_for(n: int) -> int:
-    """As many counts as keep two to four members in a group; a power of two, so that halves fold together."""
-    return min(MOST_GROUPS, max(VECTOR, 1 << max(0, (int(n) - 1) // 4).bit_length()))
+    """Two to four members in a group up to 256 groups, sixteen beyond; a power of two, so that halves fold together.
+
+    A row for each signature carries the counts, so their number must not follow the largest sets.
+    """
+    fine, coarse = (1 << max(0, (int(n) - 1) // k).bit_length() for k in (4, 16))
+    return min(MOST_GROUPS, max(VECTOR, min(256, fine), coarse))
 
 
 def count_vector(h: np.ndarray, groups: int) -> np.ndarray:
@@ -115,6 +121,7 @@ def sets_of(docs: DataFrame, k: int) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def run(batches):
+        release()
         for b in batches:
             sets = shingle_sets(b.column(1).to_pylist(), k)
             n = [len(x) for x in sets]
@@ -126,12 +133,13 @@ def sets_of(docs: DataFrame, k: int) -> DataFrame:
 
 
 def meetings(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(sig, h): sets that share a signature with another set."""
+    """(sig, h, other): sets that share a signature with another set; where they are two, one row without sig has both."""
     spark = docs.sparkSession
     small_batches(spark)
     buckets = SPREAD * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def pack(batches):
+        release()
         def flush(sigs, names):
             s, h = np.concatenate(sigs), np.concatenate(names)
             at = (s >> np.uint64(16)).astype(np.int64) % buckets
@@ -157,12 +165,13 @@ def meetings(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 if size > FLUSH:
                     yield flush(sigs, names)
                     sigs, names, size = [], [], 0
-                    if len(seen) > FLUSH:
+                    if len(seen) > 4 * FLUSH:
                         seen.clear()
         if size:
             yield flush(sigs, names)
 
     def meet(batches):
+        release()
         def runs(cells):
             half = [np.frombuffer(c, np.uint64).reshape(2, -1) for c in cells]
             s, h = np.concatenate([x[0] for x in half]), np.concatenate([x[1] for x in half])
@@ -172,15 +181,26 @@ def meetings(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
             s, h = s[new], h[new]
             same = s[1:] == s[:-1]
             both = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-            s, h = s[both], h[both]
-            for a in range(0, len(s), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(s[a : a + 50_000].view(np.int64)), pa.array(h[a : a + 50_000].view(np.int64))], ["sig", "h"])
+            s, h = s[both].view(np.int64), h[both].view(np.int64)
+            if not len(s):
+                return
+            starts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+            size = np.diff(np.append(starts, len(s)))
+            two, many = starts[size == 2], np.repeat(size > 2, size)
+            pairs = np.unique(np.stack([h[two], h[two + 1]], 1), axis=0) if len(two) else np.empty((0, 2), np.int64)
+            s, h = s[many], h[many]
+            for a in range(0, max(len(s), len(pairs)), 50_000):
+                e = a + 50_000
+                cols = [pa.array(s[a:e]), pa.array(h[a:e]), pa.nulls(len(s[a:e]), pa.int64())], [pa.nulls(len(pairs[a:e]), pa.int64()), pa.array(pairs[a:e, 0]), pa.array(pairs[a:e, 1])]
+                for c in cols:
+                    if len(c[0]):
+                        yield pa.RecordBatch.from_arrays(c, ["sig", "h", "other"])
 
         for _, cells in grouped(batches, 1):
             yield from runs(cells[0])
 
     packed = docs.select("text").where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).mapInArrow(pack, "bucket int, cells binary")
-    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "sig long, h long")
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "sig long, h long, other long")
 
 
 def grouped(batches, keys: int):
@@ -318,6 +338,7 @@ def bounded_edges(rows: DataFrame, num: int, den: int) -> DataFrame:
         return h[own], h[label[own]]
 
     def run(batches):
+        release()
         def flush(held):
             if not held:
                 return
@@ -328,8 +349,10 @@ def bounded_edges(rows: DataFrame, num: int, den: int) -> DataFrame:
             least = np.minimum.reduceat(np.fromiter(map(len, packed), np.int64, len(packed)), starts)
             out = [(h[:0], h[:0])]
             for groups in np.unique(least):
-                few = np.flatnonzero(np.repeat((sizes <= LEAF) & (least == groups), sizes))
-                if len(few):
+                mine = np.flatnonzero((sizes <= LEAF) & (least == groups))
+                part = (np.cumsum(sizes[mine]) * groups) // CELLS
+                for p in np.unique(part):
+                    few = np.concatenate([np.arange(starts[k], starts[k] + sizes[k]) for k in mine[part == p]])
                     out.append(small(s[few], h[few], n[few], folded([packed[k] for k in few], int(groups))))
             for a, m, groups in zip(starts, sizes, least, strict=True):
                 if m > LEAF:
@@ -361,12 +384,36 @@ def bounded_edges(rows: DataFrame, num: int, den: int) -> DataFrame:
     return rows.select("sig", "h", "n", "vector").mapInArrow(run, "src long, dst long").distinct()
 
 
+def bounded_pairs(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """(src, dst) of the pairs whose bound passes."""
+    small_batches(pairs.sparkSession, 4000)
+    end = lambda c: nodes.select(F.col("h").alias(c), F.col("n").alias(f"n_{c}"), F.col("vector").alias(f"v_{c}"))
+    rows = pairs.distinct().join(end("src"), "src").join(end("dst"), "dst").select("src", "dst", "n_src", "n_dst", "v_src", "v_dst")
+
+    def run(batches):
+        release()
+        for b in batches:
+            x, y = b.column(4).to_pylist(), b.column(5).to_pylist()
+            least = np.fromiter((min(len(p), len(q)) for p, q in zip(x, y, strict=True)), np.int64, len(x))
+            need = needed(b.column(2).to_numpy(), b.column(3).to_numpy(), num, den)
+            ok = np.zeros(len(x), bool)
+            for groups in np.unique(least):
+                at = np.flatnonzero(least == groups)
+                for k in range(0, len(at), max(1, CELLS // int(groups))):
+                    part = at[k : k + max(1, CELLS // int(groups))]
+                    ok[part] = np.minimum(folded([x[i] for i in part], int(groups)), folded([y[i] for i in part], int(groups))).sum(1) >= need[part]
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), b.column(1).filter(pa.array(ok))], ["src", "dst"])
+
+    return rows.mapInArrow(run, "src long, dst long")
+
+
 def _compare(rows: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """(src, dst): verified links, a spanning forest, inside each (cluster, block) of rows (cluster, block, h, label, text)."""
     small_batches(rows.sparkSession)
     rows = rows.select("cluster", "block", "h", "label", "text").repartition("cluster", "block").sortWithinPartitions("cluster", "block", "h")
 
     def run(batches):
+        release()
         out: list[tuple[int, int]] = []
         for _, (h, label, text) in grouped(batches, 2):
             if len(h) < 2:
@@ -394,8 +441,10 @@ def join_components(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     # a row for each distinct set; equal sets are added up inside the tasks first
     nodes = base.where("h IS NOT NULL AND doc_id IS NOT NULL").groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("vector").alias("vector"))
     nodes = materialize(nodes, "nodes")
-    met = meetings(docs, k, num, den).join(nodes.select("h", "n", "vector"), "h")
-    clusters = components(bounded_edges(met, num, den)).select(F.col("node").alias("h"), F.col("component").alias("cluster"))
+    met = materialize(meetings(docs, k, num, den), "met")
+    groups = met.where("sig IS NOT NULL").select("sig", "h").join(nodes.select("h", "n", "vector"), "h")
+    edges = bounded_edges(groups, num, den).unionByName(bounded_pairs(met.where("sig IS NULL").select(F.col("h").alias("src"), F.col("other").alias("dst")), nodes, num, den))
+    clusters = components(edges).select(F.col("node").alias("h"), F.col("component").alias("cluster"))
     members = clusters.join(nodes.select("h", "doc_id", "n"), "h")
     totals = members.groupBy("cluster").agg(F.sum("n").alias("total"), F.min("h").alias("common"))
     members = members.join(totals, "cluster").withColumn("blocks", F.ceil(F.col("total") / CLUSTER).cast("int"))
