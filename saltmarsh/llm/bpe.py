@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import lexicon
-from .common import kept, release, small_batches
+from .common import kept, release, small_batches, trim
 
 TOKENIZER = "word_bpe_49k.json"
 LEXICON = 131_072
@@ -330,12 +330,15 @@ def count_words(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame
                 for p in words.parts(t) if t else ():
                     if not isinstance(p, int):
                         (total if p[1] else seen).update(p[0])
-            if len(seen) > 4 * MEMO:
+            if len(seen) > 2 * MEMO:
                 spill()
         spill()
         rows = [(w, n) for w, n in total.items() if len(w) <= LONGEST]
         for k in range(0, len(rows), 20_000):
             yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows[k : k + 20_000]]), pa.array([n for _, n in rows[k : k + 20_000]], pa.int64())], ["word", "n"])
+        del rows
+        total.clear()
+        trim()
 
     return docs.select(F.col(text_col)).where(F.col(text_col).isNotNull()).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -358,6 +361,7 @@ def encode(docs: DataFrame, packed: bytes, path: str | None = None, text_col: st
         for b in batches:
             ids = c.encode_batch(b.column(len(keep)).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())], [*keep, "ids", "n_tokens"])
+        trim()
 
     from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
@@ -393,5 +397,6 @@ def digests(docs: DataFrame) -> DataFrame:
             out = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids])]
             out.append(pa.array([hashlib.sha256(c.decode(x).encode()).hexdigest() for x in ids]))
             yield pa.RecordBatch.from_arrays([b.column(0), *out], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        trim()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

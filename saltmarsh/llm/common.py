@@ -68,11 +68,16 @@ def release(but: dict | None = None) -> None:
     held = [c for c in _KEPT if c and c is not but]
     for cache in held:
         cache.clear()
-    if held:  # and what allocators keep of it, back to the system
+    if held:
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL(None).malloc_trim(0)
+    trim()
+
+
+def trim() -> None:
+    """What allocators keep of freed memory goes back to the system; an executor's workers share its limit."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
