@@ -153,9 +153,9 @@ def referenced_symbols(spark, d):
     return references.referenced_symbols(r, defs, p.where("p_brand <> 'Brand#1'").select(F.lower("p_brand").alias("path")).distinct())
 
 
-@query("SELECT path, line, min({'name': name, 'kind': kind, 'detail': detail}) AS first, list_sort(list(DISTINCT {'sl': sl, 'sc': sc})) AS sites FROM calls GROUP BY path, line")
+@query("SELECT path, line, min({'name': name, 'kind': kind, 'detail': coalesce(detail, '')}) AS first, list_sort(list(DISTINCT {'sl': sl, 'sc': sc})) AS sites FROM calls GROUP BY path, line")
 def call_dedup(spark, d):
-    c = calls(spark, d).withColumn("ord", F.lit(0))
+    c = calls(spark, d).withColumn("detail", F.coalesce("detail", F.lit("")))
     return c.groupBy("path", "line").agg(F.min(F.struct("name", "kind", "detail")).alias("first"), F.sort_array(F.collect_set(F.struct("sl", "sc"))).alias("sites"))
 
 
