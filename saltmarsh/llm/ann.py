@@ -37,6 +37,8 @@ STEP = 8
 #: Vectors whose distances to all centroids are held at once.
 CHUNK = 1024
 EPSILON = 2.1
+#: What rounding may add to a squared distance, as a share of the vectors' squared norms.
+ROUNDING = 1e-12
 QUERY_EVERY = 100
 SEED = 11
 
@@ -98,6 +100,8 @@ def tuned_probes(sample: np.ndarray, c: np.ndarray, k: int, target: float = TARG
 def scan(ids: np.ndarray, vectors: np.ndarray, rotated: np.ndarray, q_ids: np.ndarray, q: np.ndarray, q_rotated: np.ndarray, k: int):
     """The k nearest of a block for each query: (query's place, id, distance); rotated is dimension-major."""
     dim, n = rotated.shape
+    # rounding of partial sums: a copy of the query may have some although its distance is 0
+    slack, q_slack = ROUNDING * (vectors**2).sum(1), ROUNDING * (q**2).sum(1)
     out_q, out_id, out_d = [], [], []
     for j in range(len(q_ids)):
         alive, part, worst = np.flatnonzero(ids != q_ids[j]), None, np.inf
@@ -109,9 +113,10 @@ def scan(ids: np.ndarray, vectors: np.ndarray, rotated: np.ndarray, q_ids: np.nd
         if len(lead) == k:
             worst = ((vectors[lead] - q[j]) ** 2).sum(1).max()
         for d in range(STEP, dim + STEP, STEP):
-            keep = part * (dim / min(d, dim)) <= worst * (1 + EPSILON / np.sqrt(d)) ** 2
+            sure = part - (slack[alive] + q_slack[j])
+            keep = sure * (dim / min(d, dim)) <= worst * (1 + EPSILON / np.sqrt(d)) ** 2
             if d >= dim:  # nothing is left to guess: only rounding may stand between
-                keep = part <= worst * (1 + 1e-9) + 1e-12
+                keep = sure <= worst * (1 + 1e-9)
             alive, part = alive[keep], part[keep]
             if d >= dim or not len(alive):
                 break

@@ -253,6 +253,23 @@ def test_scan_abandons_but_finds():
     assert hit >= 190
 
 
+@pytest.mark.parametrize("scale", [1e-9, 1, 1e6])
+@pytest.mark.parametrize("queries", [1, 7, 41])
+def test_scan_keeps_copies_of_the_query(scale, queries):
+    rng = np.random.default_rng(queries)
+    v = rng.normal(size=(1200, 64)) * scale
+    at = rng.permutation(1200)[:400]
+    v[at] = v[at[0]]
+    ids, q = np.arange(1200), v[at[:queries]]
+    turn = ann.rotation(64)
+    j, near, d = ann.scan(ids, v, np.ascontiguousarray((v @ turn).T), at[:queries], q, q @ turn, 10)
+    for k in range(queries):
+        x = np.sqrt(((v - q[k]) ** 2).sum(1))
+        x[at[k]] = np.inf
+        want = np.lexsort((ids, x))[:10]
+        assert near[j == k].tolist() == want.tolist() and d[j == k].tolist() == x[want].tolist() == [0.0] * 10
+
+
 # 6
 
 
