@@ -18,6 +18,9 @@ with partial sums in the tasks. Judged is the input; texts are whole, and matche
 Defined cases: null and empty texts have no bytes; a text shorter than LENGTH keeps all; a null doc_id is dropped from
 the comparison and keeps all its bytes; repeated rows (equal doc_id) are each other's copies. An empty table gives no
 rows. Hashes have 64 bits twice over (key and context), so a wrong match is not to be expected.
+
+Where words are asked for too, so many words in a row that also start elsewhere are removed however few bytes they have
+(short_spans); those of LENGTH bytes or more are covered by repeated strings anyway, so only shorter ones are counted.
 """
 
 from __future__ import annotations
@@ -38,6 +41,9 @@ GROUP = 60_000
 PIECE = 1 << 20
 #: Contexts sorted together, at least; a batch ends where a key does.
 BATCH = 30_000
+#: White space between words, as in shingles.
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BYTE = np.random.default_rng(99).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _P = 0x9E3779B97F4A7C15
 _POW: list[np.ndarray] = []
@@ -435,6 +441,42 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, key: int = KEY) -> Dat
     return every.groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
+def short_passages(data: bytes, words: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, hash, count): where so many words in a row have fewer than length bytes; equal ones that meet are one span."""
+    inside = np.zeros(len(data) + 2, np.int8)
+    inside[1:-1] = ~_SPACE[np.frombuffer(data, np.uint8)]
+    edge = np.flatnonzero(np.diff(inside))
+    a, b = edge[::2][: max(0, len(edge) // 2 - words + 1)], edge[1::2][words - 1 :]
+    few = b - a < length
+    a, b = a[few], b[few]
+    if not len(a):
+        return a, b, np.empty(0, np.uint64), a
+    h = Hasher(data).of(a, b)
+    order = np.lexsort((a, h))
+    a, b, h = a[order], b[order], h[order]
+    first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (a[1:] > b[:-1])]))
+    last = np.append(first[1:], len(a)) - 1
+    return a[first], b[last], h[first], last - first + 1
+
+
+def short_spans(docs: DataFrame, words: int, length: int) -> DataFrame:
+    """(doc_id, spans): byte spans of each document's passages of so many words in fewer than length bytes that start elsewhere too."""
+    small_batches(docs.sparkSession, 200)
+
+    def run(batches):
+        release()
+        for b in batches:
+            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                a, e, h, n = short_passages(text.encode("utf-8", "surrogatepass"), words, length)
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), doc_id)), pa.array(a.astype(np.int64)), pa.array(e.astype(np.int64)), pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["doc_id", "a", "b", "h", "n"])
+
+    rows = docs.select(F.col("doc_id").cast("long"), "text").where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= 2 * words - 1))
+    found = materialize(rows.mapInArrow(run, "doc_id long, a long, b long, h long, n long"), "short")
+    again = found.groupBy("h").agg(F.sum("n").alias("times")).where("times > 1").select("h")
+    return found.join(again, "h").groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+
+
 def cut(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
     """(what is left, bytes removed, maximal runs removed)."""
     runs = merge(sorted(spans))
@@ -446,12 +488,16 @@ def cut(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
     return b"".join(out), sum(b - a for a, b in runs), len(runs)
 
 
-def removed(docs: DataFrame, length: int = LENGTH, columns: tuple[str, ...] = (), key: int = KEY, as_text: bool = False) -> DataFrame:
+def removed(docs: DataFrame, length: int = LENGTH, columns: tuple[str, ...] = (), key: int = KEY, as_text: bool = False, words: int | None = None) -> DataFrame:
     """(doc_id, *columns, kept binary, n_bytes, n_removed, n_spans) of every row of docs; as_text: kept is a string.
 
+    words: passages of so many words that start elsewhere too are removed also where they have fewer than length bytes.
+
     A cut may go through a character of several bytes; as_text leaves out what remains of it.
     """
     spans = repeated_spans(docs, length, key)
+    if words:
+        spans = spans.unionByName(short_spans(docs, words, length)).groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     small_batches(docs.sparkSession, 200)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[c for c in columns if c not in ("doc_id", "text")], "text").join(spans, "doc_id", "left")
     names = rows.columns[:-2]

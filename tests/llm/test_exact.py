@@ -2,7 +2,9 @@
 
 import hashlib
 import random
+import re
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -356,6 +358,38 @@ def test_suffix_dedup_query(spark, texts):
         assert tuple(got[k]) == (k, len(texts[k].encode()), n, runs, hashlib.sha256(kept).hexdigest())
 
 
+def without_passages(texts):
+    """The texts without strings of PASSAGE bytes and runs of PASSAGE_WORDS words that start elsewhere too, by brute force."""
+    size, n = corpus_pipeline.PASSAGE, corpus_pipeline.PASSAGE_WORDS
+    spans = {}
+    for k, t in texts.items():
+        spots = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", t)]
+        spans[k] = [(a, spots[j + n - 1][1]) for j, (a, _) in enumerate(spots[: max(0, len(spots) - n + 1)])] + [(j, j + size) for j in range(len(t) - size + 1)]
+    count = Counter(hash(texts[k][a:b]) for k, s in spans.items() for a, b in s)
+    return {k: suffix_dedup.cut(t, [(a, b) for a, b in spans[k] if count[hash(t[a:b])] > 1])[0].decode("utf-8", "ignore") for k, t in texts.items()}
+
+
+def test_passages_of_the_sample(spark, texts):
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.repeated_passages(spark, spark.read.parquet(f"{SF}/documents.parquet"), "").collect()}
+    assert got == {k: t for k, t in without_passages({k: t.encode() for k, t in texts.items()}).items() if t}
+
+
+def test_short_words_are_passages_too(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.choice([1, 1, 1, 2, 3, 9])))
+    digits = " ".join(str(k % 10) for k in range(51))
+    short = [" ".join(rng.choice("abcdefghij") for _ in range(n)) for n in (51, 50, 60, 80)] + [digits]
+    out = [" ".join([*(word() for _ in range(30)), rng.choice(short), *(word() for _ in range(30)), "é " * rng.randrange(30)]) for _ in range(40)]
+    out += ["\n\t".join(digits.split()) + " end", digits, "z " * 51, "z " * 53, "yy\n" * 70, "", " ", short[1], None]
+    df = spark.createDataFrame([(k, t, "a") for k, t in enumerate(out)] + [(None, digits, "a")], "doc_id long, text string, source string")
+    texts = {k: (t or "").encode() for k, t in enumerate(out)}
+    want = without_passages(texts)
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.repeated_passages(spark, df, "").collect()}
+    assert got == {k: t for k, t in want.items() if t} | {None: digits}
+    bytes_only = suffix_dedup.brute_force(texts, corpus_pipeline.PASSAGE)
+    assert sum(bytes_only[k][1] == 0 and want[k] != (t or "") for k, t in enumerate(out)) > 10
+
+
 def test_suffix_order():
     rng = random.Random(5)
     for _ in range(100):
