@@ -111,12 +111,12 @@ def flow(patterns: Sequence[tuple[frozenset, int]], quotas: dict, most: int = MA
     return {via[a]: cap[a ^ 1] for a in via if cap[a ^ 1]}
 
 
-def mix(docs: DataFrame, members: Column, weights: Sequence[float] = WEIGHTS, most: int = MAX_REPEATS, seed: int = SEED) -> tuple[DataFrame, list[dict]]:
-    """(doc_id, size, members, taken) of every row of docs, and a report: name, size, target, quota of each source.
+def mix(docs: DataFrame, members: Column, weights: Sequence[float] = WEIGHTS, most: int = MAX_REPEATS, seed: int = SEED, columns: Sequence[str] = ()) -> tuple[DataFrame, list[dict]]:
+    """(doc_id, size, members, *columns, taken) of every row of docs, and a report: name, size, target, quota of each source.
 
     members: an array of the names of the sources a document belongs to (nulls allowed). taken counts repeats.
     """
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words("text").alias("size"), F.array_sort(F.array_distinct(members)).alias("members"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words("text").alias("size"), F.array_sort(F.array_distinct(members)).alias("members"), *columns)
     base = base.withColumn("h", F.xxhash64("doc_id", F.lit(seed))).withColumn("bin", F.shiftrightunsigned("h", 52).cast("int"))
     base = materialize(base, "mix")
     totals = base.groupBy("members").agg(F.sum("size").alias("size")).limit(MAX_NODES + 1).collect()
@@ -144,14 +144,14 @@ def mix(docs: DataFrame, members: Column, weights: Sequence[float] = WEIGHTS, mo
     before = F.coalesce(F.sum("size").over(Window.partitionBy("members").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     edge = rows.where("bin = cut").withColumn("part", F.least("size", F.greatest(F.lit(0), F.col("rest") - F.col("below") - before)))
     sure = rows.where("cut IS NULL OR bin <> cut").withColumn("part", F.when(F.col("bin") < F.col("cut"), F.col("size")).otherwise(0))
-    out = edge.unionByName(sure).select("doc_id", "size", "members", (F.coalesce("whole", F.lit(0)) * F.col("size") + F.coalesce("part", F.lit(0))).cast("long").alias("taken"))
+    out = edge.unionByName(sure).select("doc_id", "size", "members", *columns, (F.coalesce("whole", F.lit(0)) * F.col("size") + F.coalesce("part", F.lit(0))).cast("long").alias("taken"))
     return out, [{"source": x, "size": n, "target": t, "quota": quotas[x]} for x, n, t in zip(names, sizes, wanted, strict=True)]
 
 
-def mix_by_source(docs: DataFrame) -> DataFrame:
-    """(doc_id, size, source_size, target, taken): each document belongs to its source, null being one of its own."""
-    out, report = mix(docs, F.array(F.col("source").cast("string")))
+def mix_by_source(docs: DataFrame, columns: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, size, source_size, target, *columns, taken): each document belongs to its source, null being one of its own."""
+    out, report = mix(docs, F.array(F.col("source").cast("string")), columns=columns)
     spark = docs.sparkSession
     known = spark.createDataFrame([(r["source"], r["size"], r["target"]) for r in report], "source string, source_size long, target double")
     out = out.withColumn("source", F.col("members")[0])
-    return out.join(F.broadcast(known), out["source"].eqNullSafe(known["source"])).select("doc_id", "size", "source_size", "target", "taken")
+    return out.join(F.broadcast(known), out["source"].eqNullSafe(known["source"])).select("doc_id", "size", "source_size", "target", *columns, "taken")

@@ -119,3 +119,13 @@ def test_stages(spark, docs, none, name, stage):
         assert 6 not in ids and 1 in ids
     if name == "mixing":
         assert 2 not in ids and 4 not in ids
+
+
+def test_mixing_keeps_each_row(spark):
+    rows = [(None, "one two three", None, "a", 1), (None, "four five", None, "a", 2), (None, "", None, "a", 3), (5, "six", None, "a", 4), (5, "seven eight nine ten", None, "b", 5)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    taken = mixing.mix_by_source(docs.select("doc_id", "text", "source", "n_chars"), ("n_chars",)).collect()
+    want = sorted(n for r in taken for n in [r["n_chars"]] * -(-r["taken"] // max(1, r["size"])))
+    got = corpus_pipeline.mix(spark, docs, "").collect()
+    assert sorted(r["n_chars"] for r in got) == want and {1, 2} <= set(want) and 3 not in want
+    assert {(r["doc_id"], r["text"], r["n_chars"]) for r in got} <= {(r[0], r[1], r[4]) for r in rows}
