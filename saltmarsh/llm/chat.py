@@ -204,10 +204,20 @@ def digests(conversations: DataFrame) -> DataFrame:
 
 
 ORACLE = r"""
-WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-    UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')
-SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS LAST, role, text)) AS turns_sha256,
+WITH RECURSIVE t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+o AS (SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text) AS i, 4 + len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS tk,
+    14 + length(role) + length(regexp_replace(role, '[^\\#<:\n]', '', 'g')) + length(text) + length(regexp_replace(text, '[^\\#<]', '', 'g')) AS chars FROM t),
+w AS (SELECT conv_id, i, tk AS sum, i AS start FROM o WHERE i = 1
+    UNION ALL SELECT o.conv_id, o.i, CASE WHEN sum + tk > 256 THEN tk ELSE sum + tk END, CASE WHEN sum + tk > 256 THEN o.i ELSE start END FROM w JOIN o ON o.conv_id IS NOT DISTINCT FROM w.conv_id AND o.i = w.i + 1),
+new AS (SELECT w.conv_id, start, sum(chars) AS chars, 256 - sum(tk) AS room FROM w JOIN o ON o.conv_id IS NOT DISTINCT FROM w.conv_id AND o.i = w.i GROUP BY w.conv_id, start),
+lead AS (SELECT new.conv_id, start, new.chars + CASE WHEN s.tk <= room THEN s.chars ELSE 0 END AS chars, room - CASE WHEN s.tk <= room THEN s.tk ELSE 0 END AS room
+    FROM new LEFT JOIN o s ON s.conv_id IS NOT DISTINCT FROM new.conv_id AND s.i = 1 AND s.role = 'system' AND start > 1),
+past AS (SELECT lead.*, coalesce(a.tk <= room AND NOT (a.i = 1 AND a.role = 'system'), false) AS one, coalesce(a.tk + b.tk <= room AND NOT (b.i = 1 AND b.role = 'system'), false) AS two, a.chars AS a, b.chars AS b
+    FROM lead LEFT JOIN o a ON a.conv_id IS NOT DISTINCT FROM lead.conv_id AND a.i = start - 1 LEFT JOIN o b ON b.conv_id IS NOT DISTINCT FROM lead.conv_id AND b.i = start - 2),
+f AS (SELECT conv_id, CAST(sum(chars + CASE WHEN one THEN a ELSE 0 END + CASE WHEN one AND two THEN b ELSE 0 END) AS BIGINT) AS formatted_chars FROM past GROUP BY conv_id),
+d AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS LAST, role, text)) AS turns_sha256,
     CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
-    sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS LAST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256
-FROM t GROUP BY conv_id
+    sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS LAST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256 FROM t GROUP BY conv_id)
+SELECT d.*, formatted_chars FROM d JOIN f ON d.conv_id IS NOT DISTINCT FROM f.conv_id
 """
