@@ -7,7 +7,7 @@ hypothesis test of its being nearer. A block of a list is held by columns (dimen
 added up for the candidates still alive, and survivors are measured exactly, in double precision on the original
 vectors. Lists are those of k-means centroids, fitted on a bounded sample; every vector is in one list, lists are cut
 into blocks of BLOCK vectors (so copies of one vector, however many, are many blocks), and every query is sent to the
-blocks of its nearest lists: as many as hold TARGET of the true neighbours of TUNE queries within the sample (their
+blocks of its nearest lists (a list's queries are cut into blocks too): as many as hold TARGET of the true neighbours of TUNE queries within the sample (their
 neighbours are farther apart than in the whole table, so this errs on the safe side), more if these have fewer than k
 other vectors. Where vectors are clustered a few lists are enough; where they aren't, most lists have to be scanned.
 
@@ -33,6 +33,8 @@ MAX_LISTS = 4096
 TARGET = 0.96
 TUNE = 256
 BLOCK = 4096
+#: Queries of a list that meet one of its blocks together.
+QUERIES = 4096
 STEP = 8
 #: Vectors whose distances to all centroids are held at once.
 CHUNK = 1024
@@ -165,35 +167,32 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, probes: int | No
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(near.astype(np.int32))], ["id", "v", "list"])
 
     placed = materialize(vectors.mapInArrow(assign, "id long, v array<double>, list int"), "lists")
-    sizes = {r["list"]: r["n"] for r in placed.groupBy("list").agg(F.count("*").alias("n")).collect()}  # MAX_LISTS rows at most
+    counted = lambda df: {r["list"]: r["n"] for r in df.groupBy("list").agg(F.count("*").alias("n")).collect()}  # noqa: E731  MAX_LISTS rows at most
+    sizes = counted(placed)
     filled = np.array([sizes.get(x, 0) for x in range(len(c))])
-    blocks = np.maximum(1, -(-filled // BLOCK))
-    shape = spark.sparkContext.broadcast((filled, blocks))
+    shape = spark.sparkContext.broadcast(filled)
 
     def probe(batches):
         release()
-        filled, blocks = shape.value
+        filled = shape.value
         for b in batches:
             if not len(b):
                 continue
-            x = _matrix(b.column(1))
-            order = np.argsort(distances(x), axis=1, kind="stable")
-            rows, at_list, at_block = [], [], []
-            for j in range(len(x)):
-                got = np.cumsum(filled[order[j]])
-                # enough lists to hold k vectors besides the query's own copies of its id
-                n = max(probes, int(np.searchsorted(got, k + 1)) + 1)
-                for x_list in order[j][:n]:
-                    if filled[x_list]:
-                        rows += [j] * int(blocks[x_list])
-                        at_list += [x_list] * int(blocks[x_list])
-                        at_block += range(int(blocks[x_list]))
-            take = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(at_list, pa.int32()), pa.array(at_block, pa.int32())], ["id", "v", "list", "block"])
-
-    asked = queries.mapInArrow(probe, "id long, v array<double>, list int, block int")
-    n_blocks = F.element_at(F.create_map(*[F.lit(int(y)) for x, n in enumerate(blocks) if n > 1 for y in (x, n)]), F.col("list")) if (blocks > 1).any() else F.lit(1)
-    held = placed.withColumn("block", F.pmod(F.xxhash64("id", "v", F.lit(3)), F.coalesce(n_blocks, F.lit(1))).cast("int"))
+            order = np.argsort(distances(_matrix(b.column(1))), axis=1, kind="stable")
+            # enough lists to hold k vectors besides the query's own copies of its id
+            most = np.maximum(probes, (np.cumsum(filled[order], axis=1) < k + 1).sum(1) + 1)
+            near = (np.arange(order.shape[1]) < most[:, None]) & (filled[order] > 0)
+            for at in range(0, len(order), 64):  # a query is written once for each list
+                rows, place = np.nonzero(near[at : at + 64])
+                take = pa.array(rows + at)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(order[rows + at, place].astype(np.int32))], ["id", "v", "list"])
+
+    asked = materialize(queries.mapInArrow(probe, "id long, v array<double>, list int"), "asked")
+    by_list = lambda n, most: F.coalesce(F.element_at(F.create_map(*[F.lit(int(y)) for x, m in n.items() if m > most for y in (x, -(-m // most))]), F.col("list")), F.lit(1)) if any(m > most for m in n.values()) else F.lit(1)
+    blocks, q_blocks = by_list(sizes, BLOCK), by_list(counted(asked), QUERIES)
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    held = placed.withColumn("block", F.pmod(F.xxhash64("id", "v", F.lit(3)), blocks).cast("int")).withColumn("q_block", every(q_blocks))
+    asked = asked.withColumn("block", every(blocks)).withColumn("q_block", F.pmod(F.xxhash64("id", F.lit(4)), q_blocks).cast("int"))
 
     def search(left, right):
         if not len(left) or not len(right):
@@ -204,7 +203,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, probes: int | No
         j, near, d = scan(ids, v, np.ascontiguousarray((v @ turn).T), q_ids, q, q @ turn, k)
         return pa.table({"query_id": q_ids[j], "vec_id": near, "score": d})
 
-    found = held.groupBy("list", "block").cogroup(asked.groupBy("list", "block")).applyInArrow(search, "query_id long, vec_id long, score double")
+    keys = ("list", "block", "q_block")
+    found = held.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(search, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
