@@ -6,8 +6,10 @@ an edit moves no section but its own. The fingerprint is one string::
 
     <root>|<section>:<leaf>,<leaf>;<section>:<leaf>...
 
-A section's digits are of the hash of its leaves, the root is the hash of the sections' hashes. Equal roots mean equal
-texts; where roots differ, the sections that differ and in them the leaves that differ locate the edit.
+Hashes of sections and of the root are of the leaves' whole hashes (128 bits), of which the string shows 12 digits: a
+section's digits are of the hash of its leaves, the root is the hash (256 bits) of the sections' hashes. Equal roots mean
+equal texts, up to collisions of 128 bits; where roots differ, the sections that differ and in them the leaves that differ
+locate the edit.
 
 likeness() is the share of code points, of both texts together, in leaves that both have (as multisets): 1 for equal
 texts, 0 where no leaf is shared; two empty texts have likeness 1.
@@ -26,15 +28,16 @@ from .ranges import range_of
 PIECE = 160
 LEAF = r"[^\n.!?]{0,%d}[.!?\n]+|[^\n.!?]{1,%d}" % (PIECE, PIECE)
 TOKEN = r"[0-9a-f]{12}-[0-9]+"
-SECTION_END = r"(0[0-9a-f]{11}-[0-9]+),"
+SECTION_END = r"(0[0-9a-f]{31}-[0-9]+),"
+SHOWN = r"([0-9a-f]{12})[0-9a-f]{20}-"
 
 
 def fingerprint(text: Column) -> Column:
-    leaves = F.transform(F.regexp_extract_all(text, F.lit(LEAF), 0), lambda x: F.concat(F.substring(F.md5(x.cast("binary")), 1, 12), F.lit("-"), F.length(x).cast("string")))
+    leaves = F.transform(F.regexp_extract_all(text, F.lit(LEAF), 0), lambda x: F.concat(F.md5(x.cast("binary")), F.lit("-"), F.length(x).cast("string")))
     joined = F.regexp_replace(F.array_join(leaves, ","), SECTION_END, "$1;")
     sections = F.filter(F.split(joined, ";"), lambda s: s != "")
     root = F.sha2(F.array_join(F.transform(sections, lambda s: F.sha2(s.cast("binary"), 256)), "").cast("binary"), 256)
-    nodes = F.transform(sections, lambda s: F.concat(F.substring(F.sha2(s.cast("binary"), 256), 1, 16), F.lit(":"), s))
+    nodes = F.transform(sections, lambda s: F.concat(F.substring(F.sha2(s.cast("binary"), 256), 1, 16), F.lit(":"), F.regexp_replace(s, SHOWN, "$1-")))
     return F.concat(root, F.lit("|"), F.array_join(nodes, ";"))
 
 
@@ -101,10 +104,10 @@ def differing(print_a: Column, print_b: Column) -> Column:
 
 _SQL_PRINT = r"""
     SELECT *, sha256(list_aggregate(list_concat([''], list_transform(sec_{0}, lambda s: sha256(s))), 'string_agg', ''))
-        || '|' || coalesce(nullif(list_aggregate(list_transform(sec_{0}, lambda s: sha256(s)[1:16] || ':' || s), 'string_agg', ';'), ''), '') AS {1}
-    FROM (SELECT *, list_filter(string_split(regexp_replace(list_aggregate(list_concat(lv_{0}, ['']), 'string_agg', ','), '(0[0-9a-f]{{11}}-[0-9]+),', '\1;', 'g'), ';'), lambda s: s <> '') AS raw_{0},
+        || '|' || coalesce(nullif(list_aggregate(list_transform(sec_{0}, lambda s: sha256(s)[1:16] || ':' || regexp_replace(s, '([0-9a-f]{{12}})[0-9a-f]{{20}}-', '\1-', 'g')), 'string_agg', ';'), ''), '') AS {1}
+    FROM (SELECT *, list_filter(string_split(regexp_replace(list_aggregate(list_concat(lv_{0}, ['']), 'string_agg', ','), '(0[0-9a-f]{{31}}-[0-9]+),', '\1;', 'g'), ';'), lambda s: s <> '') AS raw_{0},
         list_transform(raw_{0}, lambda s: rtrim(s, ',')) AS sec_{0}
-    FROM (SELECT *, list_transform(regexp_extract_all({0}, '[^\n.!?]{{0,160}}[.!?\n]+|[^\n.!?]{{1,160}}', 0), lambda x: md5(x)[1:12] || '-' || length(x)) AS lv_{0} FROM {2}))
+    FROM (SELECT *, list_transform(regexp_extract_all({0}, '[^\n.!?]{{0,160}}[.!?\n]+|[^\n.!?]{{1,160}}', 0), lambda x: md5(x) || '-' || length(x)) AS lv_{0} FROM {2}))
 """
 ORACLE = (
     r"""
