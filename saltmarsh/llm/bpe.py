@@ -1,7 +1,6 @@
 """BPE encoding and decoding by a lexicon of frequent words and exact merges for the rest.
 
-The words of the corpus are counted over all documents (each task forgets what stood only once between white space), the
-LEXICON most frequent are merged once and compiled into the transducer of
+The words of the corpus are counted over all documents (in partial sums of the tasks), the LEXICON most frequent are merged once and compiled into the transducer of
 ``lexicon``, which workers memory-map. A word that the transducer lacks is merged by the merge table, exactly. A worker
 remembers the words, and the chunks between white space, that it met, 2 * MEMO and KNOWN of them at most.
 
@@ -274,6 +273,9 @@ class Codec:
     def _by_parts(self, text: str) -> bytes:
         """A text with special tokens, or with signs that the library has to split."""
         parts = list(self.bpe.words.parts(text))
+        if self.lex is not None:
+            find = self.bpe.words.fast.findall
+            self._look_up({w for p in parts if not isinstance(p, int) for c in p[0] for w in ([c] if p[1] else find(c))})
         words, chunks = self.words.__getitem__, self._chunk
         return b"".join(p.to_bytes(4, "little") if isinstance(p, int) else b"".join(map(words if p[1] else chunks, p[0])) for p in parts)
 
@@ -312,19 +314,24 @@ def codec(path: str, packed: bytes | None = None, library: bool = False) -> Code
 
 
 def count_words(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
-    """(word, n) of all texts; a task leaves out the chunks between white space that it saw once."""
+    """(word, n) of all words of up to LONGEST characters in all texts; a task gives partial sums whenever it holds many."""
     small_batches(docs.sparkSession, 1000)
 
     def run(batches):
         words, seen, total = codec(path).bpe.words, Counter(), Counter()
 
-        def spill():  # chunks seen once are forgotten, the others' words counted
+        def spill():
             for c, n in seen.items():
-                if n > 1:
-                    for w in words.fast.findall(c):
-                        total[w] += n
+                for w in words.fast.findall(c):
+                    total[w] += n
             seen.clear()
 
+        def partial():
+            rows = [(w, n) for w, n in total.items() if len(w) <= LONGEST]
+            total.clear()
+            for k in range(0, len(rows), 20_000):
+                yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows[k : k + 20_000]]), pa.array([n for _, n in rows[k : k + 20_000]], pa.int64())], ["word", "n"])
+
         for b in batches:
             for t in b.column(0).to_pylist():
                 for p in words.parts(t) if t else ():
@@ -332,12 +339,10 @@ def count_words(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame
                         (total if p[1] else seen).update(p[0])
             if len(seen) > 2 * MEMO:
                 spill()
+            if len(total) > 2 * MEMO:
+                yield from partial()
         spill()
-        rows = [(w, n) for w, n in total.items() if len(w) <= LONGEST]
-        for k in range(0, len(rows), 20_000):
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows[k : k + 20_000]]), pa.array([n for _, n in rows[k : k + 20_000]], pa.int64())], ["word", "n"])
-        del rows
-        total.clear()
+        yield from partial()
         trim()
 
     return docs.select(F.col(text_col)).where(F.col(text_col).isNotNull()).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
