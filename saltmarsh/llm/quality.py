@@ -2,16 +2,18 @@
 
 Two views of a document: the text's hashed byte trigrams (of the whole text, as frequencies) and its metadata (source,
 language and the logarithm of n_chars, one-hot). Each has a logistic regression. Rounds: the view that a regression sees
-is fitted on the labels so far; of a pool without labels it then gives its most confident documents, in the labels'
+is fitted on the labels so far; of all documents without one it then gives its most confident, in the labels'
 proportions, to the *other* view as pseudo-labels. After the rounds each view is calibrated (Platt) on labelled rows that
 it was not fitted on, and the calibrated log-odds are added, less the prior's that both contain.
 
-What is fitted comes from LABELLED labelled documents and a POOL of others, both chosen by hash and bounded, so the
-driver holds the same few megabytes at every size; all documents are scored.
+What is fitted comes from LABELLED labelled documents, the first by hash, and the pseudo-labels, GIVEN a round and view.
+A round is one pass over all documents: tasks give their most confident ones' ids, of which the most confident of all are
+read again. So the driver holds the same few megabytes at every size; all documents are scored.
 
 Defined cases: null and empty texts have no trigrams, null metadata is a value of its own; with labels of one kind only,
-or none, every score is the labels' share (0.5 without labels); repeated rows get a row each; labels of a doc_id that
-disagree are averaged and rounded. An empty table gives no rows.
+or none, every score is the labels' share (0.5 without labels); repeated rows get a row each, and are one document for
+the fit (the least by text); documents of one confidence (copies) are given once, the smallest doc_id; a null doc_id has no
+label and is not given; labels of a doc_id that disagree are averaged and rounded. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,13 +22,12 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import release, small_batches
 
 LABELLED = 4000
-POOL = 4000
 ROUNDS = 4
 GIVEN = 60
 DIM = 2048
@@ -113,55 +114,51 @@ class Model:
         return odds(a), odds(b), odds(a + b - np.log(self.prior / (1 - self.prior)))
 
 
-def cotrain(text_x: np.ndarray, meta_x: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, given: int = GIVEN) -> Model:
-    """y: 1, 0, or -1 without a label. A quarter of the labelled rows is kept for calibration."""
-    known = np.flatnonzero(y >= 0)
-    prior = float(y[known].mean()) if len(known) else 0.5
-    order = np.random.default_rng(SEED).permutation(known)
+class Labels:
+    """What a view is fitted on: labelled rows with weight 1, pseudo-labels with less."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, ids: list[int]):
+        self.x, self.y, self.weight, self.ids = x, y, np.ones(len(y)), set(ids)
+
+    def give(self, x: np.ndarray, y: np.ndarray, ids: list[int]) -> None:
+        self.x, self.y = np.concatenate([self.x, x]), np.concatenate([self.y, y])
+        self.weight = np.concatenate([self.weight, np.full(len(y), 0.5)])
+        self.ids |= set(ids)
+
+    def fitted(self) -> Regression:
+        return Regression(self.x, self.y, self.weight)
+
+
+def cotrain(ids: list[int], views: tuple[np.ndarray, np.ndarray], y: np.ndarray, most_confident, rounds: int = ROUNDS, given: int = GIVEN) -> Model:
+    """A quarter of the labelled rows is kept for calibration.
+
+    most_confident(fitted, known, down, up) gives for each view v the other view's features, labels and ids of the down
+    lowest and up highest documents by fitted[v] that the other view has no label for (known[1 - v]).
+    """
+    prior = float(y.mean()) if len(y) else 0.5
+    order = np.random.default_rng(SEED).permutation(len(y))
     held, fit = order[: len(order) // 4], order[len(order) // 4 :]
     if not all((y[part] == v).any() for part in (held, fit) for v in (0, 1)):
         return Model(None, None, None, None, prior)
-    views = (text_x, meta_x)
-    labels = [dict(zip(fit.tolist(), y[fit].tolist(), strict=True)) for _ in views]
-    weights = [dict.fromkeys(fit.tolist(), 1.0) for _ in views]
-    pool = np.flatnonzero(y < 0)
+    labels = [Labels(x[fit], y[fit], [ids[k] for k in fit]) for x in views]
+    own = set(ids)
+    up, down = max(1, round(given * prior)), max(1, round(given * (1 - prior)))
+    for _ in range(rounds):
+        taught = most_confident([x.fitted() for x in labels], [x.ids | own for x in labels], down, up)
+        for v, got in enumerate(taught):
+            labels[1 - v].give(*got)
+    fitted = [x.fitted() for x in labels]
+    return Model(*fitted, *(platt(m.logit(x[held]), y[held]) for m, x in zip(fitted, views, strict=True)), prior)
 
-    def fitted(v: int) -> Regression:
-        at = np.array(sorted(labels[v]))
-        return Regression(views[v][at], np.array([labels[v][k] for k in at]), np.array([weights[v][k] for k in at]))
 
-    for _ in range(rounds):
-        taught = []
-        for v in (0, 1):
-            free = np.array([k for k in pool if k not in labels[1 - v]], np.int64)
-            if not len(free):
-                continue
-            s = fitted(v).logit(views[v][free])
-            up, down = max(1, round(given * prior)), max(1, round(given * (1 - prior)))
-            rank = np.argsort(s, kind="stable")
-            taught += [(1 - v, int(k), 0) for k in free[rank[:down]]] + [(1 - v, int(k), 1) for k in free[rank[::-1][:up]]]
-        for v, k, label in taught:
-            labels[v][k] = label
-            weights[v][k] = 0.5  # a pseudo-label counts less than a label
-    text, meta = fitted(0), fitted(1)
-    return Model(text, meta, platt(text.logit(text_x[held]), y[held]), platt(meta.logit(meta_x[held]), y[held]), prior)
-
-
-def _bounded(df: DataFrame, most: int, salt: int) -> DataFrame:
-    """About most rows of df, by hash of doc_id: the same rows on each run."""
-    total = df.count()
-    return df.where(F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1 << 30)) < int(min(1.0, most / max(1, total)) * (1 << 30)))
+FEATURES = "doc_id long, y int, x binary, m binary"
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality") -> Model:
-    spark = docs.sparkSession
-    small_batches(spark)
-    known = labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull()).groupBy("doc_id").agg(F.round(F.avg(label_col)).cast("int").alias("y"))
-    known = _bounded(known, LABELLED, 1).limit(2 * LABELLED)
-    pool = _bounded(docs.select("doc_id"), POOL, 2).select("doc_id").limit(2 * POOL)
-    # both sides are bounded by LABELLED and POOL
-    chosen = known.unionByName(pool.select("doc_id", F.lit(-1).alias("y"))).groupBy("doc_id").agg(F.max("y").alias("y"))
-    rows = docs.select("doc_id", "text", "source", "lang", "n_chars").join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text", "source", "lang", "n_chars")
+def _read_features(docs: DataFrame, chosen: DataFrame) -> dict[int, tuple[int, np.ndarray, np.ndarray]]:
+    """doc_id -> (y, text features, metadata features) of the chosen (doc_id, y), whose number is bounded."""
+    fields = ("text", "source", "lang", "n_chars")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(*fields).alias("row")).join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id", "y").agg(F.min("row").alias("row")).select("doc_id", "y", *[f"row.{c}" for c in fields])
 
     def run(batches):
         release()
@@ -170,12 +167,69 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality") -> Mod
             x, m = text_features(c[0]), meta_features(*c[1:])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r.astype(np.float16).tobytes() for r in x]), pa.array([r.astype(np.uint8).tobytes() for r in m])], ["doc_id", "y", "x", "m"])
 
-    got = rows.mapInArrow(run, "doc_id long, y int, x binary, m binary").toArrow().sort_by("doc_id")
-    if not len(got):
+    got = rows.mapInArrow(run, FEATURES).toArrow().sort_by("doc_id")
+    part = lambda c, kind: [np.frombuffer(v, kind).astype(np.float32) for v in got[c].to_pylist()]
+    return {d: r for d, *r in zip(got["doc_id"].to_pylist(), got["y"].to_pylist(), part("x", np.float16), part("m", np.uint8), strict=True)}
+
+
+def _confident(docs: DataFrame, fitted: list[Regression], known: list[set[int]], most: int) -> DataFrame:
+    """(view, side, place, doc_id): of all documents the most most confident of each view on each side (0 low, 1 high)."""
+    shared = docs.sparkSession.sparkContext.broadcast((fitted, known))
+
+    def run(batches):
+        release()
+        fitted, known = shared.value
+        best: dict[tuple[int, int], dict[float, int]] = {(v, s): {} for v in (0, 1) for s in (0, 1)}
+
+        def shorten():
+            for (v, s), d in best.items():
+                best[v, s] = dict(sorted(d.items(), reverse=bool(s))[:most])
+
+        for b in batches:
+            ids, c = b.column(0).to_pylist(), [b.column(k).to_pylist() for k in range(1, 5)]
+            for v, x in enumerate((text_features(c[0]), meta_features(*c[1:]))):
+                for d, p in zip(ids, np.round(fitted[v].logit(x), 5).tolist(), strict=True):
+                    if d is not None and d not in known[1 - v]:
+                        for s in (0, 1):
+                            best[v, s][p] = min(d, best[v, s].get(p, d))
+            shorten()
+        rows = [(v, s, p, d) for (v, s), x in best.items() for p, d in x.items()]
+        kinds = (pa.int32(), pa.int32(), pa.float64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["view", "side", "p", "doc_id"])
+
+    rows = docs.select(F.col("doc_id").cast("long"), "text", "source", "lang", F.col("n_chars").cast("long"))
+    found = rows.mapInArrow(run, "view int, side int, p double, doc_id long").groupBy("view", "side", "p").agg(F.min("doc_id").alias("doc_id"))
+    order = Window.partitionBy("view", "side").orderBy(F.when(F.col("side") == 1, -F.col("p")).otherwise(F.col("p")))
+    return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select("view", "side", "place", "doc_id")
+
+
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality") -> Model:
+    spark = docs.sparkSession
+    small_batches(spark)
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.round(F.avg(label_col)).cast("int").alias("y"))
+    known = known.orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(LABELLED)
+    rows = _read_features(docs, known)
+    if not rows:
         return Model(None, None, None, None, 0.5)
-    text_x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float16).reshape(-1, DIM).astype(np.float32)
-    meta_x = np.frombuffer(b"".join(got["m"].to_pylist()), np.uint8).reshape(-1, META).astype(np.float32)
-    return cotrain(text_x, meta_x, got["y"].to_numpy())
+
+    def most_confident(fitted, known, down, up):
+        places = [r for r in _confident(docs, fitted, known, max(down, up)).collect() if r["place"] <= (down, up)[r["side"]]]
+        # a document that a view finds both among the least and the most confident (few documents) is given once
+        sides = [{}, {}]
+        for r in sorted(places, key=lambda r: (r["side"], r["place"])):
+            sides[r["view"]].setdefault(r["doc_id"], r["side"])
+        wanted = sorted({d for s in sides for d in s})
+        got = _read_features(docs, spark.createDataFrame([(d, -1) for d in wanted], "doc_id long, y int")) if wanted else {}
+        out = []
+        for v in (0, 1):
+            ids = sorted(d for d in sides[v] if d in got)
+            features = np.array([got[d][1 + (1 - v)] for d in ids], np.float32).reshape(len(ids), META if v == 0 else DIM)
+            out.append((features, np.array([sides[v][d] for d in ids]), ids))
+        return out
+
+    ids = sorted(rows)
+    views = tuple(np.array([rows[d][k] for d in ids]) for k in (1, 2))
+    return cotrain(ids, views, np.array([rows[d][0] for d in ids]), most_confident)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
