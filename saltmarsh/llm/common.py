@@ -5,44 +5,16 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.work import drop, drop_scratch, materialize, scratch, shared_dir  # noqa: F401
+
 #: Rows of a batch that Python workers get; long texts make larger batches dear.
 BATCH_ROWS = 400
-_OWN: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    sc = spark.sparkContext
-    at = sc.getConf().get("spark.checkpoint.dir")
-    if not at:
-        at = _OWN.get(sc.applicationId) or _OWN.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="saltmarsh-"))
-    return at.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/saltmarsh/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Cuts the lineage: df written as Parquet to the shared folder and read again with the same schema."""
-    path = scratch(df.sparkSession, name)
-    df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_scratch(spark: SparkSession, df_path: str) -> None:
-    """Deletes a scratch table through Hadoop's file system, whatever store it is in."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(df_path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
@@ -92,24 +64,31 @@ def mix64(x: np.ndarray) -> np.ndarray:
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for every node of the undirected edges (src, dst), component the smallest node reachable.
 
-    Alternates large-star and small-star steps; each is one minimum by key (partial aggregation) and one join back
-    that AQE may split when a key is hot. A round's edges are written to the shared folder, so a lost executor costs
-    a reread, never a recomputation. Ends when a round leaves the edges unchanged, after about log(diameter) rounds.
+    Alternates large-star and small-star steps; each is one minimum by key (partial aggregation) and one join back. The
+    minima are written first, so both sides of that join are plain exchanges, and AQE splits the one in which a hub has
+    many neighbours. A round's edges are written to the shared folder, so a lost executor costs a reread, never a
+    recomputation, and the tables of the round before are deleted. Ends when a round leaves the edges unchanged, after
+    about log(diameter) rounds.
+
+    Defined cases: an edge of a node with itself, and a null end, say nothing; repeated edges count once; no edges give
+    no rows. More than rounds rounds (a diameter beyond 2**rounds) are an error.
     """
-    e = edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u <> v").distinct()
+    e = edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("src <> dst").select("u", "v").distinct()
     e = materialize(e, "edges")
     last = None
     for _ in range(rounds):
         # large-star: every neighbour above u hangs itself below u's smallest neighbour
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")), "minima")
         big = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         big = materialize(big.distinct(), "edges")
+        drop(e, low)
         # small-star: the lower neighbours of u, and u, hang below the smallest of them
-        low = big.groupBy("u").agg(F.min("v").alias("m"))
+        low = materialize(big.groupBy("u").agg(F.min("v").alias("m")), "minima")
         small = big.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         e = materialize(small.where("u <> v").distinct(), "edges")
-        now = tuple(e.agg(F.count("*"), F.coalesce(F.sum(F.hash("u", "v").cast("long")), F.lit(0))).first())
+        drop(big, low)
+        now = tuple(e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
         if now == last:
             break
         last = now
