@@ -11,12 +11,16 @@ the right of the anchors and, reversed, those to the left give two suffix orders
 string that begins o bytes before the anchor repeats where another context is in the same run of both orders, common
 prefixes of at least o to the left and LENGTH - o to the right.
 
-Skew: copies of a context, however many, are one row after the first aggregation; keys with more than GROUP distinct
-contexts (a passage's borders in very many documents) are not gathered: their strings are counted one by one by hash,
-with partial sums in the tasks. Judged is the input; texts are whole, and matches never cross documents.
+Skew: the counts of keys and of contexts are partial sums in the tasks, and copies of a context, however many, are one
+row after them. What joins anchors to keys or contexts is written first, so both sides are plain exchanges and AQE splits
+a hot key's anchors over many tasks. Keys with more than GROUP distinct contexts (a passage's borders in very many
+documents) are not gathered: their strings are counted one by one by hash, with partial sums in the tasks. Judged is the
+input; texts are whole (read in pieces of PIECE bytes with what their windows need of their neighbours), and matches never
+cross documents.
 
 Defined cases: null and empty texts have no bytes; a text shorter than LENGTH keeps all; a null doc_id is dropped from
-the comparison and keeps all its bytes; repeated rows (equal doc_id) are each other's copies. An empty table gives no
+the comparison and keeps all its bytes. A row is known by its doc_id and the hash of its text: repeated rows (equal in
+both) are each other's copies, rows of one doc_id with unlike texts are documents of their own. An empty table gives no
 rows. Hashes have 64 bits twice over (key and context), so a wrong match is not to be expected.
 
 Where words are asked for too, so many words in a row that also start elsewhere are removed however few bytes they have
@@ -32,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, release, small_batches
+from .common import drop, materialize, mix64, release, small_batches
 
 LENGTH = 400
 KEY = 200
@@ -97,33 +101,25 @@ def anchors(h: np.ndarray, window: int) -> np.ndarray:
     return np.flatnonzero(_slide(np.concatenate([edge, least, edge]), window, np.maximum) >= h)
 
 
-def _pieces(data: bytes):
-    """(start, piece): windows of LENGTH bytes each lie whole in one piece, pieces are about PIECE bytes."""
-    at = 0
-    while True:
-        yield at, data[at : at + PIECE + LENGTH - 1]
-        at += PIECE
-        if at + LENGTH > len(data):
-            break
-
-
 def document_anchors(data: bytes, length: int = LENGTH, key: int = KEY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(places, key hashes, context hashes) of a text's anchors."""
-    if len(data) < length:
+    """(places, key hashes, context hashes) of a text's anchors.
+
+    A piece has the anchors of PIECE bytes; with length - key bytes before and length after these it holds every window
+    that an anchor is in, and its context.
+    """
+    found = []
+    for start in range(0, len(data) - key + 1 if len(data) >= length else 0, PIECE):
+        low = max(0, start - (length - key))
+        part = data[low : start + PIECE + length]
+        whole = Hasher(part)
+        at = anchors(whole.all(key), length - key + 1)
+        at = at[(at >= start - low) & (at < start - low + PIECE)]
+        left, right = np.maximum(0, at - (length - key)), np.minimum(len(part), at + length)
+        context = mix64(whole.of(left, right) + (at - left).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
+        found.append((at + low, whole.of(at, at + key), context))
+    if not found:
         return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)
-    places = []
-    if len(data) <= PIECE + length:
-        whole = Hasher(data)
-        places.append(anchors(whole.all(key), length - key + 1))
-    else:
-        for start, piece in _pieces(data):
-            if len(piece) >= length:
-                places.append(start + anchors(Hasher(piece).all(key), length - key + 1))
-        whole = Hasher(data)
-    at = np.unique(np.concatenate(places))
-    left, right = np.maximum(0, at - (length - key)), np.minimum(len(data), at + length)
-    context = mix64(whole.of(left, right) + (at - left).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
-    return at, whole.of(at, at + key), context
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def multikey_sort(strings: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -270,47 +266,48 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 SPAN = "array<struct<a: int, b: int>>"
 
 
+def _text_hash() -> F.Column:
+    """With doc_id, what a row is known by."""
+    return F.xxhash64("text").alias("t")
+
+
 def _anchor_rows(docs: DataFrame, length: int, key: int) -> DataFrame:
     small_batches(docs.sparkSession, 200)
 
-    def run(batches):
+    def packed(batches):
         release()
+        held, size = [], 0
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for doc_id, t, text in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
                 data = text.encode("utf-8", "surrogatepass")
                 at, k, c = document_anchors(data, length, key)
                 if len(at):
-                    yield doc_id, len(data), at, k, c
-
-    def packed(batches):
-        release()
-        held, size = [], 0
-        for row in run(batches):
-            held.append(row)
-            size += len(row[2])
-            if size > 20_000:
-                yield batch(held)
-                held, size = [], 0
+                    held.append((doc_id, t, len(data), at, k, c))
+                    size += len(at)
+                if size > 20_000:
+                    yield batch(held)
+                    held, size = [], 0
         if held:
             yield batch(held)
 
     def batch(held):
-        n = [len(r[2]) for r in held]
-        at = np.concatenate([r[2] for r in held])
-        size = np.repeat([r[1] for r in held], n)
+        n = [len(r[3]) for r in held]
+        at = np.concatenate([r[3] for r in held])
+        size = np.repeat([r[2] for r in held], n)
         left, right = np.minimum(at, length - key), np.minimum(size - at, length)
-        cols = [np.repeat([r[0] for r in held], n), at, left.astype(np.int32), right.astype(np.int32), np.concatenate([r[3] for r in held]).view(np.int64), np.concatenate([r[4] for r in held]).view(np.int64)]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["doc_id", "at", "before", "after", "key", "context"])
+        names = (np.repeat(np.array([r[k] for r in held], np.int64), n) for k in (0, 1))
+        cols = [*names, at, left.astype(np.int32), right.astype(np.int32), *(np.concatenate([r[k] for r in held]).view(np.int64) for k in (4, 5))]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["doc_id", "t", "at", "before", "after", "key", "context"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text").where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length))
-    return rows.mapInArrow(packed, "doc_id long, at long, before int, after int, key long, context long")
+    rows = docs.select(F.col("doc_id").cast("long"), _text_hash(), "text").where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length))
+    return rows.mapInArrow(packed, "doc_id long, t long, at long, before int, after int, key long, context long")
 
 
 def _read_contexts(docs: DataFrame, wanted: DataFrame, length: int, key: int) -> DataFrame:
-    """(key, context, pre, post): the bytes of wanted's contexts (doc_id, at, key, context); pre is reversed."""
-    per_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("at", "key", "context")).alias("list"))  # anchors of one document
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.octet_length("text") >= length)
-    rows = rows.join(per_doc, "doc_id").select("text", "list")
+    """(key, context, pre, post): the bytes of wanted's contexts (doc_id, t, at, key, context); pre is reversed."""
+    per_doc = wanted.groupBy("doc_id", "t").agg(F.collect_list(F.struct("at", "key", "context")).alias("list"))  # anchors of one document
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_hash(), "text").where(F.octet_length("text") >= length)
+    rows = rows.join(per_doc, ["doc_id", "t"]).select("text", "list")
 
     def run(batches):
         release()
@@ -418,109 +415,144 @@ def _counted_spans(contexts: DataFrame, length: int) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, key: int = KEY) -> DataFrame:
-    """(doc_id, spans): byte spans, not yet merged, that cover each document's repeated strings."""
+    """(doc_id, t, spans): byte spans, not yet merged, that cover the repeated strings of the row with this doc_id and text hash."""
     found = materialize(_anchor_rows(docs, length, key), "anchors")
     keys = found.groupBy("key").agg(F.count("*").alias("n"), F.min("context").alias("low"), F.max("context").alias("high")).where("n > 1")
-    hits = materialize(found.join(keys.select("key", (F.col("low") == F.col("high")).alias("alike")), "key"), "hits")
+    keys = materialize(keys.select("key", (F.col("low") == F.col("high")).alias("alike")), "keys")
+    hits = materialize(found.join(keys, "key"), "hits")
+    drop(found, keys)
     span = F.array(F.struct((F.col("at") - F.col("before")).alias("a"), (F.col("at") + F.col("after")).alias("b")))
     mixed = hits.where("NOT alike")
-    contexts = mixed.groupBy("key", "context").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "at")).alias("where"))
+    contexts = mixed.groupBy("key", "context").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "t", "at")).alias("where"))
     contexts = materialize(contexts, "contexts")
-    sizes = contexts.groupBy("key").agg(F.count("*").alias("distinct"))
-    read = _read_contexts(docs, contexts.select("where.doc_id", "where.at", "key", "context"), length, key)
+    sizes = materialize(contexts.groupBy("key").agg(F.count("*").alias("distinct")), "sizes")
+    read = _read_contexts(docs, contexts.select("where.doc_id", "where.t", "where.at", "key", "context"), length, key)
     read = materialize(read.join(sizes, "key"), "strings", compression="zstd")
     spans = _sorted_spans(read.where(F.col("distinct") <= GROUP).drop("distinct"), length)
     if sizes.where(F.col("distinct") > GROUP).limit(1).count():
         spans = spans.union(_counted_spans(read.where(F.col("distinct") > GROUP).drop("distinct"), length))
     spans = materialize(spans, "spans")
+    drop(sizes, read)
     moved = F.transform("spans", lambda s: F.struct((F.col("at") + s["a"]).alias("a"), (F.col("at") + s["b"]).alias("b")))
-    part = mixed.join(spans, ["key", "context"]).select("doc_id", moved.alias("spans"))
+    part = mixed.join(spans, ["key", "context"]).select("doc_id", "t", moved.alias("spans"))
     # a context that occurs twice repeats as a whole
-    twice = mixed.join(contexts.where("n > 1").select("key", "context"), ["key", "context"]).select("doc_id", span.alias("spans"))
-    every = hits.where("alike").select("doc_id", span.alias("spans")).unionByName(twice).unionByName(part)
-    return every.groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    twice = mixed.join(contexts.where("n > 1").select("key", "context"), ["key", "context"]).select("doc_id", "t", span.alias("spans"))
+    every = hits.where("alike").select("doc_id", "t", span.alias("spans")).unionByName(twice).unionByName(part)
+    out = materialize(every.groupBy("doc_id", "t").agg(F.flatten(F.collect_list("spans")).alias("spans")), "cuts")
+    drop(hits, contexts, spans)
+    return out
 
 
 def short_passages(data: bytes, words: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, hash, count): where so many words in a row have fewer than length bytes; equal ones that meet are one span."""
-    inside = np.zeros(len(data) + 2, np.int8)
-    inside[1:-1] = ~_SPACE[np.frombuffer(data, np.uint8)]
-    edge = np.flatnonzero(np.diff(inside))
-    a, b = edge[::2][: max(0, len(edge) // 2 - words + 1)], edge[1::2][words - 1 :]
-    few = b - a < length
-    a, b = a[few], b[few]
-    if not len(a):
-        return a, b, np.empty(0, np.uint64), a
-    h = Hasher(data).of(a, b)
-    order = np.lexsort((a, h))
-    a, b, h = a[order], b[order], h[order]
-    first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (a[1:] > b[:-1])]))
-    last = np.append(first[1:], len(a)) - 1
-    return a[first], b[last], h[first], last - first + 1
+    """(a, b, hash, count): where so many words in a row have fewer than length bytes; equal ones that meet are one span.
+
+    A piece has the passages that start in its PIECE bytes; a passage over a border is one of the piece it starts in.
+    """
+    found = []
+    for start in range(0, len(data), PIECE):
+        low, high = max(0, start - 1), min(len(data), start + PIECE + length)
+        part = data[low:high]
+        inside = np.zeros(len(part) + 2, np.int8)
+        inside[1:-1] = ~_SPACE[np.frombuffer(part, np.uint8)]
+        edge = np.flatnonzero(np.diff(inside))
+        a, b = edge[::2][: max(0, len(edge) // 2 - words + 1)], edge[1::2][words - 1 :]
+        # a word that the piece cuts off is not this piece's
+        few = (b - a < length) & (a >= start - low) & (a < start - low + PIECE) & ((b < len(part)) | (high == len(data)))
+        a, b = a[few], b[few]
+        if not len(a):
+            continue
+        h = Hasher(part).of(a, b)
+        order = np.lexsort((a, h))
+        a, b, h = a[order], b[order], h[order]
+        first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (a[1:] > b[:-1])]))
+        last = np.append(first[1:], len(a)) - 1
+        found.append((a[first] + low, b[last] + low, h[first], last - first + 1))
+    if not found:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def short_spans(docs: DataFrame, words: int, length: int) -> DataFrame:
-    """(doc_id, spans): byte spans of each document's passages of so many words in fewer than length bytes that start elsewhere too."""
+    """(doc_id, t, spans): byte spans of each row's passages of so many words in fewer than length bytes that start elsewhere too."""
     small_batches(docs.sparkSession, 200)
 
+    def batch(held):
+        n = [len(r[2]) for r in held]
+        names = (np.repeat(np.array([r[k] for r in held], np.int64), n) for k in (0, 1))
+        cols = [*names, *(np.concatenate([r[k] for r in held]).view(np.int64) for k in (2, 3, 4, 5))]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["doc_id", "t", "a", "b", "h", "n"])
+
     def run(batches):
         release()
+        held, size = [], 0
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                a, e, h, n = short_passages(text.encode("utf-8", "surrogatepass"), words, length)
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), doc_id)), pa.array(a.astype(np.int64)), pa.array(e.astype(np.int64)), pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["doc_id", "a", "b", "h", "n"])
+            for doc_id, t, text in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                got = short_passages(text.encode("utf-8", "surrogatepass"), words, length)
+                if len(got[0]):
+                    held.append((doc_id, t, *got))
+                    size += len(got[0])
+                if size > 20_000:
+                    yield batch(held)
+                    held, size = [], 0
+        if held:
+            yield batch(held)
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text").where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= 2 * words - 1))
-    found = materialize(rows.mapInArrow(run, "doc_id long, a long, b long, h long, n long"), "short")
-    again = found.groupBy("h").agg(F.sum("n").alias("times")).where("times > 1").select("h")
-    return found.join(again, "h").groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    rows = docs.select(F.col("doc_id").cast("long"), _text_hash(), "text").where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= 2 * words - 1))
+    found = materialize(rows.mapInArrow(run, "doc_id long, t long, a long, b long, h long, n long"), "short")
+    again = materialize(found.groupBy("h").agg(F.sum("n").alias("times")).where("times > 1").select("h"), "again")
+    out = materialize(found.join(again, "h").groupBy("doc_id", "t").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "cuts")
+    drop(found, again)
+    return out
 
 
 def cut(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
     """(what is left, bytes removed, maximal runs removed)."""
     runs = merge(sorted(spans))
-    out, at = [], 0
-    for a, b in runs:
-        out.append(data[at:a])
-        at = b
-    out.append(data[at:])
-    return b"".join(out), sum(b - a for a, b in runs), len(runs)
+    return b"".join(left(data, runs)), sum(b - a for a, b in runs), len(runs)
 
 
-def removed(docs: DataFrame, length: int = LENGTH, columns: tuple[str, ...] = (), key: int = KEY, as_text: bool = False, words: int | None = None) -> DataFrame:
-    """(doc_id, *columns, kept binary, n_bytes, n_removed, n_spans) of every row of docs; as_text: kept is a string.
+def left(data: bytes, runs: list[tuple[int, int]]) -> list[bytes]:
+    """What stands before, between and after the runs."""
+    return [data[a:b] for a, b in zip([0, *(b for _, b in runs)], [*(a for a, _ in runs), len(data)], strict=True)]
+
+
+def removed(docs: DataFrame, length: int = LENGTH, columns: tuple[str, ...] = (), key: int = KEY, words: int | None = None) -> DataFrame:
+    """(doc_id, *columns, kept, n_bytes, n_removed, n_spans, kept_sha256) of every row of docs; the digest is of the bytes left.
 
     words: passages of so many words that start elsewhere too are removed also where they have fewer than length bytes.
 
-    A cut may go through a character of several bytes; as_text leaves out what remains of it.
+    A cut may go through a character of several bytes; kept, a string, leaves out what remains of it.
     """
     spans = repeated_spans(docs, length, key)
     if words:
-        spans = spans.unionByName(short_spans(docs, words, length)).groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+        spans = spans.unionByName(short_spans(docs, words, length)).groupBy("doc_id", "t").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     small_batches(docs.sparkSession, 200)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[c for c in columns if c not in ("doc_id", "text")], "text").join(spans, "doc_id", "left")
-    names = rows.columns[:-2]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[c for c in columns if c not in ("doc_id", "text")], _text_hash(), "text").join(spans, ["doc_id", "t"], "left")
+    names = ["doc_id", *[c for c in columns if c not in ("doc_id", "text")]]
+    rows = rows.select(*names, "text", "spans")
 
     def run(batches):
         release()
         for b in batches:
-            kept = []
+            out = []
             for text, s in zip(b.column(len(names)).to_pylist(), b.column(len(names) + 1).to_pylist(), strict=True):
                 data = (text or "").encode("utf-8", "surrogatepass")
-                kept.append((*cut(data, [(x["a"], x["b"]) for x in s or ()]), len(data)))
-            left = pa.array([k[0].decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array([k[0] for k in kept], pa.binary())
-            cols = [left, *(pa.array([k[i] for k in kept], pa.int64()) for i in (3, 1, 2))]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], *cols], [*names, "kept", "n_bytes", "n_removed", "n_spans"])
+                runs = merge(sorted((x["a"], x["b"]) for x in s or ()))
+                parts = left(data, runs)
+                digest = hashlib.sha256(b"".join(parts)).hexdigest()
+                out.append(("".join([p.decode("utf-8", "ignore") for p in parts]), len(data), sum(e - a for a, e in runs), len(runs), digest))
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], *(pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds))], [*names, *made])
 
-    from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
+    from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-    schema = StructType([*rows.schema.fields[:-2], StructField("kept", StringType() if as_text else BinaryType()), *(StructField(n, LongType()) for n in ("n_bytes", "n_removed", "n_spans"))])
-    return rows.mapInArrow(run, schema)
+    made = ("kept", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return rows.mapInArrow(run, StructType([*rows.schema.fields[:-2], *(StructField(n, StringType() if n.startswith("kept") else LongType()) for n in made)]))
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    return removed(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    """The digest columns of the contract, and last the text that is left."""
+    return removed(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.col("kept").alias("text"))
 
 
 def brute_force(texts: dict[int, bytes], length: int) -> dict[int, tuple[bytes, int, int]]:
@@ -540,6 +572,8 @@ f AS (SELECT doc_id, p FROM h WHERE h IN (SELECT h FROM h GROUP BY h HAVING coun
 g AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM (SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 400 THEN 0 ELSE 1 END AS new FROM f)),
 r AS (SELECT doc_id, min(p) AS a, max(p) + 400 AS b FROM g GROUP BY doc_id, k),
 s AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS e FROM r),
-t AS (SELECT s.doc_id, CAST(sum(b - a) AS BIGINT) AS removed, count(*) AS spans, string_agg(x[2 * e + 1:2 * a], '' ORDER BY a) AS kept, max(b) AS last FROM s JOIN d USING (doc_id) GROUP BY s.doc_id)
-SELECT d.doc_id, n AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(kept, '') || x[2 * coalesce(last, 0) + 1:])) AS kept_sha256 FROM d LEFT JOIN t USING (doc_id)
+t AS (SELECT s.doc_id, CAST(sum(b - a) AS BIGINT) AS removed, count(*) AS spans, string_agg(x[2 * e + 1:2 * a], '' ORDER BY a) AS kept,
+    string_agg(regexp_replace(regexp_replace(x[2 * e + 1:2 * a], '^([89AB].)+', ''), '([CD].|E.([89AB].)?|F.([89AB].){0,2})$', ''), '' ORDER BY a) AS whole, max(b) AS last FROM s JOIN d USING (doc_id) GROUP BY s.doc_id)
+SELECT d.doc_id, n AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(kept, '') || x[2 * coalesce(last, 0) + 1:])) AS kept_sha256,
+    decode(unhex(coalesce(whole, '') || regexp_replace(x[2 * coalesce(last, 0) + 1:], '^([89AB].)+', ''))) AS text FROM d LEFT JOIN t USING (doc_id)
 """
