@@ -1,15 +1,19 @@
 """Positions against ranges: smallest container or nearest, identifiers at a position, neighbours of a line.
 
-Every join has the path as an equality key, so it is a hash or sort-merge join with a residual predicate; the best match
-is an aggregate (min of a struct), not a sort.
+Ranges meet positions by nodes of a binary tree over the places of a file: a range is at most two nodes a level, a
+position lies in one node a level, so containment is an equi-join on (path, level, node), and so is the next or previous
+place (the sibling nodes on the way up). Nodes hold one row, the best of theirs, so what is joined grows as the inputs
+times the levels (the bits of the largest place), never as the pairs within a file, and a file with very many rows is
+spread over its nodes. A band of lines is a join on the line's bucket and its two neighbours.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ranges as R
+from .paging import first_per_group
 
 RANGE = ("sl", "sc", "el", "ec")
 
@@ -18,57 +22,173 @@ def _inside():
     return R.contains(F.col("sl"), F.col("sc"), F.col("el"), F.col("ec"), F.col("line"), F.col("character"))
 
 
+def _bits(df: DataFrame, *columns: str) -> int:
+    """The bits of the largest value of columns, by one aggregation."""
+    top = df.agg(F.max(F.greatest(F.lit(0), *columns)) if len(columns) > 1 else F.max(columns[0])).first()[0]
+    return max(1, int(top or 0).bit_length())
+
+
+class _Places:
+    """Places of a file in one order: lines shifted by the bits of the largest character."""
+
+    def __init__(self, lookups: DataFrame, symbols: DataFrame):
+        self.shift = max(_bits(lookups, "character"), _bits(symbols, "sc", "ec"))
+        self.levels = self.shift + max(_bits(lookups, "line"), _bits(symbols, "sl", "el")) + 1
+
+    def of(self, line: Column, character: Column) -> Column:
+        """Negative characters count as 0: before all others of their line."""
+        return F.shiftleft(F.greatest(line, F.lit(0)).cast("long"), self.shift) + F.greatest(character, F.lit(0))
+
+    def up(self) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(self.levels - 1)))
+
+    def covers(self, low: Column, high: Column) -> Column:
+        """Nodes (level, node) that make up the closed range, at most two a level."""
+        every = F.sequence(F.lit(0), F.lit(self.levels - 1))
+
+        def at(level: Column) -> Column:
+            size = F.call_function("shiftleft", F.lit(1).cast("long"), level)
+            first, last = (F.call_function("shiftright", x, level) for x in (low + size - 1, high + 1))
+            odd = lambda x: x.bitwiseAND(1) == 1
+            node = lambda ok, x: F.when(ok & (first < last), F.struct(level.cast("int").alias("level"), x.cast("long").alias("node")))
+            return F.array(node(odd(first), first), node(odd(last), last - 1))
+
+        return F.filter(F.flatten(F.transform(every, at)), lambda x: x.isNotNull())
+
+
+def _containing(lookups: DataFrame, symbols: DataFrame, places: _Places, best: Column) -> DataFrame:
+    """(path, p, b): the least best of the ranges that hold each place."""
+    nodes = symbols.select("path", F.explode(places.covers(places.of(F.col("sl"), F.col("sc")), places.of(F.col("el"), F.col("ec")))).alias("n"), best.alias("b"))
+    nodes = nodes.groupBy("path", "n.level", "n.node").agg(F.min("b").alias("b"))
+    at = lookups.select("path", "p", places.up().alias("level"))
+    at = at.withColumn("node", F.expr("shiftright(p, level)"))
+    return at.join(nodes, ["path", "level", "node"]).groupBy("path", "p").agg(F.min("b").alias("b"))
+
+
+def _beside(queries: DataFrame, items: DataFrame, places: _Places) -> DataFrame:
+    """queries (.., path, side, p, after) with b, the item (path, side, p, b) at the next place after p, or at the last before it; p itself isn't it.
+
+    A place's next one is in the lowest sibling node to its right that has any, at that node's first place.
+    """
+    up = items.select("path", "side", "p", "b", places.up().alias("level")).withColumn("node", F.expr("shiftright(p, level)"))
+    ends = up.groupBy("path", "side", "level", "node").agg(F.min(F.struct("p", "b")).alias("low"), F.min(F.struct((-F.col("p")).alias("m"), "p", "b")).alias("high"))
+    at = queries.select("*", places.up().alias("level"))
+    bit = F.expr("shiftright(p, level) & 1")
+    at = at.where(F.col("after") == (bit == 0)).withColumn("node", F.expr("shiftright(p, level) ^ 1"))
+    found = at.join(ends, ["path", "side", "level", "node"])
+    hit = F.when(F.col("after"), F.struct(F.col("low.p").alias("at"), F.col("low.b").alias("b"))).otherwise(F.struct(F.col("high.p").alias("at"), F.col("high.b").alias("b")))
+    return found.groupBy(*queries.columns).agg(F.min_by(hit, "level").alias("hit")).select(*queries.columns, "hit.at", "hit.b")
+
+
 def containers(lookups: DataFrame, symbols: DataFrame) -> DataFrame:
     """lookups (idx, path, line, character) with the symbol (name, sl, sc, el, ec) that holds each, or the nearest.
 
     Smallest span first, then the symbol's order (ord); where none holds it, nearest, then smallest. found: container,
-    nearest, or none where the file has no symbols.
+    nearest, or none where the file has no symbols. Ranges end where they begin or later; a line has under a million
+    characters, so the nearest line comes before the nearest character.
     """
-    span = R.span(*(F.col(c) for c in RANGE))
-    dist = R.distance(*(F.col(c) for c in RANGE), F.col("line"), F.col("character"))
-    pairs = lookups.join(symbols, "path")
-    key = F.struct(F.when(_inside(), 0).otherwise(1).alias("tier"), F.when(_inside(), 0).otherwise(dist).alias("dist"), span.alias("span"), F.col("ord"), F.col("name"), *RANGE)
-    best = pairs.groupBy("idx").agg(F.min(key).alias("b"))
-    out = lookups.join(best, "idx", "left_outer")
-    return out.select("idx", "path", "line", "character", F.when(F.col("b").isNull(), "none").when(F.col("b.tier") == 0, "container").otherwise("nearest").alias("found"), F.col("b.name").alias("name"), *[F.col(f"b.{c}").alias(c) for c in RANGE])
+    places = _Places(lookups, symbols)
+    tie = F.struct(R.span(*(F.col(c) for c in RANGE)).alias("span"), "ord", "name", *RANGE)
+    # of equal ranges only the first can be found, and equal places find the same
+    ranges_ = symbols.groupBy("path", *RANGE).agg(F.min(F.struct("ord", "name")).alias("o")).select("path", *RANGE, "o.ord", "o.name")
+    place = places.of(F.col("line"), F.col("character")).alias("p")
+    asked = lookups.select("path", "line", "character", place).distinct()
+    held = _containing(asked, ranges_, places, tie)
+    rest = asked.join(held, ["path", "p"], "left_anti")
+    # what holds none lies between ranges: starts after it, ends before it
+    start, end = places.of(F.col("sl"), F.col("sc")), places.of(F.col("el"), F.col("ec"))
+    sides = F.explode(F.array(F.struct(F.lit(True).alias("side"), start.alias("p")), F.struct(F.lit(False).alias("side"), end.alias("p")))).alias("s")
+    items = ranges_.select("path", sides, tie.alias("b")).groupBy("path", "s.side", "s.p").agg(F.min("b").alias("b"))
+    both = F.explode(F.array(F.lit(True), F.lit(False)))
+    near = _beside(rest.select("path", "line", "character", "p", both.alias("side")).withColumn("after", F.col("side")), items, places)
+    # on another line the nearest character counts, on either side of the one asked for or at it
+    line_of = F.shiftright("at", places.shift)
+    other = near.where(line_of != F.col("line")).select("path", "line", "character", "side", places.of(line_of, F.col("character")).alias("q"))
+    exact = other.join(items.withColumnRenamed("p", "q"), ["path", "side", "q"]).select("path", "line", "character", "side", F.col("q").alias("at"), "b")
+    beside = other.select("path", "line", "character", "side", F.col("q").alias("p"), F.explode(F.array(F.lit(True), F.lit(False))).alias("after"))
+    beside = _beside(beside, items, places).where(F.expr(f"shiftright(at, {places.shift}) = shiftright(p, {places.shift})"))
+    cols = ("path", "line", "character", "at", "b")
+    found = near.where(line_of == F.col("line")).select(*cols).unionByName(exact.select(*cols)).unionByName(beside.select(*cols))
+    dist = R.distance(*(F.col(f"b.{c}") for c in RANGE), F.col("line"), F.col("character"))
+    nearest = found.groupBy("path", "line", "character").agg(F.min(F.struct(dist.alias("dist"), "b")).alias("d")).select("path", "line", "character", F.lit("nearest").alias("found"), F.col("d.b").alias("b"))
+    held = held.join(asked, ["path", "p"]).select("path", "line", "character", F.lit("container").alias("found"), "b")
+    out = lookups.join(held.unionByName(nearest), ["path", "line", "character"], "left_outer")
+    return out.select("idx", "path", "line", "character", F.coalesce("found", F.lit("none")).alias("found"), F.col("b.name").alias("name"), *[F.col(f"b.{c}").alias(c) for c in RANGE])
 
 
 def references_inside(references: DataFrame, symbols: DataFrame, full_scan: bool = False) -> DataFrame:
-    """references that lie in each symbol: all-references rows only on a full scan, the others otherwise."""
+    """references that lie in each symbol: all-references rows only on a full scan, the others otherwise.
+
+    A reference's start meets the nodes of the ranges that hold it, so only its ends are left to compare.
+    """
     scan = F.col("rule_id") == "all-references"
-    r = references.where(scan if full_scan else ~scan).alias("r")
-    s = symbols.alias("s")
-    inside = R.range_in(*(F.col(f"r.{c}") for c in RANGE), *(F.col(f"s.{c}") for c in RANGE))
-    return r.join(s, (F.col("r.path") == F.col("s.path")) & inside).select(F.col("s.name").alias("symbol"), "r.*")
+    r = references.where(scan if full_scan else ~scan)
+    places = _Places(r.select(F.col("sl").alias("line"), F.col("sc").alias("character")), symbols)
+    s = symbols.select("path", F.col("name").alias("symbol"), *[F.col(c).alias(f"s_{c}") for c in RANGE], F.explode(places.covers(places.of(F.col("sl"), F.col("sc")), places.of(F.col("el"), F.col("ec")))).alias("n"))
+    s = s.select("*", F.col("n.level").alias("_level"), F.col("n.node").alias("_node")).drop("n")
+    at = r.select("*", places.up().alias("_level")).withColumn("_node", F.call_function("shiftright", places.of(F.col("sl"), F.col("sc")), F.col("_level")))
+    inside = R.range_in(*(F.col(c) for c in RANGE), *(F.col(f"s_{c}") for c in RANGE))
+    return at.join(s, ["path", "_level", "_node"]).where(inside).select("symbol", *references.columns)
 
 
 def identifiers_at(lookups: DataFrame, identifiers: DataFrame) -> DataFrame:
     """The identifier at each position: one that holds it; else the line's only or closest one; else none and closest three.
 
     (idx, tier, name, sl, sc, closest): tier 0 holds, 1 on the line, 2 elsewhere; closest only with tier 2, an array of
-    names by 100 * lines + characters away.
+    names by 100 * lines + characters away. Lines on which identifiers start answer first, by an equi-join on the line;
+    ranges of several lines by their nodes. Only positions that neither answers are compared with others of their file:
+    of each line that has identifiers, the three before and the three after the position's character.
     """
-    far = F.abs(F.col("sl") - F.col("line")) * 100 + F.abs(F.col("sc") - F.col("character"))
-    tier = F.when(_inside(), 0).when(F.col("sl") == F.col("line"), 1).otherwise(2)
-    pairs = lookups.join(identifiers, "path").withColumn("tier", tier).withColumn("far", far.cast("long"))
-    w = Window.partitionBy("idx").orderBy("tier", "far", "sl", "sc", "name")
-    top = pairs.withColumn("r", F.row_number().over(w)).where("r <= 3")
-    one = top.groupBy("idx").agg(F.min(F.when(F.col("r") == 1, F.struct("tier", "name", "sl", "sc"))).alias("b"), F.array_sort(F.collect_list(F.struct("r", "name"))).alias("near"))
-    out = lookups.join(one, "idx", "left_outer")
-    hit = F.col("b.tier") < 2
-    return out.select("idx", F.col("b.tier").alias("tier"), F.when(hit, F.col("b.name")).alias("name"), F.when(hit, F.col("b.sl")).alias("sl"), F.when(hit, F.col("b.sc")).alias("sc"), F.when(F.col("b.tier") == 2, F.transform("near", lambda x: x["name"])).alias("closest"))
+    key = ["path", "line", "character"]
+    far = (F.abs(F.col("sl") - F.col("line")) * 100 + F.abs(F.col("sc") - F.col("character"))).cast("long")
+    asked = lookups.select(key).distinct()
+    order = F.struct("tier", far.alias("far"), "sl", "sc", "name")
+    here = asked.join(identifiers, (asked["path"] == identifiers["path"]) & (asked["line"] == identifiers["sl"])).drop(identifiers["path"])
+    here = here.withColumn("tier", F.when(_inside(), 0).otherwise(1)).select(*key, order.alias("b"))
+    # ranges that begin on an earlier line and hold the position
+    wide = identifiers.where("el > sl")
+    places = _Places(asked, identifiers)
+    cover = wide.select(F.col("path").alias("_path"), "name", *RANGE, F.explode(places.covers(places.of(F.col("sl"), F.col("sc")), places.of(F.col("el"), F.col("ec")))).alias("n"))
+    at = asked.select("*", places.up().alias("_level")).withColumn("_node", F.call_function("shiftright", places.of(F.col("line"), F.col("character")), F.col("_level")))
+    held = at.join(cover, (at["path"] == F.col("_path")) & (at["_level"] == F.col("n.level")) & (at["_node"] == F.col("n.node"))).where(_inside()).withColumn("tier", F.lit(0))
+    best = here.unionByName(held.select(*key, order.alias("b"))).groupBy(key).agg(F.min("b").alias("b"))
+    # the others: a file's lines, of each the nearest characters
+    rest = asked.join(best, key, "left_anti")
+    lines = identifiers.groupBy("path", F.col("sl").alias("at")).agg(F.array_sort(F.collect_list(F.struct("sc", "name"))).alias("l"))
+    near = rest.join(lines, "path").select(*key, "at", F.filter("l", lambda x: x["sc"] < F.col("character")).alias("low"), F.filter("l", lambda x: x["sc"] >= F.col("character")).alias("high"))
+    # of equal characters before, the first three by name count, so whole characters are kept
+    edge = F.element_at("low", -F.least(F.lit(3), F.size("low")))["sc"]
+    low = F.when(F.size("low") == 0, F.col("low")).otherwise(F.filter("low", lambda x: x["sc"] >= edge))
+    near = near.select(*key, F.col("at").alias("sl"), F.explode(F.concat(low, F.slice("high", 1, 3))).alias("x")).select(*key, "sl", "x.sc", "x.name")
+    top = first_per_group(near.withColumn("far", far), key, ["far", "sl", "sc", "name"], 3)
+    closest = top.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("far", "sl", "sc", "name"))).alias("near"))
+    out = lookups.join(best, key, "left_outer").join(closest, key, "left_outer")
+    tier = F.coalesce(F.col("b.tier"), F.when(F.col("near").isNotNull(), 2))
+    return out.select("idx", tier.alias("tier"), F.col("b.name").alias("name"), F.col("b.sl").alias("sl"), F.col("b.sc").alias("sc"), F.transform("near", lambda x: x["name"]).alias("closest"))
+
+
+def _band(lookups: DataFrame, lines: DataFrame, within: int) -> DataFrame:
+    """lookups (path, line, ..) with rows of lines (path, at, ..) at most within lines away."""
+    width = within + 1
+    b = F.floor(F.col("line") / width)
+    near = lookups.withColumn("_band", F.explode(F.array(b - 1, b, b + 1)))
+    return near.join(lines.withColumn("_band", F.floor(F.col("at") / width)), ["path", "_band"]).where(F.abs(F.col("at") - F.col("line")) <= within).drop("_band")
 
 
 def near_line(lookups: DataFrame, symbols: DataFrame, within: int = 3, most: int = 3) -> DataFrame:
-    """(idx, name, distance, place): symbols that start within some lines, the nearest few."""
-    pairs = lookups.join(symbols.withColumnRenamed("sl", "at"), "path").withColumn("distance", F.abs(F.col("at") - F.col("line")))
+    """(idx, name, distance, place): symbols that start within some lines, the nearest few; of a line only the first few can be."""
+    few = first_per_group(symbols.select("path", F.col("sl").alias("at"), "name"), ["path", "at"], ["name"], most)
+    pairs = _band(lookups.select("idx", "path", "line"), few, within).withColumn("distance", F.abs(F.col("at") - F.col("line")))
     w = Window.partitionBy("idx").orderBy("distance", "at", "name")
-    return pairs.where(F.col("distance") <= within).withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).select("idx", "name", "distance", "place")
+    return pairs.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).select("idx", "name", "distance", "place")
 
 
 def definitions_to_symbols(definitions: DataFrame, symbols: DataFrame, window: int = 3) -> DataFrame:
     """Each definition (id, path, line, character) with the symbol at exactly its place, else the nearest within a few lines."""
-    exact = (F.col("sl") == F.col("line")) & (F.col("sc") == F.col("character"))
-    pairs = definitions.join(symbols, "path").where(F.abs(F.col("sl") - F.col("line")) <= window)
-    best = pairs.groupBy("id").agg(F.min(F.struct(F.when(exact, 0).otherwise(1).alias("tier"), F.abs(F.col("sl") - F.col("line")).alias("far"), "sl", "sc", "name")).alias("b"))
-    return definitions.join(best, "id", "left_outer").select("id", "path", "line", "character", F.col("b.name").alias("name"), (F.col("b.tier") == 0).alias("exact"))
+    places = symbols.groupBy("path", "sl", "sc").agg(F.min("name").alias("exact_name"))
+    first = symbols.groupBy("path", F.col("sl").alias("at")).agg(F.min(F.struct("sc", "name")).alias("s"))
+    asked = definitions.select("path", "line", "character").distinct()
+    near = _band(asked.select("path", "line").distinct(), first, window).groupBy("path", "line").agg(F.min(F.struct(F.abs(F.col("at") - F.col("line")).alias("far"), "at", F.col("s.sc").alias("sc"), F.col("s.name").alias("name"))).alias("b"))
+    out = definitions.join(places.withColumnsRenamed({"sl": "line", "sc": "character"}), ["path", "line", "character"], "left_outer").join(near, ["path", "line"], "left_outer")
+    found = F.coalesce("exact_name", F.col("b.name"))
+    return out.select("id", "path", "line", "character", found.alias("name"), F.when(found.isNotNull(), F.col("exact_name").isNotNull()).alias("exact"))
