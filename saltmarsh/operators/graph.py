@@ -1,7 +1,8 @@
 """The code graph: statistics, modules, bounded breadth-first search, impact and context, building and removal.
 
 A breadth-first search joins its frontier, never the whole of what it has seen, with the edges; each level is written to
-the checkpoint folder once it has grown, so lineage stays short. Depth is bounded, so is the number of jobs.
+the shared folder, so it is reached once and lineage stays short. Depth is bounded, so is the number of jobs. Edges are
+read once a level: pass a stored table, not a view that is dear to derive.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths, values
+from ..sources.work import materialize
 from .paging import first_per_group
 
 KINDS = ("defines", "imports", "calls")
@@ -51,12 +53,12 @@ def bfs(edges: DataFrame, starts: DataFrame, direction: str, depth: int) -> Data
     back = edges.select(F.col("to_id").alias("a"), F.col("from_id").alias("b"))
     arcs = {"outgoing": out, "incoming": back, "both": out.unionByName(back)}[direction]
     seen = starts.select("id").distinct().withColumn("depth", F.lit(0))
-    frontier = seen
+    if depth < 1:
+        return seen
+    frontier = seen = materialize(seen, "level")
     for d in range(1, depth + 1):
         step = frontier.join(arcs, frontier["id"] == arcs["a"]).select(F.col("b").alias("id")).distinct()
-        frontier = step.join(seen, "id", "left_anti").withColumn("depth", F.lit(d))
-        if d >= 2 and starts.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-            frontier = frontier.checkpoint()
+        frontier = materialize(step.join(seen, "id", "left_anti").withColumn("depth", F.lit(d)), "level")
         seen = seen.unionByName(frontier)
     return seen
 
@@ -119,18 +121,29 @@ def shown(edges: DataFrame, groups: int = 10, each: int = 3) -> DataFrame:
     return rows.join(F.broadcast(few), "from_id")
 
 
-def build(files: DataFrame, symbols: DataFrame, calls: DataFrame) -> DataFrame:
-    """Edges from facts: files define their symbols; functions and methods call what their calls name."""
+def _calls(symbols: DataFrame, calls: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """symbols with sym_id, and calls with the ids of the caller and of what it calls."""
     s = symbols.withColumn("sym_id", values.graph_id("s", F.col("path"), F.col("name"), F.col("sl"), F.col("sc")))
-    d = s.join(files.select("path"), "path").select(F.lit("defines").alias("kind"), values.graph_id("f", F.col("path")).alias("from_id"), F.col("sym_id").alias("to_id"))
     caller = s.where(F.col("kind").isin("function", "method")).select(F.col("path").alias("cp"), F.col("name").alias("cn"), F.col("sym_id").alias("from_id"))
     callee = s.select(F.col("path").alias("tp"), F.col("name").alias("tn"), F.col("sym_id").alias("to_id"))
     c = calls.join(caller, (calls["path"] == F.col("cp")) & (calls["caller"] == F.col("cn"))).join(callee, (calls["to_path"] == F.col("tp")) & (calls["name"] == F.col("tn")))
-    c = c.select(F.lit("calls").alias("kind"), "from_id", "to_id")
-    out = d.unionByName(c).distinct().withColumn("id", values.graph_id("e", F.col("kind"), F.col("from_id"), F.col("to_id")))
+    return s, c.withColumn("edge_kind", F.lit("calls"))
+
+
+def build(files: DataFrame, symbols: DataFrame, calls: DataFrame) -> DataFrame:
+    """Edges from facts: files define their symbols; functions and methods call what their calls name."""
+    s, c = _calls(symbols, calls)
+    d = s.join(files.select("path"), "path").select(F.lit("defines").alias("kind"), values.graph_id("f", F.col("path")).alias("from_id"), F.col("sym_id").alias("to_id"))
+    out = d.unionByName(c.select(F.col("edge_kind").alias("kind"), "from_id", "to_id")).distinct().withColumn("id", values.graph_id("e", F.col("kind"), F.col("from_id"), F.col("to_id")))
     return out.withColumn("confidence", F.lit("high")).withColumn("provenance", F.lit("lsp"))
 
 
+def build_sites(symbols: DataFrame, calls: DataFrame) -> DataFrame:
+    """(edge_id, line, character): where the calls (.., line, character) of build()'s edges stand, each place once."""
+    _, c = _calls(symbols, calls)
+    return c.select(values.graph_id("e", F.col("edge_kind"), F.col("from_id"), F.col("to_id")).alias("edge_id"), "line", "character").distinct()
+
+
 def remove_file(files: DataFrame, symbols: DataFrame, edges: DataFrame, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Files, symbols and edges without a file, its symbols, and the edges at either."""
     gone = symbols.where(F.col("path") == path).select("id").unionByName(files.where(F.col("path") == path).select("id"))

@@ -71,9 +71,28 @@ def re_rank(results: DataFrame) -> DataFrame:
     return results.withColumn("new_rank", F.row_number().over(w)).drop("rank").withColumnRenamed("new_rank", "rank")
 
 
-def semantic_search(vectors: DataFrame, query: DataFrame, query_text: str, k: int = MAX_RESULTS, prefix: str | None = None, min_score: float = MIN_SCORE, include: list[str] = (), exclude: list[str] = (), per_file: bool = True) -> DataFrame:
-    """The whole pipeline: prefix, k best, minimum score, globs, hybrid order, one per segment and file, ranks."""
-    out = top_k(score(filtered(vectors, prefix), query), k)
+def with_facts(results: DataFrame, facts: DataFrame) -> DataFrame:
+    """The k best rows with their columns of facts (id, ..), among them a segment_hash by the text: read for these rows only."""
+    out = results.join(facts, "id")
+    return out if "segment_hash" in facts.columns else out.withColumn("segment_hash", F.sha2("code", 256))
+
+
+def allowed(vectors: DataFrame, ids: DataFrame | None) -> DataFrame:
+    """vectors whose id is in an allow-list (id); all of them without one."""
+    return vectors if ids is None else vectors.join(ids.select("id"), "id", "left_semi")
+
+
+def semantic_search(vectors: DataFrame, query: DataFrame, query_text: str, k: int = MAX_RESULTS, prefix: str | None = None, min_score: float = MIN_SCORE, include: list[str] = (), exclude: list[str] = (), per_file: bool = True, facts: DataFrame | None = None) -> DataFrame:
+    """The whole pipeline: prefix, k best, minimum score, globs, hybrid order, one per segment and file, ranks.
+
+    Without facts, vectors has all columns. With facts (id, path, code, symbol, ..), vectors (id, embedding) are scored
+    alone: of facts only the ids are read before (and paths, where there is a prefix), the rest for the k best rows.
+    """
+    if facts is None:
+        out = top_k(score(filtered(vectors, prefix), query), k)
+    else:
+        known = allowed(vectors.select("id", "embedding"), filtered(facts, prefix))
+        out = with_facts(top_k(score(known, query).drop("embedding"), k), facts)
     out = post_filter(out, min_score, include=include, exclude=exclude)
     out = first_per_segment(rerank(out, query_text))
     return re_rank(best_per_file(out) if per_file else out)

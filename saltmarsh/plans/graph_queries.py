@@ -4,11 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import values
 from ..operators import graph, paging
 from ..sources.tables import edges, files, nodes, table
+from ..sources.work import materialize
 from .registry import query
 
 
+def stored_edges(spark, d):
+    """The edges as a table: searches read them once a level, the view would be derived each time."""
+    return materialize(edges(spark, d), "edges")
+
+
 @query("SELECT (SELECT count(*) FROM files) AS files, (SELECT count(*) FROM part) AS symbols, (SELECT count(*) FROM edges) AS edges")
 def graph_stats(spark, d):
     return graph.stats(files(spark, d), table(spark, d, "part"), edges(spark, d))
@@ -41,7 +48,7 @@ l1 AS (SELECT DISTINCT to_id AS id FROM edges WHERE from_id = 'n3'), l2 AS (SELE
 
 @query(f"WITH {BFS} SELECT id, CAST(depth AS INT) AS depth FROM reach")
 def bfs_depth(spark, d):
-    return graph.bfs(edges(spark, d), _start(spark, "n3"), "outgoing", 2)
+    return graph.bfs(stored_edges(spark, d), _start(spark, "n3"), "outgoing", 2)
 
 
 def _start(spark, id_):
@@ -52,7 +59,7 @@ def _start(spark, id_):
 WITH w AS (SELECT 'n3' AS id, 0 AS depth UNION SELECT edges.to_id, depth + 1 FROM w JOIN edges ON from_id = w.id WHERE depth < 3) SELECT w.id, CAST(min(depth) AS INT) AS depth FROM w GROUP BY w.id
 """)
 def bfs_recursive_twin(spark, d):
-    return graph.bfs(edges(spark, d), _start(spark, "n3"), "outgoing", 3)
+    return graph.bfs(stored_edges(spark, d), _start(spark, "n3"), "outgoing", 3)
 
 
 @query("""
@@ -60,14 +67,14 @@ WITH i1 AS (SELECT DISTINCT from_id AS id FROM edges WHERE to_id = 'p7'), n AS (
 SELECT id, kind, from_id, to_id FROM edges WHERE to_id IN (SELECT id FROM n)
 """)
 def impact(spark, d):
-    return graph.impact(edges(spark, d), _start(spark, "p7"), 2)[1].select("id", "kind", "from_id", "to_id")
+    return graph.impact(stored_edges(spark, d), _start(spark, "p7"), 2)[1].select("id", "kind", "from_id", "to_id")
 
 
 @query("""
 WITH i1 AS (SELECT DISTINCT from_id AS id FROM edges WHERE to_id = 'p7' AND kind = 'calls'), n AS (SELECT 'p7' AS id UNION SELECT id FROM i1) SELECT id, kind, from_id, to_id FROM edges WHERE kind = 'calls' AND to_id IN (SELECT id FROM n)
 """)
 def impact_of_kind(spark, d):
-    return graph.impact(edges(spark, d), _start(spark, "p7"), 2, "calls")[1].select("id", "kind", "from_id", "to_id")
+    return graph.impact(stored_edges(spark, d), _start(spark, "p7"), 2, "calls")[1].select("id", "kind", "from_id", "to_id")
 
 
 @query("""
@@ -75,13 +82,18 @@ WITH c1 AS (SELECT to_id AS id FROM edges WHERE from_id = 'o5' UNION SELECT from
 SELECT id, kind, from_id, to_id FROM edges WHERE to_id IN (SELECT id FROM n) OR from_id IN (SELECT id FROM n)
 """)
 def context(spark, d):
-    return graph.context(edges(spark, d), _start(spark, "o5"), 1)[1].select("id", "kind", "from_id", "to_id")
+    return graph.context(stored_edges(spark, d), _start(spark, "o5"), 1)[1].select("id", "kind", "from_id", "to_id")
 
 
 @query(f"WITH {BFS} SELECT id, CAST(depth AS INT) AS depth FROM reach ORDER BY depth, id LIMIT 50")
 def graph_limit(spark, d):
-    n = graph.bfs(edges(spark, d), _start(spark, "n3"), "outgoing", 2)
-    return graph.limited(n, edges(spark, d))[0]
+    e = stored_edges(spark, d)
+    return graph.limited(graph.bfs(e, _start(spark, "n3"), "outgoing", 2), e)[0]
+
+
+@query("SELECT id FROM edges ORDER BY id LIMIT 100")
+def graph_limit_edges(spark, d):
+    return graph.limited(_start(spark, "n3").withColumn("depth", F.lit(0)), edges(spark, d))[1].select("id")
 
 
 @query("SELECT id, node_type, name, 1 AS tier FROM nodes WHERE node_type = 'symbol' AND starts_with(lower(name), 'order_12')")
@@ -148,6 +160,19 @@ def graph_build(spark, d):
     return graph.edge_counts(graph.build(p.select(F.col("p_brand").alias("path")).distinct(), s, c))
 
 
+@query("SELECT a.p_name || '_' || a.p_partkey AS caller, count(*) AS n, min(line) AS line FROM (SELECT DISTINCT l_partkey, l_suppkey, l_linenumber AS line FROM lineitem) JOIN part a ON a.p_partkey = l_partkey JOIN part b ON b.p_partkey = l_suppkey AND b.p_brand = a.p_brand GROUP BY 1")
+def graph_build_sites(spark, d):
+    p = table(spark, d, "part")
+    name = F.concat_ws("_", "p_name", F.col("p_partkey").cast("string"))
+    s = p.select(F.col("p_brand").alias("path"), name.alias("name"), F.lit("function").alias("kind"), F.col("p_size").alias("sl"), F.col("p_partkey").cast("int").alias("sc"))
+    a, b = p.select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("path"), name.alias("caller")), p.select(F.col("p_partkey").alias("l_suppkey"), F.col("p_brand").alias("to_path"), name.alias("name"))
+    c = table(spark, d, "lineitem").select("l_partkey", "l_suppkey", F.col("l_linenumber").alias("line"), F.lit(1).alias("character")).join(a, "l_partkey").join(b, "l_suppkey").where("path = to_path")
+    e = graph.build(p.select(F.col("p_brand").alias("path")).distinct(), s, c).where("kind = 'calls'")
+    named = s.select(F.col("name").alias("caller"), values.graph_id("s", F.col("path"), F.col("name"), F.col("sl"), F.col("sc")).alias("from_id"))
+    sites = graph.build_sites(s, c).join(e.select(F.col("id").alias("edge_id"), "from_id"), "edge_id").join(named, "from_id")
+    return sites.groupBy("caller").agg(F.count("*").alias("n"), F.min("line").alias("line"))
+
+
 @query("SELECT n_regionkey AS grp, n_nationkey AS id, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name, n_nationkey) AS INT) AS place FROM nation QUALIFY place <= 3", views=False)
 def display_caps(spark, d):
     n = table(spark, d, "nation").select(F.col("n_regionkey").alias("grp"), F.col("n_nationkey").alias("id"), "n_name")

@@ -11,10 +11,20 @@ from .registry import query
 
 
 def vectors(spark, d):
-    """Documents with vectors: (id, path, embedding, kind, code, symbol, segment_hash)."""
-    f = files(spark, d).select(F.col("doc_id").alias("id"), "path", F.col("content").alias("code"), "language")
-    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding"), F.when(F.col("label") != 5, F.col("label")).alias("kind"))
-    return f.join(v, "id").select("id", "path", "embedding", "kind", "code", F.col("language").alias("symbol"), F.sha2("code", 256).alias("segment_hash"))
+    """(id, embedding, kind)."""
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding"), F.when(F.col("label") != 5, F.col("label")).alias("kind"))
+
+
+def facts(spark, d):
+    """(id, path, code, symbol) of documents."""
+    return files(spark, d).select(F.col("doc_id").alias("id"), "path", F.col("content").alias("code"), F.col("language").alias("symbol"))
+
+
+def best(spark, d, k, prefix=None):
+    """The k best of the documents with vectors, with their facts."""
+    f = facts(spark, d)
+    known = search.allowed(vectors(spark, d), search.filtered(f, prefix))
+    return search.with_facts(search.top_k(search.score(known, one(spark, d)).drop("embedding"), k), f)
 
 
 def one(spark, d, vec_id=0):
@@ -28,13 +38,13 @@ scored AS (SELECT id, path, kind, code, symbol, segment_hash, qid, round(list_co
 
 @query(f"WITH {V} SELECT id, score, CAST(row_number() OVER (ORDER BY score DESC, id) AS INT) AS rank FROM scored QUALIFY rank <= 10")
 def vector_topk(spark, d):
-    return search.top_k(search.score(vectors(spark, d).select("id", "embedding"), one(spark, d)), 10).select("id", "score", F.col("rank").cast("int").alias("rank"))
+    known = search.allowed(vectors(spark, d), facts(spark, d))
+    return search.top_k(search.score(known, one(spark, d)), 10).select("id", "score", F.col("rank").cast("int").alias("rank"))
 
 
 @query(f"WITH {V} SELECT id, path, score, CAST(row_number() OVER (ORDER BY score DESC, id) AS INT) AS rank FROM scored WHERE path = 'src1' OR starts_with(path, 'src1/') QUALIFY rank <= 5")
 def filtered_topk(spark, d):
-    v = search.filtered(vectors(spark, d), "src1").select("id", "path", "embedding")
-    return search.top_k(search.score(v, one(spark, d)), 5).select("id", "path", "score", F.col("rank").cast("int").alias("rank"))
+    return best(spark, d, 5, "src1").select("id", "path", "score", F.col("rank").cast("int").alias("rank"))
 
 
 @query("""
@@ -50,8 +60,7 @@ def batch_topk(spark, d):
 
 @query(f"WITH {V}, t AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS rank FROM scored QUALIFY rank <= 50) SELECT id, score FROM t WHERE score >= 0.1 AND kind IN (1, 2, 3) AND regexp_matches(path, '^[^/]*/(en|fr)/.*$')")
 def topk_post_filter(spark, d):
-    t = search.top_k(search.score(vectors(spark, d), one(spark, d)), 50)
-    return search.post_filter(t, 0.1, [1, 2, 3], ["*/{en,fr}/**"]).select("id", "score")
+    return search.post_filter(best(spark, d, 50), 0.1, [1, 2, 3], ["*/{en,fr}/**"]).select("id", "score")
 
 
 HYBRID = f"""WITH {V}, t AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS rank FROM scored QUALIFY rank <= 40), f AS (SELECT *, translate(code, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS c FROM t WHERE score >= 0.05),
@@ -62,13 +71,13 @@ SELECT id, path, hybrid AS score, CAST(row_number() OVER (ORDER BY hybrid DESC,
 
 @query(HYBRID)
 def hybrid_search(spark, d):
-    out = search.semantic_search(vectors(spark, d), one(spark, d), "the tion", 40, min_score=0.05)
+    out = search.semantic_search(vectors(spark, d), one(spark, d), "the tion", 40, min_score=0.05, facts=facts(spark, d))
     return out.select("id", "path", "score", F.col("rank").cast("int").alias("rank"))
 
 
 @query(f"WITH {V}, t AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS rank FROM scored QUALIFY rank <= 100), g AS (SELECT id, score, rank, split_part(path, '/', 1) AS path FROM t) SELECT id, path, score FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY score DESC, rank) AS r FROM g) WHERE r = 1")
 def best_per_file(spark, d):
-    t = search.top_k(search.score(vectors(spark, d), one(spark, d)), 100).withColumn("path", F.substring_index("path", "/", 1))
+    t = best(spark, d, 100).withColumn("path", F.substring_index("path", "/", 1))
     return search.best_per_file(t).select("id", "path", "score")
 
 
@@ -84,3 +93,9 @@ def vector_norms(spark, d):
 def matched_terms(spark, d):
     t = text.query_terms(F.lit("THE der"))
     return files(spark, d).select("doc_id", F.size(text.matched_terms(t, F.col("content"), F.lit(""))).alias("hits"))
+
+
+@query(f"WITH {V} SELECT id, score, CAST(row_number() OVER (ORDER BY score DESC, id) AS INT) AS rank FROM scored WHERE id % 3 = 1 QUALIFY rank <= 20")
+def allow_list_topk(spark, d):
+    ids = facts(spark, d).where("id % 3 = 1").select("id")
+    return search.top_k(search.score(search.allowed(vectors(spark, d), ids), one(spark, d)), 20).select("id", "score", F.col("rank").cast("int").alias("rank"))
