@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Symbol kinds, confidences and provenances that are stored; others fall back to the last argument below.
@@ -83,12 +83,23 @@ def enrichment(json: Column, summary_chars: int, most_tags: int) -> Column:
     return F.struct(summary.alias("summary"), F.when(F.size(tags) > 0, tags).alias("tags"))
 
 
+def hover_requests(json: Column) -> Column:
+    """The requests of a JSON array of {path, line, character}; null where it is none."""
+    return F.from_json(json, "array<struct<path:string,line:int,character:int>>")
+
+
 def merged_map(a: Column, b: Column) -> Column:
     """Entries of both; b's where both have a key."""
     rest = F.map_filter(a, lambda k, _: ~F.coalesce(F.map_contains_key(b, k), F.lit(False)))
     return F.map_concat(rest, b)
 
 
+def merged_lists(rows: DataFrame, key: str, items: str) -> DataFrame:
+    """(key, items): the distinct items of a key's lists, in order; equal items are one row before they are gathered."""
+    each = rows.select(key, F.explode(items).alias(items)).distinct()
+    return each.groupBy(key).agg(F.sort_array(F.collect_list(items)).alias(items))
+
+
 def progress_percent(done: Column, total: Column) -> Column:
     return F.when(total > 0, done * 100.0 / total).otherwise(F.lit(0.0))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .paging import first_per_group
@@ -65,27 +65,44 @@ def stats(chunks: DataFrame) -> DataFrame:
 
 def fetch_in_order(requests: DataFrame, entries: DataFrame, key: str) -> DataFrame:
     """requests (pos, key) with their entries: the requests' order, duplicates kept, null where there is none."""
-    return requests.join(entries, key, "left_outer")
+    return requests.join(entries, key, "left_outer").orderBy("pos", key)
 
 
-def next_ids(rows: DataFrame, new: DataFrame, key: str, id_col: str = "id") -> DataFrame:
-    """new's keys with ids from the largest on. Ids by hash need no order; this is for callers that want dense ones."""
-    from pyspark.sql import Window
+#: Keys that come to the driver to cut keys into ranges.
+BOUNDS = 64
+
 
-    top = rows.agg((F.coalesce(F.max(id_col), F.lit(-1)) + 1).alias("base"))
-    return new.select(key).distinct().crossJoin(F.broadcast(top)).select(key, (F.col("base") + F.row_number().over(Window.orderBy(key)) - 1).cast("long").alias(id_col))
+def next_ids(rows: DataFrame, new: DataFrame, key: str, id_col: str = "id") -> DataFrame:
+    """new's keys with ids from the largest on, in the keys' order. Ids by hash need no order; this is for callers that want dense ones.
+
+    Keys are numbered within ranges, cut at the BOUNDS keys of least hash; only the ranges' counts are ordered as a whole.
+    """
+    keys = new.select(key).where(F.col(key).isNotNull()).distinct()
+    bounds = sorted(r[0] for r in keys.orderBy(F.xxhash64(key), key).limit(BOUNDS).collect())
+    part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(key))) if bounds else F.lit(0)
+    keys = keys.withColumn("_part", part)
+    counts = keys.groupBy("_part").agg(F.count("*").alias("_n"))  # BOUNDS + 1 rows at most
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    top = rows.agg((F.coalesce(F.max(id_col), F.lit(-1)) + 1).alias("_base"))
+    starts = counts.select("_part", before.alias("_before")).crossJoin(top).select("_part", (F.col("_before") + F.col("_base")).alias("_start"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(key))
+    return keys.withColumn("_place", place).join(F.broadcast(starts), "_part").select(key, (F.col("_start") + F.col("_place") - 1).cast("long").alias(id_col))
 
 
 def overwrite_atomically(df: DataFrame, path: str) -> None:
-    """df in place of what is at path: written beside it first, then renamed, so a failure leaves the old table whole."""
+    """df in place of what is at path: written whole beside it first, then renamed.
+
+    Between the two renames path is missing: load_or_empty() then reads the old table, beside it, so its readers always see
+    one of the two, and a failure loses neither.
+    """
     spark: SparkSession = df.sparkSession
     part, old = f"{path}.new", f"{path}.old"
     df.write.mode("overwrite").parquet(part)
     jvm = spark.sparkContext._jvm
     to = lambda p: jvm.org.apache.hadoop.fs.Path(p)
     fs = to(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(to(old), True)
     if fs.exists(to(path)):
+        fs.delete(to(old), True)
         fs.rename(to(path), to(old))
     fs.rename(to(part), to(path))
     fs.delete(to(old), True)
@@ -96,10 +113,12 @@ def reset(df: DataFrame, path: str) -> None:
 
 
 def load_or_empty(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, str]:
-    """(table, state): Ready, or an empty table and Empty where it can't be read."""
+    """(table, state): Ready, or an empty table and Empty where it can't be read, neither at path nor where a replacement put it aside."""
     from pyspark.errors import AnalysisException
 
-    try:
-        return spark.read.schema(schema).parquet(path), "Ready"
-    except AnalysisException:
-        return spark.createDataFrame([], schema), "Empty"
+    for at in (path, f"{path}.old"):
+        try:
+            return spark.read.schema(schema).parquet(at), "Ready"
+        except AnalysisException:
+            continue
+    return spark.createDataFrame([], schema), "Empty"

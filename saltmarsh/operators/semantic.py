@@ -238,10 +238,21 @@ def embed(chunks: DataFrame, provider: Callable[[list[str]], np.ndarray] | None
 ENRICHABLE = ["function", "type", "impl", "constant"]
 
 
+def enrichable(chunks: DataFrame) -> DataFrame:
+    """Chunks of kinds that a model describes, with code."""
+    return chunks.where(F.col("symbol_kind").isin(ENRICHABLE) & (F.col("code") != ""))
+
+
+def cached_and_pending(chunks: DataFrame, cached: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """chunks that a cache (segment_hash, ..) has, and those it lacks."""
+    keys = cached.select("segment_hash")
+    return chunks.join(keys, "segment_hash", "left_semi"), chunks.join(keys, "segment_hash", "left_anti")
+
+
 def enrich(chunks: DataFrame, cached: DataFrame, model: Callable[[str], str], summary_chars: int = 200, most_tags: int = 5) -> DataFrame:
     """chunks with summary and tags: from the cache, else from the model; what fails stays without."""
     have = chunks.join(cached.select("segment_hash", "summary", "tags"), "segment_hash", "left_outer")
-    open_ = chunks.where(F.col("symbol_kind").isin(ENRICHABLE) & (F.col("code") != "")).join(cached, "segment_hash", "left_anti")
+    open_ = cached_and_pending(enrichable(chunks), cached)[1]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

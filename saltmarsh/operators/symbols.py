@@ -45,17 +45,21 @@ def candidate_score(preferred: str | None):
 
 
 
-def candidates(symbols: DataFrame, query: str, preferred: str | None = None, alternates: int = 5) -> DataFrame:
-    """The chosen candidate (place 1) and alternates. Exact matches if any, else fuzzy ones; of these exact names if any, of these the path asked for if any."""
+def candidates(symbols: DataFrame, query: str, preferred: str | None = None, alternates: int = 5, tie: str | None = None) -> DataFrame:
+    """The chosen candidate (place 1) and alternates. Exact matches if any, else fuzzy ones; of these exact names if any, of these the path asked for if any.
+
+    tie: a column that decides between candidates which are equal in all that counts.
+    """
+    order = [F.desc("score"), F.desc("scaled"), "line", "character", F.desc("path"), *([tie] if tie else [])]
     rows = find(symbols, query).withColumn("score", candidate_score(preferred)).withColumn("scaled", (F.col("match_score") * 1000).cast("int"))
     tier = F.when((F.col("match_kind") == "exact") & (F.col("name") == query) & (F.col("path") == F.lit(preferred)), 0).when((F.col("match_kind") == "exact") & (F.col("name") == query), 1).when(F.col("match_kind") == "exact", 2).otherwise(3)
     rows = rows.withColumn("tier", tier)
     best = rows.agg(F.min("tier").alias("best"))  # one row
     rows = rows.crossJoin(F.broadcast(best)).where(F.col("tier") == F.col("best"))
-    top = rows.orderBy(F.desc("score"), F.desc("scaled"), "line", "character", F.desc("path")).limit(1 + alternates)
+    top = rows.orderBy(*order).limit(1 + alternates)
     from pyspark.sql import Window
 
-    return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), F.desc("scaled"), "line", "character", F.desc("path")))).drop("best", "scaled")
+    return top.withColumn("place", F.row_number().over(Window.orderBy(*order))).drop("best", "scaled")
 
 
 def top_level(symbols: DataFrame, include_locals: bool = False) -> DataFrame:

@@ -24,6 +24,16 @@ def enabled(tools: list[str], enable: list[str] | None, disable: list[str]) -> l
     return [t for t in tools if t in base and t not in set(disable)]
 
 
+def enabled_column(enable, more, disable):
+    """The same over arrays: what either list enables, each once, less what is disabled."""
+    return F.array_except(F.array_union(enable, more), disable)
+
+
+def first_set(*levels):
+    """A field's value from the first level that sets it (project, general, default)."""
+    return F.coalesce(*levels)
+
+
 def merged_settings(project: dict, general: dict, defaults: dict) -> dict:
     """Each field from the project, else from the general settings, else the default; inner objects field by field."""
     out = {}
