@@ -7,7 +7,7 @@ rule_id) · identifiers(path, name, sl, sc, el, ec) · references(query_id, path
 definitions(query_id, path, sl, sc, el, ec) · matches(path, rule_id, name, sl, sc, el, ec) · calls(query_id, direction,
 path, line, name, kind, detail, sl, sc, ord) · hovers(path, line, character, markdown) ·
 diagnostics(path, severity, message) · nodes(id, node_type, name) · edges(id, kind, from_id, to_id) ·
-vectors(id, path, segment_hash, embedding, code, symbol, kind)
+vectors(id, path, segment_hash, embedding, code, symbol, kind) · implementations(query_id, path, sl, sc, el, ec)
 
 query_id names a symbol by its id. Language servers and parsers fill these tables; nothing here talks to one.
 """
@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .functions import paths, ranges, text
+from .functions import paths, ranges, text, values
 from .operators import graph, paging, positions, references, search, symbols, texts, usage
 
 # The tools, the presets that enable some, and those that no preset enables.
@@ -37,6 +37,10 @@ def enabled_tools(preset: str = "standard", enable: list[str] = (), disable: lis
     return usage.enabled(TOOLS, [*PRESETS[preset], *enable], list(disable))
 
 
+#: Lines of a definition's source, at most.
+MAX_SOURCE_LINES = 100
+
+
 @dataclass
 class Workspace:
     files: DataFrame | None = None
@@ -52,6 +56,7 @@ class Workspace:
     edges: DataFrame | None = None
     vectors: DataFrame | None = None
     state: str = "Ready"
+    implementations: DataFrame | None = None
 
     def _at(self, path: str, line: int, character: int) -> DataFrame:
         spark = self.symbols.sparkSession
@@ -97,19 +102,56 @@ class Workspace:
             return positions.identifiers_at(at, rows)
         return paging.page(rows, ["sl", "sc"], limit, offset)
 
+    def selected_identifier(self, path: str, line: int, character: int) -> DataFrame:
+        """(name, found): the identifier at a position or on its line, else the first word of its hover, else unknown."""
+        at = self._at(path, line, character)
+        hit = positions.identifiers_at(at, self.identifiers.where(F.col("path") == path)).select(F.when(F.col("tier") < 2, F.col("name")).alias("own"))
+        out = hit
+        if self.hovers is not None:
+            words = self.hovers.where((F.col("path") == path) & (F.col("line") == line) & (F.col("character") == character))
+            word = words.select(F.nullif(F.regexp_extract("markdown", r"[\p{L}\p{N}_]+", 0), F.lit("")).alias("word")).limit(1)
+            out = hit.join(word, how="left_outer")
+        else:
+            out = hit.withColumn("word", F.lit(None).cast("string"))
+        found = F.when(F.col("own").isNotNull(), "identifier").when(F.col("word").isNotNull(), "hover").otherwise("none")
+        return out.select(F.coalesce("own", "word", F.lit("unknown")).alias("name"), found.alias("found"))
+
+    def _definition_source(self, rows: DataFrame) -> DataFrame:
+        """rows (path, sl, sc, el, external, ..) with source: the symbol that stands there, else the definition with lines around it."""
+        bounds = self.symbols.groupBy("path", "sl", "sc").agg(F.min("el").alias("_end"))
+        src = self.files.select("path", F.split("content", "\n").alias("_l"))
+        out = rows.join(bounds, ["path", "sl", "sc"], "left_outer").join(src, "path", "left_outer")
+        start = F.when(F.col("_end").isNotNull(), F.col("sl")).otherwise(F.greatest(F.col("sl") - 3, F.lit(1)))
+        last = F.coalesce("_end", F.col("el") + 10)
+        most = F.least(F.greatest(last - start + 1, F.lit(0)), F.lit(MAX_SOURCE_LINES))
+        return out.withColumn("source", F.array_join(F.slice("_l", start, most), "\n")).drop("_l", "_end")
+
     def go_to_definition(self, path: str, line: int, character: int, limit: int = paging.LIMIT, offset: int = 0) -> DataFrame:
-        """Definitions of what stands at a position: inside first, larger first; each with the symbol found at its place."""
+        """Definitions of what stands at a position: inside first, larger first; each with the symbol found at its place, the lines around it and its source."""
         chosen = self._selected(path, line, character).select(F.col("id").alias("query_id"))
         d = self.definitions.join(F.broadcast(chosen), "query_id")
         span = ranges.span(*(F.col(c) for c in positions.RANGE))
         d = d.withColumn("external", paths.is_external_path(F.col("path"))).withColumn("span", span)
         page = paging.page(d, [F.col("external"), F.desc("span"), "path", "sl", "sc"], limit, offset)
-        page = page.withColumn("id", F.monotonically_increasing_id())
+        page = page.withColumn("id", F.concat_ws(":", "path", *positions.RANGE))
         named = positions.definitions_to_symbols(page.select("id", "path", F.col("sl").alias("line"), F.col("sc").alias("character")), self.symbols.select("path", "name", "sl", "sc"))
-        return self._lines(page.join(named.select("id", "name", "exact"), "id").drop("id"), 1, 1)
+        return self._lines(self._definition_source(page.join(named.select("id", "name", "exact").distinct(), "id").drop("id")), 1, 1)
+
+    def definition_with_context(self, path: str, line: int, character: int, limit: int = paging.LIMIT, offset: int = 0) -> dict[str, DataFrame]:
+        """selected: the identifier asked for; definitions with source and uses; siblings: the first exports beside the first definition."""
+        d = self.go_to_definition(path, line, character, limit, offset)
+        n = self.usage_counts() if self.references is not None else None
+        d = d.join(F.broadcast(n.where(F.col("query_id").isin([r[0] for r in d.select("query_id").distinct().limit(1).collect()]))), "query_id", "left_outer") if n is not None else d
+        first = d.orderBy("external", F.desc("span"), "path", "sl", "sc").limit(1).select("path", F.col("name").alias("_own"))
+        rows = self.symbols.join(F.broadcast(first), "path").where(~F.col("name").eqNullSafe(F.col("_own"))).drop("_own")
+        return {"selected": self.selected_identifier(path, line, character), "definitions": d, "siblings": symbols.siblings(symbols.related(rows, ""))}
 
     def go_to_implementation(self, path: str, line: int, character: int) -> DataFrame:
-        return self.go_to_definition(path, line, character)
+        """Where what stands at a position is implemented: every location, by path and place, with the identifier asked for."""
+        chosen = F.broadcast(self._selected(path, line, character).select(F.col("id").alias("query_id")))
+        rows = self.implementations.join(chosen, "query_id")
+        name = self.selected_identifier(path, line, character).select(F.col("name").alias("selected"))
+        return rows.crossJoin(F.broadcast(name)).orderBy("path", "sl", "sc")
 
     def find_references(self, symbol: str, path: str | None = None, detail: bool = False, file_limit: int = 10, limit: int | None = None, offset: int = 0, context_lines: int = 1) -> dict[str, DataFrame]:
         """candidates (chosen and alternates), counts by class, files by usage, and with detail a page of references."""
@@ -143,7 +185,7 @@ class Workspace:
     def hover(self, requests: str) -> DataFrame:
         """Answers of a JSON array of {path, line, character}, in its order, null where there is none."""
         spark = self.hovers.sparkSession
-        rows = spark.range(1).select(F.posexplode(F.from_json(F.lit(requests), "array<struct<path:string,line:int,character:int>>")).alias("idx", "r")).select("idx", "r.*")
+        rows = spark.range(1).select(F.posexplode(values.hover_requests(F.lit(requests))).alias("idx", "r")).select("idx", "r.*")
         out = rows.join(self.hovers, ["path", "line", "character"], "left_outer")
         return out.select("idx", "path", "line", "character", text.truncate_signature(text.hover_signature(F.col("markdown"), F.lit(""))).alias("signature"), text.hover_text(F.col("markdown")).alias("text")).orderBy("idx")
 
@@ -153,7 +195,9 @@ class Workspace:
 
     def semantic_search(self, embedding: list[float], query: str, limit: int = search.MAX_RESULTS, path: str | None = None, file_pattern: list[str] = (), exclude: list[str] = (), min_score: float = search.MIN_SCORE, per_file: bool = False, rerank: bool = True, context_lines: int | None = 15) -> DataFrame:
         q = self.vectors.sparkSession.createDataFrame([(0, [float(x) for x in embedding])], "qid int, q array<float>")
-        out = search.top_k(search.score(search.filtered(self.vectors, path), q), limit)
+        facts = self.vectors.drop("embedding")
+        known = search.allowed(self.vectors.select("id", "embedding"), search.filtered(facts, path) if path else None)
+        out = search.with_facts(search.top_k(search.score(known, q).drop("embedding"), limit), facts)
         out = search.post_filter(out, max(min_score, search.MIN_SCORE), None, file_pattern, exclude)
         out = search.first_per_segment(search.rerank(out, query) if rerank else out)
         out = search.re_rank(search.best_per_file(out) if per_file else out)
@@ -177,8 +221,8 @@ class Workspace:
     def related_symbols(self, path: str, line: int, character: int) -> DataFrame:
         """The first exports beside the symbol at a position, without builders' names."""
         one = F.broadcast(self._selected(path, line, character).select("path", F.col("name").alias("_own")))
-        rows = self.symbols.join(one, "path").where(F.col("name") != F.col("_own")).where(~F.col("rule_id").isin("local-variable", "all-identifiers"))
-        return symbols.siblings(rows.drop("_own"))
+        rows = self.symbols.join(one, "path").where(F.col("name") != F.col("_own"))
+        return symbols.siblings(symbols.related(rows.drop("_own"), ""))
 
     def usage_counts(self) -> DataFrame:
         """(query_id, uses): references less the definition itself."""

@@ -83,3 +83,17 @@ def test_search_and_map(ws):
 def test_enabled_tools():
     assert len(tools.enabled_tools("minimal")) == 4 and len(tools.enabled_tools()) == 11 and len(tools.enabled_tools("full")) == 15
     assert "codemap" in tools.enabled_tools("minimal", ["codemap"]) and "hover" not in tools.enabled_tools("minimal", [], ["hover"])
+
+
+def test_implementations_and_definitions_in_context(spark, ws):
+    import dataclasses
+
+    impl = spark.createDataFrame([("s2", "b.py", 9, 1, 9, 4), ("s2", "a.py", 2, 1, 2, 4), ("s1", "a.py", 1, 1, 1, 2)], "query_id string, path string, sl int, sc int, el int, ec int")
+    w = dataclasses.replace(ws, implementations=impl)
+    assert [(r["path"], r["sl"], r["selected"]) for r in w.go_to_implementation("b.py", 2, 6).collect()] == [("a.py", 2, "helper"), ("b.py", 9, "helper")]
+    got = w.definition_with_context("b.py", 2, 6)
+    assert [(r["path"], r["source"], r["uses"]) for r in got["definitions"].orderBy("external").collect()] == [("b.py", "def helper(n):\n    return n + 1", 3), ("node_modules/x/i.js", None, 3)]
+    assert got["selected"].first()[:] == ("helper", "identifier") and got["siblings"].count() == 0
+    assert w.selected_identifier("gone.py", 1, 1).first()[:] == ("unknown", "none")
+    hovers = spark.createDataFrame([("gone.py", 1, 1, "```\nfn zed()\n```")], "path string, line int, character int, markdown string")
+    assert dataclasses.replace(w, hovers=hovers).selected_identifier("gone.py", 1, 1).first()[:] == ("fn", "hover")
