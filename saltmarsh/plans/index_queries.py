@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import values
-from ..operators import index, texts
+from ..operators import index, stores, texts
 from ..sources.tables import files, table
 from ..streaming import events as streams
 from .registry import query
@@ -79,9 +79,11 @@ def allocate_ids(spark, d):
     return index.next_ids(table(spark, d, "supplier").select(F.col("s_suppkey").alias("id")), table(spark, d, "nation"), "n_name")
 
 
-@query("SELECT DISTINCT o_orderpriority FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey >= 1000 ORDER BY 1", views=False)
+@query("SELECT DISTINCT c_mktsegment AS path FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey >= 1000 ORDER BY 1", views=False)
 def join_distinct_paths(spark, d):
-    return table(spark, d, "orders").where("o_orderkey >= 1000").join(table(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey")).select("o_orderpriority").distinct()
+    e = table(spark, d, "customer").select(F.col("c_custkey").alias("segment_hash"), F.col("c_mktsegment").alias("path"))
+    ids = table(spark, d, "orders").select(F.col("o_custkey").alias("segment_hash"), F.col("o_orderkey").alias("id"))
+    return stores.paths_from_id(e, ids, 1000)
 
 
 @query("""

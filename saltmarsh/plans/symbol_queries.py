@@ -54,20 +54,14 @@ def symbol_prefix_search(spark, d):
 
 
 @query(f"""{PART_SYMBOLS}, m AS (SELECT *, {MATCH} AS match_kind FROM syms), s AS (SELECT *, CAST({SCORE} AS DOUBLE) AS match_score, replace(kind, ' (re-export)', '') AS base FROM m WHERE match_kind <> 'none'),
-k AS (SELECT *, CASE WHEN match_kind = 'exact' THEN 2 ELSE 3 END AS tier, CASE WHEN path = 'brand#2/lib.ts' THEN 10000 ELSE 0 END + CASE WHEN starts_with(path, 'node_modules/') OR contains(path, '/node_modules/') THEN -2000 ELSE 2000 END
+k AS (SELECT *, CASE WHEN match_kind = 'exact' AND name = 'red' AND path = 'brand#2/lib.ts' THEN 0 WHEN match_kind = 'exact' AND name = 'red' THEN 1 WHEN match_kind = 'exact' THEN 2 ELSE 3 END AS tier, CASE WHEN path = 'brand#2/lib.ts' THEN 10000 ELSE 0 END + CASE WHEN starts_with(path, 'node_modules/') OR contains(path, '/node_modules/') THEN -2000 ELSE 2000 END
     + CASE match_kind WHEN 'exact' THEN 1000 WHEN 'prefix' THEN 800 WHEN 'substring' THEN 600 WHEN 'fuzzy' THEN 400 ELSE 0 END
     + CASE WHEN base IN ('class','struct','trait','interface','enum','module') THEN 900 WHEN base IN ('function','method') THEN 850 WHEN base IN ('type','type-alias','alias') THEN 800 WHEN base IN ('const','variable','field') THEN 400 ELSE 100 END
     - CASE WHEN contains(kind, 're-export') THEN 50 ELSE 0 END + CASE WHEN container_name IS NOT NULL THEN 100 ELSE 0 END AS score FROM s),
 t AS (SELECT * FROM k WHERE tier = (SELECT min(tier) FROM k))
 SELECT id, name, path, score, CAST(row_number() OVER (ORDER BY score DESC, match_score DESC, line, character, path DESC, id) AS INT) AS place FROM t ORDER BY place LIMIT 6""")
 def candidate_rank(spark, d):
-    rows = part_symbols(spark, d)
-    out = symbols.find(rows, "red").withColumn("score", symbols.candidate_score("brand#2/lib.ts"))
-    tier = F.when(F.col("match_kind") == "exact", 2).otherwise(3)
-    out = out.withColumn("tier", tier)
-    out = out.crossJoin(F.broadcast(out.agg(F.min("tier").alias("best")))).where("tier = best")
-    order = [F.desc("score"), F.desc("match_score"), "line", "character", F.desc("path"), "id"]
-    return paging.ranked(out.orderBy(*order).limit(6), order, "place").select("id", "name", "path", "score", F.col("place").cast("int").alias("place"))
+    return symbols.candidates(part_symbols(spark, d), "red", "brand#2/lib.ts", tie="id").select("id", "name", "path", "score", F.col("place").cast("int").alias("place"))
 
 
 @query("SELECT o_orderkey, o_orderpriority, CASE o_orderpriority WHEN '1-URGENT' THEN 'high' ELSE 'medium' END AS confidence, 'ast' AS provenance, 'unknown' AS kind FROM orders", views=False)
@@ -94,14 +88,10 @@ def definition_rank(spark, d):
 
 @query(r"""
 WITH x AS (SELECT path, line_no, regexp_replace(line, '^\s+|\s+$', '', 'g') AS t FROM lines), y AS (SELECT *, t = '' OR starts_with(t, '//') OR starts_with(t, '/*') OR starts_with(t, '*') AS skip, ends_with(t, ';') AND NOT contains(t, '{') AND NOT contains(t, '=>') AS sig FROM x),
-z AS (SELECT *, min(CASE WHEN NOT skip AND NOT sig THEN line_no END) OVER (PARTITION BY path ORDER BY line_no ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING) AS implementation FROM y) SELECT path, line_no, implementation FROM z WHERE NOT skip
+z AS (SELECT *, min(CASE WHEN NOT skip AND NOT sig THEN line_no END) OVER (PARTITION BY path ORDER BY line_no ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING) AS implementation FROM y) SELECT path, line_no, implementation FROM z WHERE sig
 """)
 def overload_scan(spark, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("path").orderBy("line_no").rowsBetween(1, 10)
-    x = lines(files(spark, d)).withColumn("skip", text.is_skippable_line(F.col("line"))).withColumn("sig", text.is_overload_signature(F.col("line")))
-    return x.withColumn("implementation", F.first(F.when(~F.col("skip") & ~F.col("sig"), F.col("line_no")), ignorenulls=True).over(w)).where(~F.col("skip")).select("path", "line_no", "implementation")
+    return symbols.overload_implementations(lines(files(spark, d)))
 
 
 def order_references(spark, d):
@@ -153,10 +143,10 @@ def referenced_symbols(spark, d):
     return references.referenced_symbols(r, defs, p.where("p_brand <> 'Brand#1'").select(F.lower("p_brand").alias("path")).distinct())
 
 
-@query("SELECT path, line, min({'name': name, 'kind': kind, 'detail': coalesce(detail, '')}) AS first, list_sort(list(DISTINCT {'sl': sl, 'sc': sc})) AS sites FROM calls GROUP BY path, line")
+@query("SELECT path, line, arg_min(name, k) AS name, arg_min(kind, k) AS kind, arg_min(detail, k) AS detail, list_sort(list(DISTINCT {'sl': sl, 'sc': sc})) AS sites FROM (SELECT *, {'o': sl * 100 + sc, 'n': name, 'k': kind, 'd': detail} AS k FROM (SELECT * REPLACE (coalesce(detail, '') AS detail) FROM calls)) GROUP BY path, line")
 def call_dedup(spark, d):
-    c = calls(spark, d).withColumn("detail", F.coalesce("detail", F.lit("")))
-    return c.groupBy("path", "line").agg(F.min(F.struct("name", "kind", "detail")).alias("first"), F.sort_array(F.collect_set(F.struct("sl", "sc"))).alias("sites"))
+    c = calls(spark, d).withColumn("detail", F.coalesce("detail", F.lit(""))).withColumn("ord", F.col("sl") * 100 + F.col("sc"))
+    return references.merge_calls(c)
 
 
 @query("""
@@ -165,7 +155,8 @@ r AS (SELECT *, array_to_string(list_transform(sites, lambda s: s.sl || ':' || s
 SELECT name, kind, site_key, path, line, external FROM k WHERE r = 1
 """)
 def outgoing_dedup(spark, d):
-    g = calls(spark, d).groupBy("path", "line", "name", "kind").agg(F.min("detail").alias("detail"), F.sort_array(F.collect_set(F.struct("sl", "sc"))).alias("sites")).withColumn("external", F.col("path") < "supp_5")
+    sites = calls(spark, d).groupBy("path", "line", "name", "kind", "sl", "sc").agg(F.min("detail").alias("detail"))
+    g = sites.groupBy("path", "line", "name", "kind").agg(F.min("detail").alias("detail"), F.sort_array(F.collect_list(F.struct("sl", "sc"))).alias("sites")).withColumn("external", F.col("path") < "supp_5")
     return references.dedup_outgoing(g).select("name", "kind", "site_key", "path", "line", "external")
 
 
@@ -202,19 +193,19 @@ def position_lookup(spark, d):
 
 
 @query("""
-WITH s AS (SELECT DISTINCT p_brand AS f, p_size AS sl, p_name AS name FROM part), k AS (SELECT DISTINCT p_brand AS f, p_size AS line FROM part WHERE p_size % 7 = 0),
+WITH s AS (SELECT DISTINCT p_brand AS f, p_size AS sl, p_name AS name FROM part), k AS (SELECT DISTINCT p_brand AS f, p_size AS line FROM part),
 r AS (SELECT k.f, k.line, s.name, abs(s.sl - k.line) AS distance, row_number() OVER (PARTITION BY k.f, k.line ORDER BY abs(s.sl - k.line), s.sl, s.name) AS place FROM k JOIN s ON s.f = k.f AND abs(s.sl - k.line) <= 3)
 SELECT f || ':' || line AS idx, name, distance, CAST(place AS INT) AS place FROM r WHERE place <= 3
 """)
 def nearest_symbol(spark, d):
     p = table(spark, d, "part")
     s = p.select(F.col("p_brand").alias("path"), F.col("p_size").alias("sl"), F.col("p_name").alias("name")).distinct()
-    k = p.where("p_size % 7 = 0").select(F.col("p_brand").alias("path"), F.col("p_size").alias("line")).distinct().withColumn("idx", F.concat_ws(":", "path", "line"))
+    k = p.select(F.col("p_brand").alias("path"), F.col("p_size").alias("line")).distinct().withColumn("idx", F.concat_ws(":", "path", "line"))
     return positions.near_line(k, s).select("idx", "name", "distance", F.col("place").cast("int").alias("place"))
 
 
 @query("""
-WITH s AS (SELECT DISTINCT p_brand AS f, p_size AS sl, CAST(p_partkey % 60 AS INT) AS sc, p_name AS name FROM part), k AS (SELECT DISTINCT p_brand AS f, p_size + 1 AS line, CAST(p_partkey % 50 AS INT) AS ch FROM part WHERE p_size % 10 = 0),
+WITH s AS (SELECT DISTINCT p_brand AS f, p_size AS sl, CAST(p_partkey % 60 AS INT) AS sc, p_name AS name FROM part), k AS (SELECT DISTINCT p_brand AS f, p_size + 1 AS line, CAST(p_partkey % 50 AS INT) AS ch FROM part),
 p AS (SELECT k.f, k.line, k.ch, s.name, s.sl, s.sc, CASE WHEN s.sl = k.line AND s.sc <= k.ch AND k.ch <= s.sc + 5 THEN 0 WHEN s.sl = k.line THEN 1 ELSE 2 END AS tier, abs(s.sl - k.line) * 100 + abs(s.sc - k.ch) AS far FROM k JOIN s ON s.f = k.f),
 r AS (SELECT *, row_number() OVER (PARTITION BY f, line, ch ORDER BY tier, far, sl, sc, name) AS r FROM p)
 SELECT f || ':' || line || ':' || ch AS idx, min(tier) FILTER (r = 1) AS tier, min(name) FILTER (r = 1 AND tier < 2) AS name, min(sl) FILTER (r = 1 AND tier < 2) AS sl, min(sc) FILTER (r = 1 AND tier < 2) AS sc,
@@ -224,7 +215,7 @@ def identifier_at_position(spark, d):
     p = table(spark, d, "part")
     s = p.select(F.col("p_brand").alias("path"), F.col("p_size").alias("sl"), (F.col("p_partkey") % 60).cast("int").alias("sc"), F.col("p_name").alias("name")).distinct()
     s = s.withColumn("el", F.col("sl")).withColumn("ec", F.col("sc") + 5)
-    k = p.where("p_size % 10 = 0").select(F.col("p_brand").alias("path"), (F.col("p_size") + 1).alias("line"), (F.col("p_partkey") % 50).cast("int").alias("character")).distinct()
+    k = p.select(F.col("p_brand").alias("path"), (F.col("p_size") + 1).alias("line"), (F.col("p_partkey") % 50).cast("int").alias("character")).distinct()
     return positions.identifiers_at(k.withColumn("idx", F.concat_ws(":", "path", "line", "character")), s)
 
 
@@ -253,11 +244,11 @@ def tool_stats(spark, d):
 
 
 @query("""
-WITH a AS (SELECT c_nationkey AS k, 'a' || max(c_custkey) AS v FROM customer WHERE c_nationkey < 15 GROUP BY 1), b AS (SELECT s_nationkey AS k, 'b' || max(s_suppkey) AS v FROM supplier GROUP BY 1)
+WITH a AS (SELECT c_nationkey AS k, 'a' || max(c_custkey) AS v FROM customer GROUP BY 1), b AS (SELECT s_nationkey AS k, 'b' || max(s_suppkey) AS v FROM supplier GROUP BY 1)
 SELECT coalesce(b.k, a.k) AS k, coalesce(b.v, a.v) AS v FROM a FULL JOIN b ON a.k = b.k
 """)
 def later_source_wins(spark, d):
-    a = table(spark, d, "customer").where("c_nationkey < 15").groupBy(F.col("c_nationkey").alias("k")).agg(F.concat(F.lit("a"), F.max("c_custkey").cast("string")).alias("v"))
+    a = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.concat(F.lit("a"), F.max("c_custkey").cast("string")).alias("v"))
     b = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.concat(F.lit("b"), F.max("s_suppkey").cast("string")).alias("v"))
     return references.later_wins([a, b], "k")
 
@@ -276,3 +267,15 @@ def definitions_union(spark, d):
 def backoff_schedule(spark, d):
     n = table(spark, d, "lineitem").select("l_linenumber").distinct()
     return n.select(F.col("l_linenumber").alias("attempt"), ranges.backoff(100, 2, F.col("l_linenumber"), 10_000).alias("delay"), ranges.clamp(F.col("l_linenumber"), 1, 5).alias("k"))
+
+
+@query("""
+WITH s AS (SELECT p_brand AS f, p_size AS sl, CAST(p_partkey % 20 AS INT) AS sc, min(p_name) AS name FROM part WHERE p_size % 5 <> 2 GROUP BY ALL), k AS (SELECT p_partkey AS id, p_brand AS path, p_size AS line, CAST(p_partkey % 25 AS INT) AS ch FROM part),
+m AS (SELECT k.*, s.name, CASE WHEN s.sl = line AND s.sc = ch THEN 0 ELSE 1 END AS tier, row_number() OVER (PARTITION BY id ORDER BY CASE WHEN s.sl = line AND s.sc = ch THEN 0 ELSE 1 END, abs(s.sl - line), s.sl, s.sc, s.name) AS r FROM k JOIN s ON s.f = k.path AND abs(s.sl - line) <= 3)
+SELECT k.id, m.name, m.tier = 0 AS exact FROM k LEFT JOIN m ON m.id = k.id AND r = 1
+""")
+def definitions_to_symbols(spark, d):
+    p = table(spark, d, "part")
+    s = p.where("p_size % 5 <> 2").select(F.col("p_brand").alias("path"), F.col("p_size").alias("sl"), (F.col("p_partkey") % 20).cast("int").alias("sc"), F.col("p_name").alias("name"))
+    k = p.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("path"), F.col("p_size").alias("line"), (F.col("p_partkey") % 25).cast("int").alias("character"))
+    return positions.definitions_to_symbols(k, s).select("id", "name", "exact")

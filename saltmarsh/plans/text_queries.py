@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import paths, text, values
-from ..operators import paging, texts
+from ..operators import paging, stores, texts
 from ..sources import files as file_source
 from ..sources.tables import files, lines, table
 from .registry import query
@@ -72,9 +72,9 @@ def path_prefix_filter(spark, d):
     return files(spark, d).where(paths.has_prefix(F.col("path"), "./src1")).select("path")
 
 
-@query("SELECT page_id, regexp_replace(regexp_replace(url, '^https?:', '.'), '^(\\./)+', '') AS p FROM pages", views=False)
+@query("SELECT page_id, regexp_replace(regexp_replace(regexp_replace(url, '^https?:', '.'), '^(\\./)+', ''), '^/+', '') AS p FROM pages", views=False)
 def path_normalize(spark, d):
-    return table(spark, d, "pages").select("page_id", F.regexp_replace(F.regexp_replace("url", "^https?:", "."), r"^(\./)+", "").alias("p"))
+    return table(spark, d, "pages").select("page_id", paths.normalize_prefix_column(F.regexp_replace("url", "^https?:", ".")).alias("p"))
 
 
 @query(r"""
@@ -200,14 +200,15 @@ def flexible_numbers(spark, d):
 
 @query("SELECT CAST(json_extract(props, '$.k') AS INT) AS k, count(*) AS n FROM events GROUP BY ALL", views=False)
 def hover_requests_json(spark, d):
-    e = table(spark, d, "events").select(F.explode(F.from_json(F.concat(F.lit("["), "props", F.lit("]")), "array<struct<k:int>>")).alias("r"))
-    return e.groupBy(F.col("r.k").alias("k")).agg(F.count("*").alias("n"))
+    request = F.concat(F.lit('[{"path": "a.py", "line": '), F.regexp_extract("props", r"(\d+)", 1), F.lit(', "character": 1}]'))
+    e = table(spark, d, "events").select(F.inline(values.hover_requests(request)))
+    return e.groupBy(F.col("line").alias("k")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT p_partkey, '[' || '\"' || p_brand || '\",\"' || p_type || '\"]' AS tags_json, [p_brand, p_type] AS tags FROM part", views=False)
 def tags_json(spark, d):
-    p = table(spark, d, "part").select("p_partkey", F.to_json(F.array("p_brand", "p_type")).alias("tags_json"))
-    return p.withColumn("tags", F.from_json("tags_json", "array<string>"))
+    p = stores.with_tags(table(spark, d, "part").select("p_partkey", F.array("p_brand", "p_type").alias("tags")))
+    return stores.read_tags(p.drop("tags"))
 
 
 @query("SELECT event_id, CASE WHEN value > 10 THEN 'k' || substring(props, 2, 4) END AS summary, CASE WHEN event_type <> 'view' THEN [event_type] END AS tags FROM events", views=False)

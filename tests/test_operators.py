@@ -389,3 +389,94 @@ def test_stream_counts_as_the_batch_does(spark, tmp_path):
 def test_walk(spark):
     df = spark.createDataFrame([("a/b/c",), ("x/b",), ("b",)], "p string")
     assert rows(df.where(~paths.under_excluded(F.col("p"), ["a"]))) == [("b",), ("x/b",)]
+
+
+# later additions
+
+
+def test_an_unknown_language_is_chunked_by_lines(spark):
+    from saltmarsh.operators import indexer
+
+    text = "\n".join(f"some line number {k} of this text" for k in range(30))
+    f = spark.createDataFrame([("a", None, text), ("b", "zzz", text), ("c", "python", "def f(x):\n" + "    y = x\n" * 9)], "path string, language string, content string")
+    got = {r["path"]: r["symbol_kind"] for r in indexer.chunk(f).collect()}
+    assert got == {"a": "lines", "b": "lines", "c": "function"}
+
+
+def test_readers_see_the_old_table_between_renames(spark, tmp_path):
+    p = str(tmp_path / "t")
+    index.overwrite_atomically(spark.range(3), p)
+    (tmp_path / "t").rename(tmp_path / "t.old")
+    df, state = index.load_or_empty(spark, p, "id long")
+    assert state == "Ready" and df.count() == 3
+    index.overwrite_atomically(spark.range(5), p)
+    assert index.load_or_empty(spark, p, "id long")[0].count() == 5
+
+
+def test_next_ids_are_dense_and_in_order(spark):
+    old = spark.createDataFrame([(4,), (9,)], "id long")
+    for n in (0, 1, 300):
+        new = spark.createDataFrame([(f"k{(k * 37) % 1000:04d}",) for k in range(n)] * 2, "k string")
+        got = sorted((r["id"], r["k"]) for r in index.next_ids(old, new, "k").collect())
+        assert [r[0] for r in got] == list(range(10, 10 + n)) and [r[1] for r in got] == sorted(r[1] for r in got)
+
+
+def test_noise_by_language(spark):
+    from saltmarsh.operators import references
+
+    cases = [
+        (1, "x", "rust", ["call_expression"], None, False),
+        (2, "x", "rust", ["identifier", "function_item"], None, True),
+        (3, "x", "tsx", ["import_specifier"], None, True),
+        (4, "x", "python", ["assignment"], "left", True),
+        (5, "x", "python", ["assignment"], "right", False),
+        (6, "x", "javascript", ["pair"], "key", True),
+        (7, "x", "go", ["pair"], "key", False),
+        (8, "Div", "rust", [], None, True),
+        (9, "x", None, ["function_item"], "left", False),
+        (10, "x", "ruby", ["assignment"], "right", True),
+    ]
+    df = spark.createDataFrame([c[:5] for c in cases], "id int, name string, language string, ancestors array<string>, field string")
+    kept = {r["id"] for r in references.noise_filtered(references.noise_flags(df)).collect()}
+    assert kept == {c[0] for c in cases if not c[5]}
+
+
+def test_search_reads_facts_of_the_best_only(spark):
+    v = spark.createDataFrame([(k, [1.0, k / 10]) for k in range(20)], "id int, embedding array<float>")
+    f = spark.createDataFrame([(k, f"src/f{k}", f"code {k}", None) for k in range(0, 20, 2)], "id int, path string, code string, symbol string")
+    q = spark.createDataFrame([(0, [1.0, 0.0])], "qid int, q array<float>")
+    whole = v.join(f, "id").withColumn("segment_hash", F.sha2("code", 256))
+    both = [search.semantic_search(x, q, "code 4", 4, "src", 0.1, facts=y).select("id", "path", "score", "rank") for x, y in ((whole, None), (v, f))]
+    assert sorted(rows(both[0])) == sorted(rows(both[1])) and both[0].count() == 4
+    plan = both[1]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("sha2(") < plan.index("WindowGroupLimit") if "WindowGroupLimit" in plan else True
+
+
+def test_stores(spark):
+    from saltmarsh.operators import stores
+
+    e = spark.createDataFrame([("h1", "a/x", ["t"]), ("h2", "a/y", None), ("h3", "b", [])], "segment_hash string, path string, tags array<string>")
+    ids = spark.createDataFrame([("h1", 1), ("h2", 5), ("h3", 7), ("gone", 9)], "segment_hash string, id int")
+    assert rows(stores.paths_from_id(e, ids, 5)) == [("a/y",), ("b",)] and rows(stores.ids_under(e, ids, "a")) == [(1,), (5,)]
+    assert stores.exists(e, "path", "b") and not stores.exists(e, "path", "zz")
+    assert rows(stores.entries(e, ids.unionByName(ids)).select("path")) == [("a/x",), ("a/y",), ("b",)]
+    assert rows(stores.read_tags(stores.with_tags(e).drop("tags")).select("segment_hash", "tags")) == rows(e.select("segment_hash", "tags"))
+
+
+def test_every_public_function_is_used():
+    """Each function of the library is called by a query, a tool, a stream or another function."""
+    import pathlib
+    import re
+
+    root = pathlib.Path(__file__).parents[1] / "saltmarsh"
+    parts = [p for p in root.rglob("*.py") if "llm" not in p.parts]
+    text = {p: p.read_text() for p in parts}
+    lost = []
+    for p in parts:
+        if p.parent.name not in ("operators", "functions", "sources", "streaming"):
+            continue
+        for name in re.findall(r"^def ([a-z]\w*)\(", text[p], re.M):
+            if not any(re.search(rf"\b{name}\b(?<!def {name})", re.sub(rf"^def {name}\(", "", t, flags=re.M)) for t in text.values()):
+                lost.append(f"{p.stem}.{name}")
+    # for users, and covered by tests: what writes, waits or draws
+    assert set(lost) <= {"events.file_events", "events.keep_index", "events.running_counters", "index.reset", "indexer.fits", "indexer.repair", "markdown.diagnostics_report", "markdown.graph_report", "markdown.references_summary", "markdown.symbols_list", "usage.load_stats", "usage.may_become", "usage.projected", "usage.save_stats", "usage.state_valid", "text.inline_code", "text.truncate_signature", "text.is_symbol_reexport_line", "text.symbol_column_on_line", "stores.exists", "ranges.from_wire", "paths.parent"}, lost
