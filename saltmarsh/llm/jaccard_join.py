@@ -11,11 +11,14 @@ compared, again by the tree, and each pair that passes is verified by its exact
 links joins it already. Links are kept as a spanning forest, never as all pairs.
 
 Skew: equal sets are one node (named by the set's 64-bit hash) from the first pass on; signatures are packed by task and
-dealt out in many small buckets; a cluster of more than CLUSTER shingles is cut into blocks, each compared inside and with a common member,
-and then only members outside the cluster's largest component are sent to all blocks.
+dealt out in many small buckets; a signature that more than HOT sets share isn't bounded at all: its sets are one candidate
+cluster, made by a join that AQE splits. A cluster of more than CLUSTER shingles is cut into blocks, each compared inside
+and with a common member, and then only members outside the cluster's largest component are sent to all blocks: that many
+members times that many blocks are compared at most, each pair of texts once.
 
 Defined cases: null and empty texts have no shingles and no link; a null doc_id has no link either (component null);
-repeated rows are rows like others; a text longer than any buffer is read piece by piece. An empty table gives no rows.
+repeated rows are rows like others; rows of one doc_id with unlike texts are rows of their own, known by doc_id and the
+hash of the text; a text longer than any buffer is read piece by piece. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, materialize, mix64, release, small_batches
+from .common import components, drop, materialize, mix64, release, small_batches
 from .shingles import shingle_sets
 
 GROWTH = 1.4
@@ -38,6 +41,8 @@ MOST_GROUPS = 2048
 CELLS = 4_000_000
 LEAF = 48
 CLUSTER = 500_000
+#: Sets of a signature that are bounded together; where more share one, all of them are candidates.
+HOT = 8192
 FLUSH = 1 << 18
 #: Buckets of signatures for each shuffle partition.
 SPREAD = 8
@@ -117,19 +122,19 @@ def folded(vectors: list[bytes], groups: int) -> np.ndarray:
 
 
 def sets_of(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n, h, vector): size, hash and group counts of each document's shingle set; h is null for an empty set."""
+    """(doc_id, t, n, h, vector): the text's hash, and size, hash and group counts of its shingle set; h is null for an empty set."""
     small_batches(docs.sparkSession)
 
     def run(batches):
         release()
         for b in batches:
-            sets = shingle_sets(b.column(1).to_pylist(), k)
+            sets = shingle_sets(b.column(2).to_pylist(), k)
             n = [len(x) for x in sets]
             h = [int(set_hash(x).astype(np.int64)) if len(x) else None for x in sets]
             v = [packed_vector(x) if len(x) else None for x in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(h, pa.int64()), pa.array(v, pa.binary())], ["doc_id", "n", "h", "vector"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(h, pa.int64()), pa.array(v, pa.binary())], ["doc_id", "t", "n", "h", "vector"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, h long, vector binary")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text"), "text").mapInArrow(run, "doc_id long, t long, n long, h long, vector binary")
 
 
 def meetings(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -225,15 +230,30 @@ def grouped(batches, keys: int):
 
 
 class Forest:
-    """Union-find; a component is named by its smallest member."""
+    """Union-find over labels: the smaller component takes the larger one's label, so a member changes at most log(n) times."""
 
     def __init__(self, labels: np.ndarray):
         self.label = labels.copy()
+        order = np.argsort(labels, kind="stable")
+        cut = np.flatnonzero(np.diff(labels[order], prepend=-1))
+        self.members = dict(zip(labels[order[cut]].tolist(), np.split(order, cut[1:]), strict=True)) if len(labels) else {}
 
     def join(self, i: int, j: int) -> None:
-        a, b = self.label[i], self.label[j]
-        if a != b:
-            self.label[self.label == max(a, b)] = min(a, b)
+        a, b = int(self.label[i]), int(self.label[j])
+        if a == b:
+            return
+        if len(self.members[a]) < len(self.members[b]):
+            a, b = b, a
+        moved = self.members.pop(b)
+        self.label[moved] = a
+        self.members[a] = np.concatenate([self.members[a], moved])
+
+    def least(self) -> np.ndarray:
+        """Each member's component, named by its smallest member."""
+        out = np.empty(len(self.label), np.int64)
+        for m in self.members.values():
+            out[m] = m.min()
+        return out
 
 
 class Tree:
@@ -298,15 +318,15 @@ def link(vectors: np.ndarray, sizes: np.ndarray, num: int, den: int, sets: list[
             if not len(near):
                 continue
             if sets is None:
-                for name in np.unique(forest.label[near]):
-                    forest.join(i, int(near[forest.label[near] == name][0]) if (forest.label[near] == name).any() else i)
+                for j in near[np.unique(forest.label[near], return_index=True)[1]].tolist():
+                    forest.join(i, j)
                 continue
             mark[ids[i]] = True
             for j in near:
                 if forest.label[j] != forest.label[i] and mark[ids[j]].sum() >= needed(sizes[i], sizes[j], num, den):
                     forest.join(i, int(j))
             mark[ids[i]] = False
-    return forest.label
+    return forest.least()
 
 
 def bounded_edges(rows: DataFrame, num: int, den: int) -> DataFrame:
@@ -434,22 +454,40 @@ def _compare(rows: DataFrame, k: int, num: int, den: int) -> DataFrame:
     return rows.mapInArrow(run, "src long, dst long")
 
 
-def join_components(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of docs (doc_id, text): Jaccard >= num / den on k-word shingles."""
+def candidates(met: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """(src, dst), a table: edges whose components hold every pair of sets that may link."""
+    shared = met.where("sig IS NOT NULL").select("sig", "h")
+    hot = materialize(shared.groupBy("sig").agg(F.count("*").alias("m"), F.min("h").alias("low")).where(F.col("m") > HOT).select("sig", "low"), "hot")
+    every = shared.join(hot, "sig").select(F.col("h").alias("src"), F.col("low").alias("dst"))
+    groups = shared.join(hot, "sig", "left_anti").join(nodes.select("h", "n", "vector"), "h")
+    pairs = met.where("sig IS NULL").select(F.col("h").alias("src"), F.col("other").alias("dst"))
+    edges = materialize(bounded_edges(groups, num, den).unionByName(bounded_pairs(pairs, nodes, num, den)).unionByName(every), "candidates")
+    drop(hot)
+    return edges
+
+
+def components_of_rows(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(doc_id, t, n_shingles, component_id, first) of every row of docs (doc_id, text): Jaccard >= num / den on k-word shingles.
+
+    t is the text's hash; first: the row's (doc_id, t) is the least of its component, or the row has no links by definition.
+    """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     base = materialize(sets_of(docs, k), "sets")
     # a row for each distinct set; equal sets are added up inside the tasks first
-    nodes = base.where("h IS NOT NULL AND doc_id IS NOT NULL").groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("vector").alias("vector"))
-    nodes = materialize(nodes, "nodes")
+    nodes = base.where("h IS NOT NULL AND doc_id IS NOT NULL").groupBy("h").agg(F.min(F.struct("doc_id", "t")).alias("at"), F.first("n").alias("n"), F.first("vector").alias("vector"))
+    nodes = materialize(nodes.select("h", "at.doc_id", "at.t", "n", "vector"), "nodes")
     met = materialize(meetings(docs, k, num, den), "met")
-    groups = met.where("sig IS NOT NULL").select("sig", "h").join(nodes.select("h", "n", "vector"), "h")
-    edges = bounded_edges(groups, num, den).unionByName(bounded_pairs(met.where("sig IS NULL").select(F.col("h").alias("src"), F.col("other").alias("dst")), nodes, num, den))
-    clusters = components(edges).select(F.col("node").alias("h"), F.col("component").alias("cluster"))
-    members = clusters.join(nodes.select("h", "doc_id", "n"), "h")
-    totals = members.groupBy("cluster").agg(F.sum("n").alias("total"), F.min("h").alias("common"))
-    members = members.join(totals, "cluster").withColumn("blocks", F.ceil(F.col("total") / CLUSTER).cast("int"))
-    members = members.select("cluster", "common", "blocks", "h", "doc_id").join(docs.where("text IS NOT NULL"), "doc_id").dropDuplicates(["h"])
+    edges = candidates(met, nodes, num, den)
+    drop(met)
+    found = components(edges)
+    clusters = materialize(found.select(F.col("node").alias("h"), F.col("component").alias("cluster")).join(nodes.select("h", "doc_id", "t", "n"), "h"), "clusters")
+    drop(edges, found)
+    totals = materialize(clusters.groupBy("cluster").agg(F.sum("n").alias("total"), F.min("h").alias("common")), "totals")
+    placed = clusters.join(totals, "cluster").withColumn("blocks", F.ceil(F.col("total") / CLUSTER).cast("int"))
+    texts = docs.where("text IS NOT NULL").withColumn("t", F.xxhash64("text"))
+    members = placed.select("cluster", "common", "blocks", "h", "doc_id", "t").join(texts, ["doc_id", "t"]).drop("t").dropDuplicates(["h"])
     members = materialize(members, "members", compression="zstd")
+    drop(clusters, totals)
     block = F.pmod(F.xxhash64("h"), F.col("blocks").cast("long")).cast("int")
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     first = members.withColumn("block", F.explode(F.when((F.col("h") == F.col("common")) & (F.col("blocks") > 1), every).otherwise(F.array(block)))).withColumn("label", F.col("h"))
@@ -463,13 +501,26 @@ def join_components(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
         several = sizes.groupBy("cluster").agg(F.count("*").alias("c")).where("c > 1").select("cluster")
         known = known.join(several, "cluster", "left_semi").join(best, "cluster")
         second = known.withColumn("block", F.explode(F.when(F.col("label") != F.col("largest"), every).otherwise(F.array(block))))
-        links = materialize(links.union(_compare(second, k, num, den)), "links")
+        before, links = links, materialize(links.union(_compare(second, k, num, den)), "links")
+        drop(before, found)
+    drop(members)
     found = components(links)
-    named = found.join(nodes.select("h", "doc_id"), found["node"] == F.col("h")).select("h", "component", "doc_id")
-    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(least, "component").select("h", "component_id")
-    named = nodes.join(named, "h", "left").select("h", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return base.join(named, "h", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("h").isNull() | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    named = found.join(nodes.select("h", "doc_id", "t"), found["node"] == F.col("h")).select("h", "component", "doc_id", "t")
+    named = materialize(named, "named")
+    drop(links, found)
+    least = materialize(named.groupBy("component").agg(F.min(F.struct("doc_id", "t")).alias("least")), "least")
+    named = named.join(least, "component").select("h", "least")
+    named = nodes.select("h", F.struct("doc_id", "t").alias("own")).join(named, "h", "left").select("h", F.coalesce("least", "own").alias("least"))
+    alone = F.col("h").isNull() | F.col("doc_id").isNull()
+    return base.join(named, "h", "left").select(
+        "doc_id", "t", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("least.doc_id")).alias("component_id"),
+        (alone | (F.col("least") == F.struct("doc_id", "t"))).alias("first"),
+    )
+
+
+def join_components(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row of docs (doc_id, text): Jaccard >= num / den on k-word shingles."""
+    return components_of_rows(docs, k, num, den).select("doc_id", "n_shingles", "component_id")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
