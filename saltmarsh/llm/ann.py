@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, release, small_batches
+from .common import drop, materialize, release, small_batches
 
 K = 10
 SAMPLE = 20_000
@@ -167,6 +167,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, probes: int | No
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(near.astype(np.int32))], ["id", "v", "list"])
 
     placed = materialize(vectors.mapInArrow(assign, "id long, v array<double>, list int"), "lists")
+    drop(vectors)
     counted = lambda df: {r["list"]: r["n"] for r in df.groupBy("list").agg(F.count("*").alias("n")).collect()}  # noqa: E731  MAX_LISTS rows at most
     sizes = counted(placed)
     filled = np.array([sizes.get(x, 0) for x in range(len(c))])

@@ -94,6 +94,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         last = now
     else:
         raise RuntimeError(f"no fixed point after {rounds} rounds")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
+    out = e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         e.groupBy("v").agg(F.first("v").alias("component")).select(F.col("v").alias("node"), "component")
     )
+    out.scratch_path = e.scratch_path
+    return out
