@@ -169,7 +169,33 @@ def train_on_folds(docs: DataFrame) -> Model:
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score) of every document, by a model of the training folds."""
+    """(doc_id, held_out, lang_pred, score) of every document, by a model of the training folds; scores to six digits."""
     model = train_on_folds(docs)
     rows = docs.select("doc_id", held_out("doc_id").alias("held_out"), "text")
-    return predict(rows, model).select("doc_id", "held_out", "lang_pred", "score")
+    return predict(rows, model).select("doc_id", "held_out", "lang_pred", F.round("score", 6).alias("score"))
+
+
+#: The same counts and sums, n-gram by n-gram.
+ORACLE = r"""
+WITH w AS (SELECT doc_id, lang, text, list_reduce(list_concat([4294967295::BIGINT], flatten([[ord(d)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1] FOR d IN string_split(doc_id::VARCHAR, '')])),
+    lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, CASE WHEN c % 2 = 1 THEN 3988292384 ELSE 0 END) END) AS c FROM documents),
+d AS (SELECT doc_id, lang, text, coalesce(xor(c, 4294967295) % 3 = 1, false) AS held_out FROM w),
+p AS (SELECT doc_id, unnest(string_split(lower(text), '')) AS ch, generate_subscripts(string_split(lower(text), ''), 1) AS i FROM d WHERE text <> ''),
+a AS (SELECT ch, unicode(ch) AS u, regexp_matches(ch, '\p{L}') AS l FROM (SELECT DISTINCT ch FROM p)),
+q AS (SELECT doc_id, i, CASE WHEN l THEN u ELSE 32 END AS c2, l AS l2 FROM p JOIN a USING (ch)),
+r AS (SELECT doc_id, l2, c2::UBIGINT AS c2, coalesce(lag(c2) OVER o, 32)::UBIGINT AS c1, coalesce(lag(c2, 2) OVER o, 32)::UBIGINT AS c0, coalesce(lag(l2) OVER o, false) AS l1 FROM q WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+h0 AS (SELECT *, ((c2 + 1) % 4294967296) * 2654435761 % 4294967296 AS x FROM r), g0 AS (SELECT *, xor(x, x // 32768) AS h FROM h0),
+h1 AS (SELECT *, (h + c1 + 2) % 4294967296 * 2654435761 % 4294967296 AS y FROM g0), g1 AS (SELECT *, xor(y, y // 32768) AS k FROM h1),
+h2 AS (SELECT *, (k + c0 + 3) % 4294967296 * 2654435761 % 4294967296 AS z FROM g1), g2 AS (SELECT *, xor(z, z // 32768) AS m FROM h2),
+f AS (SELECT doc_id, 0 AS o, h * 2246822519 % 4294967296 // 262144 AS b FROM g2 WHERE l2 UNION ALL SELECT doc_id, 1, k * 2246822519 % 4294967296 // 262144 FROM g2 WHERE l2 OR l1 UNION ALL SELECT doc_id, 2, m * 2246822519 % 4294967296 // 262144 FROM g2 WHERE l2 OR l1),
+n AS (SELECT doc_id, o, b, count(*) AS n FROM f GROUP BY ALL),
+t AS (SELECT doc_id, lang FROM d WHERE NOT held_out AND lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL),
+s AS (SELECT lang, ln((count(*) + 1) / (sum(count(*)) OVER () + count(*) OVER ())) AS prior FROM t GROUP BY lang),
+c AS (SELECT lang, o, b, sum(n) AS n FROM n JOIN t USING (doc_id) GROUP BY ALL),
+e AS (SELECT lang, o, coalesce(sum(n), 0) + 0.2::DOUBLE * 16384 AS total FROM s CROSS JOIN (VALUES (0), (1), (2)) v(o) LEFT JOIN c USING (lang, o) GROUP BY ALL),
+z AS (SELECT doc_id, lang, sum(n.n * ln((coalesce(c.n, 0) + 0.2::DOUBLE) / total)) + any_value(prior) AS score FROM n CROSS JOIN s JOIN e USING (lang, o) LEFT JOIN c USING (lang, o, b) GROUP BY doc_id, lang),
+y AS (SELECT doc_id, arg_min(lang, {'s': -score, 'l': lang}) AS lang_pred, max(score) AS best, list(score) AS every FROM z GROUP BY doc_id),
+has AS (SELECT DISTINCT doc_id FROM q WHERE l2)
+SELECT d.doc_id, held_out, CASE WHEN has.doc_id IS NULL OR lang_pred IS NULL THEN 'und' ELSE lang_pred END AS lang_pred,
+    round(CASE WHEN has.doc_id IS NULL OR lang_pred IS NULL THEN 0.0 ELSE 1 / list_sum([exp(v - best) FOR v IN every]) END, 6) AS score FROM d LEFT JOIN y USING (doc_id) LEFT JOIN has USING (doc_id)
+"""

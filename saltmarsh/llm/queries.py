@@ -55,4 +55,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_jaccard": jaccard_join.ORACLE, "op4_mixing": mixing.ORACLE, "op8_chat": chat.ORACLE, "op9_suffix_dedup": suffix_dedup.ORACLE, "op10_fingerprint": fingerprint.ORACLE}
+    return {"op2_ngram_jaccard": jaccard_join.ORACLE, "op4_mixing": mixing.ORACLE, "op7_language_id": language_id.ORACLE, "op8_chat": chat.ORACLE, "op9_suffix_dedup": suffix_dedup.ORACLE, "op10_fingerprint": fingerprint.ORACLE}
