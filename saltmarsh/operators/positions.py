@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ranges as R
+from ..sources.work import drop, materialize
 from .paging import first_per_group
 
 RANGE = ("sl", "sc", "el", "ec")
@@ -80,40 +81,61 @@ def _beside(queries: DataFrame, items: DataFrame, places: _Places) -> DataFrame:
     return found.groupBy(*queries.columns).agg(F.min_by(hit, "level").alias("hit")).select(*queries.columns, "hit.at", "hit.b")
 
 
-def containers(lookups: DataFrame, symbols: DataFrame) -> DataFrame:
+#: Lookups of a page, which a call of a tool makes: these are compared with all symbols of their files.
+FEW = 1000
+
+
+def containers(lookups: DataFrame, symbols: DataFrame, few: bool = False) -> DataFrame:
     """lookups (idx, path, line, character) with the symbol (name, sl, sc, el, ec) that holds each, or the nearest.
 
     Smallest span first, then the symbol's order (ord); where none holds it, nearest, then smallest. found: container,
     nearest, or none where the file has no symbols. Ranges end where they begin or later; a line has under a million
-    characters, so the nearest line comes before the nearest character.
+    characters, so the nearest line comes before the nearest character. few: there are at most FEW lookups (an error
+    beyond), so one pass over the symbols of their files is enough.
     """
-    places = _Places(lookups, symbols)
     tie = F.struct(R.span(*(F.col(c) for c in RANGE)).alias("span"), "ord", "name", *RANGE)
+    key = ["path", "line", "character"]
+    if few:
+        if lookups.limit(FEW + 1).count() > FEW:
+            raise ValueError(f"more than {FEW} lookups at once")
+        dist = R.distance(*(F.col(c) for c in RANGE), F.col("line"), F.col("character"))
+        best = F.struct(F.when(_inside(), 0).otherwise(1).alias("tier"), F.when(_inside(), 0).otherwise(dist).alias("dist"), tie.alias("b"))
+        pairs = symbols.join(F.broadcast(lookups.select(key).distinct()), "path")
+        answers = pairs.groupBy(key).agg(F.min(best).alias("m")).select(*key, F.when(F.col("m.tier") == 0, "container").otherwise("nearest").alias("found"), F.col("m.b").alias("b"))
+    else:
+        answers = _answers(lookups, symbols, tie)
+    out = lookups.join(answers, key, "left_outer")
+    return out.select("idx", *key, F.coalesce("found", F.lit("none")).alias("found"), F.col("b.name").alias("name"), *[F.col(f"b.{c}").alias(c) for c in RANGE])
+
+
+def _answers(lookups: DataFrame, symbols: DataFrame, tie: Column) -> DataFrame:
+    """(path, line, character, found, b), a table: b is the best of tie for each place asked for."""
+    places = _Places(lookups, symbols)
+    key = ["path", "line", "character"]
     # of equal ranges only the first can be found, and equal places find the same
-    ranges_ = symbols.groupBy("path", *RANGE).agg(F.min(F.struct("ord", "name")).alias("o")).select("path", *RANGE, "o.ord", "o.name")
-    place = places.of(F.col("line"), F.col("character")).alias("p")
-    asked = lookups.select("path", "line", "character", place).distinct()
-    held = _containing(asked, ranges_, places, tie)
-    rest = asked.join(held, ["path", "p"], "left_anti")
-    # what holds none lies between ranges: starts after it, ends before it
+    ranges_ = materialize(symbols.groupBy("path", *RANGE).agg(F.min(F.struct("ord", "name")).alias("o")).select("path", *RANGE, "o.ord", "o.name"), "ranges")
+    asked = materialize(lookups.select(*key, places.of(F.col("line"), F.col("character")).alias("p")).distinct(), "asked")
+    held = materialize(asked.join(_containing(asked, ranges_, places, tie), ["path", "p"], "left_outer"), "held")
+    rest = held.where("b IS NULL").drop("b")
+    # what none holds lies between ranges: starts after it, ends before it
     start, end = places.of(F.col("sl"), F.col("sc")), places.of(F.col("el"), F.col("ec"))
     sides = F.explode(F.array(F.struct(F.lit(True).alias("side"), start.alias("p")), F.struct(F.lit(False).alias("side"), end.alias("p")))).alias("s")
-    items = ranges_.select("path", sides, tie.alias("b")).groupBy("path", "s.side", "s.p").agg(F.min("b").alias("b"))
+    items = materialize(ranges_.select("path", sides, tie.alias("b")).groupBy("path", "s.side", "s.p").agg(F.min("b").alias("b")), "ends")
     both = F.explode(F.array(F.lit(True), F.lit(False)))
-    near = _beside(rest.select("path", "line", "character", "p", both.alias("side")).withColumn("after", F.col("side")), items, places)
+    near = materialize(_beside(rest.select(*key, "p", both.alias("side")).withColumn("after", F.col("side")), items, places), "near")
     # on another line the nearest character counts, on either side of the one asked for or at it
     line_of = F.shiftright("at", places.shift)
-    other = near.where(line_of != F.col("line")).select("path", "line", "character", "side", places.of(line_of, F.col("character")).alias("q"))
-    exact = other.join(items.withColumnRenamed("p", "q"), ["path", "side", "q"]).select("path", "line", "character", "side", F.col("q").alias("at"), "b")
-    beside = other.select("path", "line", "character", "side", F.col("q").alias("p"), F.explode(F.array(F.lit(True), F.lit(False))).alias("after"))
+    other = near.where(line_of != F.col("line")).select(*key, "side", places.of(line_of, F.col("character")).alias("q"))
+    exact = other.join(items.withColumnRenamed("p", "q"), ["path", "side", "q"]).select(*key, "side", F.col("q").alias("at"), "b")
+    beside = other.select(*key, "side", F.col("q").alias("p"), both.alias("after"))
     beside = _beside(beside, items, places).where(F.expr(f"shiftright(at, {places.shift}) = shiftright(p, {places.shift})"))
-    cols = ("path", "line", "character", "at", "b")
+    cols = (*key, "at", "b")
     found = near.where(line_of == F.col("line")).select(*cols).unionByName(exact.select(*cols)).unionByName(beside.select(*cols))
     dist = R.distance(*(F.col(f"b.{c}") for c in RANGE), F.col("line"), F.col("character"))
-    nearest = found.groupBy("path", "line", "character").agg(F.min(F.struct(dist.alias("dist"), "b")).alias("d")).select("path", "line", "character", F.lit("nearest").alias("found"), F.col("d.b").alias("b"))
-    held = held.join(asked, ["path", "p"]).select("path", "line", "character", F.lit("container").alias("found"), "b")
-    out = lookups.join(held.unionByName(nearest), ["path", "line", "character"], "left_outer")
-    return out.select("idx", "path", "line", "character", F.coalesce("found", F.lit("none")).alias("found"), F.col("b.name").alias("name"), *[F.col(f"b.{c}").alias(c) for c in RANGE])
+    nearest = found.groupBy(key).agg(F.min(F.struct(dist.alias("dist"), "b")).alias("d")).select(*key, F.lit("nearest").alias("found"), F.col("d.b").alias("b"))
+    out = materialize(held.where("b IS NOT NULL").select(*key, F.lit("container").alias("found"), "b").unionByName(nearest), "answers")
+    drop(ranges_, asked, held, items, near)
+    return out
 
 
 def references_inside(references: DataFrame, symbols: DataFrame, full_scan: bool = False) -> DataFrame:

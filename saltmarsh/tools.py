@@ -64,7 +64,7 @@ class Workspace:
 
     def _selected(self, path: str, line: int, character: int) -> DataFrame:
         """The one symbol at a position (container, else nearest), with its id."""
-        hit = positions.containers(self._at(path, line, character), self.symbols).where("found <> 'none'").select("path", "name", "sl", "sc", "el", "ec")
+        hit = positions.containers(self._at(path, line, character), self.symbols.where(F.col("path") == path), few=True).where("found <> 'none'").select("path", "name", "sl", "sc", "el", "ec")
         return self.symbols.join(F.broadcast(hit), ["path", "name", "sl", "sc", "el", "ec"]).orderBy("ord").limit(1)
 
     def _lines(self, keys: DataFrame, before: int, after: int, order: tuple[str, ...] = ("path", "sl", "sc")) -> DataFrame:
