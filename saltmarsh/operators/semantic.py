@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import re
+import time
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -214,7 +215,42 @@ def hashing_embedder(dim: int = 64) -> Callable[[list[str]], np.ndarray]:
     return embed
 
 
-def embed(chunks: DataFrame, provider: Callable[[list[str]], np.ndarray] | None = None, batch: int = 60, tries: int = 3) -> DataFrame:
+class RateLimited(OSError):
+    """A provider asks to wait, for so many seconds where it says so."""
+
+    def __init__(self, retry_after: float | None = None):
+        super().__init__("rate limited")
+        self.retry_after = retry_after
+
+
+# Retries of a failed call, and the seconds between them: the first, what they are multiplied by, the most.
+RETRIES, FIRST_WAIT, WAIT_FACTOR, LONGEST_WAIT = 3, 0.1, 2.0, 10.0
+
+
+def retried(call: Callable, retries: int = RETRIES, wait: Callable[[float], None] = time.sleep):
+    """What call() gives, called again after a failure of a service, with longer waits; the last failure is raised."""
+    pause = FIRST_WAIT
+    for attempt in range(retries + 1):
+        try:
+            return call()
+        except OSError as e:
+            if attempt == retries:
+                raise
+            wait(pause if getattr(e, "retry_after", None) is None else e.retry_after)
+            pause = min(pause * WAIT_FACTOR, LONGEST_WAIT)
+
+
+def in_order(answer, n: int) -> list[list[float]]:
+    """A provider's vectors for n texts: as they stand, or by index where they come as (index, vector) in any order."""
+    answer = list(answer)
+    if answer and isinstance(answer[0], tuple):
+        answer = [v for _, v in sorted(answer, key=lambda x: x[0])]
+    if len(answer) != n:
+        raise ValueError(f"{len(answer)} vectors for {n} texts")
+    return [[float(x) for x in v] for v in answer]
+
+
+def embed(chunks: DataFrame, provider: Callable | None = None, batch: int = 60, retries: int = RETRIES, wait: Callable[[float], None] = time.sleep) -> DataFrame:
     """(segment_hash, embedding) of chunks (segment_hash, text): batches to a provider, repeated where it fails."""
     provider = provider or hashing_embedder()
 
@@ -223,13 +259,7 @@ def embed(chunks: DataFrame, provider: Callable[[list[str]], np.ndarray] | None
             got = []
             for k in range(0, len(b), batch):
                 texts = b["text"].iloc[k : k + batch].tolist()
-                for attempt in range(tries):
-                    try:
-                        got += [v.tolist() for v in provider(texts)]
-                        break
-                    except OSError:
-                        if attempt == tries - 1:
-                            raise
+                got += in_order(retried(lambda: provider(texts), retries, wait), len(texts))  # noqa: B023
             yield pd.DataFrame({"segment_hash": b["segment_hash"], "embedding": got})
 
     return chunks.select("segment_hash", "text").mapInPandas(run, "segment_hash string, embedding array<float>")

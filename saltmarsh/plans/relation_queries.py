@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths, ranges, text, values
 from ..operators import index, references, search, semantic, usage
+from ..sources import files as file_source
 from ..sources.tables import files, table
 from .registry import query
 
@@ -164,3 +165,12 @@ def result_ranks(spark, d):
 def progress_percent(spark, d):
     g = table(spark, d, "events").groupBy(F.col("event_type").alias("tool")).agg(F.count_if(F.col("value") > 20).alias("a"), F.count("*").alias("b"))
     return g.select("tool", F.round(values.progress_percent(F.col("a"), F.col("b")), 6).alias("percent"))
+
+
+@query("SELECT n_name AS name, 'a' AS source FROM nation UNION ALL SELECT r_name, 'b' FROM region", views=False)
+def union_of_sources(spark, d):
+    """Of three sources one is missing and left out."""
+    read = lambda t, c: lambda: table(spark, d, t).select(F.col(c).alias("name"))
+    rows, failed = file_source.union_of_sources({"a": read("nation", "n_name"), "missing": read("no_such_table", "x"), "b": read("region", "r_name")}, ["name"])
+    assert set(failed) == {"missing"}
+    return rows

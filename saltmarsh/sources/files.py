@@ -64,6 +64,26 @@ def languages(files: DataFrame) -> DataFrame:
     return files.select("language").distinct()
 
 
+def union_of_sources(sources: dict, columns: list[str]) -> tuple[DataFrame, dict[str, str]]:
+    """(rows with source, failures): what each source() gives; one that fails is left out and named with its error.
+
+    A source fails here when its table is missing or lacks a column; with none left the first error is raised.
+    """
+    from pyspark.errors import PySparkException
+
+    found, failed, first = None, {}, None
+    for name, read in sources.items():
+        try:
+            rows = read().select(*columns, F.lit(name).alias("source"))
+            found = rows if found is None else found.unionByName(rows)
+        except (OSError, PySparkException) as e:
+            first = first or e
+            failed[name] = str(e).split("\n")[0]
+    if found is None and first:
+        raise first
+    return found, failed
+
+
 def list_files(per_language: list[DataFrame]) -> DataFrame:
     """The lists of all languages one after the other, by path; a file of two lists is there twice."""
     out = per_language[0].select("path")
