@@ -23,18 +23,19 @@ def _inside():
     return R.contains(F.col("sl"), F.col("sc"), F.col("el"), F.col("ec"), F.col("line"), F.col("character"))
 
 
-def _bits(df: DataFrame, *columns: str) -> int:
-    """The bits of the largest value of columns, by one aggregation."""
-    top = df.agg(F.max(F.greatest(F.lit(0), *columns)) if len(columns) > 1 else F.max(columns[0])).first()[0]
-    return max(1, int(top or 0).bit_length())
+def _bits(df: DataFrame, lines: tuple[str, ...], characters: tuple[str, ...]) -> tuple[int, int]:
+    """The bits of the largest line and of the largest character, by one aggregation."""
+    most = lambda columns: F.max(F.greatest(F.lit(0), F.lit(0), *columns))
+    return tuple(max(1, int(x or 0).bit_length()) for x in df.agg(most(lines), most(characters)).first())
 
 
 class _Places:
     """Places of a file in one order: lines shifted by the bits of the largest character."""
 
     def __init__(self, lookups: DataFrame, symbols: DataFrame):
-        self.shift = max(_bits(lookups, "character"), _bits(symbols, "sc", "ec"))
-        self.levels = self.shift + max(_bits(lookups, "line"), _bits(symbols, "sl", "el")) + 1
+        a, b = _bits(lookups, ("line",), ("character",)), _bits(symbols, ("sl", "el"), ("sc", "ec"))
+        self.shift = max(a[1], b[1])
+        self.levels = self.shift + max(a[0], b[0]) + 1
 
     def of(self, line: Column, character: Column) -> Column:
         """Negative characters count as 0: before all others of their line."""
@@ -110,11 +111,12 @@ def containers(lookups: DataFrame, symbols: DataFrame, few: bool = False) -> Dat
 
 def _answers(lookups: DataFrame, symbols: DataFrame, tie: Column) -> DataFrame:
     """(path, line, character, found, b), a table: b is the best of tie for each place asked for."""
-    places = _Places(lookups, symbols)
     key = ["path", "line", "character"]
     # of equal ranges only the first can be found, and equal places find the same
     ranges_ = materialize(symbols.groupBy("path", *RANGE).agg(F.min(F.struct("ord", "name")).alias("o")).select("path", *RANGE, "o.ord", "o.name"), "ranges")
-    asked = materialize(lookups.select(*key, places.of(F.col("line"), F.col("character")).alias("p")).distinct(), "asked")
+    asked_table = materialize(lookups.select(key).distinct(), "asked")
+    places = _Places(asked_table, ranges_)
+    asked = asked_table.withColumn("p", places.of(F.col("line"), F.col("character")))
     held = materialize(asked.join(_containing(asked, ranges_, places, tie), ["path", "p"], "left_outer"), "held")
     rest = held.where("b IS NULL").drop("b")
     # what none holds lies between ranges: starts after it, ends before it
@@ -134,7 +136,7 @@ def _answers(lookups: DataFrame, symbols: DataFrame, tie: Column) -> DataFrame:
     dist = R.distance(*(F.col(f"b.{c}") for c in RANGE), F.col("line"), F.col("character"))
     nearest = found.groupBy(key).agg(F.min(F.struct(dist.alias("dist"), "b")).alias("d")).select(*key, F.lit("nearest").alias("found"), F.col("d.b").alias("b"))
     out = materialize(held.where("b IS NOT NULL").select(*key, F.lit("container").alias("found"), "b").unionByName(nearest), "answers")
-    drop(ranges_, asked, held, items, near)
+    drop(ranges_, asked_table, held, items, near)
     return out
 
 
