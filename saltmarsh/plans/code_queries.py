@@ -91,7 +91,7 @@ def chunk_dispatch(spark, d):
     return indexer.chunk(f).select("path", "start_line", "symbol_kind")
 
 
-@query(f"WITH {FILES} SELECT path, 64 AS dim, round(1.0, 6) AS norm FROM f")
+@query(f"WITH {FILES} SELECT path, 64 AS dim, CAST(1 AS DOUBLE) AS norm FROM f")
 def chunks_with_vectors(spark, d):
     """Every chunk with the vector of its hash."""
     made = indexer.update(indexer.empty(spark), code_files(spark, d).select("path", "language", "content"))
