@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, drop, materialize, mix64, release, small_batches
+from .common import components, drop, materialize, mix64, release, small_batches, trim
 from .shingles import shingle_sets
 
 GROWTH = 1.4
@@ -210,9 +210,13 @@ def meetings(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
 
 def grouped(batches, keys: int):
     """(key, columns) for each run of rows with equal first columns; rows are sorted by them."""
+    yield from runs_of(([b.column(k).to_pylist() for k in range(b.num_columns)] for b in batches), keys)
+
+
+def runs_of(batches, keys: int):
+    """The same of batches that are lists of columns."""
     key, held = None, None
-    for b in batches:
-        cols = [b.column(k).to_pylist() for k in range(b.num_columns)]
+    for cols in batches:
         at = 0
         for i, now in enumerate(zip(*cols[:keys], strict=True)):
             if now != key:
@@ -435,16 +439,19 @@ def _compare(rows: DataFrame, k: int, num: int, den: int) -> DataFrame:
     def run(batches):
         release()
         out: list[tuple[int, int]] = []
-        for _, (h, label, text) in grouped(batches, 2):
+        # texts become sets batch by batch: a cluster's size is that of its sets, its texts may be far longer
+        columns = ([*(b.column(c).to_pylist() for c in range(4)), shingle_sets(b.column(4).to_pylist(), k)] for b in batches)
+        for _, (h, label, sets) in runs_of(columns, 2):
             if len(h) < 2:
                 continue
-            sets = shingle_sets(text, k)
             names = {x: i for i, x in reversed(list(enumerate(label)))}
             start = np.array([names[x] for x in label])
             sizes = np.array([len(x) for x in sets])
             groups = min(512, groups_for(int(np.median(sizes))))
             done = link(np.array([count_vector(x, groups) for x in sets]), sizes, num, den, sets, start)
             out += [(h[i], h[j]) for i, j in enumerate(done.tolist()) if i != j and start[i] != j]
+            if sizes.sum() > CLUSTER // 4:  # what a large block took goes back before the next is read
+                trim()
             if len(out) > 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["src", "dst"])
                 out = []
@@ -509,10 +516,11 @@ def components_of_rows(docs: DataFrame, k: int, num: int, den: int) -> DataFrame
     named = materialize(named, "named")
     drop(links, found)
     least = materialize(named.groupBy("component").agg(F.min(F.struct("doc_id", "t")).alias("least")), "least")
-    named = named.join(least, "component").select("h", "least")
-    named = nodes.select("h", F.struct("doc_id", "t").alias("own")).join(named, "h", "left").select("h", F.coalesce("least", "own").alias("least"))
+    answers = nodes.select("h", F.struct("doc_id", "t").alias("own")).join(named.join(least, "component").select("h", "least"), "h", "left")
+    answers = materialize(answers.select("h", F.coalesce("least", "own").alias("least")), "answers")  # so that AQE can split the rows of equal sets
+    drop(nodes, named, least)
     alone = F.col("h").isNull() | F.col("doc_id").isNull()
-    return base.join(named, "h", "left").select(
+    return base.join(answers, "h", "left").select(
         "doc_id", "t", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("least.doc_id")).alias("component_id"),
         (alone | (F.col("least") == F.struct("doc_id", "t"))).alias("first"),
     )
