@@ -8,6 +8,7 @@ import gc
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +56,21 @@ def trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def slices(batches, text: str | None = None, rows: int = BATCH_ROWS, most: int = BATCH_BYTES):
+    """Record batches cut to so many rows, and to about so many bytes of one column, inside the task: no session setting."""
+    for b in batches:
+        at = 0
+        if text is not None and len(b):
+            ends = np.cumsum(pc.binary_length(b.column(b.schema.get_field_index(text))).fill_null(0).to_numpy())
+        while at < len(b):
+            n = min(rows, len(b) - at)
+            if text is not None:
+                before = int(ends[at - 1]) if at else 0
+                n = max(1, min(n, int(np.searchsorted(ends, before + most, "right")) - at))
+            yield b.slice(at, n)
+            at += n
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser on uint64: every input bit reaches every output bit."""
     x = x ^ (x >> np.uint64(32))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, chat, fingerprint, jaccard_join, language_id, mixing, quality, rans, suffix_dedup
+from . import ann, bpe, chat, fingerprint, hard_negatives, importance, jaccard_join, language_id, mixing, quality, rans, suffix_dedup, token_counts
 from .common import table
 
 
@@ -50,9 +50,21 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_documents(table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine_every(table(spark, sf_dir, "embeddings"))
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_ngram_jaccard, op3_rans, op4_mixing, op5_ann, op6_quality, op7_language_id, op8_chat, op9_suffix_dedup, op10_fingerprint)}
+    return {f.__name__: f for f in (op1_bpe, op2_ngram_jaccard, op3_rans, op4_mixing, op5_ann, op6_quality, op7_language_id, op8_chat, op9_suffix_dedup, op10_fingerprint, op11_token_counts, op12_hard_negatives, op13_importance)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_jaccard": jaccard_join.ORACLE, "op4_mixing": mixing.ORACLE, "op7_language_id": language_id.ORACLE, "op8_chat": chat.ORACLE, "op9_suffix_dedup": suffix_dedup.ORACLE, "op10_fingerprint": fingerprint.ORACLE}
+    return {"op2_ngram_jaccard": jaccard_join.ORACLE, "op4_mixing": mixing.ORACLE, "op7_language_id": language_id.ORACLE, "op8_chat": chat.ORACLE, "op9_suffix_dedup": suffix_dedup.ORACLE, "op10_fingerprint": fingerprint.ORACLE, "op12_hard_negatives": hard_negatives.ORACLE, "op13_importance": importance.ORACLE}
