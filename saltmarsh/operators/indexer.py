@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text, values
 from . import index, semantic, texts
+from .lexer import LANGUAGES
 
 CHUNK_COLUMNS = ["path", "start_line", "end_line", "code", "doc_comment", "symbol_name", "symbol_kind", "segment_hash"]
 
@@ -34,7 +35,7 @@ def empty(spark) -> Index:
 def chunk(files: DataFrame, max_lines: int = texts.MAX_LINES, overlap: int = texts.OVERLAP_BYTES) -> DataFrame:
     """Chunks at boundaries where the language has rules for symbols, of lines elsewhere (an unknown language too); each once."""
     files = files.withColumn("language", F.coalesce("language", F.lit("unknown")))
-    known = sorted({lang for lang, kind, _, _ in semantic.RULES if kind == "symbol"})
+    known = LANGUAGES
     code = semantic.semantic_chunks(files.where(F.col("language").isin(known))).select(CHUNK_COLUMNS)
     other = texts.overlapping_chunks(files.where(~F.col("language").isin(known)), max_lines, overlap)
     none = F.lit(None).cast("string")

@@ -1,7 +1,6 @@
-"""Boundaries of code, the semantic chunker, doc comments, embedding and enrichment.
+"""The semantic chunker, doc comments, embedding and enrichment.
 
-There is no parser here: boundaries come from patterns of a rule table, an approximation that is labelled as one. Files
-may bring exact boundaries of their own as a column.
+There is no parser here: boundaries come from the lexer's nesting tree and a table of rules (``syntax``).
 """
 
 from __future__ import annotations
@@ -18,101 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import values
+from . import syntax
 
 # Sizes of chunks, in bytes and lines.
 MAX_LINES, MIN_BYTES, MAX_BYTES, MAX_FUNCTION_BYTES, OVERLAP_BYTES, CONTEXT_LINES = 100, 50, 2000, 5000, 200, 2
 
-# Fixed values: (language, match type, rule, pattern of a line; group 1 is the name).
-RULES = [
-    ("python", "symbol", "function", r"^\s*(?:async\s+)?def\s+(\w+)"),
-    ("python", "symbol", "class", r"^\s*class\s+(\w+)"),
-    ("python", "symbol", "constant", r"^([A-Z][A-Z0-9_]+)\s*="),
-    ("python", "symbol", "local-variable", r"^\s+(\w+)\s*="),
-    ("python", "reference", "function-call", r"(\w+)\("),
-    ("python", "reference", "decorator", r"^\s*@(\w+)"),
-    ("rust", "symbol", "function", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+)?fn\s+(\w+)"),
-    ("rust", "symbol", "struct", r"^\s*(?:pub\s+)?struct\s+(\w+)"),
-    ("rust", "symbol", "enum", r"^\s*(?:pub\s+)?enum\s+(\w+)"),
-    ("rust", "symbol", "trait", r"^\s*(?:pub\s+)?trait\s+(\w+)"),
-    ("rust", "symbol", "impl", r"^\s*impl(?:<[^>]*>)?\s+(\w+)"),
-    ("rust", "symbol", "constant", r"^\s*(?:pub\s+)?(?:const|static)\s+(\w+)"),
-    ("rust", "reference", "function-call", r"(\w+)!?\("),
-    ("typescript", "symbol", "function", r"^\s*(?:export\s+)?(?:async\s+)?function\s+(\w+)"),
-    ("typescript", "symbol", "class", r"^\s*(?:export\s+)?(?:abstract\s+)?class\s+(\w+)"),
-    ("typescript", "symbol", "interface", r"^\s*(?:export\s+)?interface\s+(\w+)"),
-    ("typescript", "symbol", "type", r"^\s*(?:export\s+)?type\s+(\w+)"),
-    ("typescript", "symbol", "constant", r"^\s*(?:export\s+)?const\s+(\w+)"),
-    ("typescript", "reference", "function-call", r"(\w+)\("),
-    ("typescript", "reference", "component-render", r"<([A-Z]\w*)"),
-    ("javascript", "symbol", "function", r"^\s*(?:export\s+)?(?:async\s+)?function\s+(\w+)"),
-    ("javascript", "symbol", "class", r"^\s*(?:export\s+)?class\s+(\w+)"),
-    ("javascript", "reference", "function-call", r"(\w+)\("),
-    ("go", "symbol", "function", r"^func\s+(?:\([^)]*\)\s*)?(\w+)"),
-    ("go", "symbol", "type", r"^type\s+(\w+)"),
-    ("go", "reference", "function-call", r"(\w+)\("),
-    ("java", "symbol", "class", r"^\s*(?:public\s+|private\s+|final\s+|abstract\s+)*class\s+(\w+)"),
-    ("java", "symbol", "interface", r"^\s*(?:public\s+)?interface\s+(\w+)"),
-    ("java", "reference", "function-call", r"(\w+)\("),
-    ("cpp", "symbol", "class", r"^\s*(?:class|struct)\s+(\w+)"),
-    ("cpp", "reference", "function-call", r"(\w+)\("),
-    ("csharp", "symbol", "class", r"^\s*(?:public\s+|internal\s+|sealed\s+)*class\s+(\w+)"),
-    ("csharp", "reference", "function-call", r"(\w+)\("),
-    ("ruby", "symbol", "function", r"^\s*def\s+(\w+)"),
-    ("ruby", "symbol", "class", r"^\s*class\s+(\w+)"),
-    ("php", "symbol", "function", r"^\s*(?:public\s+|private\s+)?function\s+(\w+)"),
-    ("php", "symbol", "class", r"^\s*class\s+(\w+)"),
-]
-IDENTIFIER = r"[A-Za-z_]\w*"
-
-# Rules of symbols by the kind of boundary, first match first.
-BOUNDARY_KINDS = {"function": "function", "class": "type", "struct": "type", "enum": "type", "trait": "type", "interface": "type", "type": "type", "impl": "impl", "constant": "constant"}
-
-MATCHES = "path string, match_type string, rule_id string, name string, sl int, sc int, el int, ec int"
-
-
-def syntax_matches(files: DataFrame) -> DataFrame:
-    """(path, match_type, rule_id, name, sl, sc, el, ec) of files (path, language, content): symbols, references, identifiers, by start."""
-    rules = {}
-    for lang, kind, rule, pattern in RULES:
-        rules.setdefault(lang, []).append((kind, rule, re.compile(pattern)))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for path, lang, content in zip(b["path"], b["language"], b["content"], strict=True):
-                for no, line in enumerate((content or "").split("\n"), 1):
-                    for kind, rule, pattern in rules.get(lang, ()):
-                        for m in [pattern.match(line)] if kind == "symbol" else pattern.finditer(line):
-                            if m:
-                                rows.append((path, kind, rule, m[1], no, m.start(1) + 1, no, m.end(1) + 1))
-                    if lang in rules:
-                        rows += [(path, "identifier", "all-identifiers", m[0], no, m.start() + 1, no, m.end() + 1) for m in re.finditer(IDENTIFIER, line)]
-                        rows += [(path, "reference", "all-references", m[0], no, m.start() + 1, no, m.end() + 1) for m in re.finditer(IDENTIFIER, line)]
-            yield pd.DataFrame(rows, columns=["path", "match_type", "rule_id", "name", "sl", "sc", "el", "ec"])
-
-    return files.select("path", "language", "content").mapInPandas(run, MATCHES)
-
-
-def block_end(lines: list[str], start: int) -> int:
-    """Where the block that starts on a line ends (exclusive): by braces, or by indentation where it opens none."""
-    depth, opened = 0, False
-    for k in range(start, len(lines)):
-        depth += lines[k].count("{") - lines[k].count("}")
-        opened = opened or "{" in lines[k]
-        if opened and depth <= 0:
-            return k + 1
-        if not opened and k > start and lines[k].strip():
-            break
-    if opened:
-        return len(lines)
-    indent = len(lines[start]) - len(lines[start].lstrip())
-    end = start + 1
-    for k in range(start + 1, len(lines)):
-        if lines[k].strip():
-            if len(lines[k]) - len(lines[k].lstrip()) <= indent:
-                break
-            end = k + 1
-    return end
+#: Symbols, references and identifiers of files, by the lexer's statements and words.
+syntax_matches = syntax.matches
 
 
 def doc_comment(lines: list[str], start: int) -> str | None:
@@ -137,23 +48,17 @@ def doc_comment(lines: list[str], start: int) -> str | None:
     return "\n".join(lines[first : k + 1])
 
 
-def semantic_spans(lines: list[str], language: str) -> list[tuple[int, int, str, str]]:
-    """(start, end, kind, name) of boundaries, outermost first; one that is too long gives way to those inside."""
-    rules = [(BOUNDARY_KINDS[r], re.compile(p)) for x, kind, r, p in RULES if x == language and kind == "symbol" and r in BOUNDARY_KINDS]
-    found = []
-    for k, line in enumerate(lines):
-        for kind, pattern in rules:
-            if m := pattern.match(line):
-                found.append((k, block_end(lines, k), kind, m[1]))
-                break
-    out, until = [], 0
-    for a, e, kind, name in found:
-        if a < until:
+def chosen(lines: list[str], found: list[dict]) -> list[dict]:
+    """Of a file's boundaries, by number: the outermost that fit; one that is too long gives way to those inside."""
+    out, until = [], -1
+    for x in found:
+        if x["node"] <= until:
             continue
-        size = len("\n".join(lines[a:e]).encode())
-        if size <= (MAX_FUNCTION_BYTES if kind == "function" else MAX_BYTES) and (e - a <= MAX_LINES or kind == "function"):
-            out.append((a, e, kind, name))
-            until = e
+        is_function, n = x["boundary"] == "function", x["end_line"] - x["start_line"] + 1
+        size = len("\n".join(lines[x["start_line"] - 1 : x["end_line"]]).encode())
+        if size <= (MAX_FUNCTION_BYTES if is_function else MAX_BYTES) and (is_function or n <= MAX_LINES):
+            out.append(x)
+            until = x["last"]
     return out
 
 
@@ -181,21 +86,26 @@ CHUNKS = "path string, start_line int, end_line int, code string, doc_comment st
 
 
 def semantic_chunks(files: DataFrame) -> DataFrame:
-    """Chunks of files (path, language, content) at boundaries; start and end are the boundary's, the code its window's."""
+    """Chunks of files (path, language, content) at boundaries; start and end are the boundary's, the code its window's.
+
+    Boundaries come from the nesting tree; a file meets its own by path, once, and only texts are cut per file.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for path, lang, content in zip(b["path"], b["language"], b["content"], strict=True):
-                lines = (content or "").splitlines()
-                for a, e, kind, name in semantic_spans(lines, lang):
-                    x, y = widen(lines, a, e, MAX_FUNCTION_BYTES if kind == "function" else MAX_BYTES)
-                    code = "\n".join(lines[x:y])
+            for path, content, found in zip(b["path"], b["content"], b["found"], strict=True):
+                lines = [x.removesuffix("\r") for x in content.removesuffix("\n").split("\n")]
+                for x in chosen(lines, list(found)):
+                    a, e, kind = x["start_line"] - 1, x["end_line"], x["boundary"]
+                    first, last = widen(lines, a, e, MAX_FUNCTION_BYTES if kind == "function" else MAX_BYTES)
+                    code = "\n".join(lines[first:last])
                     if len(code.encode()) >= MIN_BYTES:
-                        rows.append((path, a + 1, e, code, doc_comment(lines, a), name, kind))
+                        rows.append((path, a + 1, e, code, doc_comment(lines, a), x["name"], kind))
             yield pd.DataFrame(rows, columns=["path", "start_line", "end_line", "code", "doc_comment", "symbol_name", "symbol_kind"])
 
-    out = files.select("path", "language", "content").mapInPandas(run, CHUNKS)
+    found = syntax.boundaries(files).groupBy("path").agg(F.sort_array(F.collect_list(F.struct("node", "last", "start_line", "end_line", "boundary", "name"))).alias("found"))
+    out = files.select("path", "content").join(found, "path").mapInPandas(run, CHUNKS)
     out = out.withColumn("segment_hash", values.segment_hash(F.col("path"), F.col("start_line"), F.col("end_line"), F.col("code")))
     return out.dropDuplicates(["segment_hash"])
 

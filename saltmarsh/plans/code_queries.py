@@ -74,7 +74,7 @@ def workspace_scan(spark, d):
     return found.select(number("n_regionkey"), number("n_nationkey"), "language", "content", "size_bytes", "content_hash")
 
 
-@query(f"WITH {FILES} SELECT path, match_type, rule_id, m.name AS name, CAST(sl AS INT) AS sl, CAST(sc AS INT) AS sc FROM f, (VALUES ('symbol', 'function', '', 2, 5), ('symbol', 'local-variable', 'y', 3, 5), ('reference', 'function-call', '', 2, 5), ('reference', 'function-call', 'helper', 3, 9)) t(match_type, rule_id, n, sl, sc), LATERAL (SELECT CASE WHEN n = '' THEN f.name ELSE n END AS name) m")
+@query(f"WITH {FILES} SELECT path, match_type, rule_id, m.name AS name, CAST(sl AS INT) AS sl, CAST(sc AS INT) AS sc FROM f, (VALUES ('symbol', 'function', '', 2, 5), ('symbol', 'local-variable', 'y', 3, 5), ('reference', 'function-call', 'helper', 3, 9)) t(match_type, rule_id, n, sl, sc), LATERAL (SELECT CASE WHEN n = '' THEN f.name ELSE n END AS name) m")
 def syntax_scan(spark, d):
     return semantic.syntax_matches(code_files(spark, d)).where(~F.col("rule_id").isin("all-identifiers", "all-references")).select("path", "match_type", "rule_id", "name", "sl", "sc")
 

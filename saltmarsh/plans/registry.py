@@ -26,7 +26,7 @@ def query(sql: str | None = None, views: bool = True):
 
 
 def _load() -> None:
-    from . import code_queries, graph_queries, index_queries, relation_queries, search_queries, symbol_queries, text_queries  # noqa: F401
+    from . import code_queries, graph_queries, index_queries, relation_queries, search_queries, symbol_queries, syntax_queries, text_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable]:

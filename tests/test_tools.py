@@ -49,7 +49,7 @@ def test_symbols(ws):
 def test_navigation(ws):
     got = ws.go_to_definition("b.py", 2, 6).orderBy("external").collect()
     assert [(r["path"], r["external"], r["name"]) for r in got] == [("b.py", False, "helper"), ("node_modules/x/i.js", True, None)]
-    assert [(r["name"], r["status"]) for r in ws.find_referenced_symbols("a.py", 3, 6).collect()] == [("main", "internal"), ("helper", "internal")]
+    assert [(r["name"], r["status"]) for r in ws.find_referenced_symbols("a.py", 3, 6).collect()] == [("helper", "internal")]  # main is defined there, not called
     calls = ws.call_hierarchy("a.py", 3, 6, "outgoing").collect()
     assert [(r["name"], r["path"]) for r in calls] == [("helper", "b.py")]
     assert {r["name"] for r in ws.call_hierarchy("a.py", 3, 6, "outgoing", True).collect()} == {"helper", "z"}
