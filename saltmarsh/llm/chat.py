@@ -1,6 +1,6 @@
 """Chat formatting in budgeted windows of whole turns, with a loss mask and a reader.
 
-A conversation's turns are written as ``### Role:\\n<text></turn>\\n``. Control strings can't occur inside: ``\\``, ``#``
+A conversation's turns are written as ``### role:\\n<text></turn>\\n``, the role as it stands. Control strings can't occur inside: ``\\``, ``#``
 and ``<`` of a text (and ``:`` and line ends of a role) are written as ``\\\\``, ``\\h``, ``\\l``, ``\\c`` and ``\\n``,
 which unescape() takes back exactly.
 
@@ -96,7 +96,7 @@ class _Conversation:
         text, loss = [], []
         size = 0
         for k, (role, body, _) in enumerate([*again, *self.new]):
-            head = f"{MARK}{escape(role.capitalize() if role in ('system', 'user', 'assistant') else role, True)}:\n"
+            head = f"{MARK}{escape(role, True)}:\n"
             inner = escape(body)
             size += len(head)
             if k >= len(again) and role == "assistant":
@@ -110,16 +110,12 @@ class _Conversation:
         return out
 
 
-_ROLES = {"System": "system", "User": "user", "Assistant": "assistant"}
-
-
 def parse(text: str, repeated: int = 0) -> list[tuple[str, str]]:
     """(role, text) of a window's turns that aren't repeated."""
     turns = []
     for part in text.split(END + "\n")[:-1]:
         head, _, body = part.partition(":\n")
-        role = head[len(MARK) :]
-        turns.append((_ROLES.get(role) or unescape(role), unescape(body)))
+        turns.append((unescape(head[len(MARK) :]), unescape(body)))
     return turns[repeated:]
 
 
