@@ -16,7 +16,6 @@ rows are rows of their own. An empty table gives no rows.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -30,7 +29,7 @@ MAX_REPEATS = 3
 EDGE = 50_000
 BITS, LEVELS = 12, 5
 SEED = 20240229
-#: Patterns and sources come to the driver as totals; more than this is an error, not a slow solve.
+#: Patterns and sources come to the driver as totals; more than this is an error. The solve takes seconds for as many.
 MAX_NODES = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -59,8 +58,10 @@ def targets(sizes: Sequence[int], weights: Sequence[float], most: float = MAX_RE
 def flow(patterns: Sequence[tuple[frozenset, int]], quotas: dict, most: int = MAX_REPEATS) -> dict[tuple[int, object], int]:
     """Words of pattern p for source s, of least cost: repetition r of a pattern's words costs r each.
 
-    Successive shortest paths (Dijkstra with potentials) on source -> pattern -> sink, where a pattern's arcs to the
-    sink have capacity size and cost 0, 1, .. most - 1. Ties between paths go to the smaller node, so reruns agree.
+    Primal-dual on source -> pattern -> sink. As all costs are at the sink and repetition r costs r in every pattern, the
+    shortest paths of a phase are those to patterns that still have room at r repetitions, so a phase adds each pattern's
+    size to its room and completes a maximum flow by blocking flows (levels by breadth, then depth-first along them);
+    what the phases before have sent may be rerouted, never lost. Arcs are tried in the order of names, so reruns agree.
     """
     src, names = 0, sorted(quotas, key=lambda x: (x is None, x or ""))
     node = {x: 1 + k for k, x in enumerate(names)}
@@ -68,53 +69,72 @@ def flow(patterns: Sequence[tuple[frozenset, int]], quotas: dict, most: int = MA
     sink = first + len(patterns)
     to: list[int] = []
     cap: list[int] = []
-    cost: list[int] = []
     out: list[list[int]] = [[] for _ in range(sink + 1)]
 
-    def arc(u: int, v: int, c: int, w: int) -> int:
-        for a, b, x, y in ((u, v, c, w), (v, u, 0, -w)):
+    def arc(u: int, v: int, c: int) -> int:
+        for a, b, x in ((u, v, c), (v, u, 0)):
             out[a].append(len(to))
             to.append(b)
             cap.append(x)
-            cost.append(y)
         return len(to) - 2
 
     for x in names:
-        arc(src, node[x], quotas[x], 0)
-    via = {}
-    for k, (members, size) in enumerate(patterns):
+        arc(src, node[x], quotas[x])
+    via, last = {}, []
+    for k, (members, _) in enumerate(patterns):
         for x in sorted(members, key=lambda x: (x is None, x or "")):
             if x in node:
-                via[arc(node[x], first + k, quotas[x], 0)] = (k, x)
-        for r in range(most):
-            arc(first + k, sink, size, r)
-    potential = [0] * (sink + 1)
-    while True:
-        best: list[float] = [float("inf")] * (sink + 1)
-        back = [-1] * (sink + 1)
-        best[src], heap = 0, [(0, src)]
-        while heap:
-            d, u = heapq.heappop(heap)
-            if d > best[u]:
-                continue
-            for a in out[u]:
-                if cap[a] and (n := d + cost[a] + potential[u] - potential[to[a]]) < best[to[a]]:
-                    best[to[a]], back[to[a]] = n, a
-                    heapq.heappush(heap, (n, to[a]))
-        if best[sink] == float("inf"):
-            break
-        potential = [p + int(b) if b < float("inf") else p for p, b in zip(potential, best, strict=True)]
-        path, v = [], sink
-        while v != src:
-            path.append(back[v])
-            v = to[back[v] ^ 1]
-        amount = min(cap[a] for a in path)
-        for a in path:
-            cap[a] -= amount
-            cap[a ^ 1] += amount
+                via[arc(node[x], first + k, quotas[x])] = (k, x)
+        last.append(arc(first + k, sink, 0))
+    for _ in range(most):
+        for a, (_, size) in zip(last, patterns, strict=True):
+            cap[a] += size
+        while (level := _levels(out, to, cap, src, sink)) is not None:
+            _block(out, to, cap, level, src, sink)
     return {via[a]: cap[a ^ 1] for a in via if cap[a ^ 1]}
 
 
+def _levels(out: list[list[int]], to: list[int], cap: list[int], src: int, sink: int) -> list[int] | None:
+    """Arcs from src to each node along arcs with room; None where the sink can't be reached."""
+    level = [-1] * len(out)
+    level[src], now = 0, [src]
+    while now and level[sink] < 0:
+        after = []
+        for u in now:
+            for a in out[u]:
+                if cap[a] and level[to[a]] < 0:
+                    level[to[a]] = level[u] + 1
+                    after.append(to[a])
+        now = after
+    return level if level[sink] >= 0 else None
+
+
+def _block(out: list[list[int]], to: list[int], cap: list[int], level: list[int], src: int, sink: int) -> None:
+    """Sends along paths that go down the levels until each has a full arc; an arc that leads nowhere is tried once."""
+    tried, path, u = [0] * len(out), [], src
+    while True:
+        if u == sink:
+            amount = min(cap[a] for a in path)
+            for a in path:
+                cap[a] -= amount
+                cap[a ^ 1] += amount
+            k = next(k for k, a in enumerate(path) if not cap[a])  # back to where the first full arc leaves
+            u = to[path[k] ^ 1]
+            del path[k:]
+        arcs = out[u]
+        while tried[u] < len(arcs) and not (cap[arcs[tried[u]]] and level[to[arcs[tried[u]]]] == level[u] + 1):
+            tried[u] += 1
+        if tried[u] < len(arcs):
+            path.append(arcs[tried[u]])
+            u = to[path[-1]]
+        elif u == src:
+            return
+        else:
+            a = path.pop()
+            u = to[a ^ 1]
+            tried[u] += 1
+
+
 def seeded(doc_id: str, text: str, seed: int) -> Column:
     """The place in the seeded order: 60 bits of a digest of seed and doc_id; a null doc_id's are of its text."""
     name = F.coalesce(F.col(doc_id).cast("string"), F.concat(F.lit("text "), F.md5(F.coalesce(F.col(text), F.lit("")))))
@@ -155,12 +175,19 @@ def mix(docs: DataFrame, members: Column, weights: Sequence[float] = WEIGHTS, mo
     order = lambda x: (x is None, (x or "").encode())  # noqa: E731  code point order is UTF-8's byte order
     totals = sorted(((tuple(r["members"] or ()), int(r["size"])) for r in totals), key=lambda t: [order(x) for x in t[0]])
     names = sorted({x for t, _ in totals for x in t}, key=order)
-    sizes = [sum(n for t, n in totals if x in t) for x in names]
+    of: dict = {}
+    for t, n in totals:
+        for x in t:
+            of[x] = of.get(x, 0) + n
+    sizes = [of[x] for x in names]
     wanted = targets(sizes, [weights[k % len(weights)] for k in range(len(names))], most)
     quotas = {x: round(t) for x, t in zip(names, wanted, strict=True)}
     routed = flow([(frozenset(t), n) for t, n in totals], quotas, most)
     spark = docs.sparkSession
-    plan = [(list(t), sum(v for (p, _), v in routed.items() if p == k), n) for k, (t, n) in enumerate(totals)]
+    sent = [0] * len(totals)
+    for (p, _), v in routed.items():
+        sent[p] += v
+    plan = [(list(t), sent[k], n) for k, (t, n) in enumerate(totals)]
     # a row per pattern: bounded by MAX_NODES
     plan_df = spark.createDataFrame([(t, v // n if n else 0, v % n if n else 0) for t, v, n in plan], "members array<string>, whole long, rest long")
     plan_df = _cuts(base, plan_df)
