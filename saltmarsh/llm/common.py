@@ -71,6 +71,13 @@ def slices(batches, text: str | None = None, rows: int = BATCH_ROWS, most: int =
             at += n
 
 
+def row_key(text_col: str = "text") -> list:
+    """[doc_id, t], what a row of (doc_id, text) is known by, never null: a null doc_id is 0 and counts in the text's hash."""
+    doc_id = F.col("doc_id").cast("long")
+    t = F.when(doc_id.isNull(), F.xxhash64(text_col, F.lit("no doc_id"))).otherwise(F.xxhash64(text_col))
+    return [F.coalesce(doc_id, F.lit(0)).cast("long").alias("doc_id"), t.alias("t")]
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser on uint64: every input bit reaches every output bit."""
     x = x ^ (x >> np.uint64(32))

@@ -16,9 +16,9 @@ cluster, made by a join that AQE splits. A cluster of more than CLUSTER shingles
 and with a common member, and then only members outside the cluster's largest component are sent to all blocks: that many
 members times that many blocks are compared at most, each pair of texts once.
 
-Defined cases: null and empty texts have no shingles and no link; a null doc_id has no link either (component null);
-repeated rows are rows like others; rows of one doc_id with unlike texts are rows of their own, known by doc_id and the
-hash of the text; a text longer than any buffer is read piece by piece. An empty table gives no rows.
+Defined cases: null and empty texts have no shingles and no link; rows without a doc_id link like others, and count in a
+component without naming it: its smallest doc_id is that of those that have one (null if none has). Repeated rows are
+rows like others; rows of one doc_id with unlike texts are rows of their own, known by doc_id and the hash of the text; a text longer than any buffer is read piece by piece. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, drop, materialize, mix64, release, small_batches, trim
+from .common import components, drop, materialize, mix64, release, row_key, small_batches, trim
 from .shingles import shingle_sets
 
 GROWTH = 1.4
@@ -122,7 +122,7 @@ def folded(vectors: list[bytes], groups: int) -> np.ndarray:
 
 
 def sets_of(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, t, n, h, vector): the text's hash, and size, hash and group counts of its shingle set; h is null for an empty set."""
+    """(doc_id, t, none, n, h, vector): the row's key, whether it has no doc_id, and size, hash and group counts of its shingle set; h is null for an empty set."""
     small_batches(docs.sparkSession)
 
     def run(batches):
@@ -132,9 +132,9 @@ def sets_of(docs: DataFrame, k: int) -> DataFrame:
             n = [len(x) for x in sets]
             h = [int(set_hash(x).astype(np.int64)) if len(x) else None for x in sets]
             v = [packed_vector(x) if len(x) else None for x in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(h, pa.int64()), pa.array(v, pa.binary())], ["doc_id", "t", "n", "h", "vector"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(n, pa.int64()), pa.array(h, pa.int64()), pa.array(v, pa.binary())], ["doc_id", "t", "none", "n", "h", "vector"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text"), "text").mapInArrow(run, "doc_id long, t long, n long, h long, vector binary")
+    return docs.select(*row_key(), "text", F.col("doc_id").isNull().alias("none")).mapInArrow(run, "doc_id long, t long, none boolean, n long, h long, vector binary")
 
 
 def meetings(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -204,7 +204,7 @@ def meetings(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
         for _, cells in grouped(batches, 1):
             yield from runs(cells[0])
 
-    packed = docs.select("text").where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).mapInArrow(pack, "bucket int, cells binary")
+    packed = docs.select("text").where(F.col("text").isNotNull()).mapInArrow(pack, "bucket int, cells binary")
     return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "sig long, h long, other long")
 
 
@@ -476,13 +476,14 @@ def candidates(met: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFram
 def components_of_rows(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """(doc_id, t, n_shingles, component_id, first) of every row of docs (doc_id, text): Jaccard >= num / den on k-word shingles.
 
-    t is the text's hash; first: the row's (doc_id, t) is the least of its component, or the row has no links by definition.
+    doc_id and t are the row's key (``row_key``), with none, whether its doc_id is null; first: the row is the least of its
+    component, those with a doc_id before those without, or it has no links by definition.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     base = materialize(sets_of(docs, k), "sets")
     # a row for each distinct set; equal sets are added up inside the tasks first
-    nodes = base.where("h IS NOT NULL AND doc_id IS NOT NULL").groupBy("h").agg(F.min(F.struct("doc_id", "t")).alias("at"), F.first("n").alias("n"), F.first("vector").alias("vector"))
-    nodes = materialize(nodes.select("h", "at.doc_id", "at.t", "n", "vector"), "nodes")
+    nodes = base.where("h IS NOT NULL").groupBy("h").agg(F.min(F.struct("none", "doc_id", "t")).alias("at"), F.first("n").alias("n"), F.first("vector").alias("vector"))
+    nodes = materialize(nodes.select("h", "at.none", "at.doc_id", "at.t", "n", "vector"), "nodes")
     met = materialize(meetings(docs, k, num, den), "met")
     edges = candidates(met, nodes, num, den)
     drop(met)
@@ -491,7 +492,7 @@ def components_of_rows(docs: DataFrame, k: int, num: int, den: int) -> DataFrame
     drop(edges, found)
     totals = materialize(clusters.groupBy("cluster").agg(F.sum("n").alias("total"), F.min("h").alias("common")), "totals")
     placed = clusters.join(totals, "cluster").withColumn("blocks", F.ceil(F.col("total") / CLUSTER).cast("int"))
-    texts = docs.where("text IS NOT NULL").withColumn("t", F.xxhash64("text"))
+    texts = docs.where("text IS NOT NULL").select(*row_key(), "text")
     members = placed.select("cluster", "common", "blocks", "h", "doc_id", "t").join(texts, ["doc_id", "t"]).drop("t").dropDuplicates(["h"])
     members = materialize(members, "members", compression="zstd")
     drop(clusters, totals)
@@ -512,23 +513,21 @@ def components_of_rows(docs: DataFrame, k: int, num: int, den: int) -> DataFrame
         drop(before, found)
     drop(members)
     found = components(links)
-    named = found.join(nodes.select("h", "doc_id", "t"), found["node"] == F.col("h")).select("h", "component", "doc_id", "t")
+    named = found.join(nodes.select("h", F.struct("none", "doc_id", "t").alias("own")), found["node"] == F.col("h")).select("h", "component", "own")
     named = materialize(named, "named")
     drop(links, found)
-    least = materialize(named.groupBy("component").agg(F.min(F.struct("doc_id", "t")).alias("least")), "least")
-    answers = nodes.select("h", F.struct("doc_id", "t").alias("own")).join(named.join(least, "component").select("h", "least"), "h", "left")
+    least = materialize(named.groupBy("component").agg(F.min("own").alias("least")), "least")
+    answers = nodes.select("h", F.struct("none", "doc_id", "t").alias("own")).join(named.join(least, "component").select("h", "least"), "h", "left")
     answers = materialize(answers.select("h", F.coalesce("least", "own").alias("least")), "answers")  # so that AQE can split the rows of equal sets
     drop(nodes, named, least)
-    alone = F.col("h").isNull() | F.col("doc_id").isNull()
-    return base.join(answers, "h", "left").select(
-        "doc_id", "t", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("least.doc_id")).alias("component_id"),
-        (alone | (F.col("least") == F.struct("doc_id", "t"))).alias("first"),
-    )
+    own = F.struct("none", "doc_id", "t")
+    least = F.when(F.col("h").isNull(), own).otherwise(F.col("least"))
+    return base.join(answers, "h", "left").select("doc_id", "t", "none", F.col("n").alias("n_shingles"), F.when(~least["none"], least["doc_id"]).alias("component_id"), (least == own).alias("first"))
 
 
 def join_components(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs (doc_id, text): Jaccard >= num / den on k-word shingles."""
-    return components_of_rows(docs, k, num, den).select("doc_id", "n_shingles", "component_id")
+    return components_of_rows(docs, k, num, den).select(F.when(~F.col("none"), F.col("doc_id")).alias("doc_id"), "n_shingles", "component_id")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

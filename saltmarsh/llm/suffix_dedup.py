@@ -18,10 +18,9 @@ documents) are not gathered: their strings are counted one by one by hash, with
 input; texts are whole (read in pieces of PIECE bytes with what their windows need of their neighbours), and matches never
 cross documents.
 
-Defined cases: null and empty texts have no bytes; a text shorter than LENGTH keeps all; a null doc_id is dropped from
-the comparison and keeps all its bytes. A row is known by its doc_id and the hash of its text: repeated rows (equal in
-both) are each other's copies, rows of one doc_id with unlike texts are documents of their own. An empty table gives no
-rows. Hashes have 64 bits twice over (key and context), so a wrong match is not to be expected.
+Defined cases: null and empty texts have no bytes; a text shorter than LENGTH keeps all. A row is known by its doc_id and
+the hash of its text: repeated rows (equal in both) are each other's copies, rows of one doc_id with unlike texts are
+documents of their own, and rows without a doc_id are documents like others. An empty table gives no rows. Hashes have 64 bits twice over (key and context), so a wrong match is not to be expected.
 
 Where words are asked for too, so many words in a row that also start elsewhere are removed however few bytes they have
 (short_spans); those of LENGTH bytes or more are covered by repeated strings anyway, so only shorter ones are counted.
@@ -36,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, materialize, mix64, release, small_batches
+from .common import drop, materialize, mix64, release, row_key, small_batches
 
 LENGTH = 400
 KEY = 200
@@ -266,11 +265,6 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 SPAN = "array<struct<a: int, b: int>>"
 
 
-def _text_hash() -> F.Column:
-    """With doc_id, what a row is known by."""
-    return F.xxhash64("text").alias("t")
-
-
 def _anchor_rows(docs: DataFrame, length: int, key: int) -> DataFrame:
     small_batches(docs.sparkSession, 200)
 
@@ -299,14 +293,14 @@ def _anchor_rows(docs: DataFrame, length: int, key: int) -> DataFrame:
         cols = [*names, at, left.astype(np.int32), right.astype(np.int32), *(np.concatenate([r[k] for r in held]).view(np.int64) for k in (4, 5))]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["doc_id", "t", "at", "before", "after", "key", "context"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), _text_hash(), "text").where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length))
+    rows = docs.select(*row_key(), "text").where(F.octet_length("text") >= length)
     return rows.mapInArrow(packed, "doc_id long, t long, at long, before int, after int, key long, context long")
 
 
 def _read_contexts(docs: DataFrame, wanted: DataFrame, length: int, key: int) -> DataFrame:
     """(key, context, pre, post): the bytes of wanted's contexts (doc_id, t, at, key, context); pre is reversed."""
     per_doc = wanted.groupBy("doc_id", "t").agg(F.collect_list(F.struct("at", "key", "context")).alias("list"))  # anchors of one document
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_hash(), "text").where(F.octet_length("text") >= length)
+    rows = docs.select(*row_key(), "text").where(F.octet_length("text") >= length)
     rows = rows.join(per_doc, ["doc_id", "t"]).select("text", "list")
 
     def run(batches):
@@ -497,7 +491,7 @@ def short_spans(docs: DataFrame, words: int, length: int) -> DataFrame:
         if held:
             yield batch(held)
 
-    rows = docs.select(F.col("doc_id").cast("long"), _text_hash(), "text").where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= 2 * words - 1))
+    rows = docs.select(*row_key(), "text").where(F.octet_length("text") >= 2 * words - 1)
     found = materialize(rows.mapInArrow(run, "doc_id long, t long, a long, b long, h long, n long"), "short")
     again = materialize(found.groupBy("h").agg(F.sum("n").alias("times")).where("times > 1").select("h"), "again")
     out = materialize(found.join(again, "h").groupBy("doc_id", "t").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "cuts")
@@ -527,9 +521,9 @@ def removed(docs: DataFrame, length: int = LENGTH, columns: tuple[str, ...] = ()
     if words:
         spans = spans.unionByName(short_spans(docs, words, length)).groupBy("doc_id", "t").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     small_batches(docs.sparkSession, 200)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[c for c in columns if c not in ("doc_id", "text")], _text_hash(), "text").join(spans, ["doc_id", "t"], "left")
     names = ["doc_id", *[c for c in columns if c not in ("doc_id", "text")]]
-    rows = rows.select(*names, "text", "spans")
+    own = F.struct(F.col("doc_id").cast("long").alias("doc_id"), *names[1:]).alias("own")
+    rows = docs.select(own, *row_key(), "text").join(spans, ["doc_id", "t"], "left").select("own.*", "text", "spans")
 
     def run(batches):
         release()

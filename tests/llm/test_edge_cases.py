@@ -129,3 +129,38 @@ def test_mixing_keeps_each_row(spark):
     got = corpus_pipeline.mix(spark, docs, "").collect()
     assert sorted(r["n_chars"] for r in got) == want and {1, 2} <= set(want) and 3 not in want
     assert {(r["doc_id"], r["text"], r["n_chars"]) for r in got} <= {(r[0], r[1], r[4]) for r in rows}
+
+
+def test_roles_come_back_as_they_are(spark):
+    rows = [(1, 0, "User", "hi"), (1, 1, "Assistant", "yo"), (1, 2, "user", "hi"), (1, 3, "SYSTEM", "x"), (2, 0, "System", "a"), (3, 0, "assistant", "b"), (3, 1, "a:\n#</turn>", "c"), (3, 2, "\\User", "d")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r["conv_id"]: r for r in chat.digests(df).collect()}
+    for conv in (1, 2, 3):
+        want = "".join(f"{role}\n{text}\n" for c, _, role, text in rows if c == conv)
+        assert got[conv]["turns_sha256"] == hashlib.sha256(want.encode()).hexdigest()
+    assert [got[k]["loss_chars"] for k in (1, 2, 3)] == [0, 0, 1]
+
+
+def test_rows_without_an_id_are_compared(spark):
+    a = " ".join(f"word{k}" for k in range(200))
+    x = " ".join(f"word{k}" for k in range(5, 205))
+    b = " ".join(f"word{k}" for k in range(10, 210))
+    rows = [(0, "zero"), (1, a), (None, a), (None, a), (3, "clean text of its own")]
+    cut = [(r["doc_id"], r["n_bytes"], r["n_removed"]) for r in suffix_dedup.digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(cut, key=str) == sorted([(0, 4, 0), (1, len(a), len(a)), (None, len(a), len(a)), (None, len(a), len(a)), (3, 21, 0)], key=str)
+    only = spark.createDataFrame([(None, a), (None, a)], "doc_id long, text string")
+    assert [r["n_removed"] for r in suffix_dedup.digests(only).collect()] == [len(a)] * 2
+    # 1 and 2 are linked by a third text alone, whether that has an id or not
+    for between in (7, None):
+        df = spark.createDataFrame([(1, a), (between, x), (2, b), (None, "alone here"), (0, "alone there")], "doc_id long, text string")
+        near = {r["doc_id"]: r["component_id"] for r in jaccard_join.join_components(df.where("text NOT LIKE 'alone%'"), 3, 90, 100).collect()}
+        assert near == {1: 1, between: 1, 2: 1}
+    near = [r["component_id"] for r in jaccard_join.near_duplicates(only).collect()]
+    assert near == [None, None]
+
+
+def test_near_copies_without_an_id_go(spark):
+    a = " ".join(f"word{k}" for k in range(50))
+    rows = [(5, a, "en", "s", 1), (None, a, "en", "s", 2), (None, a + " more", "en", "s", 3), (None, "other text", "en", "s", 4), (None, "other text", "en", "s", 4), (None, None, "en", "s", 5), (None, "", "en", "s", 6), (0, "zero id", "en", "s", 7)]
+    kept = corpus_pipeline.near_copies(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
+    assert sorted(r["n_chars"] for r in kept) == [1, 4, 5, 6, 7]
