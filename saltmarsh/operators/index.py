@@ -21,9 +21,10 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], version: str) -> Dat
     return old.join(fresh.select(keys), keys, "left_anti").select(old.columns).unionByName(fresh.select(old.columns))
 
 
-def replace_children(children: DataFrame, new: DataFrame, parent: str) -> DataFrame:
-    """children with those of new's parents taken out and new put in."""
-    return children.join(new.select(parent).distinct(), parent, "left_anti").select(children.columns).unionByName(new)
+def replace_children(children: DataFrame, new: DataFrame, parent: str, touched: DataFrame | None = None) -> DataFrame:
+    """children with those of new's parents taken out and new put in; touched parents without new children lose theirs."""
+    gone = new.select(parent) if touched is None else new.select(parent).unionByName(touched.select(parent))
+    return children.join(gone.distinct(), parent, "left_anti").select(children.columns).unionByName(new)
 
 
 def delete(rows: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:

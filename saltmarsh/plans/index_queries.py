@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import values
 from ..operators import index, stores, texts
+from ..sources import versions
 from ..sources.tables import files, table
+from ..sources.work import scratch
 from ..streaming import events as streams
 from .registry import query
 
@@ -46,6 +48,44 @@ def replace_children(spark, d):
     return index.replace_children(li, new, "l_orderkey")
 
 
+@query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'O') UNION ALL SELECT o_orderkey, 1, o_custkey FROM orders WHERE o_orderstatus = 'P'", views=False)
+def replace_children_cleared(spark, d):
+    """Parents of status F are touched too; they have no new children and lose theirs."""
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.lit(1).alias("l_linenumber"), F.col("o_custkey").alias("l_partkey"), "o_orderstatus")
+    return index.replace_children(li, o.where("o_orderstatus = 'P'").drop("o_orderstatus"), "l_orderkey", o.where("o_orderstatus <> 'O'").select("l_orderkey"))
+
+
+def _kept_lines(spark, d) -> str:
+    """A versioned table of lines by order: all of them, then a merge that renews the lines of some orders and clears others'."""
+    path = scratch(spark, "lines")
+    versions.replace(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), path, ["l_orderkey"])
+    o = table(spark, d, "orders").where("o_totalprice > 300000").select(F.col("o_orderkey").alias("l_orderkey"), F.lit(0).alias("l_linenumber"), F.col("o_totalprice").alias("l_quantity"), "o_orderstatus")
+    versions.merge(path, o.where("o_orderstatus <> 'F'").drop("o_orderstatus"), ["l_orderkey"], o.select("l_orderkey"))
+    return path
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_totalprice > 300000) UNION ALL SELECT o_orderkey, 0, o_totalprice FROM orders WHERE o_totalprice > 300000 AND o_orderstatus <> 'F'", views=False)
+def merged_version(spark, d):
+    return versions.read(spark, _kept_lines(spark, d))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem", views=False)
+def earlier_version(spark, d):
+    """What a reader that resolved the version before still reads."""
+    return versions.read(spark, _kept_lines(spark, d), 0)
+
+
+@query("SELECT vec_id, CASE WHEN vec_id % 10 = 0 THEN label + 100 ELSE label END AS label, list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x)) > 0.5 AS unit FROM embeddings WHERE vec_id % 10 <> 5", views=False)
+def vector_upsert(spark, d):
+    """Vectors of the right dimension merged into a versioned table: some renewed, some taken out."""
+    path = scratch(spark, "vectors")
+    e = table(spark, d, "embeddings").withColumn("embedding", values.with_dimension(F.col("embedding"), 64))
+    versions.replace(e, path, ["vec_id"])
+    versions.merge(path, e.where("vec_id % 10 = 0").withColumn("label", F.col("label") + 100), ["vec_id"], e.where("vec_id % 5 = 0").select("vec_id"))
+    return versions.read(spark, path).select("vec_id", "label", (values.dot(F.col("embedding"), F.col("embedding")) > 0.5).alias("unit"))
+
+
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3)", views=False)
 def delete_file(spark, d):
     gone = table(spark, d, "customer").where("c_nationkey = 3").select(F.col("c_custkey").alias("o_custkey"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..operators import index
+from ..sources import versions
 
 DEBOUNCE, TICK, QUEUE = "2 seconds", "5 seconds", 1000
 EVENTS = "path string, ts timestamp, op string"
@@ -66,16 +67,21 @@ def toggled(events: DataFrame) -> DataFrame:
 
 
 def keep_index(stream: DataFrame, table_path: str, read: Callable[[DataFrame], DataFrame], checkpoint: str, key: str = "path"):
-    """Runs until the stream's files are read: each batch's files are read again by read(), replaced in or deleted from the table."""
+    """Runs until the stream's files are read: each batch's files are read again by read(), replaced in or deleted from the table.
 
-    def apply(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
+    The table is one of ``sources.versions``: a batch rewrites only the buckets of its files, as one version that readers see
+    whole or not at all. A version says which batch it is, so a batch that is given again after a failure changes nothing.
+    """
+    name = f"batch of {checkpoint}"
+
+    def apply(batch: DataFrame, number: int) -> None:
+        found = versions.manifest(batch.sparkSession, table_path)
+        if found and found["note"].get(name, -1) >= number:
+            return
         todo = routed(batch).persist()
         try:
             new = read(todo.where("action = 'upsert'").select(key))
-            old, _state = index.load_or_empty(spark, table_path, new.schema.simpleString()[7:-1].replace(":", " "))
-            out = index.delete(old, todo, [key]).unionByName(new.select(old.columns))
-            index.overwrite_atomically(out, table_path)
+            versions.merge(table_path, new, [key], todo.select(key), note={name: number})
         finally:
             todo.unpersist()
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from saltmarsh.functions import paths
 from saltmarsh.operators import graph, index, markdown, paging, positions, references, search, semantic, symbols, texts, usage
 from saltmarsh.sources import files as sources
+from saltmarsh.sources import versions
 from saltmarsh.streaming import events
 
 
@@ -367,12 +368,13 @@ def test_stream_keeps_a_table(spark, tmp_path):
     put("1.json", [("a", "2024-01-01T00:00:00Z", "create"), ("b", "2024-01-01T00:00:00Z", "create")])
     run = lambda: events.keep_index(events.file_events(spark, str(src)), table, read, str(tmp_path / "ck"))
     run()
-    assert rows(spark.read.parquet(table)) == [("a", "one"), ("b", "two")]
+    assert rows(versions.read(spark, table)) == [("a", "one"), ("b", "two")]
     content["a"] = "new"
     put("2.json", [("a", "2024-01-01T00:01:00Z", "modify"), ("b", "2024-01-01T00:01:00Z", "delete")])
     run()
     run()
-    assert rows(spark.read.parquet(table)) == [("a", "new")]
+    assert rows(versions.read(spark, table)) == [("a", "new")]
+    assert rows(versions.read(spark, table, 0)) == [("a", "one"), ("b", "two")]
 
 
 def test_stream_counts_as_the_batch_does(spark, tmp_path):
