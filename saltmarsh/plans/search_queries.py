@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import search
+from ..operators import neighbours, search
 from ..sources.tables import files, table
 from .registry import query
 
@@ -99,3 +99,30 @@ def matched_terms(spark, d):
 def allow_list_topk(spark, d):
     ids = facts(spark, d).where("id % 3 = 1").select("id")
     return search.top_k(search.score(search.allowed(vectors(spark, d), ids), one(spark, d)), 20).select("id", "score", F.col("rank").cast("int").alias("rank"))
+
+
+@query("SELECT 'all' AS among, (SELECT count(*) FROM embeddings WHERE vec_id % 50 = 0) AS queries, true AS enough UNION ALL SELECT 'few', (SELECT count(*) FROM embeddings WHERE vec_id % 50 = 0), true", views=False)
+def ann_recall(spark, d):
+    """Whether a walk over the graphs finds at least 0.9 of what scoring everything does, also among one in a hundred."""
+    e = table(spark, d, "embeddings")
+    v = e.select(F.col("vec_id").alias("id"), "embedding")
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
+    index, few = neighbours.build(v), v.where("id % 100 = 7").select("id")
+    rows = []
+    for among, ids in (("all", None), ("few", few)):
+        found = neighbours.search(index, q, 10, allow=ids, exact=False)
+        share = neighbours.recall(found, search.top_k(search.score(search.allowed(v, ids), q), 10).select("qid", "id", "score"))
+        rows.append(q.agg(F.lit(among).alias("among"), F.count("*").alias("queries"), F.lit(share >= 0.9).alias("enough")))
+    return rows[0].unionByName(rows[1])
+
+
+@query("""
+WITH q AS (SELECT vec_id AS qid, embedding AS q FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT vec_id AS id, qid, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])), 4) AS score FROM embeddings, q WHERE vec_id % 60 = 7)
+SELECT qid, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS INT) AS rank FROM s QUALIFY rank <= 5
+""", views=False)
+def ann_allow_list(spark, d):
+    """Among few allowed vectors the index answers exactly."""
+    e = table(spark, d, "embeddings")
+    v = e.select(F.col("vec_id").alias("id"), "embedding")
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
+    return neighbours.search(neighbours.build(v), q, 5, allow=v.where("id % 60 = 7").select("id")).select("qid", F.round("score", 4).alias("score"), "rank")
