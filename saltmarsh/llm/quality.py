@@ -12,8 +12,8 @@ read again. So the driver holds the same few megabytes at every size; all docume
 
 Defined cases: null and empty texts have no trigrams, null metadata is a value of its own; with labels of one kind only,
 or none, every score is the labels' share (0.5 without labels); repeated rows get a row each, and are one document for
-the fit (the least by text); documents of one confidence (copies) are given once, the smallest doc_id; a null doc_id has no
-label and is not given; labels of a doc_id that disagree are averaged and rounded. An empty table gives no rows.
+the fit (the least by text); documents of one text are given once, those of one confidence in the order of a hash of
+their ids; a null doc_id has no label and is not given; labels of a doc_id that disagree are averaged and rounded. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -173,39 +173,53 @@ def _read_features(docs: DataFrame, chosen: DataFrame) -> dict[int, tuple[int, n
     return {d: r for d, *r in zip(got["doc_id"].to_pylist(), got["y"].to_pylist(), part("x", np.float16), part("m", np.uint8), strict=True)}
 
 
+def _order(doc_id: str) -> F.Column:
+    """What parts documents of one confidence, as many of one source and size have in the metadata view."""
+    return F.crc32(F.concat(F.lit(f"{SEED}:"), F.col(doc_id).cast("string")).cast("binary"))
+
+
 def _confident(docs: DataFrame, fitted: list[Regression], known: list[set[int]], most: int) -> DataFrame:
-    """(view, side, place, doc_id): of all documents the most most confident of each view on each side (0 low, 1 high)."""
+    """(view, side, place, doc_id): of all documents the most most confident of each view on each side (0 low, 1 high).
+
+    Documents of one text are given once, the most confident, then by order; a task keeps no more than most of each.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((fitted, known))
+    names = ["view", "side", "p", "tie", "doc_id", "copy"]
 
     def run(batches):
         release()
         fitted, known = shared.value
-        best: dict[tuple[int, int], dict[float, int]] = {(v, s): {} for v in (0, 1) for s in (0, 1)}
-
-        def shorten():
-            for (v, s), d in best.items():
-                best[v, s] = dict(sorted(d.items(), reverse=bool(s))[:most])
-
+        best = {(v, s): np.empty((0, 2)) for v in (0, 1) for s in (0, 1)}  # p, the most confident first, and tie
+        ids, copies = {k: np.empty(0, np.int64) for k in best}, {k: np.empty(0, np.int64) for k in best}
         for b in batches:
-            ids, c = b.column(0).to_pylist(), [b.column(k).to_pylist() for k in range(1, 5)]
+            if not len(b):
+                continue
+            own, tie, copy = (b.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            c = [b.column(k).to_pylist() for k in range(3, 7)]
             for v, x in enumerate((text_features(c[0]), meta_features(*c[1:]))):
-                for d, p in zip(ids, np.round(fitted[v].logit(x), 5).tolist(), strict=True):
-                    if d is not None and d not in known[1 - v]:
-                        for s in (0, 1):
-                            best[v, s][p] = min(d, best[v, s].get(p, d))
-            shorten()
-        rows = [(v, s, p, d) for (v, s), x in best.items() for p, d in x.items()]
-        kinds = (pa.int32(), pa.int32(), pa.float64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["view", "side", "p", "doc_id"])
-
-    rows = docs.select(F.col("doc_id").cast("long"), "text", "source", "lang", F.col("n_chars").cast("long"))
-    found = rows.mapInArrow(run, "view int, side int, p double, doc_id long").groupBy("view", "side", "p").agg(F.min("doc_id").alias("doc_id"))
-    better = F.when(F.col("side") == 1, -F.col("p")).otherwise(F.col("p"))
+                free = ~np.isin(own, np.fromiter(known[1 - v], np.int64, len(known[1 - v])))
+                p = np.round(fitted[v].logit(x), 5)
+                for s in (0, 1):
+                    k = (v, s)
+                    all_p = np.concatenate([best[k][:, 0], (-p if s else p)[free]])
+                    all_tie = np.concatenate([best[k][:, 1], tie[free].astype(np.float64)])
+                    all_id, all_copy = np.concatenate([ids[k], own[free]]), np.concatenate([copies[k], copy[free]])
+                    order = np.lexsort((all_id, all_tie, all_p))
+                    first = np.sort(np.unique(all_copy[order], return_index=True)[1])[:most]
+                    at = order[first]
+                    best[k], ids[k], copies[k] = np.stack([all_p[at], all_tie[at]], 1), all_id[at], all_copy[at]
+        for (v, s), x in best.items():
+            n = len(x)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, v, np.int32)), pa.array(np.full(n, s, np.int32)), pa.array(x[:, 0]), pa.array(x[:, 1].astype(np.int64)), pa.array(ids[v, s]), pa.array(copies[v, s])], names)
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _order("doc_id").alias("tie"), F.xxhash64("text").alias("copy"), "text", "source", "lang", F.col("n_chars").cast("long").alias("n_chars")).where("doc_id IS NOT NULL")
+    found = rows.mapInArrow(run, "view int, side int, p double, tie long, doc_id long, copy long")
+    found = found.groupBy("view", "side", "copy").agg(F.min(F.struct("p", "tie", "doc_id")).alias("best")).select("view", "side", "best.*")
     # the most confident of each of PARTS parts first: the last step gets PARTS * most rows of a view and side at most
-    found = found.withColumn("part", F.pmod(F.xxhash64("p"), F.lit(PARTS)))
-    found = found.withColumn("place", F.row_number().over(Window.partitionBy("view", "side", "part").orderBy(better))).where(F.col("place") <= most)
-    order = Window.partitionBy("view", "side").orderBy(better)
-    return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select("view", "side", "place", "doc_id")
+    found = found.withColumn("part", F.pmod(F.xxhash64("tie"), F.lit(PARTS)))
+    order = ["p", "tie", "doc_id"]
+    found = found.withColumn("place", F.row_number().over(Window.partitionBy("view", "side", "part").orderBy(*order))).where(F.col("place") <= most)
+    return found.withColumn("place", F.row_number().over(Window.partitionBy("view", "side").orderBy(*order))).where(F.col("place") <= most).select("view", "side", "place", "doc_id")
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality") -> Model:

@@ -397,12 +397,17 @@ def test_quality_is_that_of_a_plain_version(spark):
     for _ in range(quality.ROUNDS):
         models, taught = [fitted(0), fitted(1)], []
         for v in (0, 1):
-            best = {}
-            for d in sorted(set(rows) - set(y) - {x for x, _, _ in given[1 - v]}):
-                best.setdefault(round(float(models[v].logit(np.array([views[v][d]], np.float32))[0]), 5), d)
+            p = {d: round(float(models[v].logit(np.array([views[v][d]], np.float32))[0]), 5) for d in set(rows) - set(y) - {x for x, _, _ in given[1 - v]}}
             up, down = max(1, round(quality.GIVEN * prior)), max(1, round(quality.GIVEN * (1 - prior)))
-            low = [best[p] for p in sorted(best)[:down]]
-            taught.append([(d, 0, 0.5) for d in low] + [(best[p], 1, 0.5) for p in sorted(best, reverse=True)[:up] if best[p] not in low])
+
+            def ends(sign, n):  # of documents of one text the most confident, in the order of confidence, then of a hash
+                one = {}
+                for d in sorted(p, key=lambda d: (sign * p[d], zlib.crc32(f"{quality.SEED}:{d}".encode()), d)):  # noqa: B023
+                    one.setdefault(rows[d]["text"], d)
+                return list(one.values())[:n]
+
+            low = ends(1, down)
+            taught.append([(d, 0, 0.5) for d in low] + [(d, 1, 0.5) for d in ends(-1, up) if d not in low])
         for v in (0, 1):
             given[1 - v] += sorted(taught[v])
     models = [fitted(0), fitted(1)]
