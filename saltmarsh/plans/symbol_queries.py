@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import ranges, text, values
-from ..operators import paging, positions, references, symbols, usage
+from ..operators import names, paging, positions, references, symbols, usage
+from ..sources import versions
 from ..sources.tables import calls, files, lines, table
+from ..sources.work import scratch
 from .registry import query
 
 LOW = "translate(p_name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -53,6 +55,43 @@ def symbol_prefix_search(spark, d):
     return table(spark, d, "customer").where(F.lower("c_name").startswith("CUSTOMER#0000001".lower())).select("c_custkey")
 
 
+_QUERIES = "(VALUES ('red'), ('blue w'), ('WIDGET'), ('e'), ('zq'), (''), (NULL)) v(q)"
+
+
+def _asked(spark):
+    return spark.createDataFrame([(x, x) for x in ("red", "blue w", "WIDGET", "e", "zq", "", None)], "qid string, q string")
+
+
+_KIND = f"CASE WHEN {LOW} = lower(q) THEN 'exact' WHEN starts_with({LOW}, lower(q)) THEN 'prefix' WHEN contains({LOW}, lower(q)) THEN 'substring'"
+
+
+@query(f"WITH m AS (SELECT q AS qid, p_partkey AS id, p_name AS name, {_KIND} END AS match_kind FROM part, {_QUERIES} WHERE q <> '') SELECT * FROM m WHERE match_kind IS NOT NULL", views=False)
+def indexed_search(spark, d):
+    """The rows of a scan, by posting lists."""
+    n = table(spark, d, "part").select(F.col("p_partkey").cast("long").alias("id"), F.col("p_name").alias("name"))
+    return names.search(names.postings(n), n, _asked(spark))
+
+
+@query(f"WITH m AS (SELECT q AS qid, p_partkey AS id, p_name AS name, {_KIND} WHEN regexp_matches({LOW}, array_to_string(string_split(lower(q), ''), '.*')) THEN 'fuzzy' END AS match_kind FROM part, {_QUERIES} WHERE q <> '') SELECT * FROM m WHERE match_kind IS NOT NULL", views=False)
+def indexed_fuzzy_search(spark, d):
+    n = table(spark, d, "part").select(F.col("p_partkey").cast("long").alias("id"), F.col("p_name").alias("name"))
+    return names.search(names.postings(n), n, _asked(spark), fuzzy=True)
+
+
+@query("SELECT s_suppkey AS id, CASE WHEN s_suppkey % 2 = 0 THEN 'new name' ELSE s_name END AS name FROM supplier WHERE s_suppkey % 3 <> 0 AND (s_suppkey % 2 = 0 OR contains(lower(s_name), 'name'))", views=False)
+def indexed_after_changes(spark, d):
+    """Names renamed and removed, the index kept by the posting rows that these touch."""
+    path = scratch(spark, "postings")
+    old = table(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("id"), F.col("s_name").alias("name"))
+    versions.replace(names.postings(old), path, names.KEY)
+    left = old.where("id % 3 <> 0")
+    renamed = left.where("id % 2 = 0").select("id", F.lit("new name").alias("name"))
+    rows, keys = names.changed(versions.read(spark, path), old.where("id % 3 = 0 OR id % 2 = 0"), renamed)
+    versions.merge(path, rows, names.KEY, keys)
+    now = left.where("id % 2 <> 0").unionByName(renamed)
+    return names.search(versions.read(spark, path), now, spark.createDataFrame([(1, "NAME")], "qid int, q string")).select("id", "name")
+
+
 @query(f"""{PART_SYMBOLS}, m AS (SELECT *, {MATCH} AS match_kind FROM syms), s AS (SELECT *, CAST({SCORE} AS DOUBLE) AS match_score, replace(kind, ' (re-export)', '') AS base FROM m WHERE match_kind <> 'none'),
 k AS (SELECT *, CASE WHEN match_kind = 'exact' AND name = 'red' AND path = 'brand#2/lib.ts' THEN 0 WHEN match_kind = 'exact' AND name = 'red' THEN 1 WHEN match_kind = 'exact' THEN 2 ELSE 3 END AS tier, CASE WHEN path = 'brand#2/lib.ts' THEN 10000 ELSE 0 END + CASE WHEN starts_with(path, 'node_modules/') OR contains(path, '/node_modules/') THEN -2000 ELSE 2000 END
     + CASE match_kind WHEN 'exact' THEN 1000 WHEN 'prefix' THEN 800 WHEN 'substring' THEN 600 WHEN 'fuzzy' THEN 400 ELSE 0 END
