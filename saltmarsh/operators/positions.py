@@ -1,19 +1,24 @@
 """Positions against ranges: smallest container or nearest, identifiers at a position, neighbours of a line.
 
-Ranges meet positions by nodes of a binary tree over the places of a file: a range is at most two nodes a level, a
-position lies in one node a level, so containment is an equi-join on (path, level, node), and so is the next or previous
-place (the sibling nodes on the way up). Nodes hold one row, the best of theirs, so what is joined grows as the inputs
-times the levels (the bits of the largest place), never as the pairs within a file, and a file with very many rows is
-spread over its nodes. A band of lines is a join on the line's bucket and its two neighbours.
+The smallest container or nearest range of many positions is found by a sweep: a file's ranges and positions meet in one
+exchange and are put in order of place once; a file with very many rows is swept in parts, each with what reaches into
+it (``_parts``). All references inside ranges meet by nodes of a binary tree over the places of a file: a range is at most
+two nodes a level, a position lies in one node a level, so containment is an equi-join on (path, level, node), never of
+the pairs within a file. A band of lines is a join on the line's bucket and its two neighbours.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ranges as R
-from ..sources.work import drop, materialize
+from ..sources.work import materialize
 from .paging import first_per_group
 
 RANGE = ("sl", "sc", "el", "ec")
@@ -58,30 +63,6 @@ class _Places:
         return F.filter(F.flatten(F.transform(every, at)), lambda x: x.isNotNull())
 
 
-def _containing(lookups: DataFrame, symbols: DataFrame, places: _Places, best: Column) -> DataFrame:
-    """(path, p, b): the least best of the ranges that hold each place."""
-    nodes = symbols.select("path", F.explode(places.covers(places.of(F.col("sl"), F.col("sc")), places.of(F.col("el"), F.col("ec")))).alias("n"), best.alias("b"))
-    nodes = nodes.groupBy("path", "n.level", "n.node").agg(F.min("b").alias("b"))
-    at = lookups.select("path", "p", places.up().alias("level"))
-    at = at.withColumn("node", F.expr("shiftright(p, level)"))
-    return at.join(nodes, ["path", "level", "node"]).groupBy("path", "p").agg(F.min("b").alias("b"))
-
-
-def _beside(queries: DataFrame, items: DataFrame, places: _Places) -> DataFrame:
-    """queries (.., path, side, p, after) with b, the item (path, side, p, b) at the next place after p, or at the last before it; p itself isn't it.
-
-    A place's next one is in the lowest sibling node to its right that has any, at that node's first place.
-    """
-    up = items.select("path", "side", "p", "b", places.up().alias("level")).withColumn("node", F.expr("shiftright(p, level)"))
-    ends = up.groupBy("path", "side", "level", "node").agg(F.min(F.struct("p", "b")).alias("low"), F.min(F.struct((-F.col("p")).alias("m"), "p", "b")).alias("high"))
-    at = queries.select("*", places.up().alias("level"))
-    bit = F.expr("shiftright(p, level) & 1")
-    at = at.where(F.col("after") == (bit == 0)).withColumn("node", F.expr("shiftright(p, level) ^ 1"))
-    found = at.join(ends, ["path", "side", "level", "node"])
-    hit = F.when(F.col("after"), F.struct(F.col("low.p").alias("at"), F.col("low.b").alias("b"))).otherwise(F.struct(F.col("high.p").alias("at"), F.col("high.b").alias("b")))
-    return found.groupBy(*queries.columns).agg(F.min_by(hit, "level").alias("hit")).select(*queries.columns, "hit.at", "hit.b")
-
-
 #: Lookups of a page, which a call of a tool makes: these are compared with all symbols of their files.
 FEW = 1000
 
@@ -104,40 +85,171 @@ def containers(lookups: DataFrame, symbols: DataFrame, few: bool = False) -> Dat
         pairs = symbols.join(F.broadcast(lookups.select(key).distinct()), "path")
         answers = pairs.groupBy(key).agg(F.min(best).alias("m")).select(*key, F.when(F.col("m.tier") == 0, "container").otherwise("nearest").alias("found"), F.col("m.b").alias("b"))
     else:
-        answers = _answers(lookups, symbols, tie)
+        return _swept(lookups, symbols)
     out = lookups.join(answers, key, "left_outer")
     return out.select("idx", *key, F.coalesce("found", F.lit("none")).alias("found"), F.col("b.name").alias("name"), *[F.col(f"b.{c}").alias(c) for c in RANGE])
 
 
-def _answers(lookups: DataFrame, symbols: DataFrame, tie: Column) -> DataFrame:
-    """(path, line, character, found, b), a table: b is the best of tie for each place asked for."""
-    key = ["path", "line", "character"]
-    # of equal ranges only the first can be found, and equal places find the same
-    ranges_ = materialize(symbols.groupBy("path", *RANGE).agg(F.min(F.struct("ord", "name")).alias("o")).select("path", *RANGE, "o.ord", "o.name"), "ranges")
-    asked_table = materialize(lookups.select(key).distinct(), "asked")
-    places = _Places(asked_table, ranges_)
-    asked = asked_table.withColumn("p", places.of(F.col("line"), F.col("character")))
-    held = materialize(asked.join(_containing(asked, ranges_, places, tie), ["path", "p"], "left_outer"), "held")
-    rest = held.where("b IS NULL").drop("b")
-    # what none holds lies between ranges: starts after it, ends before it
+#: Rows of a file that one task sweeps; a file with more is cut into parts at the beginnings of lines.
+PART = 200_000
+#: Rows that are swept together, at least; a batch ends where a part does.
+SWEEP = 100_000
+_SWEPT = [*RANGE, "ord", "name"]
+
+
+def _parts(rows: DataFrame, places: _Places) -> DataFrame:
+    """rows (path, is_lookup, sl, sc, el, ec, ..) with their part: a range is in those where it begins and ends.
+
+    Of the ranges that cover a part without beginning or ending in it only the best can answer there, so it is in there too,
+    and so are the starts of the next line that has any after the part, and the ends of the last before it. A file's cuts
+    are approximate percentiles of its places. All is one part where no file has over PART rows.
+    """
+    counts = rows.groupBy("path").agg(F.count("*").alias("n")).where(F.col("n") > PART)
+    most = counts.agg(F.max("n")).first()[0]
+    if most is None:
+        return rows.withColumn("part", F.lit(0))
+    k = -(-most // PART)
     start, end = places.of(F.col("sl"), F.col("sc")), places.of(F.col("el"), F.col("ec"))
-    sides = F.explode(F.array(F.struct(F.lit(True).alias("side"), start.alias("p")), F.struct(F.lit(False).alias("side"), end.alias("p")))).alias("s")
-    items = materialize(ranges_.select("path", sides, tie.alias("b")).groupBy("path", "s.side", "s.p").agg(F.min("b").alias("b")), "ends")
-    both = F.explode(F.array(F.lit(True), F.lit(False)))
-    near = materialize(_beside(rest.select(*key, "p", both.alias("side")).withColumn("after", F.col("side")), items, places), "near")
-    # on another line the nearest character counts, on either side of the one asked for or at it
-    line_of = F.shiftright("at", places.shift)
-    other = near.where(line_of != F.col("line")).select(*key, "side", places.of(line_of, F.col("character")).alias("q"))
-    exact = other.join(items.withColumnRenamed("p", "q"), ["path", "side", "q"]).select(*key, "side", F.col("q").alias("at"), "b")
-    beside = other.select(*key, "side", F.col("q").alias("p"), both.alias("after"))
-    beside = _beside(beside, items, places).where(F.expr(f"shiftright(at, {places.shift}) = shiftright(p, {places.shift})"))
-    cols = (*key, "at", "b")
-    found = near.where(line_of == F.col("line")).select(*cols).unionByName(exact.select(*cols)).unionByName(beside.select(*cols))
-    dist = R.distance(*(F.col(f"b.{c}") for c in RANGE), F.col("line"), F.col("character"))
-    nearest = found.groupBy(key).agg(F.min(F.struct(dist.alias("dist"), "b")).alias("d")).select(*key, F.lit("nearest").alias("found"), F.col("d.b").alias("b"))
-    out = materialize(held.where("b IS NOT NULL").select(*key, F.lit("container").alias("found"), "b").unionByName(nearest), "answers")
-    drop(ranges_, asked_table, held, items, near)
-    return out
+    line = lambda p: F.shiftleft(F.shiftright(p, places.shift), places.shift)
+    hot = rows.join(counts.select("path"), "path", "left_semi")
+    cuts = hot.groupBy("path").agg(F.percentile_approx(start, [i / k for i in range(1, k)] if k > 1 else [0.5], 10_000).alias("cuts"))
+    cuts = materialize(cuts.select("path", F.array_distinct(F.transform("cuts", line)).alias("cuts")), "cuts")
+    of = lambda p: F.size(F.filter("cuts", lambda c: c <= p))
+    hot = hot.join(cuts, "path").withColumn("first", of(start)).withColumn("final", F.when(F.col("is_lookup"), F.col("first")).otherwise(of(end))).drop("cuts")
+    hot = materialize(hot, "hot")
+    columns = rows.columns
+    own = hot.withColumn("part", F.explode(F.array_distinct(F.array("first", "final")))).select(*columns, "part")
+    ranges_ = hot.where("NOT is_lookup")
+    # the best of the ranges that cover a whole part, by nodes of a tree over the parts
+    up = _Places.__new__(_Places)
+    up.shift, up.levels = 0, max(1, int(k).bit_length()) + 1
+    best = F.struct(R.span(*(F.col(c) for c in RANGE)).alias("span"), "ord", "name", *RANGE)
+    over = ranges_.where("final - first > 1").select("path", F.explode(up.covers((F.col("first") + 1).cast("long"), (F.col("final") - 1).cast("long"))).alias("n"), best.alias("b"))
+    over = over.groupBy("path", "n.level", "n.node").agg(F.min("b").alias("b"))
+    parts = cuts.select("path", F.explode(F.sequence(F.lit(0), F.size("cuts"))).alias("part"))
+    at = parts.select("path", "part", up.up().alias("level")).withColumn("node", F.expr("shiftright(CAST(part AS BIGINT), level)"))
+    covering = at.join(over, ["path", "level", "node"]).groupBy("path", "part").agg(F.min("b").alias("b"))
+    # the next line with starts after a part, and the last with ends before it
+    seen = ranges_.groupBy("path", F.col("first").alias("part")).agg(F.min("sl").alias("starts")).join(ranges_.groupBy("path", F.col("final").alias("part")).agg(F.max("el").alias("ends")), ["path", "part"], "full_outer")
+    beside = parts.join(seen, ["path", "part"], "left")
+    order = Window.partitionBy("path").orderBy("part")  # a file's parts
+    beside = beside.select("path", "part", F.first("starts", True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("sl"), F.last("ends", True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("el"))
+    after = ranges_.join(beside.where("sl IS NOT NULL").select("path", "part", "sl"), ["path", "sl"])
+    before = ranges_.join(beside.where("el IS NOT NULL").select("path", "part", "el"), ["path", "el"])
+    blank = [F.lit(None).cast(hot.schema[c].dataType).alias(c) for c in columns if c not in ("path", "is_lookup", *_SWEPT)]
+    covering = covering.select("path", F.lit(False).alias("is_lookup"), *[F.col(f"b.{c}").alias(c) for c in _SWEPT], *blank, "part")
+    hot = own.unionByName(covering.select(*columns, "part")).unionByName(after.select(*columns, "part")).unionByName(before.select(*columns, "part"))
+    return rows.join(counts.select("path"), "path", "left_anti").withColumn("part", F.lit(0)).unionByName(hot)
+
+
+def _sweep(t: pa.Table, shift: int) -> pa.RecordBatch:
+    """Answers of whole parts (path, part, is_lookup, idx, sl, sc, el, ec, ord, name): a lookup's range, and how it was found.
+
+    Places are ordered once. Ranges are taken best first; each gives itself to the lookups between its ends that have no
+    answer yet, which are found by skipping those that have. The others look at the places beside them.
+    """
+    path = t["path"].combine_chunks().dictionary_encode().indices.to_numpy().astype(np.int64)
+    part = t["part"].to_numpy()
+    new = np.append(True, (path[1:] != path[:-1]) | (part[1:] != part[:-1]))
+    group = np.cumsum(new) - 1
+    number = lambda c: t[c].to_numpy(zero_copy_only=False)
+    sl, sc, el, ec = (np.nan_to_num(number(c)).astype(np.int64) for c in RANGE)
+    is_lookup = number("is_lookup").astype(bool)
+    wide = int(max(sl.max(initial=0), el.max(initial=0), 1)).bit_length() + shift
+    place = lambda g, line, ch: (g << wide) + (np.maximum(line, 0) << shift) + np.maximum(ch, 0)
+    looks, held = np.flatnonzero(is_lookup), np.flatnonzero(~is_lookup)
+    span = np.maximum(el - sl, 0)[held] * 1_000_000 + np.maximum(ec - sc, 0)[held]
+    keys = pa.table({"span": span, "ord": t["ord"].take(pa.array(held)), "name": t["name"].take(pa.array(held)), **{c: x[held] for c, x in zip(RANGE, (sl, sc, el, ec), strict=True)}})
+    order = pc.sort_indices(keys, sort_keys=[(c, "ascending") for c in keys.column_names], null_placement="at_start").to_numpy()
+    held = held[order]  # best first: a range's place in held is its rank
+    start, end = place(group[held], sl[held], sc[held]), place(group[held], el[held], ec[held])
+    at = place(group[looks], sl[looks], sc[looks])
+    by = np.argsort(at, kind="stable")
+    looks, at = looks[by], at[by]
+    low, high = np.searchsorted(at, start, "left"), np.searchsorted(at, end, "right")
+    answer = np.full(len(looks), -1, np.int64)
+    skip = list(range(len(looks) + 1))
+    some = np.flatnonzero(low < high)
+    for r, k, stop in zip(some.tolist(), low[some].tolist(), high[some].tolist(), strict=True):
+        while True:
+            root = k
+            while skip[root] != root:
+                root = skip[root]
+            while skip[k] != root:
+                skip[k], k = root, skip[k]
+            if root >= stop:
+                break
+            answer[root], skip[root], k = r, root + 1, root + 1
+    container = answer >= 0
+    rest = np.flatnonzero(~container)
+    if len(rest) and len(held):
+        far, rank = np.full(len(rest), np.iinfo(np.int64).max), np.full(len(rest), len(held))
+        g, line, ch, p = group[looks[rest]], sl[looks[rest]], sc[looks[rest]], at[rest]
+
+        def offer(ok, where, ranks, lines, chars):
+            """Where ok, the range at a place, if it is nearer, or as near and better."""
+            x = np.minimum(np.maximum(where, 0), len(ranks) - 1)
+            d, r = np.abs(lines[x] - line) * 1_000_000 + np.abs(chars[x] - ch), ranks[x]
+            better = ok & ((d < far) | (d == far) & (r < rank))
+            far[better], rank[better] = d[better], r[better]
+
+        for places_, after, of_line, of_char in ((start, True, sl, sc), (end, False, el, ec)):
+            unique, ranks = np.unique(places_, return_index=True)  # the best of equal ones is the first
+            lines, chars, groups = of_line[held[ranks]], of_char[held[ranks]], group[held[ranks]]
+            beside = np.searchsorted(unique, p, "right") if after else np.searchsorted(unique, p, "left") - 1
+            x = np.minimum(np.maximum(beside, 0), len(unique) - 1)
+            ok = (beside >= 0) & (beside < len(unique)) & (groups[x] == g)
+            offer(ok, beside, ranks, lines, chars)
+            # on another line the nearest character counts, on either side of the one asked for
+            other = ok & (lines[x] != line)
+            there = np.searchsorted(unique, place(g, lines[x], ch), "left")
+            for y in (there - 1, there):
+                z = np.minimum(np.maximum(y, 0), len(unique) - 1)
+                offer(other & (y >= 0) & (y < len(unique)) & (groups[z] == g) & (lines[z] == lines[x]), y, ranks, lines, chars)
+        answer[rest] = np.where(rank < len(held), rank, -1)
+    hit = pa.array(np.where(answer >= 0, held[np.maximum(answer, 0)] if len(held) else 0, 0), mask=answer < 0)
+    found = np.where(container, "container", np.where(answer >= 0, "nearest", "none"))
+    mine = pa.array(looks)
+    take = lambda c, k: t[c].combine_chunks().take(k)
+    return pa.RecordBatch.from_arrays([take("idx", mine), take("path", mine), take("sl", mine), take("sc", mine), pa.array(found), take("name", hit), *[take(c, hit) for c in RANGE]], ["idx", "path", "line", "character", "found", "name", *RANGE])
+
+
+def _swept(lookups: DataFrame, symbols: DataFrame) -> DataFrame:
+    """containers() for any number of lookups: each file's places in order, in one pass by parts of files."""
+    ints = lambda *cols: [F.col(c).cast("int").alias(n) for c, n in cols]
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    kinds = dict(symbols.dtypes) | {"idx": dict(lookups.dtypes)["idx"]}
+    asked = lookups.select("path", F.lit(True).alias("is_lookup"), "idx", *ints(("line", "sl"), ("character", "sc")), none("int", "el"), none("int", "ec"), none(kinds["ord"], "ord"), none("string", "name"))
+    held = symbols.select("path", F.lit(False).alias("is_lookup"), none(kinds["idx"], "idx"), *ints(*[(c, c) for c in RANGE]), "ord", F.col("name").cast("string").alias("name"))
+    rows = materialize(asked.unionByName(held), "places")
+    bits = rows.agg(F.max(F.greatest(F.lit(0), F.lit(0), "sl", "el")), F.max(F.greatest(F.lit(0), F.lit(0), "sc", "ec"))).first()
+    places = _Places.__new__(_Places)
+    places.shift = max(1, int(bits[1] or 0).bit_length())
+    places.levels = places.shift + max(1, int(bits[0] or 0).bit_length()) + 1
+    shift = places.shift
+    dealt = _parts(rows, places).where("path IS NOT NULL").repartition("path", "part").sortWithinPartitions("path", "part")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, size = [], 0
+        for b in batches:
+            if not len(b):
+                continue
+            kept.append(b)
+            size += len(b)
+            if size >= SWEEP:
+                t = pa.Table.from_batches(kept)
+                last = len(t) - 1
+                same = pc.and_(pc.equal(t["path"], t["path"][last]), pc.equal(t["part"], t["part"][last])).to_numpy()
+                cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+                if cut:
+                    yield _sweep(t.slice(0, cut), shift)
+                    kept, size = t.slice(cut).to_batches(), len(t) - cut
+        if size:
+            yield _sweep(pa.Table.from_batches(kept), shift)
+
+    out = dealt.mapInArrow(run, f"idx {kinds['idx']}, path string, line int, character int, found string, name string, sl int, sc int, el int, ec int")
+    lost = rows.where("is_lookup AND path IS NULL").select("idx", "path", F.col("sl").alias("line"), F.col("sc").alias("character"), F.lit("none").alias("found"), none("string", "name"), *[none("int", c) for c in RANGE])
+    return out.unionByName(lost)
 
 
 def references_inside(references: DataFrame, symbols: DataFrame, full_scan: bool = False) -> DataFrame:
