@@ -37,8 +37,9 @@ GROWTH = 1.4
 #: The fewest and the most groups that are counted.
 VECTOR = 32
 MOST_GROUPS = 2048
-#: Counts that are unpacked at once.
-CELLS = 4_000_000
+#: Rows of signatures that are bounded together, at least, and counts that are unpacked at once.
+ROWS = 15_000
+CELLS = 1_000_000
 LEAF = 48
 CLUSTER = 500_000
 #: Sets of a signature that are bounded together; where more share one, all of them are candidates.
@@ -335,7 +336,7 @@ def link(vectors: np.ndarray, sizes: np.ndarray, num: int, den: int, sets: list[
 
 def bounded_edges(rows: DataFrame, num: int, den: int) -> DataFrame:
     """(src, dst): a spanning forest, per signature, of the sets whose bound passes; rows (sig, h, n, vector)."""
-    small_batches(rows.sparkSession, 20_000)
+    small_batches(rows.sparkSession, 4000)
     rows = rows.repartition("sig").sortWithinPartitions("sig")
 
     def small(s, h, n, v):
@@ -395,7 +396,7 @@ def bounded_edges(rows: DataFrame, num: int, den: int) -> DataFrame:
                 continue
             held.append([b.column(k).to_numpy(zero_copy_only=False) for k in range(3)] + [b.column(3).to_pylist()])
             size += len(b)
-            if size >= 50_000:
+            if size >= ROWS:
                 s = held[-1][0]
                 cut = int(np.searchsorted(s, s[-1]))  # the last signature may go on in the next batch
                 if cut:
@@ -448,7 +449,10 @@ def _compare(rows: DataFrame, k: int, num: int, den: int) -> DataFrame:
             start = np.array([names[x] for x in label])
             sizes = np.array([len(x) for x in sets])
             groups = min(512, groups_for(int(np.median(sizes))))
-            done = link(np.array([count_vector(x, groups) for x in sets]), sizes, num, den, sets, start)
+            vectors = np.empty((len(sets), groups), np.int32)
+            for i, x in enumerate(sets):
+                vectors[i] = count_vector(x, groups)
+            done = link(vectors, sizes, num, den, sets, start)
             out += [(h[i], h[j]) for i, j in enumerate(done.tolist()) if i != j and start[i] != j]
             if sizes.sum() > CLUSTER // 4:  # what a large block took goes back before the next is read
                 trim()
