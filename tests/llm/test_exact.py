@@ -131,11 +131,11 @@ def test_jaccard_of_one_id_with_unlike_texts(spark, monkeypatch, hot):
     near = [" ".join([*base[:k], "other", *base[k + 1 :]]) for k in range(12)]
     rows = [(1, "alone one two three four"), (1, " ".join(base)), (2, near[0]), (2, "quite another text of its own"), (3, near[1]), (3, near[1]), *((10 + k, t) for k, t in enumerate(near[2:])), (None, near[0])]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    sets = {i: {tuple(t.split()[j : j + 2]) for j in range(len(t.split()) - 1)} for i, (d, t) in enumerate(rows) if d is not None}
+    sets = {i: {tuple(t.split()[j : j + 2]) for j in range(len(t.split()) - 1)} for i, (d, t) in enumerate(rows)}
     want = {i: rows[c][0] for i, c in brute_links(sets, 70, 100).items()}
-    got = Counter((r["doc_id"], r["t"], r["component_id"]) for r in jaccard_join.components_of_rows(df, 2, 70, 100).collect())
-    named = {r["text"]: r["t"] for r in df.select("text", F.xxhash64("text").alias("t")).collect()}
-    assert got == Counter([*((rows[i][0], named[rows[i][1]], c) for i, c in want.items()), (None, named[near[0]], None)])
+    got = Counter((None if r["none"] else r["doc_id"], r["t"], r["component_id"]) for r in jaccard_join.components_of_rows(df, 2, 70, 100).collect())
+    named = {(r["id"], r["text"]): r["t"] for r in df.select(F.col("doc_id").alias("id"), "text", *common.row_key()).collect()}
+    assert got == Counter((rows[i][0], named[rows[i][0], rows[i][1]], c) for i, c in want.items())  # the row without an id is linked too
 
 
 def test_near_copies_keep_the_first_row_of_each_group(spark):
@@ -144,7 +144,7 @@ def test_near_copies_keep_the_first_row_of_each_group(spark):
     rows = [(1, a, "x"), (1, b, "y"), (2, a + " more", "z"), (2, "words that stand alone here for once", "z"), (3, b, "u"), (1, b, "y"), (4, "", "v"), (4, None, "v"), (None, a, "n")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = sorted(map(str, (tuple(r) for r in corpus_pipeline.near_copies(spark, df, "").collect())))
-    assert got == sorted(map(str, [rows[0], rows[1], rows[3], rows[6], rows[7], rows[8]]))
+    assert got == sorted(map(str, [rows[0], rows[1], rows[3], rows[6], rows[7]]))  # a row without an id is a copy like others
 
 
 def test_long_texts_are_shingled_whole(monkeypatch):
@@ -539,8 +539,8 @@ def test_suffix_dedup_knows_rows_of_one_id_apart(spark):
     a, b = (" ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) + str(rng.randrange(10_000)) for _ in range(200)) for _ in range(2))
     rows = [(1, a), (1, b), (2, a), (3, b[:500] + a[:450]), (3, b[:500] + a[:450]), (None, a)]
     got = sorted((r["doc_id"] or 0, r["n_bytes"], r["n_removed"], r["text"]) for r in suffix_dedup.digests(spark.createDataFrame(rows, "doc_id long, text string")).collect())
-    want = suffix_dedup.brute_force({k: t.encode() for k, (d, t) in enumerate(rows) if d}, 400)
-    assert got == sorted([(rows[k][0], len(rows[k][1]), n, kept.decode()) for k, (kept, n, _) in want.items()] + [(0, len(a), 0, a)])
+    want = suffix_dedup.brute_force({k: t.encode() for k, (d, t) in enumerate(rows)}, 400)
+    assert got == sorted((rows[k][0] or 0, len(rows[k][1]), n, kept.decode()) for k, (kept, n, _) in want.items())  # the row without an id too
     alone = suffix_dedup.digests(spark.createDataFrame(rows[:3], "doc_id long, text string")).collect()
     assert sorted((r["doc_id"], r["n_removed"]) for r in alone) == [(1, 0), (1, len(a)), (2, len(a))]
 
@@ -593,7 +593,7 @@ def test_short_words_are_passages_too(spark):
     texts = {k: (t or "").encode() for k, t in enumerate(out)}
     want = without_passages(texts)
     got = {r["doc_id"]: r["text"] for r in corpus_pipeline.repeated_passages(spark, df, "").collect()}
-    assert got == {k: t for k, t in want.items() if t} | {None: digits}
+    assert got == {k: t for k, t in want.items() if t}  # of the row without an id, a passage, nothing is left
     bytes_only = suffix_dedup.brute_force(texts, corpus_pipeline.PASSAGE)
     assert sum(bytes_only[k][1] == 0 and want[k] != (t or "") for k, t in enumerate(out)) > 10
 
