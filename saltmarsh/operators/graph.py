@@ -121,7 +121,7 @@ def shown(edges: DataFrame, groups: int = 10, each: int = 3) -> DataFrame:
     return rows.join(F.broadcast(few), "from_id")
 
 
-def _calls(symbols: DataFrame, calls: DataFrame) -> tuple[DataFrame, DataFrame]:
+def call_edges(symbols: DataFrame, calls: DataFrame) -> tuple[DataFrame, DataFrame]:
     """symbols with sym_id, and calls with the ids of the caller and of what it calls."""
     s = symbols.withColumn("sym_id", values.graph_id("s", F.col("path"), F.col("name"), F.col("sl"), F.col("sc")))
     caller = s.where(F.col("kind").isin("function", "method")).select(F.col("path").alias("cp"), F.col("name").alias("cn"), F.col("sym_id").alias("from_id"))
@@ -132,7 +132,7 @@ def _calls(symbols: DataFrame, calls: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def build(files: DataFrame, symbols: DataFrame, calls: DataFrame) -> DataFrame:
     """Edges from facts: files define their symbols; functions and methods call what their calls name."""
-    s, c = _calls(symbols, calls)
+    s, c = call_edges(symbols, calls)
     d = s.join(files.select("path"), "path").select(F.lit("defines").alias("kind"), values.graph_id("f", F.col("path")).alias("from_id"), F.col("sym_id").alias("to_id"))
     out = d.unionByName(c.select(F.col("edge_kind").alias("kind"), "from_id", "to_id")).distinct().withColumn("id", values.graph_id("e", F.col("kind"), F.col("from_id"), F.col("to_id")))
     return out.withColumn("confidence", F.lit("high")).withColumn("provenance", F.lit("lsp"))
@@ -140,7 +140,7 @@ def build(files: DataFrame, symbols: DataFrame, calls: DataFrame) -> DataFrame:
 
 def build_sites(symbols: DataFrame, calls: DataFrame) -> DataFrame:
     """(edge_id, line, character): where the calls (.., line, character) of build()'s edges stand, each place once."""
-    _, c = _calls(symbols, calls)
+    _, c = call_edges(symbols, calls)
     return c.select(values.graph_id("e", F.col("edge_kind"), F.col("from_id"), F.col("to_id")).alias("edge_id"), "line", "character").distinct()
 
 

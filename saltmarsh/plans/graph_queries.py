@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import values
-from ..operators import graph, paging
+from ..operators import graph, graph_upkeep, paging
 from ..sources.tables import edges, files, nodes, table
-from ..sources.work import materialize
+from ..sources.work import materialize, scratch
 from .registry import query
 
 
@@ -160,6 +160,24 @@ def graph_build(spark, d):
     return graph.edge_counts(graph.build(p.select(F.col("p_brand").alias("path")).distinct(), s, c))
 
 
+@query("""
+WITH s AS (SELECT p_brand AS path, p_partkey AS k FROM part WHERE NOT (p_brand LIKE '%1' AND p_size % 2 = 1)) SELECT 'defines' AS kind, count(*) AS n FROM s UNION ALL
+SELECT 'calls', count(*) FROM (SELECT DISTINCT a.k, b.k FROM lineitem JOIN s a ON a.k = l_partkey JOIN s b ON b.k = l_suppkey AND b.path = a.path)
+""", views=False)
+def graph_updates(spark, d):
+    """The graph of before with every second symbol of some files gone, kept by the changes of these files."""
+    p = table(spark, d, "part")
+    name = F.concat_ws("_", "p_name", F.col("p_partkey").cast("string"))
+    s = p.select(F.col("p_brand").alias("path"), name.alias("name"), F.lit("function").alias("kind"), F.col("p_size").alias("sl"), F.col("p_partkey").cast("int").alias("sc"))
+    a, b = p.select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("path"), name.alias("caller")), p.select(F.col("p_partkey").alias("l_suppkey"), F.col("p_brand").alias("to_path"), name.alias("name"))
+    c = table(spark, d, "lineitem").select("l_partkey", "l_suppkey", F.col("l_linenumber").alias("line"), F.lit(1).alias("character")).join(a, "l_partkey").join(b, "l_suppkey").where("path = to_path")
+    root, files = scratch(spark, "graph"), s.select("path").distinct()
+    graph_upkeep.create(files, s, c, root, buckets=8)
+    some = F.col("path").like("%1")
+    graph_upkeep.update(files.where(some), files, s.where(some & (F.col("sl") % 2 == 0)), c, root, "halved")
+    return graph.edge_counts(graph_upkeep.edges(spark, root))
+
+
 @query("SELECT a.p_name || '_' || a.p_partkey AS caller, count(*) AS n, min(line) AS line FROM (SELECT DISTINCT l_partkey, l_suppkey, l_linenumber AS line FROM lineitem) JOIN part a ON a.p_partkey = l_partkey JOIN part b ON b.p_partkey = l_suppkey AND b.p_brand = a.p_brand GROUP BY 1")
 def graph_build_sites(spark, d):
     p = table(spark, d, "part")
