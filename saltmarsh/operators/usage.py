@@ -43,6 +43,12 @@ def merged_settings(project: dict, general: dict, defaults: dict) -> dict:
     return out
 
 
+def merged_rows(settings: DataFrame, owner: str = "owner") -> DataFrame:
+    """(owner, field, value) of settings (owner, level, field, value): each field from the lowest level that sets it; inner fields are named a.b."""
+    best = F.min(F.struct("level", "value"))  # a field that a level sets twice has its least value
+    return settings.where(F.col("value").isNotNull()).groupBy(owner, "field").agg(best.alias("s")).select(owner, "field", F.col("s.value").alias("value"))
+
+
 def load_settings(path: str) -> dict | None:
     """A JSON file of settings; None where there is none, an error where it can't be parsed."""
     import json

@@ -41,11 +41,15 @@ def settings_override(spark, d):
     return table(spark, d, "part").select("p_partkey", usage.first_set(a, b, F.lit("default")).alias("setting"))
 
 
-@query("SELECT * FROM (VALUES ('depth', '3'), ('inner.a', '1'), ('inner.b', '2'), ('name', 'p')) t(field, value)", views=False)
+@query("""
+WITH t AS (SELECT c_nationkey AS owner, c_custkey % 3 AS level, CASE WHEN c_custkey % 2 = 0 THEN 'inner.' ELSE '' END || c_mktsegment AS field, CASE WHEN c_custkey % 7 <> 0 THEN c_name END AS value FROM customer)
+SELECT owner, field, value FROM t WHERE value IS NOT NULL QUALIFY row_number() OVER (PARTITION BY owner, field ORDER BY level, value) = 1
+""", views=False)
 def settings_merged(spark, d):
-    merged = usage.merged_settings({"name": "p", "inner": {"a": 1}, "depth": None}, {"name": "g", "inner": {"a": 9, "b": 2}}, {"depth": 3, "name": "d", "inner": {}})
-    flat = [(f"{k}.{x}", str(y)) for k, v in merged.items() if isinstance(v, dict) for x, y in v.items()] + [(k, str(v)) for k, v in merged.items() if not isinstance(v, dict)]
-    return spark.createDataFrame(flat, "field string, value string")
+    """Settings of projects in levels, merged field by field."""
+    field = F.concat(F.when(F.col("c_custkey") % 2 == 0, "inner.").otherwise(""), "c_mktsegment")
+    rows = table(spark, d, "customer").select(F.col("c_nationkey").alias("owner"), (F.col("c_custkey") % 3).alias("level"), field.alias("field"), F.when(F.col("c_custkey") % 7 != 0, F.col("c_name")).alias("value"))
+    return usage.merged_rows(rows)
 
 
 @query("SELECT p_partkey, list_sort(list_distinct(list_filter([p_brand, p_type, 'x', 'y'], lambda t: t <> 'y' AND t <> p_type))) AS enabled FROM part", views=False)
