@@ -81,15 +81,20 @@ def _matrix(column) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def _kept(v: np.ndarray, at: int, order: np.ndarray, most: int) -> list[int]:
-    """Of candidates by distance from at, those nearer to it than to any kept before."""
-    out: list[int] = []
-    for c in order.tolist():
-        if not out or float(v[c] @ v[at]) > float((v[out] @ v[c]).max()):
-            out.append(c)
-            if len(out) == most:
-                break
-    return out
+def _kept(near: np.ndarray, order: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows: each row's candidates (order, the nearest first) that are nearer to it than to any kept before, most of them.
+
+    near has the likeness of all rows to each other; the candidates of one rank are judged for all rows at once.
+    """
+    rows, count, closest = np.arange(len(near)), np.zeros(len(near), np.int64), np.full_like(near, -np.inf)
+    mine, theirs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for c in order.T:
+        kept = np.flatnonzero((near[rows, c] > closest[rows, c]) & (count < most))
+        closest[kept] = np.maximum(closest[kept], near[c[kept]])
+        count[kept] += 1
+        mine.append(kept)
+        theirs.append(c[kept])
+    return np.concatenate(mine), np.concatenate(theirs)
 
 
 def _candidates(nodes: DataFrame, count: int, most: int) -> DataFrame:
@@ -116,8 +121,7 @@ def _candidates(nodes: DataFrame, count: int, most: int) -> DataFrame:
         np.fill_diagonal(near, -np.inf)
         width = min(len(v) - 1, 4 * most)
         order = np.argsort(-near, axis=1, kind="stable")[:, :width]
-        pairs = [(k, c) for k in range(len(v)) for c in _kept(v, k, order[k], most)] if width > 0 else []
-        a, b = (np.array([p[x] for p in pairs], np.int64) for x in (0, 1))
+        a, b = _kept(near, order, most)
         return pa.table({"node": node[a], "other": node[b], "d": (1 - near[a, b]).astype(np.float64)})
 
     return rows.groupBy("tree", "cell", "block").applyInArrow(within, "node long, other long, d double")
@@ -200,7 +204,7 @@ def _walk(index: Index, queries: DataFrame, start: DataFrame, level: int, ef: in
 def search(index: Index, queries: DataFrame, k: int, ef: int = EF, allow: DataFrame | None = None, exact: bool | None = None) -> DataFrame:
     """(qid, id, score, rank): the k nearest found for queries (qid, q), among the ids of allow where that is given.
 
-    exact: None leaves it to the sizes whether an allow-list is scored as a whole.
+    exact: None leaves it to the sizes whether an allow-list is scored as a whole; True scores all that there is.
     """
     q, _ = usable(queries.select(F.col("qid").alias("id"), F.col("q").alias("embedding")), index.dim)
     q = materialize(q.select(F.col("id").alias("qid"), "v"), "queries")
@@ -213,8 +217,8 @@ def search(index: Index, queries: DataFrame, k: int, ef: int = EF, allow: DataFr
         count = allowed.count()
         if exact is None:
             exact = count <= k or count**2 <= ef * index.nodes.count()
-    if allow is not None and exact:
-        found = _scored_all(index.nodes.join(allowed, "node").select("node", "v"), q, k)
+    if exact:
+        found = _scored_all((index.nodes if allowed is None else index.nodes.join(allowed, "node")).select("node", "v"), q, k)
     else:
         found = _entries(index, q, ef)
         for level in range(index.levels - 1, -1, -1):
@@ -227,21 +231,34 @@ def search(index: Index, queries: DataFrame, k: int, ef: int = EF, allow: DataFr
     return ranked.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("qid", "id", "score", F.col("rank").cast("int").alias("rank"))
 
 
-def _scored_all(nodes: DataFrame, queries: DataFrame, k: int, split: int = 64) -> DataFrame:
-    """(qid, node, d): the k nearest of all nodes for each query, blocks of nodes by blocks of queries."""
-    block = lambda c, s: F.pmod(F.xxhash64(c, F.lit(s)), F.lit(split)).cast("int")
-    n_blocks, q_blocks = (max(1, min(split, -(-df.count() // 4096))) for df in (nodes, queries))
+#: Nodes, or queries, of a block that is scored at once, and how many of its queries are at a time.
+SCORED, AT_ONCE = 4096, 512
+
+
+def _scored_all(nodes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(qid, node, d): the k nearest of all nodes for each query, blocks of nodes by blocks of queries; ties to the smaller node."""
+    n_blocks, q_blocks = (max(1, -(-df.count() // SCORED)) for df in (nodes, queries))
+    block = lambda c, s, n: F.pmod(F.xxhash64(c, F.lit(s)), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = nodes.withColumn("a", block("node", 1) % n_blocks).withColumn("b", every(q_blocks))
-    right = queries.withColumn("b", block("qid", 2) % q_blocks).withColumn("a", every(n_blocks))
+    left = nodes.withColumn("a", block("node", 1, n_blocks)).withColumn("b", every(q_blocks))
+    right = queries.withColumn("b", block("qid", 2, q_blocks)).withColumn("a", every(n_blocks))
 
     def nearest(x: pa.Table, y: pa.Table) -> pa.Table:
-        if not len(x) or not len(y):
-            return pa.table({"qid": pa.array([], pa.int64()), "node": pa.array([], pa.int64()), "d": pa.array([], pa.float64())})
-        d = 1 - _matrix(y["v"]).astype(np.float64) @ _matrix(x["v"]).astype(np.float64).T
-        near = np.argsort(d, axis=1, kind="stable")[:, :k]
-        row = np.repeat(np.arange(len(d)), near.shape[1])
-        return pa.table({"qid": y["qid"].to_numpy()[row], "node": x["node"].to_numpy()[near.ravel()], "d": np.take_along_axis(d, near, 1).ravel()})
+        parts = [pa.table({"qid": pa.array([], pa.int64()), "node": pa.array([], pa.int64()), "d": pa.array([], pa.float64())})]
+        if len(x) and len(y):
+            x = x.sort_by("node")
+            node, v = x["node"].to_numpy(), _matrix(x["v"]).astype(np.float64).T
+            qid, q = y["qid"].to_numpy(), _matrix(y["v"]).astype(np.float64)
+            most = min(k, len(node))
+            for at in range(0, len(q), AT_ONCE):
+                d = 1 - q[at : at + AT_ONCE] @ v
+                row, col = np.nonzero(d <= np.partition(d, most - 1, axis=1)[:, most - 1 : most])
+                far = d[row, col]
+                order = np.lexsort((col, far, row))
+                row, col, far = row[order], col[order], far[order]
+                best = np.arange(len(row)) - np.searchsorted(row, row, "left") < most
+                parts.append(pa.table({"qid": qid[at + row[best]], "node": node[col[best]], "d": far[best]}))
+        return pa.concat_tables(parts)
 
     return left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(nearest, "qid long, node long, d double")
 

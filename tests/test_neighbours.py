@@ -84,3 +84,29 @@ def test_edge_cases(spark):
     assert neighbours.search(none, q, 5).count() == 0 and neighbours.recall(neighbours.search(none, q, 5), neighbours.search(none, q, 5)) == 1.0
     grown = neighbours.insert(index, spark.createDataFrame([(9, [1.0, 1.0]), (10, [1.0])], SCHEMA))
     assert {r["id"] for r in neighbours.search(grown, q, 5).collect()} == {1, 2, 9}
+
+
+def test_scoring_all_by_blocks(spark, data, built, monkeypatch):
+    monkeypatch.setattr(neighbours, "SCORED", 300)
+    monkeypatch.setattr(neighbours, "AT_ONCE", 7)
+    v, q = frame(spark, data), queries(spark, data)
+    rows = lambda df: sorted((r["qid"], r["id"], round(r["score"], 4)) for r in df.collect())
+    assert rows(neighbours.search(built, q, 10, exact=True)) == rows(exact(v, q, 10))
+    few = v.where("id % 100 = 7").select("id")
+    assert rows(neighbours.search(built, q, 10, allow=few, exact=True)) == rows(exact(search.allowed(v, few), q, 10))
+
+
+def test_kept_are_nearer_than_to_those_before():
+    v = np.random.default_rng(3).normal(size=(90, 8))
+    near = v @ v.T
+    np.fill_diagonal(near, -np.inf)
+    order = np.argsort(-near, axis=1)[:, :40]
+    got = {(a, b) for a, b in zip(*neighbours._kept(near, order, 5), strict=True)}
+    want = set()
+    for k in range(90):
+        out = []
+        for c in order[k].tolist():
+            if len(out) < 5 and all(near[k, c] > near[c, o] for o in out):
+                out.append(c)
+        want |= {(k, c) for c in out}
+    assert got == want
