@@ -116,3 +116,16 @@ def test_chunks_give_way_to_what_is_inside(spark):
 def test_one_exchange_for_flags(spark):
     plan = syntax.flagged(syntax_queries.code_files(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_files_of_one_part_are_read_in_many_tasks_and_batches(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(lexer, "ROWS", 7)
+    files = spark.range(0, 300, 1, 1).select(F.concat(F.lit("f"), "id").alias("path"), F.lit("python").alias("language"), F.concat(F.lit("x = 1\n\ndef g"), "id", F.lit("(a):\n    return a\n")).alias("content"))
+    rows = lexer.lexed(files)
+    assert rows.select(F.spark_partition_id()).distinct().count() > 8
+    got = sorted((r["path"], r["what"], r["text"], r["sl"], r["sc"], r["el"], r["ec"]) for r in rows.where("path = 'f7'").collect())
+    want = [("statement", "def g7(a):{}", 3, 1, 4, 13), ("statement", "return a", 4, 5, 4, 13), ("statement", "x = 1", 1, 1, 1, 6)]
+    want += [("word", x, *p) for x, p in (("a", (3, 8, 3, 9)), ("a", (4, 12, 4, 13)), ("def", (3, 1, 3, 4)), ("g7", (3, 5, 3, 7)), ("return", (4, 5, 4, 11)), ("x", (1, 1, 1, 2)))]
+    assert got == sorted(("f7", *w) for w in want) and rows.count() == 300 * 9
