@@ -29,6 +29,8 @@ KEY = ["gram", "block"]
 BITS, RUN, INTERSECT = 16, 3, 4
 #: Grams that are looked up as a filter the scan can push down; more are joined.
 FEW_GRAMS = 1000
+#: Rows of a gram and an id that one task gathers.
+LISTED = 250_000
 ROWS = "gram string, block long, n int, ids binary"
 
 
@@ -60,9 +62,14 @@ def decoded(data: bytes) -> np.ndarray:
 
 
 def _listed(names: DataFrame) -> DataFrame:
-    """(gram, block, low) of names (id, name), each once."""
+    """(gram, block, low) of names (id, name), each once, dealt to a task for every LISTED of them.
+
+    These rows take a byte or two each in an exchange and many times that in a task, so partitions that go by bytes would hold
+    too many: their number is told by the names' characters, of which each gives two grams at most.
+    """
+    characters = names.agg(F.sum(F.length("name"))).first()[0] or 0
     rows = names.where("id IS NOT NULL AND name IS NOT NULL").select(F.col("id").cast("long").alias("id"), F.explode(grams(text.ascii_lower(F.col("name")))).alias("gram"))
-    return rows.select("gram", F.shiftright("id", BITS).alias("block"), F.col("id").bitwiseAND((1 << BITS) - 1).cast("int").alias("low")).distinct()
+    return rows.select("gram", F.shiftright("id", BITS).alias("block"), F.col("id").bitwiseAND((1 << BITS) - 1).cast("int").alias("low")).repartition(max(1, -(-2 * characters // LISTED)), *KEY).distinct()
 
 
 def _coded(rows: DataFrame) -> DataFrame:

@@ -69,3 +69,11 @@ def test_an_index_kept_by_deltas_is_a_new_one(spark, tmp_path):
         now = {k: v for k, v in now.items() if k not in gone} | added
     kept, fresh = ({(r["gram"], r["block"]): (r["n"], bytes(r["ids"])) for r in df.collect()} for df in (versions.read(spark, path), names.postings(spark.createDataFrame(list(now.items()), SCHEMA))))
     assert kept == fresh
+
+
+def test_lists_are_gathered_by_tasks_of_bounded_rows(spark, monkeypatch):
+    monkeypatch.setattr(names, "LISTED", 500)
+    rows = spark.range(0, 400, 1, 1).select("id", F.concat(F.lit("part "), F.col("id").cast("string")).alias("name"))
+    listed = names._listed(rows.union(rows))
+    sizes = [r["count"] for r in listed.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > 8 and max(sizes) <= 8 * 500 and sum(sizes) == rows.select(F.explode(names.grams(F.col("name")))).count()
