@@ -122,10 +122,13 @@ def shown(edges: DataFrame, groups: int = 10, each: int = 3) -> DataFrame:
 
 
 def call_edges(symbols: DataFrame, calls: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """symbols with sym_id, and calls with the ids of the caller and of what it calls."""
+    """symbols with sym_id, and calls with the ids of the caller and of what it calls.
+
+    Symbols are never broadcast: as Parquet they are a fraction of what they are in memory, which Spark's limit doesn't see.
+    """
     s = symbols.withColumn("sym_id", values.graph_id("s", F.col("path"), F.col("name"), F.col("sl"), F.col("sc")))
-    caller = s.where(F.col("kind").isin("function", "method")).select(F.col("path").alias("cp"), F.col("name").alias("cn"), F.col("sym_id").alias("from_id"))
-    callee = s.select(F.col("path").alias("tp"), F.col("name").alias("tn"), F.col("sym_id").alias("to_id"))
+    caller = s.where(F.col("kind").isin("function", "method")).select(F.col("path").alias("cp"), F.col("name").alias("cn"), F.col("sym_id").alias("from_id")).hint("merge")
+    callee = s.select(F.col("path").alias("tp"), F.col("name").alias("tn"), F.col("sym_id").alias("to_id")).hint("merge")
     c = calls.join(caller, (calls["path"] == F.col("cp")) & (calls["caller"] == F.col("cn"))).join(callee, (calls["to_path"] == F.col("tp")) & (calls["name"] == F.col("tn")))
     return s, c.withColumn("edge_kind", F.lit("calls"))
 

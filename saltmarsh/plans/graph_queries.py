@@ -6,11 +6,27 @@ from pyspark.sql import functions as F
 
 from ..functions import values
 from ..operators import graph, graph_upkeep, paging
+from ..sources.dealt import dealt
 from ..sources.tables import edges, files, nodes, table
 from ..sources.work import materialize, scratch
 from .registry import query
 
 
+def part_facts(spark, d, *columns):
+    """(symbols, calls): parts are functions of their brand's file; a line item calls from its part to that of its supplier's number, where both are of one file.
+
+    Line items and parts meet in tasks of bounded rows by narrow rows; the parts of a task are hashed there, never sent to all.
+    """
+    p, li = table(spark, d, "part"), table(spark, d, "lineitem").select("l_partkey", "l_suppkey", *columns)
+    name = lambda n, k: F.concat_ws("_", n, F.col(k).cast("string"))
+    s = p.select(F.col("p_brand").alias("path"), name("p_name", "p_partkey").alias("name"), F.lit("function").alias("kind"), F.col("p_size").alias("sl"), F.col("p_partkey").cast("int").alias("sc"))
+    rows = li.count()
+    end = lambda key, path, n: dealt(p.select(F.col("p_partkey").alias(key), F.col("p_brand").alias(path), F.col("p_name").alias(n)), rows, key).hint("shuffle_hash")
+    c = dealt(li, rows, "l_partkey").join(end("l_partkey", "path", "from"), "l_partkey")
+    c = dealt(c, rows, "l_suppkey").join(end("l_suppkey", "to_path", "to"), "l_suppkey").where("path = to_path")
+    return s, c.select("path", name("from", "l_partkey").alias("caller"), "to_path", name("to", "l_suppkey").alias("name"), *columns)
+
+
 def stored_edges(spark, d):
     """The edges as a table: searches read them once a level, the view would be derived each time."""
     return materialize(edges(spark, d), "edges")
@@ -152,12 +168,8 @@ WITH s AS (SELECT p_brand AS path, p_name AS name, p_partkey AS k, p_size AS sl
 SELECT 'calls', count(*) FROM (SELECT DISTINCT a.k, b.k FROM lineitem JOIN s a ON a.k = l_partkey JOIN s b ON b.k = l_suppkey AND b.path = a.path)
 """)
 def graph_build(spark, d):
-    p = table(spark, d, "part")
-    name = F.concat_ws("_", "p_name", F.col("p_partkey").cast("string"))
-    s = p.select(F.col("p_brand").alias("path"), name.alias("name"), F.lit("function").alias("kind"), F.col("p_size").alias("sl"), F.col("p_partkey").cast("int").alias("sc"))
-    a, b = p.select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("path"), name.alias("caller")), p.select(F.col("p_partkey").alias("l_suppkey"), F.col("p_brand").alias("to_path"), name.alias("name"))
-    c = table(spark, d, "lineitem").select("l_partkey", "l_suppkey").distinct().join(a, "l_partkey").join(b, "l_suppkey").where("path = to_path")
-    return graph.edge_counts(graph.build(p.select(F.col("p_brand").alias("path")).distinct(), s, c))
+    s, c = part_facts(spark, d)
+    return graph.edge_counts(graph.build(s.select("path").distinct(), s, c))
 
 
 @query("""
