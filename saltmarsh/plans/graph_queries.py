@@ -192,13 +192,10 @@ def graph_updates(spark, d):
 
 @query("SELECT a.p_name || '_' || a.p_partkey AS caller, count(*) AS n, min(line) AS line FROM (SELECT DISTINCT l_partkey, l_suppkey, l_linenumber AS line FROM lineitem) JOIN part a ON a.p_partkey = l_partkey JOIN part b ON b.p_partkey = l_suppkey AND b.p_brand = a.p_brand GROUP BY 1")
 def graph_build_sites(spark, d):
-    p = table(spark, d, "part")
-    name = F.concat_ws("_", "p_name", F.col("p_partkey").cast("string"))
-    s = p.select(F.col("p_brand").alias("path"), name.alias("name"), F.lit("function").alias("kind"), F.col("p_size").alias("sl"), F.col("p_partkey").cast("int").alias("sc"))
-    a, b = p.select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("path"), name.alias("caller")), p.select(F.col("p_partkey").alias("l_suppkey"), F.col("p_brand").alias("to_path"), name.alias("name"))
-    c = table(spark, d, "lineitem").select("l_partkey", "l_suppkey", F.col("l_linenumber").alias("line"), F.lit(1).alias("character")).join(a, "l_partkey").join(b, "l_suppkey").where("path = to_path")
-    e = graph.build(p.select(F.col("p_brand").alias("path")).distinct(), s, c).where("kind = 'calls'")
-    named = s.select(F.col("name").alias("caller"), values.graph_id("s", F.col("path"), F.col("name"), F.col("sl"), F.col("sc")).alias("from_id"))
+    s, c = part_facts(spark, d, "l_linenumber")
+    c = materialize(c.withColumnRenamed("l_linenumber", "line").withColumn("character", F.lit(1)), "calls")
+    e = graph.build(s.select("path").distinct(), s, c).where("kind = 'calls'")
+    named = s.select(F.col("name").alias("caller"), values.graph_id("s", F.col("path"), F.col("name"), F.col("sl"), F.col("sc")).alias("from_id")).hint("merge")
     sites = graph.build_sites(s, c).join(e.select(F.col("id").alias("edge_id"), "from_id"), "edge_id").join(named, "from_id")
     return sites.groupBy("caller").agg(F.count("*").alias("n"), F.min("line").alias("line"))
 

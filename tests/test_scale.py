@@ -31,3 +31,11 @@ def test_symbols_of_calls_are_not_sent_to_all(spark, tmp_path):
 def test_line_items_meet_parts_before_they_are_grouped(spark):
     df = registry.queries()["graph_build"](spark, DATA)
     assert "HashAggregate(keys=[l_" not in plan(df) and "ShuffledHashJoin" in plan(df)
+
+
+def test_calls_are_found_once_for_their_places(spark, monkeypatch):
+    seen = []
+    real = graph.build_sites
+    monkeypatch.setattr(graph_queries.graph, "build_sites", lambda s, c: seen.append(plan(c)) or real(s, c))
+    registry.queries()["graph_build_sites"](spark, DATA)
+    assert len(seen) == 1 and "lineitem" not in seen[0]
