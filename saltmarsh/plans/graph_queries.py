@@ -8,7 +8,7 @@ from ..functions import values
 from ..operators import graph, graph_upkeep, paging
 from ..sources.dealt import dealt
 from ..sources.tables import edges, files, nodes, table
-from ..sources.work import materialize, scratch
+from ..sources.work import drop, materialize, scratch
 from .registry import query
 
 
@@ -178,15 +178,13 @@ SELECT 'calls', count(*) FROM (SELECT DISTINCT a.k, b.k FROM lineitem JOIN s a O
 """, views=False)
 def graph_updates(spark, d):
     """The graph of before with every second symbol of some files gone, kept by the changes of these files."""
-    p = table(spark, d, "part")
-    name = F.concat_ws("_", "p_name", F.col("p_partkey").cast("string"))
-    s = p.select(F.col("p_brand").alias("path"), name.alias("name"), F.lit("function").alias("kind"), F.col("p_size").alias("sl"), F.col("p_partkey").cast("int").alias("sc"))
-    a, b = p.select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("path"), name.alias("caller")), p.select(F.col("p_partkey").alias("l_suppkey"), F.col("p_brand").alias("to_path"), name.alias("name"))
-    c = table(spark, d, "lineitem").select("l_partkey", "l_suppkey", F.col("l_linenumber").alias("line"), F.lit(1).alias("character")).join(a, "l_partkey").join(b, "l_suppkey").where("path = to_path")
+    s, c = part_facts(spark, d, "l_linenumber")
+    c = materialize(c.withColumnRenamed("l_linenumber", "line").withColumn("character", F.lit(1)), "calls")
     root, files = scratch(spark, "graph"), s.select("path").distinct()
     graph_upkeep.create(files, s, c, root, buckets=8)
     some = F.col("path").like("%1")
     graph_upkeep.update(files.where(some), files, s.where(some & (F.col("sl") % 2 == 0)), c, root, "halved")
+    drop(c)
     return graph.edge_counts(graph_upkeep.edges(spark, root))
 
 

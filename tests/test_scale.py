@@ -39,3 +39,12 @@ def test_calls_are_found_once_for_their_places(spark, monkeypatch):
     monkeypatch.setattr(graph_queries.graph, "build_sites", lambda s, c: seen.append(plan(c)) or real(s, c))
     registry.queries()["graph_build_sites"](spark, DATA)
     assert len(seen) == 1 and "lineitem" not in seen[0]
+
+
+def test_calls_are_found_once_for_all_changes(spark, monkeypatch):
+    seen = []
+    for name in ("create", "update"):
+        real = getattr(graph_upkeep, name)
+        monkeypatch.setattr(graph_upkeep, name, lambda *a, real=real, at=2 if name == "create" else 3, **k: seen.append(plan(a[at])) or real(*a, **k))
+    registry.queries()["graph_updates"](spark, DATA)
+    assert len(seen) == 2 and not any("lineitem" in p for p in seen)
