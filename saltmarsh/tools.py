@@ -14,13 +14,14 @@ query_id names a symbol by its id. Language servers and parsers fill these table
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .functions import paths, ranges, text, values
 from .operators import graph, paging, positions, references, search, symbols, texts, usage
+from .sources.work import materialize
 
 # The tools, the presets that enable some, and those that no preset enables.
 TOOLS = ["documentSymbol", "goToDefinition", "getSymbolDefinition", "findReferences", "hover", "findSymbol", "goToImplementation", "callHierarchy", "findReferencedSymbols", "findIdentifier", "listFiles", "readSourceCode", "health", "getDiagnostics", "initialSetup", "semanticSearch", "codemap"]
@@ -39,6 +40,8 @@ def enabled_tools(preset: str = "standard", enable: list[str] = (), disable: lis
 
 #: Lines of a definition's source, at most.
 MAX_SOURCE_LINES = 100
+#: Rows of a page that are sent to all tasks, at most.
+MAX_BESIDE = 10_000
 
 
 @dataclass
@@ -116,6 +119,11 @@ class Workspace:
         found = F.when(F.col("own").isNotNull(), "identifier").when(F.col("word").isNotNull(), "hover").otherwise("none")
         return out.select(F.coalesce("own", "word", F.lit("unknown")).alias("name"), found.alias("found"))
 
+    def _beside(self, page: DataFrame) -> Workspace:
+        """The files and symbols of a page's paths alone: the page is broadcast, which has few rows, never the tables."""
+        here = F.broadcast(page.select("path").distinct())
+        return replace(self, files=self.files.join(here, "path", "left_semi"), symbols=self.symbols.join(here, "path", "left_semi"))
+
     def _definition_source(self, rows: DataFrame) -> DataFrame:
         """rows (path, sl, sc, el, external, ..) with source: the symbol that stands there, else the definition with lines around it."""
         bounds = self.symbols.groupBy("path", "sl", "sc").agg(F.min("el").alias("_end"))
@@ -133,9 +141,10 @@ class Workspace:
         span = ranges.span(*(F.col(c) for c in positions.RANGE))
         d = d.withColumn("external", paths.is_external_path(F.col("path"))).withColumn("span", span)
         page = paging.page(d, [F.col("external"), F.desc("span"), "path", "sl", "sc"], limit, offset)
-        page = page.withColumn("id", F.concat_ws(":", "path", *positions.RANGE))
-        named = positions.definitions_to_symbols(page.select("id", "path", F.col("sl").alias("line"), F.col("sc").alias("character")), self.symbols.select("path", "name", "sl", "sc"))
-        return self._lines(self._definition_source(page.join(named.select("id", "name", "exact").distinct(), "id").drop("id")), 1, 1)
+        page = materialize(page.withColumn("id", F.concat_ws(":", "path", *positions.RANGE)), "page")
+        at = self._beside(page) if limit <= MAX_BESIDE else self
+        named = positions.definitions_to_symbols(page.select("id", "path", F.col("sl").alias("line"), F.col("sc").alias("character")), at.symbols.select("path", "name", "sl", "sc"))
+        return at._lines(at._definition_source(page.join(named.select("id", "name", "exact").distinct(), "id").drop("id")), 1, 1)
 
     def definition_with_context(self, path: str, line: int, character: int, limit: int = paging.LIMIT, offset: int = 0) -> dict[str, DataFrame]:
         """selected: the identifier asked for; definitions with source and uses; siblings: the first exports beside the first definition."""

@@ -48,3 +48,15 @@ def test_calls_are_found_once_for_all_changes(spark, monkeypatch):
         monkeypatch.setattr(graph_upkeep, name, lambda *a, real=real, at=2 if name == "create" else 3, **k: seen.append(plan(a[at])) or real(*a, **k))
     registry.queries()["graph_updates"](spark, DATA)
     assert len(seen) == 2 and not any("lineitem" in p for p in seen)
+
+
+def test_a_definition_reads_beside_its_page(spark, monkeypatch):
+    from saltmarsh import tools
+    from saltmarsh.plans import code_queries
+
+    w, path = code_queries._seven(spark, DATA)
+    few = w.go_to_definition(path, 2, 6)
+    assert plan(few).count("LeftSemi") >= 4  # files and symbols, wherever they are read
+    monkeypatch.setattr(tools, "MAX_BESIDE", 0)
+    rows = lambda df: sorted(map(repr, df.collect()))
+    assert rows(few) == rows(w.go_to_definition(path, 2, 6)) and few.count()
