@@ -37,9 +37,13 @@ def usage_without_definition(count):
 
 
 def referenced_symbols(references: DataFrame, definitions: DataFrame, workspace: DataFrame) -> DataFrame:
-    """(name, path, line, status) once for each name and first definition: internal, external or not_found."""
+    """(name, path, line, status) once for each name and first definition: internal, external or not_found.
+
+    Definitions learn where they are before references meet them: these go through an exchange for their ids alone.
+    """
     first = first_per_group(definitions, ["query_id"], ["path", "line"])
-    rows = references.join(first, "query_id", "left_outer").join(workspace.select("path", F.lit(True).alias("inside")), "path", "left_outer")
+    first = first.join(workspace.select("path", F.lit(True).alias("inside")).distinct(), "path", "left_outer")
+    rows = references.join(first, "query_id", "left_outer")
     status = F.when(F.col("path").isNull(), "not_found").when(F.col("inside"), "internal").otherwise("external")
     return rows.select("name", "path", "line", status.alias("status")).distinct()
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from saltmarsh.operators import graph, graph_upkeep
+from saltmarsh.operators import graph, graph_upkeep, references
 from saltmarsh.plans import graph_queries, registry
 from saltmarsh.sources import dealt
 
@@ -60,3 +60,16 @@ def test_a_definition_reads_beside_its_page(spark, monkeypatch):
     monkeypatch.setattr(tools, "MAX_BESIDE", 0)
     rows = lambda df: sorted(map(repr, df.collect()))
     assert rows(few) == rows(w.go_to_definition(path, 2, 6)) and few.count()
+
+
+def test_references_meet_definitions_before_they_are_made_distinct(spark):
+    p = plan(registry.queries()["referenced_symbols"](spark, DATA))
+    assert not [x for x in p.splitlines() if "HashAggregate(keys=" in x and "query_id" in x.split("]")[0]]
+
+
+def test_files_of_a_workspace_given_twice(spark):
+    r = spark.createDataFrame([("x", 1), ("y", 2), ("z", None)], "name string, query_id int")
+    d = spark.createDataFrame([(1, "a", 9), (2, None, 1)], "query_id int, path string, line int")
+    w = spark.createDataFrame([("a",), ("a",), (None,)], "path string")
+    got = references.referenced_symbols(r, d, w).collect()
+    assert sorted(map(tuple, got), key=repr) == [("x", "a", 9, "internal"), ("y", None, 1, "not_found"), ("z", None, None, "not_found")]
