@@ -98,12 +98,12 @@ def adjacency(edges: DataFrame, node: str, direction: str, kind: str | None = No
 
 
 def with_names(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges with their ends' names, unknown where there is no such node."""
+    """Edges with their ends' names, unknown where there is no such node; an id that follows from the rest need not go through the joins."""
     n = nodes.select("id", "name")
     out = edges
     for end in ("from", "to"):
         out = out.join(n.select(F.col("id").alias(f"{end}_id"), F.col("name").alias(f"{end}_name")), f"{end}_id", "left_outer")
-    return out.select("id", "kind", "from_id", "to_id", F.coalesce("from_name", F.lit("unknown")).alias("from_name"), F.coalesce("to_name", F.lit("unknown")).alias("to_name"))
+    return out.select(*(["id"] if "id" in edges.columns else []), "kind", "from_id", "to_id", F.coalesce("from_name", F.lit("unknown")).alias("from_name"), F.coalesce("to_name", F.lit("unknown")).alias("to_name"))
 
 
 def with_sites(edges: DataFrame, sites: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import values
 from ..operators import graph, graph_upkeep, paging
 from ..sources.dealt import dealt
-from ..sources.tables import edges, files, nodes, table
+from ..sources.tables import edge_ends, edge_id, edges, files, nodes, table
 from ..sources.work import drop, materialize, scratch
 from .registry import query
 
@@ -135,7 +135,8 @@ def edges_with_sites(spark, d):
 
 @query("SELECT e.id, e.kind, from_id, to_id, coalesce(a.name, 'unknown') AS from_name, coalesce(b.name, 'unknown') AS to_name FROM edges e LEFT JOIN nodes a ON a.id = from_id AND a.node_type <> 'module' LEFT JOIN nodes b ON b.id = to_id AND b.node_type <> 'module'")
 def edges_with_names(spark, d):
-    return graph.with_names(edges(spark, d), nodes(spark, d).where("node_type <> 'module'"))
+    e = graph.with_names(edge_ends(spark, d), nodes(spark, d).where("node_type <> 'module'"))
+    return e.select(edge_id().alias("id"), *e.columns)
 
 
 @query("""

@@ -73,3 +73,8 @@ def test_files_of_a_workspace_given_twice(spark):
     w = spark.createDataFrame([("a",), ("a",), (None,)], "path string")
     got = references.referenced_symbols(r, d, w).collect()
     assert sorted(map(tuple, got), key=repr) == [("x", "a", 9, "internal"), ("y", None, 1, "not_found"), ("z", None, None, "not_found")]
+
+
+def test_ids_of_edges_are_made_after_the_joins(spark):
+    p = plan(registry.queries()["edges_with_names"](spark, DATA))
+    assert "HashAggregate(keys=[l_orderkey" in p and p.index("concat_ws(>") < p.index("Join")
