@@ -37,6 +37,9 @@ MEMO = 150_000
 KNOWN = 500_000
 #: Bytes of texts that are encoded together.
 GROUP = 3_000_000
+#: The same where the library merges, and the chunks and the words that are known there.
+LIBRARY_GROUP = 12_000_000
+LIBRARY_KNOWN = 1_000_000
 _BLANKS = bytes(32 if 9 <= b <= 13 else b for b in range(256))
 #: Longer words aren't counted for the lexicon; they are merged like any other.
 LONGEST = 40
@@ -184,32 +187,42 @@ class _Memo(dict):
         return out
 
 
+def _gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The slices flat[start : start + size], one after the other."""
+    return flat[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+
+
+def _flat(cells: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(size, ids) of ids in bytes."""
+    return np.fromiter(map(len, cells), np.int64, len(cells)) // 4, np.frombuffer(b"".join(cells), "<u4")
+
+
 class _Known:
     """Chunks whose ids are known, as arrays: a string takes a few tens of bytes here, in a dict some hundreds.
 
-    When there are over KNOWN, those of the group at hand stay.
+    When there are over most, those of the group at hand stay.
     """
 
-    def __init__(self):
+    def __init__(self, most: int = KNOWN):
+        self.most = most
         self.chunks = pa.array([], pa.string())
         self.size, self.flat = np.empty(0, np.int64), np.empty(0, np.uint32)
 
     def look_up(self, chunks: pa.StringArray, make) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(size, start, ids) of each chunk; make gives what isn't known."""
+        """(size, start, ids) of each chunk; make gives the sizes and ids of what isn't known."""
         at = pc.index_in(chunks, value_set=self.chunks)
         new = chunks.filter(at.is_null())
         at = at.fill_null(-1).to_numpy().astype(np.int64)
-        cells = make(new.to_pylist())
-        at[at < 0] = len(self.chunks) + np.arange(len(cells))
-        sizes = np.concatenate([self.size, np.fromiter(map(len, cells), np.int64, len(cells)) // 4])
-        flat = np.concatenate([self.flat, np.frombuffer(b"".join(cells), "<u4")])
+        made, ids = make(new.to_pylist())
+        at[at < 0] = len(self.chunks) + np.arange(len(made))
+        sizes, flat = np.concatenate([self.size, made]), np.concatenate([self.flat, ids])
         starts = np.cumsum(sizes) - sizes
         size, start = sizes[at], starts[at]
-        if len(sizes) <= KNOWN:
+        if len(sizes) <= self.most:
             self.chunks, self.size, self.flat = pa.concat_arrays([self.chunks, new]), sizes, flat
         else:
             self.chunks, self.size = chunks, size
-            self.flat = flat[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+            self.flat = _gather(flat, start, size)
         return size, start, flat
 
 
@@ -217,11 +230,12 @@ def library_merge(bpe: Bpe, path: str):
     """word -> ids by the library's own merges, for writers that want its tokenizer and no lexicon."""
     from tokenizers import Tokenizer
 
-    model, letters, cells = Tokenizer.from_file(path).model, bpe.letters, bpe.cells
+    tokenize, letters = Tokenizer.from_file(path).model.tokenize, bpe.letters
+    cells = [k.to_bytes(4, "little") for k in range(len(bpe.tokens))]
 
     def merge(word: str) -> bytes:
         shown = word if word.isascii() and word.isalpha() else "".join([letters[b] for b in word.encode("utf-8", "surrogatepass")])
-        return b"".join([cells[t.value] for t in model.tokenize(shown)])
+        return b"".join([cells[t.id] for t in tokenize(shown)])
 
     return merge
 
@@ -229,10 +243,12 @@ def library_merge(bpe: Bpe, path: str):
 class Codec:
     """Encodes and decodes texts in one process: ids are little-endian 32-bit integers."""
 
-    def __init__(self, path: str, packed: bytes | None = None, library: bool = False):
+    group = GROUP
+
+    def __init__(self, path: str, packed: bytes | None = None):
         self.bpe = Bpe(path)
         self.lex = lexicon.mapped(packed) if packed else None
-        self.words = _Memo(library_merge(self.bpe, path) if library else self.bpe.merge_bytes)
+        self.words = _Memo(self.bpe.merge_bytes)
         self.known = _Known()
 
     def _chunk(self, chunk: str) -> bytes:
@@ -246,11 +262,11 @@ class Codec:
             if k >= 0:
                 self.words[w] = self.lex.sequence(k).tobytes()
 
-    def _new_chunks(self, chunks: list[str]) -> list[bytes]:
+    def _new_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if self.lex is not None:
             find = self.bpe.words.fast.findall
             self._look_up({w for c in chunks for w in find(c)})
-        return list(map(self._chunk, chunks))
+        return _flat(list(map(self._chunk, chunks)))
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         out, group, size = [b""] * len(texts), [], 0
@@ -261,7 +277,7 @@ class Codec:
             if data is None:
                 out[row] = self._by_parts(t)
                 continue
-            if size + len(data) > GROUP and group:
+            if size + len(data) > self.group and group:
                 self._encode_group(group, out)
                 group, size = [], 0
             group.append((row, data))
@@ -289,7 +305,7 @@ class Codec:
         size, start, flat = self.known.look_up(coded.dictionary, self._new_chunks)
         n = size[which]
         total = np.concatenate([[0], np.cumsum(n)])
-        ids = flat[np.repeat(start[which] - total[:-1], n) + np.arange(total[-1])]
+        ids = _gather(flat, start[which], n)
         cuts = total[np.searchsorted(ends, np.cumsum([len(d) + 1 for _, d in group]), "right")].tolist()
         raw, at = ids.tobytes(), 0
         for (row, _), cut in zip(group, cuts, strict=True):
@@ -300,6 +316,32 @@ class Codec:
         return " ".join(map(self.bpe.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+class LibraryCodec(Codec):
+    """Encodes by the library's merges, each distinct word of a group once: words are numbered by Arrow's dictionary too."""
+
+    group = LIBRARY_GROUP
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        self.merge = library_merge(self.bpe, path)
+        self.words = _Memo(self.merge)
+        self.known, self.known_words = _Known(LIBRARY_KNOWN), _Known(LIBRARY_KNOWN)
+        self.lines = compile_re(self.bpe.words.fast.pattern + "|\n")
+
+    def _new_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Chunks are split a line each, all at once; as they hold no white space, a line's end is a chunk's, and has no ids."""
+        if not chunks:
+            return _flat([])
+        coded = pa.array(self.lines.findall("\n".join(chunks) + "\n"), pa.string()).dictionary_encode()
+        which = coded.indices.to_numpy()
+        size, start, flat = self.known_words.look_up(coded.dictionary, self._new_words)
+        n, ends = size[which], np.flatnonzero(which == coded.dictionary.index("\n").as_py())
+        return np.diff(np.cumsum(n)[ends], prepend=0), _gather(flat, start[which], n)
+
+    def _new_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return _flat([b"" if w == "\n" else self.merge(w) for w in words])
+
+
 _CODECS: dict[tuple, Codec] = kept({})
 
 
@@ -309,7 +351,7 @@ def codec(path: str, packed: bytes | None = None, library: bool = False) -> Code
     key = (path, hashlib.sha256(packed).digest() if packed else b"", library)
     if key not in _CODECS:
         _CODECS.clear()
-        _CODECS[key] = Codec(path, packed, library)
+        _CODECS[key] = LibraryCodec(path) if library else Codec(path, packed)
     return _CODECS[key]
 
 

@@ -146,7 +146,7 @@ CHUNKS = "part long, step int, doc_ids array<long>, lengths binary, ids binary,
 
 def _chunks(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """Consecutive documents' ids in chunks of about SHARD ids; a task's last chunk of a range has the counts of the range's ids."""
-    small_batches(docs.sparkSession, 1000)
+    small_batches(docs.sparkSession, 4000, 8 << 20)  # the known chunks and words are hashed anew for each batch
     rows = docs.select(range_of(docs, "doc_id").alias("part"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = rows.repartition("part").sortWithinPartitions("part", "doc_id", "text")
     end = end_id.to_bytes(4, "little")
