@@ -1,22 +1,23 @@
-"""An approximate index of vectors: navigable small-world graphs as tables, searched by rounds of joins.
-
-A node is a distinct vector (copies share one, ``members`` has whose it is), of unit length. Each node has a level, drawn from
-its hash: one of RATIO goes a level up. A level's graph has a row (level, node, neighbours) for each of its nodes. Candidate
-neighbours are found in cells: TREES times, nodes are parted by the signs of their projections on random directions, cells
-are cut into blocks of BLOCK nodes, and within a block all distances are taken. Of its candidates a node keeps those that
-are nearer to it than to any it has kept (so edges lead in different directions); edges go both ways, the nearest WIDEST of
-a node stay.
-
-A search starts from the top level, whose at most TOP nodes are scored by all queries, and walks down: in a round, each
-query's open nodes are joined with their neighbours, those it hasn't seen are joined with their vectors and scored, and
-the query keeps what is nearer than its ef-th allowed node. It ends when no node that is kept is open. An allow-list
-counts inside: nodes that aren't allowed lead on but fill no place, so the beam widens until it has ef allowed ones.
-Where the allow-list has so few vectors that scoring them all reads less than the walk (ALLOWED ** 2 <= ef * nodes), they
-are scored, and the answer is exact. Rounds are written to the shared folder; state is per query, bounded by ef over the
-share of allowed nodes; nothing but the top level is sent to every task.
-
-insert() adds vectors in batches: new nodes find their neighbours by searching the level and among themselves; rows of the
-graph that get no edge are left as they are.
+"""An approximate index of vectors: navigable small-world graphs in shards, searched in all shards at once.
+
+A node is a distinct vector (copies share one, ``members`` has whose it is), of unit length. Nodes are dealt by hash to shards
+of SHARD nodes at most on average; each shard has graphs of its own, so that a task needs nothing beyond its shard, and
+more vectors make more shards, not larger ones. Each node has a level, drawn from its hash: one of RATIO goes a level up.
+``nodes`` has a node's neighbours on each of its levels. Candidate neighbours are a node's nearest in its shard, all of which
+are scored; of them it keeps those that are nearer to it than to any it has kept (so edges lead in different
+directions); edges go both ways, the nearest WIDEST of a node stay.
+
+A search sends blocks of queries to all shards. In each it starts from the top level, whose nodes are scored by all queries,
+and walks down: in a round the STEP nearest open nodes of each query are opened, their neighbours that it hasn't seen are
+scored, and what is farther than its ef-th allowed node is left. It ends when no node is open. An allow-list counts
+inside: nodes that aren't allowed lead on but fill no place, so the beam widens until it has its allowed ones; as it is so much
+wider then, ef is shared out among the shards (k at least). The k nearest of a shard are scored again in double
+precision, and the k nearest of all shards stay. Where the allow-list has so few vectors that scoring them all reads less
+than a walk (ALLOWED ** 2 <= ef * nodes), they are scored, and the answer is exact. A task holds a shard and a block of
+queries.
+
+insert() adds vectors in batches: new nodes go to the smallest shard, whose graphs are made anew, while that has room, and else
+into shards of their own; all other shards are left as they are.
 
 Defined cases: vectors that are null, zero, of another dimension, or hold a null or non-finite component take no part, nor
 do null ids; equal scores go to the smaller id; no vectors, or no queries, give no rows; repeated ids are rows of their own.
@@ -35,23 +36,27 @@ from pyspark.sql import functions as F
 from ..sources.work import materialize
 
 RATIO, TOP = 16, 1024
-TREES, BLOCK, NEIGHBOURS, WIDEST = 5, 512, 10, 32
-EF = 64
+SHARD, NEIGHBOURS, WIDEST = 16384, 32, 64
+EF, STEP = 64, 32
 SEED = 5
-#: Rounds of a level after which a walk is cut short (a graph of small world takes a few).
-ROUNDS = 40
+#: Queries of a task, how many of them walk at a time, and numbers that are gathered at once.
+ASKED, WALKING, GATHERED = 2048, 128, 1 << 22
 
 
 @dataclass
 class Index:
-    """members (id, node), nodes (node, level, v), graph (level, node, neighbours); the levels' number and the dimension."""
+    """members (id, node), nodes (node, shard, level, v, links: neighbours on each level); the levels' number and the dimension."""
 
     members: DataFrame
     nodes: DataFrame
-    graph: DataFrame
     levels: int
     dim: int
 
+    @property
+    def graph(self) -> DataFrame:
+        """(shard, level, node, neighbours)."""
+        return self.nodes.select("shard", "node", F.posexplode("links").alias("level", "neighbours")).select("shard", "level", "node", "neighbours")
+
 
 def usable(vectors: DataFrame, dim: int | None = None) -> tuple[DataFrame, int]:
     """((id, node, v) of vectors (id, embedding) that take part, dimension); all have dim dimensions, or as many as most (the smaller on a tie)."""
@@ -81,59 +86,76 @@ def _matrix(column) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def _kept(near: np.ndarray, order: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+def _kept(near: np.ndarray, order: np.ndarray, most: int, v: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows: each row's candidates (order, the nearest first) that are nearer to it than to any kept before, most of them.
 
-    near has the likeness of all rows to each other; the candidates of one rank are judged for all rows at once.
+    near has the likeness of the rows to all; all vectors are v, where the rows aren't all. Candidates of one rank are
+    judged for all rows at once.
     """
-    rows, count, closest = np.arange(len(near)), np.zeros(len(near), np.int64), np.full_like(near, -np.inf)
-    mine, theirs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for c in order.T:
-        kept = np.flatnonzero((near[rows, c] > closest[rows, c]) & (count < most))
-        closest[kept] = np.maximum(closest[kept], near[c[kept]])
-        count[kept] += 1
-        mine.append(kept)
-        theirs.append(c[kept])
-    return np.concatenate(mine), np.concatenate(theirs)
-
-
-def _candidates(nodes: DataFrame, count: int, most: int) -> DataFrame:
-    """(node, other, d): neighbours of nodes (node, v) by cells of random projections, TREES times over."""
-    depth = max(0, int(np.ceil(np.log2(max(1, count / (BLOCK // 2))))))
-
-    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not len(b):
-                continue
-            v = _matrix(b.column(1))
-            for tree in range(TREES):
-                turn = np.random.default_rng(SEED * 1000 + tree).normal(size=(v.shape[1], max(1, depth)))
-                cell = ((v @ turn > 0) * (1 << np.arange(max(1, depth)))).sum(1) if depth else np.zeros(len(v), np.int64)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(v), tree, np.int32)), pa.array(cell.astype(np.int64))], ["node", "v", "tree", "cell"])
-
-    rows = nodes.select("node", "v").mapInArrow(cells, "node long, v array<float>, tree int, cell long")
-    sizes = rows.groupBy("tree", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
-    rows = rows.join(sizes, ["tree", "cell"]).withColumn("block", F.pmod(F.xxhash64("node", "tree"), F.col("blocks"))).drop("blocks")
-
-    def within(t: pa.Table) -> pa.Table:
-        node, v = t["node"].to_numpy(), _matrix(t["v"])
-        near = v @ v.T
-        np.fill_diagonal(near, -np.inf)
-        width = min(len(v) - 1, 4 * most)
-        order = np.argsort(-near, axis=1, kind="stable")[:, :width]
-        a, b = _kept(near, order, most)
-        return pa.table({"node": node[a], "other": node[b], "d": (1 - near[a, b]).astype(np.float64)})
-
-    return rows.groupBy("tree", "cell", "block").applyInArrow(within, "node long, other long, d double")
-
-
-def _graph(edges: DataFrame, level: int) -> DataFrame:
-    """(level, node, neighbours) of edges (node, other, d), both ways; the nearest WIDEST stay."""
-    both = edges.unionByName(edges.select(F.col("other").alias("node"), F.col("node").alias("other"), "d"))
-    both = both.groupBy("node", "other").agg(F.min("d").alias("d"))
-    near = Window.partitionBy("node").orderBy("d", "other")
-    both = both.withColumn("r", F.row_number().over(near)).where(F.col("r") <= WIDEST)
-    return both.groupBy("node").agg(F.array_sort(F.collect_list("other")).alias("neighbours")).select(F.lit(level).alias("level"), "node", "neighbours")
+    own = np.take_along_axis(near, order, 1)
+    among = near[order[:, :, None], order[:, None, :]] if v is None else (c := v[order]) @ c.transpose(0, 2, 1)
+    kept, closest = np.zeros(order.shape, bool), np.full(order.shape, -np.inf, near.dtype)
+    for c in range(order.shape[1]):
+        kept[:, c] = (own[:, c] > closest[:, c]) & (kept.sum(1) < most)
+        closest = np.where(kept[:, c, None], np.maximum(closest, among[:, :, c]), closest)
+    mine, rank = np.nonzero(kept)
+    return mine, order[mine, rank]
+
+
+def _first(row: np.ndarray, d: np.ndarray, most: int) -> np.ndarray:
+    """Where the most nearest of each row are, row by row, the nearest first; d is at most 2."""
+    order = np.argsort(row * 4.0 + d, kind="stable")
+    row = row[order]
+    return order[np.arange(len(row)) - np.searchsorted(row, row) < most]
+
+
+def _near(v: np.ndarray, most: int) -> np.ndarray:
+    """A row of neighbours for each of the vectors, filled up with -1."""
+    width = min(len(v) - 1, 4 * most)
+    out = np.full((len(v), WIDEST), -1, np.int64)
+    if not width:
+        return out
+    pairs = []
+    step = max(1, GATHERED // (width * max(width, v.shape[1])))
+    for at in range(0, len(v), step):
+        near = v[at : at + step] @ v.T
+        rows = np.arange(len(near))
+        near[rows, at + rows] = -np.inf
+        order = np.argpartition(-near, width - 1, axis=1)[:, :width]
+        order = np.take_along_axis(order, np.argsort(-np.take_along_axis(near, order, 1), axis=1, kind="stable"), 1)
+        a, b = _kept(near, order, most, v)
+        pairs.append((a + at, b, 1.0 - near[a, b]))
+    a, b, d = (np.concatenate(x) for x in zip(*pairs, strict=True))
+    key, at = np.unique(np.concatenate([a * len(v) + b, b * len(v) + a]), return_index=True)
+    a, b, d = key // len(v), key % len(v), np.concatenate([d, d])[at]
+    nearest = _first(a, d, WIDEST)
+    a, b = a[nearest], b[nearest]
+    out[a, np.arange(len(a)) - np.searchsorted(a, a)] = b
+    return out
+
+
+_NODE = "node long, shard int, level int, v array<float>, links array<array<long>>"
+
+
+def _linked(nodes: DataFrame, most: int) -> DataFrame:
+    """nodes (node, shard, level, v) with links: each one's neighbours in its shard, on each of its levels."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("node")
+        node, level, v = t["node"].to_numpy(), t["level"].to_numpy(), _matrix(t["v"])
+        links = [[] for _ in node]
+        for k in range(level.max() + 1):
+            part = np.flatnonzero(level >= k)
+            for n, to in zip(part.tolist(), _near(v[part], most), strict=True):
+                links[n].append(node[part[to[to >= 0]]])
+        return t.append_column("links", pa.array(links, pa.list_(pa.list_(pa.int64()))))
+
+    return nodes.select("node", "shard", "level", "v").groupBy("shard").applyInArrow(run, _NODE)
+
+
+def _dealt(nodes: DataFrame, count: int, first: int = 0) -> DataFrame:
+    """nodes, of which there are count, with their shards, numbered from first."""
+    return nodes.withColumn("shard", (F.pmod(F.xxhash64("node", F.lit(SEED + 1)), F.lit(max(1, -(-count // SHARD)))) + first).cast("int"))
 
 
 def build(vectors: DataFrame, most: int = NEIGHBOURS) -> Index:
@@ -143,62 +165,102 @@ def build(vectors: DataFrame, most: int = NEIGHBOURS) -> Index:
     nodes = members.groupBy("node").agg(F.first("v").alias("v"))
     count = nodes.count()
     levels = 1
-    while count / RATIO ** (levels - 1) > TOP / 2:
+    while min(count, SHARD) / RATIO ** (levels - 1) > TOP / 2:
         levels += 1
-    nodes = materialize(nodes.select("node", _level(F.col("node"), levels).alias("level"), "v"), "nodes")
-    graph = None
-    for level in range(levels):
-        part = nodes.where(F.col("level") >= level)
-        mine = _graph(_candidates(part, part.count() if level else count, most), level)
-        graph = mine if graph is None else graph.unionByName(mine)
-    return Index(members.select("id", "node"), nodes, materialize(graph, "graph"), levels, dim)
-
-
-def _entries(index: Index, queries: DataFrame, ef: int) -> DataFrame:
-    """(qid, node, d): the ef nearest of the top level's nodes, of which there are about TOP."""
-    top = index.nodes.where(F.col("level") >= index.levels - 1).select("node", "v").limit(8 * TOP).toArrow()
-    shared = queries.sparkSession.sparkContext.broadcast((top["node"].to_numpy(), _matrix(top["v"]) if len(top) else np.empty((0, 1))))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        node, v = shared.value
-        for b in batches:
-            if not len(b) or not len(node):
-                continue
-            d = 1 - _matrix(b.column(1)) @ v.T
-            n = min(ef, len(node))
-            near = np.argpartition(d, n - 1, axis=1)[:, :n]
-            row = np.repeat(np.arange(len(d)), n)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(node[near.ravel()]), pa.array(np.take_along_axis(d, near, 1).ravel().astype(np.float64))], ["qid", "node", "d"])
-
-    return queries.select("qid", "v").mapInArrow(run, "qid long, node long, d double")
-
-
-def _far(a: str, b: str) -> Column:
-    return F.lit(1.0) - F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
-def _nearest(state: DataFrame, ef: int) -> DataFrame:
-    """state (qid, node, d, ok, open) without what is farther than the query's ef-th node that is ok."""
-    near = Window.partitionBy("qid").orderBy("d", "node")
-    before = F.coalesce(F.sum(F.col("ok").cast("int")).over(near.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return state.withColumn("before", before).where(F.col("before") < ef).drop("before")
-
-
-def _walk(index: Index, queries: DataFrame, start: DataFrame, level: int, ef: int, allowed: DataFrame | None) -> DataFrame:
-    """(qid, node, d, ok): what the queries keep after a walk over a level's graph from start (qid, node, d)."""
-    flagged = (lambda df: df.join(allowed.select("node", F.lit(True).alias("ok")), "node", "left").withColumn("ok", F.coalesce("ok", F.lit(False)))) if allowed is not None else (lambda df: df.withColumn("ok", F.lit(True)))
-    graph = index.graph.where(F.col("level") == level).select("node", "neighbours")
-    vectors = index.nodes.where(F.col("level") >= level).select("node", "v")
-    order = ["qid", "node", "d", "ok", "open"]
-    state = materialize(_nearest(flagged(start).withColumn("open", F.lit(True)), ef).select(order), "state")
-    for _ in range(ROUNDS):
-        if not state.where("open").limit(1).count():
-            break
-        met = state.where("open").join(graph, "node").select("qid", F.explode("neighbours").alias("node")).distinct()
-        new = met.join(state.select("qid", "node"), ["qid", "node"], "left_anti").join(vectors, "node").join(queries.select("qid", F.col("v").alias("q")), "qid")
-        new = flagged(new.select("qid", "node", _far("v", "q").alias("d"))).withColumn("open", F.lit(True))
-        state = materialize(_nearest(state.withColumn("open", F.lit(False)).select(order).unionByName(new.select(order)), ef).select(order), "state")
-    return state.drop("open")
+    nodes = _dealt(nodes.withColumn("level", _level(F.col("node"), levels)), count)
+    return Index(members.select("id", "node"), materialize(_linked(nodes, most), "nodes"), levels, dim)
+
+
+def _far(q: np.ndarray, row: np.ndarray, v: np.ndarray, node: np.ndarray, kind: type = np.float32) -> np.ndarray:
+    """The distance of each query of row to the node beside it."""
+    step = max(1, GATHERED // v.shape[1])
+    parts = [np.einsum("ij,ij->i", q[row[k : k + step]].astype(kind, copy=False), v[node[k : k + step]].astype(kind, copy=False)) for k in range(0, len(row), step)]
+    return 1.0 - np.concatenate([np.empty(0), *parts])
+
+
+def _walk(v: np.ndarray, near: np.ndarray, ok: np.ndarray | None, q: np.ndarray, row: np.ndarray, node: np.ndarray, ef: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, node, d): each query's ef nearest nodes that are ok, after a walk over a graph (near) from where it starts (row, node)."""
+    size = len(v)
+    step = STEP if ok is None else -(-STEP * size // max(1, int(ok.sum())))
+    seen = np.zeros(len(q) * size, bool)
+    best = opened = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+    while True:
+        seen[row * size + node] = True
+        new = (row, node, _far(q, row, v, node))
+        fine = slice(None) if ok is None else ok[node]
+        best = [np.concatenate([x, y[fine]]) for x, y in zip(best, new, strict=True)]
+        nearest = _first(best[0], best[2], ef)
+        best = [x[nearest] for x in best]
+        full = np.flatnonzero(np.bincount(best[0], minlength=len(q)) >= ef)
+        limit = np.full(len(q), np.inf)
+        limit[full] = best[2][np.searchsorted(best[0], full, "right") - 1]
+        opened = [np.concatenate(x) for x in zip(opened, new, strict=True)]
+        left = opened[2] <= limit[opened[0]]
+        opened = [x[left] for x in opened]
+        if not len(opened[0]):
+            return tuple(best)
+        now = _first(opened[0], opened[2], step)
+        to = near[opened[1][now]]
+        key = ((opened[0][now] * size)[:, None] + to)[to >= 0]
+        left = np.ones(len(opened[0]), bool)
+        left[now] = False
+        opened = [x[left] for x in opened]
+        met = np.zeros(len(seen), bool)
+        met[key] = True
+        row, node = np.divmod(np.flatnonzero(met & ~seen), size)
+
+
+def _found(nodes: DataFrame, queries: DataFrame, k: int, ef: int, allowed: DataFrame | None) -> DataFrame:
+    """(qid, node, d): the k nearest found of each shard's nodes for each query, blocks of queries by shards."""
+    shards = [r["shard"] for r in nodes.select("shard").distinct().collect()]
+    blocks = max(1, -(-queries.count() // ASKED))
+    left = nodes.withColumn("ok", F.lit(True)) if allowed is None else nodes.join(allowed.select("node", F.lit(True).alias("ok")), "node", "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
+    left = left.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    right = queries.withColumn("b", F.pmod(F.xxhash64("qid", F.lit(2)), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.array(*map(F.lit, shards)).cast("array<int>")))
+    some_only = allowed is not None
+    part = max(k, -(-ef // max(1, len(shards)))) if some_only else ef
+
+    def run(x: pa.Table, y: pa.Table) -> pa.Table:
+        out = [pa.table({"qid": pa.array([], pa.int64()), "node": pa.array([], pa.int64()), "d": pa.array([], pa.float64())})]
+        if not len(x) or not len(y):
+            return out[0]
+        x = x.sort_by("node")
+        node, level, v = x["node"].to_numpy(), x["level"].to_numpy(), _matrix(x["v"])
+        ok = x["ok"].to_numpy() if some_only else None
+        if ok is not None and not ok.any():
+            return out[0]
+        links = x["links"].combine_chunks()
+        first, inner = links.offsets.to_numpy(), links.values
+        ends, to = inner.offsets.to_numpy(), np.searchsorted(node, inner.values.to_numpy())
+        top = level.max()
+        graphs = []
+        for n in range(top + 1):  # every graph in places of the shard, so that levels share one numbering
+            part_of = np.flatnonzero(level >= n)
+            a, b = ends[first[part_of] + n], ends[first[part_of] + n + 1]
+            near = np.full((len(node), WIDEST), -1, np.int64)
+            at = np.arange(WIDEST)[None, :] < (b - a)[:, None]
+            near[part_of[np.nonzero(at)[0]], np.nonzero(at)[1]] = to[(a[:, None] + np.arange(WIDEST)[None, :])[at]]
+            graphs.append(near)
+        start = np.flatnonzero(level == top)
+        qid, q = y["qid"].to_numpy(), _matrix(y["v"])
+        for at in range(0, len(q), WALKING):
+            some = q[at : at + WALKING]
+            width = min(ef, len(start))
+            near = np.argpartition(1 - some @ v[start].T, width - 1, axis=1)[:, :width]
+            row, place = np.repeat(np.arange(len(some)), width), start[near.ravel()]
+            for n in range(top, -1, -1):
+                row, place, _ = _walk(v, graphs[n], None if n else ok, some, row, place, ef if n else part)
+            d = _far(some, row, v, place, np.float64)
+            order = np.lexsort((place, d, row))
+            row, place, d = row[order], place[order], d[order]
+            best = np.arange(len(row)) - np.searchsorted(row, row) < k
+            out.append(pa.table({"qid": qid[at + row[best]], "node": node[place[best]], "d": d[best]}))
+        return pa.concat_tables(out)
+
+    tasks = 2 * blocks * max(1, len(shards))  # about a task for each block in each shard
+    left = left.select("shard", "b", "node", "level", "v", "ok", "links").repartition(tasks, "shard", "b")
+    right = right.select("shard", "b", "qid", "v").repartition(tasks, "shard", "b")
+    return left.groupBy("shard", "b").cogroup(right.groupBy("shard", "b")).applyInArrow(run, "qid long, node long, d double")
 
 
 def search(index: Index, queries: DataFrame, k: int, ef: int = EF, allow: DataFrame | None = None, exact: bool | None = None) -> DataFrame:
@@ -220,10 +282,7 @@ def search(index: Index, queries: DataFrame, k: int, ef: int = EF, allow: DataFr
     if exact:
         found = _scored_all((index.nodes if allowed is None else index.nodes.join(allowed, "node")).select("node", "v"), q, k)
     else:
-        found = _entries(index, q, ef)
-        for level in range(index.levels - 1, -1, -1):
-            found = _walk(index, q, found.select("qid", "node", "d"), level, ef, allowed if level == 0 else None)
-        found = found.where("ok").select("qid", "node", "d")
+        found = _found(index.nodes, q, k, ef, allowed)
     near = Window.partitionBy("qid").orderBy("d", "node")
     found = found.withColumn("r", F.row_number().over(near)).where(F.col("r") <= k).drop("r")  # k nodes have k members at least
     ranked = found.join(members, "node").withColumn("score", F.round(F.lit(1.0) - F.col("d"), 6))
@@ -263,40 +322,26 @@ def _scored_all(nodes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(nearest, "qid long, node long, d double")
 
 
-def insert(index: Index, vectors: DataFrame, most: int = NEIGHBOURS, ef: int = EF) -> Index:
-    """The index with vectors (id, embedding) added: new nodes are joined to what a search of their level finds, and to each other."""
+def insert(index: Index, vectors: DataFrame, most: int = NEIGHBOURS) -> Index:
+    """The index with vectors (id, embedding) added: new nodes fill the smallest shard up, or have shards of their own where it is too full for them."""
     rows, _ = usable(vectors, index.dim)
     rows = materialize(rows, "new")
+    members = materialize(index.members.unionByName(rows.select("id", "node")), "members")
     fresh = rows.groupBy("node").agg(F.first("v").alias("v")).join(index.nodes.select("node"), "node", "left_anti")
     fresh = materialize(fresh.select("node", _level(F.col("node"), index.levels).alias("level"), "v"), "fresh")
-    nodes = index.nodes.unionByName(fresh)
-    parts = []
-    for level in range(index.levels):
-        new = fresh.where(F.col("level") >= level)
-        count = new.count()
-        old = index.graph.where(F.col("level") == level)
-        if not count:
-            parts.append(old)
-            continue
-        queries = new.select(F.col("node").alias("qid"), "v")
-        found = _entries(index, queries, ef)
-        for k in range(index.levels - 1, level - 1, -1):
-            found = _walk(index, queries, found.select("qid", "node", "d"), k, ef, None)
-        near = Window.partitionBy("qid").orderBy("d", "node")
-        found = found.withColumn("r", F.row_number().over(near)).where(F.col("r") <= 2 * most).select(F.col("qid").alias("node"), F.col("node").alias("other"), "d")
-        edges = materialize(found.unionByName(_candidates(new, count, most)), "edges")
-        ends = edges.select("node").union(edges.select("other")).distinct()
-        # rows that get an edge are made anew, with the lengths of the edges they have; the others stay
-        mine = old.join(ends, "node", "left_semi").select("node", F.explode("neighbours").alias("other"))
-        v = nodes.where(F.col("level") >= level)
-        mine = mine.join(v.select("node", F.col("v").alias("a")), "node").join(v.select(F.col("node").alias("other"), F.col("v").alias("b")), "other")
-        both = edges.unionByName(mine.select("node", "other", _far("a", "b").alias("d")))
-        changed = _graph(both, level).join(ends, "node", "left_semi")
-        parts += [old.join(ends, "node", "left_anti"), changed]
-    graph = parts[0]
-    for p in parts[1:]:
-        graph = graph.unionByName(p)
-    return Index(materialize(index.members.unionByName(rows.select("id", "node")), "members"), materialize(nodes, "nodes"), materialize(graph, "graph"), index.levels, index.dim)
+    count = fresh.count()
+    if not count:
+        return Index(members, index.nodes, index.levels, index.dim)
+    sizes = index.nodes.groupBy("shard").count()
+    least = sizes.orderBy("count", "shard").first()
+    old = index.nodes
+    if least and least["count"] + count <= SHARD:
+        grown = old.where(F.col("shard") == least["shard"]).select("node", "shard", "level", "v")
+        new = grown.unionByName(fresh.withColumn("shard", F.lit(least["shard"])).select("node", "shard", "level", "v"))
+        old = old.where(F.col("shard") != least["shard"])
+    else:
+        new = _dealt(fresh, count, (sizes.agg(F.max("shard")).first()[0] + 1) if least else 0)
+    return Index(members, materialize(old.unionByName(_linked(new, most)), "nodes"), index.levels, index.dim)
 
 
 def recall(found: DataFrame, exact: DataFrame) -> float:

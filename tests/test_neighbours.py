@@ -110,3 +110,26 @@ def test_kept_are_nearer_than_to_those_before():
                 out.append(c)
         want |= {(k, c) for c in out}
     assert got == want
+
+
+def test_recall_holds_as_vectors_grow(spark):
+    """Vectors in all directions, the hardest to walk among: a beam of one width finds ever less of more of them in one graph."""
+    every = frame(spark, np.random.default_rng(7).normal(size=(30000, 64))).cache()
+    index = neighbours.build(every)
+    q = every.where("id % 500 = 0").select(F.col("id").alias("qid"), F.col("embedding").alias("q"))
+    assert neighbours.recall(neighbours.search(index, q, 10, exact=False), neighbours.search(index, q, 10, exact=True)) >= 0.95
+
+
+def test_insertion_fills_shards_up_and_adds_some(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "SHARD", 300)
+    v = np.random.default_rng(7).normal(size=(700, 16))
+    index = neighbours.build(frame(spark, v))
+    sizes = lambda x: dict(x.nodes.groupBy("shard").count().collect())
+    before = sizes(index)
+    least = min(before, key=lambda k: (before[k], k))
+    grown = neighbours.insert(index, frame(spark, v[:20] + 1.0, 1000))
+    assert len(before) == 3 and sizes(grown) == {**before, least: before[least] + 20}
+    grown = neighbours.insert(grown, frame(spark, v[:250] - 1.0, 2000))
+    assert sizes(grown) == {**before, least: before[least] + 20, 3: 250}
+    q = frame(spark, v[[3, 200]] - 1.0).select(F.col("id").alias("qid"), F.col("embedding").alias("q"))
+    assert {r["id"] for r in neighbours.search(grown, q, 1).collect()} == {2003, 2200}
