@@ -12,8 +12,10 @@ links joins it already. Links are kept as a spanning forest, never as all pairs.
 
 Skew: equal sets are one node (named by the set's 64-bit hash) from the first pass on; signatures are packed by task and
 dealt out in many small buckets; a signature that more than HOT sets share isn't bounded at all: its sets are one candidate
-cluster, made by a join that AQE splits. A cluster of more than CLUSTER shingles is cut into blocks, each compared inside
-and with a common member, and then only members outside the cluster's largest component are sent to all blocks: that many
+cluster, made by a join that AQE splits. A cluster of more than CLUSTER shingles is bounded once more, by about one group for
+each member, as counts of some sixteen a group let unlike large sets pass now and then, and with the documents these
+grow to one cluster of all of them; only counts are sent to the tiles of this, no texts. A cluster that still is as large
+is cut into blocks, each compared inside and with a common member, and then only members outside the cluster's largest component are sent to all blocks: that many
 members times that many blocks are compared at most, each pair of texts once.
 
 Defined cases: null and empty texts have no shingles and no link; rows without a doc_id link like others, and count in a
@@ -42,6 +44,9 @@ ROWS = 15_000
 CELLS = 1_000_000
 LEAF = 48
 CLUSTER = 500_000
+#: The most groups that are counted in large clusters, and shingles whose counts are bounded at once there.
+FINE = 8192
+TILE = 4_000_000
 #: Sets of a signature that are bounded together; where more share one, all of them are candidates.
 HOT = 8192
 FLUSH = 1 << 18
@@ -104,9 +109,9 @@ def count_vector(h: np.ndarray, groups: int) -> np.ndarray:
     return np.bincount((mix64(h) >> np.uint64(65 - groups.bit_length())).astype(np.int64), minlength=groups)
 
 
-def packed_vector(h: np.ndarray) -> bytes:
+def packed_vector(h: np.ndarray, groups: int | None = None) -> bytes:
     """A byte for each count; where one has no room in a byte all are 255, and no bound will rule the set out."""
-    v = count_vector(h, groups_for(len(h)))
+    v = count_vector(h, groups or groups_for(len(h)))
     return (np.full(len(v), 255) if v.max() > 254 else v).astype(np.uint8).tobytes()
 
 
@@ -418,15 +423,8 @@ def bounded_pairs(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> Dat
     def run(batches):
         release()
         for b in batches:
-            x, y = b.column(4).to_pylist(), b.column(5).to_pylist()
-            least = np.fromiter((min(len(p), len(q)) for p, q in zip(x, y, strict=True)), np.int64, len(x))
             need = needed(b.column(2).to_numpy(), b.column(3).to_numpy(), num, den)
-            ok = np.zeros(len(x), bool)
-            for groups in np.unique(least):
-                at = np.flatnonzero(least == groups)
-                for k in range(0, len(at), max(1, CELLS // int(groups))):
-                    part = at[k : k + max(1, CELLS // int(groups))]
-                    ok[part] = np.minimum(folded([x[i] for i in part], int(groups)), folded([y[i] for i in part], int(groups))).sum(1) >= need[part]
+            ok = _passes(b.column(4).to_pylist(), b.column(5).to_pylist(), need)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), b.column(1).filter(pa.array(ok))], ["src", "dst"])
 
     return rows.mapInArrow(run, "src long, dst long")
@@ -477,6 +475,60 @@ def candidates(met: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFram
     return edges
 
 
+def _passes(x: list[bytes], y: list[bytes], need: np.ndarray) -> np.ndarray:
+    """Whether the bound of each pair of packed vectors is as large as needed; each by as many groups as both have."""
+    least = np.fromiter((min(len(p), len(q)) for p, q in zip(x, y, strict=True)), np.int64, len(x))
+    ok = np.zeros(len(x), bool)
+    for groups in np.unique(least):
+        at = np.flatnonzero(least == groups)
+        for k in range(0, len(at), max(1, CELLS // int(groups))):
+            part = at[k : k + max(1, CELLS // int(groups))]
+            ok[part] = np.minimum(folded([x[i] for i in part], int(groups)), folded([y[i] for i in part], int(groups))).sum(1) >= need[part]
+    return ok
+
+
+def bounded_again(large: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(src, dst), a table: edges whose components hold every pair of a cluster's sets that may link, by finer counts; large (cluster, total, h, text)."""
+    small_batches(large.sparkSession)
+
+    def count(batches):
+        release()
+        for b in batches:
+            sets = shingle_sets(b.column(3).to_pylist(), k)
+            v = [packed_vector(x, min(FINE, max(VECTOR, 1 << (len(x) - 1).bit_length()))) for x in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([len(x) for x in sets], pa.int64()), pa.array(v, pa.binary())], ["cluster", "total", "h", "n", "vector"])
+
+    fine = large.select("cluster", "total", "h", "text").mapInArrow(count, "cluster long, total long, h long, n long, vector binary")
+    fine = materialize(fine, "fine")
+    # a tile for each two blocks of a cluster, and one for each block with itself
+    rows = fine.withColumn("tiles", F.ceil(F.col("total") / TILE)).withColumn("block", F.pmod(F.xxhash64("h", F.lit(3)), "tiles").cast("int"))
+    rows = rows.withColumn("x", F.explode(F.sequence(F.lit(0), (F.col("tiles") - 1).cast("int"))))
+    rows = rows.select("cluster", F.least("block", "x").alias("a"), F.greatest("block", "x").alias("b"), "block", "h", "n", "vector")
+    rows = rows.repartition("cluster", "a", "b").sortWithinPartitions("cluster", "a", "b", "block", "h")
+
+    def run(batches):
+        release()
+        for (_, a, b), (block, h, n, v) in grouped(batches, 3):
+            n, block = np.array(n), np.array(block)
+            groups = min(512, min(map(len, v)))
+            coarse = folded(v, groups)
+            forest = Forest(np.arange(len(h)))
+            split = int(np.searchsorted(block, b)) if a != b else None
+            for i in range(len(h) if split is None else split):
+                j = np.arange(i + 1 if split is None else split, len(h))
+                j = j[(np.minimum(coarse[i], coarse[j]).sum(1) >= needed(n[i], n[j], num, den)) & (forest.label[j] != forest.label[i])]
+                for y in j[_passes([v[i]] * len(j), [v[y] for y in j], needed(n[i], n[j], num, den))].tolist():
+                    forest.join(i, y)
+            least = forest.least().tolist()
+            out = [(h[i], h[y]) for i, y in enumerate(least) if i != y]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["src", "dst"])
+
+    edges = materialize(rows.mapInArrow(run, "src long, dst long"), "again")
+    drop(fine)
+    return edges
+
+
 def components_of_rows(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """(doc_id, t, n_shingles, component_id, first) of every row of docs (doc_id, text): Jaccard >= num / den on k-word shingles.
 
@@ -497,9 +549,18 @@ def components_of_rows(docs: DataFrame, k: int, num: int, den: int) -> DataFrame
     totals = materialize(clusters.groupBy("cluster").agg(F.sum("n").alias("total"), F.min("h").alias("common")), "totals")
     placed = clusters.join(totals, "cluster").withColumn("blocks", F.ceil(F.col("total") / CLUSTER).cast("int"))
     texts = docs.where("text IS NOT NULL").select(*row_key(), "text")
-    members = placed.select("cluster", "common", "blocks", "h", "doc_id", "t").join(texts, ["doc_id", "t"]).drop("t").dropDuplicates(["h"])
+    members = placed.select("cluster", "common", "blocks", "h", "n", "total", "doc_id", "t").join(texts, ["doc_id", "t"]).drop("t").dropDuplicates(["h"])
     members = materialize(members, "members", compression="zstd")
     drop(clusters, totals)
+    large = members.where("blocks > 1")
+    if large.limit(1).count():  # smaller clusters of those, without the sets that no finer bound lets link
+        edges = bounded_again(large, k, num, den)
+        found = components(edges)
+        parts = large.drop("cluster", "common", "blocks", "total").join(found.select(F.col("node").alias("h"), F.col("component").alias("cluster")), "h")
+        sums = materialize(parts.groupBy("cluster").agg(F.sum("n").alias("total"), F.min("h").alias("common")), "totals")
+        parts = parts.join(sums, "cluster").withColumn("blocks", F.ceil(F.col("total") / CLUSTER).cast("int"))
+        before, members = members, materialize(members.where("blocks = 1").unionByName(parts), "members", compression="zstd")
+        drop(before, edges, found, sums)
     block = F.pmod(F.xxhash64("h"), F.col("blocks").cast("long")).cast("int")
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     first = members.withColumn("block", F.explode(F.when((F.col("h") == F.col("common")) & (F.col("blocks") > 1), every).otherwise(F.array(block)))).withColumn("label", F.col("h"))
